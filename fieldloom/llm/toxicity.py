@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ALNUM, Words, labelled_sample, signed, text_blocks
+from fieldloom.llm.common import ALNUM, Words, grams, labelled_sample, signed, text_blocks
 
 _WORDS = Words(ALNUM)
 
@@ -117,13 +117,29 @@ def _token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("t", "y").mapInArrow(run, "token long, n1 long, n0 long, d1 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1")])
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """One text of each label and smallest 5-word hash, so that a token is not learned from copies of one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for _, _, d, o in text_blocks(batch.column(1)):
+                h, _, count = _WORDS.split(d, o)
+                least += [int(grams(h[i:j], min(5, j - i)).min()) if j > i else 0 for i, j in _by_row(h, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(np.array(least, np.uint64)))], names=["k", "sketch"])
+
+    kind = rows.schema["k"].dataType.simpleString()
+    sketches = rows.select("k", "t").mapInArrow(run, f"k {kind}, sketch long").join(rows.select("k", "y"), "k")
+    return rows.join(sketches.groupBy("y", "sketch").agg(F.min("k").alias("k")).select("k"), "k", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, prior: float = 2000.0, least_z: float = 4.0, least_texts: int = 4) -> ToxicModel | None:
     """Fits on at most about per_label texts of each label; only tokens in at least least_texts toxic ones can score above 0."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     picked = labelled_sample(known, "k", "y", per_label)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "k").cache()
     try:
-        counts = _token_counts(rows)
+        counts = _token_counts(_without_copies(rows))
         total = counts.agg(F.sum("n1"), F.sum("n0")).first()
         t1, t0 = float(total[0] or 0), float(total[1] or 0)
         if not t1 or not t0:
