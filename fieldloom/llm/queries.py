@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language_id, quality, topk, toxicity, warc
+from fieldloom.llm import decontaminate, language_id, packing, quality, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
 
 
@@ -19,6 +19,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
@@ -51,6 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
     "op7_warc": op7_warc,
