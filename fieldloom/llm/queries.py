@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language_id, packing, quality, topk, toxicity, warc
+from fieldloom.llm import decontaminate, language_id, packing, pii, quality, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
 
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("findings").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["kind"]))), ",").alias("kinds"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
@@ -56,6 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
     "op7_warc": op7_warc,
