@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language_id, packing, pii, quality, topk, toxicity, warc
+from fieldloom.llm import decontaminate, language_id, packing, pii, quality, secrets, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
 
 
@@ -33,6 +33,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secrets": op5_secrets,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
