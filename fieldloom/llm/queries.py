@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language_id, packing, pii, quality, secrets, topk, toxicity, warc
+from fieldloom.llm import decontaminate, jaccard, language_id, packing, pii, quality, secrets, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
 
 
@@ -37,6 +37,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
+    "op6_jaccard": op6_jaccard,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
