@@ -155,11 +155,15 @@ class Words:
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As split, and the first byte of each word and the byte after its last."""
+        return self.parts(data, offsets, ())[:5]
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """As spans, and for each length of prefixes the hash of each word's first bytes, 0 for words that aren't longer."""
         rows = len(offsets) - 1
         n = len(data)
         if not n:
             none = np.zeros(0, np.int64)
-            return np.zeros(0, U64), none, np.zeros(rows, np.int64), none, none
+            return np.zeros(0, U64), none, np.zeros(rows, np.int64), none, none, [np.zeros(0, U64) for _ in prefixes]
         inside = self.in_word[data]
         start = inside.copy()
         start[1:] &= ~inside[:-1]
@@ -173,9 +177,11 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.cumsum(self.values[data] * powers(BASE, n), dtype=U64)
             before = np.where(s > 0, total[s - 1], U64(0))
-            h = mix((total[e - 1] - before) * powers(BASE_INVERSE, n)[s] + (e - s).astype(U64))
+            back = powers(BASE_INVERSE, n)[s]
+            h = mix((total[e - 1] - before) * back + (e - s).astype(U64))
+            starts = [np.where(e - s > p, mix((total[np.minimum(s + p, n) - 1] - before) * back + U64(p) + U64(1 << 32)), U64(0)) for p in prefixes]
         row = np.searchsorted(offsets, s, "right") - 1
-        return h, row, np.bincount(row, minlength=rows).astype(np.int64), s, e
+        return h, row, np.bincount(row, minlength=rows).astype(np.int64), s, e, starts
 
 
 def _class(separators: list[tuple[int, int]]) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Toxic passages by maximal scoring segments.
 
 Token scores are log-odds of toxic against other labelled texts under an informative Dirichlet prior (the background's token
-rates), kept where they differ by enough standard errors; every other token costs a little, so that random text drifts
-downwards. One linear scan finds every maximal scoring segment of a text. A segment's score is turned into an extreme-value
+rates), kept where they differ by enough standard errors. Words and their beginnings are tokens; a word scores as its longest
+known token, so inflected and compound forms score as their stems do. A word without one costs a little, so that random text
+drifts downwards. One linear scan finds every maximal scoring segment of a text. A segment's score is turned into an extreme-value
 (Karlin-Altschul) bit score with the text's length taken off, and a text's score combines the best passage and the number of
 significant ones through a logistic link fitted on the same labelled rows.
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import ALNUM, Words, grams, labelled_sample, signed, text_blocks
 
 _WORDS = Words(ALNUM)
+#: Lengths in bytes of the beginnings that count as tokens, the longest first.
+PREFIXES = (10, 9, 8, 7, 6, 5)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -71,13 +74,18 @@ class ToxicModel:
     cost: float  # of any other token, below 0
     scale: float  # lambda
     k: float
-    link: np.ndarray  # weights of 1, best bit score, log of one more than the number of significant passages
+    link: np.ndarray  # weights of features()
 
-    def token_scores(self, h: np.ndarray) -> np.ndarray:
+    def token_scores(self, h: np.ndarray, starts: list[np.ndarray]) -> np.ndarray:
+        """Score of each word: of the word itself if known, else of its longest known beginning."""
+        out = np.full(len(h), self.cost)
         if not len(self.tokens):
-            return np.full(len(h), self.cost)
-        at = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == h, self.scores[at], self.cost)
+            return out
+        for part in [*reversed(starts), h]:
+            at = np.minimum(np.searchsorted(self.tokens, part), len(self.tokens) - 1)
+            known = self.tokens[at] == part
+            out[known] = self.scores[at[known]]
+        return out
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """(first word, word after the last, calibrated score) of each segment; the score is minus the log of the expected
@@ -87,11 +95,13 @@ class ToxicModel:
         size = np.log(self.k * max(len(scores), 1))
         return [(s, e, self.scale * v - size) for s, e, v in maximal_segments(scores)]
 
-    def features(self, scores: np.ndarray) -> tuple[float, float, float]:
+    def features(self, scores: np.ndarray) -> tuple[float, float, float, float]:
+        """1, the best passage's calibrated score, that of a text of its own length alone, and the significant passages."""
         found = [b for _, _, b in self.passages(scores)]
         if not found:
-            return 1.0, 0.0, 0.0
-        return 1.0, 1.0 + max(0.0, 4.0 + max(found)) / 4, float(np.log1p(sum(b > 0 for b in found)))
+            return 1.0, 0.0, 0.0, 0.0
+        best = max(found)
+        return 1.0, 1.0 + max(0.0, 4.0 + best) / 4, (best + float(np.log(len(scores)))) / 4, float(np.log1p(sum(b > 0 for b in found)))
 
 
 def _by_row(h: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -100,21 +110,29 @@ def _by_row(h: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _token_counts(rows: DataFrame) -> DataFrame:
-    """token hash, uses in texts of label 1, in texts of label 0, texts of label 1 that hold it; summed in Spark."""
+    """token hash, uses in texts of label 1, in texts of label 0, texts of label 1 that hold it, and words of both labels among
+    the uses (the others are beginnings); summed in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, d, o in text_blocks(batch.column(0)):
-                h, row, _ = _WORDS.split(d, o)
+                h, row, _, _, _, starts = _WORDS.parts(d, o, PREFIXES)
                 if not len(h):
                     continue
                 toxic = y[a:b][row] == 1
-                u, inv = np.unique(h, return_inverse=True)
-                pair = np.unique(row[toxic] * len(u) + inv[toxic]) % max(len(u), 1) if toxic.any() else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(np.bincount(inv, toxic, len(u)).astype(np.int64)), pa.array(np.bincount(inv, ~toxic, len(u)).astype(np.int64)), pa.array(np.bincount(pair, minlength=len(u)).astype(np.int64))], names=["token", "n1", "n0", "d1"])
+                for whole, part in ((1, h), *((0, p) for p in starts)):
+                    use = part != 0
+                    u, inv = np.unique(part[use], return_inverse=True)
+                    if not len(u):
+                        continue
+                    t, r = toxic[use], row[use]
+                    pair = np.unique(r[t] * len(u) + inv[t]) % len(u)
+                    n1, n0 = (np.bincount(inv, x, len(u)).astype(np.int64) for x in (t, ~t))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(n1), pa.array(n0), pa.array(np.bincount(pair, minlength=len(u)).astype(np.int64)), pa.array(n1 * whole), pa.array(n0 * whole)], names=["token", "n1", "n0", "d1", "w1", "w0"])
 
-    return rows.select("t", "y").mapInArrow(run, "token long, n1 long, n0 long, d1 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1")])
+    names = ("n1", "n0", "d1", "w1", "w0")
+    return rows.select("t", "y").mapInArrow(run, "token long, " + ", ".join(f"{c} long" for c in names)).groupBy("token").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _without_copies(rows: DataFrame) -> DataFrame:
@@ -133,14 +151,15 @@ def _without_copies(rows: DataFrame) -> DataFrame:
     return rows.join(sketches.groupBy("y", "sketch").agg(F.min("k").alias("k")).select("k"), "k", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, prior: float = 2000.0, least_z: float = 4.0, least_texts: int = 4) -> ToxicModel | None:
-    """Fits on at most about per_label texts of each label; only tokens in at least least_texts toxic ones can score above 0."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, prior: float = 2000.0, least_z: float = 4.0, least_texts: int = 4, least_odds: float = 1.5) -> ToxicModel | None:
+    """Fits on at most about per_label texts of each label; only tokens in at least least_texts toxic ones, and with log-odds of
+    least_odds, can score above 0."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     picked = labelled_sample(known, "k", "y", per_label)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "k").cache()
+    counts = _token_counts(_without_copies(rows)).cache()
     try:
-        counts = _token_counts(_without_copies(rows))
-        total = counts.agg(F.sum("n1"), F.sum("n0")).first()
+        total = counts.agg(F.sum("w1"), F.sum("w0")).first()
         t1, t0 = float(total[0] or 0), float(total[1] or 0)
         if not t1 or not t0:
             return None
@@ -148,42 +167,46 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         a = F.lit(prior) * rate
         odds = lambda n, t: F.log((F.col(n) + a) / (F.lit(t + prior) - F.col(n) - a))
         z = (odds("n1", t1) - odds("n0", t0)) / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-        kept = counts.withColumn("odds", odds("n1", t1) - odds("n0", t0)).where((z >= least_z) & (F.col("d1") >= least_texts)).select("token", "odds", "n0").toPandas()
+        kept = counts.withColumn("odds", odds("n1", t1) - odds("n0", t0)).where((z >= least_z) & (F.col("d1") >= least_texts) & (F.col("odds") >= least_odds)).select("token", "odds", "n0").toPandas()
         h = kept["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         h, values, n0 = h[order], kept["odds"].to_numpy(float)[order], kept["n0"].to_numpy(float)[order]
         cost = -0.5
-        rates = np.append(n0 / t0, 1 - n0.sum() / t0)
+        # the rates of words by score: those of tokens, scaled down where words and their beginnings are both known
+        share = n0.sum() / t0
+        rates = np.append(n0 / t0 * min(1.0, 0.5 / max(share, 1e-9)), 1 - min(share, 0.5))
         scale, k = karlin_altschul(np.append(values, cost), rates)
-        model = ToxicModel(h, values, cost, scale, k, np.zeros(3))
+        model = ToxicModel(h, values, cost, scale, k, np.zeros(4))
         model.link = _fit_link(rows, model)
         return model
     finally:
         rows.unpersist()
+        counts.unpersist()
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], m: ToxicModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for _, _, d, o in text_blocks(batch.column(0)):
-            h, _, count = _WORDS.split(d, o)
-            s = m.token_scores(h)
+            h, _, count, _, _, starts = _WORDS.parts(d, o, PREFIXES)
+            s = m.token_scores(h, starts)
             out += [m.features(s[i:j]) for i, j in _by_row(h, count)]
-        x = np.array(out, float).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], names=["best", "many", "y"])
+        x = np.array(out, float).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in (1, 2, 3)), batch.column(1)], names=["best", "alone", "many", "y"])
 
 
 def _fit_link(rows: DataFrame, model: ToxicModel) -> np.ndarray:
     """Logistic regression by Newton steps on the distinct feature rows of the sample."""
-    pdf = rows.select("t", "y").mapInArrow(lambda b: _feature_rows(b, model), "best double, many double, y int").groupBy(F.round("best", 3).alias("best"), F.round("many", 3).alias("many"), "y").count().toPandas()
-    x = np.column_stack([np.ones(len(pdf)), pdf["best"], pdf["many"]])
+    names = ("best", "alone", "many")
+    pdf = rows.select("t", "y").mapInArrow(lambda b: _feature_rows(b, model), "best double, alone double, many double, y int").groupBy(*[F.round(c, 3).alias(c) for c in names], "y").count().toPandas()
+    x = np.column_stack([np.ones(len(pdf)), *(pdf[c] for c in names)])
     y, n = pdf["y"].to_numpy(float), pdf["count"].to_numpy(float)
     n = n / n.sum()
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (n * (p - y)) + 1e-4 * w
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
         w = w - np.linalg.solve(hess, g)
     return w
 
@@ -202,8 +225,8 @@ def predict(docs: DataFrame, model: ToxicModel | None, key: str = "doc_id", text
                     scores += [0.0] * (len(o) - 1)
                     spans += [[]] * (len(o) - 1)
                     continue
-                h, _, count, first, last = _WORDS.spans(d, o)
-                s = m.token_scores(h)
+                h, _, count, first, last, starts = _WORDS.parts(d, o, PREFIXES)
+                s = m.token_scores(h, starts)
                 for r, (i, j) in enumerate(_by_row(h, count)):
                     f = m.features(s[i:j])
                     scores.append(1 / (1 + np.exp(-float(np.clip(np.dot(f, m.link), -30, 30)))))
