@@ -1,4 +1,4 @@
-"""Connected components of an edge table by rounds of contraction, all in Spark."""
+"""Connected components of an edge table by rounds of contraction, all in Spark. Tables between rounds are written, so plans stay short."""
 
 from __future__ import annotations
 
@@ -13,35 +13,32 @@ MAX_ROUNDS = 200
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (one node of its component) for each node of edges (a long, b long).
 
-    In a round each node follows its neighbour of the smallest random rank, if that is below its own, and that neighbour's own
-    choice; edges between what is left are the next round's. Ranks are drawn anew each round, so the number of nodes falls by a
-    constant factor and the number of rounds is logarithmic whatever the graph's form. Nodes with very many edges are joined
-    by join_by_key. Loops and repeated edges do no harm; a table without edges gives no rows.
+    In a round each node follows its neighbour of the smallest rank, if that is below its own; edges between what is left are the
+    next round's. Ranks are the ids in the first round, which resolves stars around their smallest node, and are drawn anew in
+    each later one, so the number of nodes falls by a constant factor and the number of rounds is logarithmic whatever the
+    graph's form. Nodes with very many edges are joined by join_by_key. Loops and repeated edges do no harm; a table without
+    edges gives no rows.
     """
     current = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, int]] = []
     for r in range(MAX_ROUNDS):
         n = current.count()
         if not n:
             break
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(r)).alias("h"), c.alias("id"))
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(r)) if r else F.lit(0).cast("long")).alias("h"), c.alias("id"))  # noqa: B023, E731
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best"), F.count("*").alias("degree"))
-        step = staged(best.select(F.col("a").alias("node"), F.least(F.col("best"), rank(F.col("a")))["id"].alias("p"), "degree"), "step")
-        followers = step.groupBy("p").agg(F.count("*").alias("followers"))
-        onward = followers.join(step.select(F.col("node").alias("p"), F.col("p").alias("pp")), "p")
-        jumped = join_by_key(step, onward, "p", "followers", 2 * n).select("node", F.col("pp").alias("p"), "degree")
-        maps.append(staged(jumped, "labels"))
-        m = maps[-1]
-        left = join_by_key(current, m.select(F.col("node").alias("a"), F.col("p").alias("pa"), "degree"), "a", "degree", n).select("pa", "b")
-        right = join_by_key(left, m.select(F.col("node").alias("b"), F.col("p").alias("pb"), "degree"), "b", "degree", n)
-        current = staged(right.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        step = staged(best.select(F.col("a").alias("node"), F.least(F.col("best"), rank(F.col("a")))["id"].alias("p"), "degree"), "labels")
+        maps.append((step, n))
+        left = join_by_key(current, step.select(F.col("node").alias("a"), F.col("p").alias("pa"), "degree"), "a", "degree", n).select("pa", "b")
+        both = join_by_key(left, step.select(F.col("node").alias("b"), F.col("p").alias("pb"), "degree"), "b", "degree", n)
+        current = staged(both.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     else:
         raise RuntimeError("the graph didn't contract")
     if not maps:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
-    out = maps[-1].select("node", F.col("p").alias("root"))
-    for m in reversed(maps[:-1]):  # what a node was contracted to, followed through the later rounds
-        later = m.groupBy("p").agg(F.count("*").alias("followers")).join(out.select(F.col("node").alias("p"), "root"), "p", "left")
-        out = join_by_key(m.select("node", "p"), later.withColumn("root", F.coalesce("root", "p")), "p", "followers", m.count()).select("node", "root")
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = maps[-1][0].select("node", F.col("p").alias("root"))
+    for step, n in reversed(maps[:-1]):  # what a node was contracted to, followed through the later rounds
+        later = step.groupBy("p").agg(F.count("*").alias("followers")).join(out.withColumnRenamed("node", "p"), "p", "left")
+        out = staged(join_by_key(step.select("node", "p"), later.withColumn("root", F.coalesce("root", "p")), "p", "followers", 2 * n).select("node", "root"), "roots")
     return out

@@ -482,7 +482,7 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
     found = spark.createDataFrame([], "a long, b long")
     left = rows
     for turn in range(CENTRE_ROUNDS + 1):
-        nodes = staged(connected(_candidate_edges(left)), "blocks")
+        nodes = connected(_candidate_edges(left))
         blocks = nodes.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("block_sets"))
         wanted = join_by_key(nodes.select(F.col("node").alias("set"), F.col("root").alias("block")), blocks, "block", "block_sets", nodes.count())
         wanted = wanted.join(classes.select("set", "doc"), "set").withColumn("mark", F.lit(0).cast("long"))
@@ -510,10 +510,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "classes")
     # one row for each distinct set: that of its smallest key
     rows = sets.join(classes.select("set", "doc"), ["set", "doc"], "left_semi").select("set", "keys").where(F.size("keys") > 0)
-    roots = staged(connected(links_between(docs, rows, classes, percent)), "roots")
-    labelled = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    roots = connected(links_between(docs, rows, classes, percent))
+    labelled = staged(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "labelled")
     groups = labelled.groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
-    final = join_by_key(labelled.select("set", "root", "copies"), groups, "root", "members", classes.count())
+    final = staged(join_by_key(labelled.select("set", "root", "copies"), groups, "root", "members", classes.count()), "final")
     out = join_by_key(sets.select("doc", "n", "set"), final.select("set", "component", "copies"), "set", "copies", scanned.count())
     empty = scanned.where(F.col("set").isNull()).select("doc", "n", F.col("doc").alias("component"))
     return out.select("doc", "n", "component").unionByName(empty).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
