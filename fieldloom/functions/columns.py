@@ -97,8 +97,9 @@ def third_code(x: Column | str) -> Column:
 
 
 def grid_index(c: Column | str, size: float, cells: int) -> Column:
-    """Cell from 0 of an even grid over [0, size]; values outside go to the border cells."""
-    return F.least(F.greatest(F.width_bucket(col(c), F.lit(0.0), F.lit(size), F.lit(cells)), F.lit(1)), F.lit(cells)) - 1
+    """Cell from 0 of an even grid over [0, size]; values outside go to the border cells, null stays null."""
+    cell = F.least(F.greatest(F.width_bucket(col(c), F.lit(0.0), F.lit(size), F.lit(cells)), F.lit(1)), F.lit(cells)) - 1
+    return F.when(col(c).isNotNull(), cell)
 
 
 def goal_distance(x: Column, y: Column) -> Column:
