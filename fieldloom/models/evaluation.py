@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.sequence import with_value_range
+
 # ---- weights ----
 
 
@@ -70,9 +72,9 @@ def calibration_table(rows: DataFrame, p: str, y: str, buckets: int = 10) -> Dat
 def ranking_quality(rows: DataFrame, p: str, y: str) -> DataFrame:
     """auc and average precision with ties counted half and as one step: sums over distinct predictions, in ranges of them."""
     counts = rows.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
-    spread = counts.repartitionByRange(F.desc("p")).withColumn("part", F.spark_partition_id())
+    spread = with_value_range(counts, "p").withColumn("part", -F.col("_part"))
     parts = spread.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    w = Window.orderBy("part")  # one row a partition
+    w = Window.orderBy("part")  # one row a range
     offsets = parts.select("part", (F.sum("a").over(w) - F.col("a")).alias("pos0"), (F.sum("b").over(w) - F.col("b")).alias("neg0"))
     inside = Window.partitionBy("part").orderBy(F.desc("p"))
     run = spread.join(F.broadcast(offsets), "part").withColumns({"tp": F.sum("pos").over(inside) + F.col("pos0"), "fp": F.sum("neg").over(inside) + F.col("neg0")})

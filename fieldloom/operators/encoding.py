@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.sequence import with_value_range
+
 
 def crossed_key(a: str, b: str, by: str = "_vs_") -> Column:
     """Both values as text; a missing one reads `nan`."""
@@ -53,11 +55,11 @@ def empirical_position(rows: DataFrame, value: str, reference: Column) -> DataFr
     """Adds `centred`: the share of reference values below, put at its half step, less a half. Values are counted first, so the
     running sum goes over distinct values, in ranges of them that are summed apart."""
     counts = rows.groupBy(value).agg(F.count_if(reference).alias("_ref"))
-    spread = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(value)
+    spread = with_value_range(counts, value)
     inside = F.sum("_ref").over(Window.partitionBy("_part").orderBy(value)) - F.col("_ref")
     ranked = spread.withColumn("_below", inside)
     parts = spread.groupBy("_part").agg(F.sum("_ref").alias("_n"))
-    before = Window.orderBy("_part")  # one row a partition
+    before = Window.orderBy("_part")  # one row a range
     offsets = parts.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     position = F.least(F.greatest((F.col("_below") + F.col("_offset") + 0.5) / F.col("_total"), F.lit(1e-6)), F.lit(1 - 1e-6)) - 0.5
     table = ranked.join(F.broadcast(offsets), "_part").select(value, F.when(F.col("_total") > 0, position).otherwise(0.0).alias("centred"))

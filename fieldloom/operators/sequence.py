@@ -35,3 +35,11 @@ def with_neighbours(actions: DataFrame, after: int = 0, before: int = 0, order:
     ahead = {f"{k}_{i}": F.lead(c, i).over(w) for i in range(1, after + 1) for k, c in have.items()}
     behind = {f"{k}_p{i}": F.lag(c, i).over(w) for i in range(1, before + 1) for k, c in have.items()}
     return actions.withColumns(ahead | behind) if ahead or behind else actions
+
+
+def with_value_range(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """_part: which of so many ranges of about equal numbers of rows the value is in, from 0. The edges are fixed numbers, so that
+    a task that runs again deals rows alike; running sums go over one range at a time and then over one row a range."""
+    edges = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).first()[0] or []  # `parts` numbers
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    return df.withColumn("_part", at)
