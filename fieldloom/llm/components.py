@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_by_key, staged
+from fieldloom.llm.common import staged
 
 MAX_ROUNDS = 200
 
@@ -16,29 +16,26 @@ def connected(edges: DataFrame) -> DataFrame:
     In a round each node follows its neighbour of the smallest rank, if that is below its own; edges between what is left are the
     next round's. Ranks are the ids in the first round, which resolves stars around their smallest node, and are drawn anew in
     each later one, so the number of nodes falls by a constant factor and the number of rounds is logarithmic whatever the
-    graph's form. Nodes with very many edges are joined by join_by_key. Loops and repeated edges do no harm; a table without
-    edges gives no rows.
+    graph's form. All steps are sums by key and plain inner or left joins, whose hot keys adaptive execution splits. Loops and
+    repeated edges do no harm; a table without edges gives no rows.
     """
     current = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    maps: list[tuple[DataFrame, int]] = []
+    maps: list[DataFrame] = []
     for r in range(MAX_ROUNDS):
-        n = current.count()
-        if not n:
+        if current.isEmpty():
             break
         rank = lambda c: F.struct((F.xxhash64(c, F.lit(r)) if r else F.lit(0).cast("long")).alias("h"), c.alias("id"))  # noqa: B023, E731
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best"), F.count("*").alias("degree"))
-        step = staged(best.select(F.col("a").alias("node"), F.least(F.col("best"), rank(F.col("a")))["id"].alias("p"), "degree"), "labels")
-        maps.append((step, n))
-        left = join_by_key(current, step.select(F.col("node").alias("a"), F.col("p").alias("pa"), "degree"), "a", "degree", n).select("pa", "b")
-        both = join_by_key(left, step.select(F.col("node").alias("b"), F.col("p").alias("pb"), "degree"), "b", "degree", n)
-        current = staged(both.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        best = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best"))
+        step = staged(best.select(F.col("a").alias("node"), F.least(F.col("best"), rank(F.col("a")))["id"].alias("p")), "labels")
+        maps.append(step)
+        both = current.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b").where("pa <> pb")
+        current = staged(both.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     else:
         raise RuntimeError("the graph didn't contract")
     if not maps:
-        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[-1][0].select("node", F.col("p").alias("root"))
-    for step, n in reversed(maps[:-1]):  # what a node was contracted to, followed through the later rounds
-        later = step.groupBy("p").agg(F.count("*").alias("followers")).join(out.withColumnRenamed("node", "p"), "p", "left")
-        out = staged(join_by_key(step.select("node", "p"), later.withColumn("root", F.coalesce("root", "p")), "p", "followers", 2 * n).select("node", "root"), "roots")
+        return current.toDF("node", "root")
+    out = maps[-1].toDF("node", "root")
+    for step in reversed(maps[:-1]):  # what a node was contracted to, followed through the later rounds
+        out = staged(step.join(out.toDF("p", "root"), "p", "left").select("node", F.coalesce("root", "p").alias("root")), "roots")
     return out

@@ -18,7 +18,8 @@ way is cut into ranges of size and joined range by range, each pair of ranges wi
 
 Edge cases: a text of fewer than N words is one run of all its words; null and empty texts and such without words have the
 empty set and link with nothing, not even each other; equal and repeated texts are one class, all its rows linked; an empty
-table gives no rows; columns of other names are ignored. Hashes of 64 bits stand for the runs throughout.
+table gives no rows; columns of other names are ignored. Hashes of 64 bits stand for the runs throughout. Hot keys of
+joins are left to adaptive execution, which splits them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACED, U64, Words, grams, join_by_key, mix, signed, staged, text_blocks
+from fieldloom.llm.common import SPACED, U64, Words, grams, mix, signed, staged, text_blocks
 from fieldloom.llm.components import connected
 
 N = 3
@@ -344,7 +345,7 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
         return cold.distinct()
     few = staged(spread(True).distinct(), "hotkeys")
     groups = few.groupBy("k").agg(F.min("set").alias("a"), F.count("*").alias("sets")).where("sets > 1")
-    return cold.unionByName(join_by_key(few, groups, "k", "sets", few.count()).select("a", F.col("set").alias("b")).where("a <> b")).distinct()
+    return cold.unionByName(few.join(groups, "k").select("a", F.col("set").alias("b")).where("a <> b")).distinct()
 
 
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -406,11 +407,8 @@ def _tree_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
 
 
 def _overlap_with(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """set, block, its size, and overlap and size of its block's pivot (block, pivot, pivot_members); blocks are hot keys, so
-    their one pivot goes to them by join_by_key."""
-    total = rows.count()
-    sizes = rows.groupBy("block").agg(F.count("*").alias("rows"))
-    joined = join_by_key(rows, pivots.join(sizes, "block"), "block", "rows", total).select("set", "block", "pivot", "members", "pivot_members")
+    """set, block, its size, and overlap and size of its block's pivot (block, pivot, pivot_members)."""
+    joined = rows.join(pivots, "block").select("set", "block", "pivot", "members", "pivot_members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,8 +449,7 @@ def _centre_links(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     reach = 1 - percent / 100 + 1e-9
     # a neighbour of the pivot can be linked with a set outside only if that is less than `reach` further away
     outside = seen.where(100 * F.col("overlap") < percent * union).groupBy("block").agg(F.min(distance).alias("nearest"))
-    rest = join_by_key(seen, outside.join(seen.groupBy("block").agg(F.count("*").alias("rows")), "block"), "block", "rows", seen.count())
-    rest = rest.where((F.col("set") != F.col("pivot")) & ((100 * F.col("overlap") < percent * union) | (distance + reach >= F.col("nearest"))))
+    rest = seen.join(outside, "block").where((F.col("set") != F.col("pivot")) & ((100 * F.col("overlap") < percent * union) | (distance + reach >= F.col("nearest"))))
     return links, rest.select("set", "block").distinct()
 
 
@@ -464,7 +461,7 @@ def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
     before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_size.withColumn("start", F.coalesce(F.sum("sets").over(before), F.lit(0)))
     # a set's range: by its size's start and, within the size, by hash, so no range holds much more than BLOCK_SETS
-    placed = join_by_key(sized.withColumn("k", F.xxhash64("block", "n")), starts.select(F.xxhash64("block", "n").alias("k"), "start", "sets"), "k", "sets", rows.count())
+    placed = sized.join(starts.select("block", "n", "start", "sets"), ["block", "n"])
     placed = placed.withColumn("part", F.floor((F.col("start") + F.pmod(F.xxhash64("set", F.lit(salts)), F.col("sets"))) / F.lit(BLOCK_SETS)).cast("long"))
     spans = staged(placed.groupBy("block", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")), "spans")
     other = spans.select("block", F.col("part").alias("part2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
@@ -484,7 +481,7 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
     for turn in range(CENTRE_ROUNDS + 1):
         nodes = connected(_candidate_edges(left))
         blocks = nodes.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("block_sets"))
-        wanted = join_by_key(nodes.select(F.col("node").alias("set"), F.col("root").alias("block")), blocks, "block", "block_sets", nodes.count())
+        wanted = nodes.toDF("set", "block").join(blocks, "block")
         wanted = wanted.join(classes.select("set", "doc"), "set").withColumn("mark", F.lit(0).cast("long"))
         members = _members(docs, staged(wanted, "wanted"))
         large = blocks.where(F.col("block_sets") > BLOCK_SETS).count()
@@ -507,13 +504,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     scanned = staged(scan(docs, percent), "sets")
     sets = scanned.where(F.col("set").isNotNull())
-    classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "classes")
+    classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc")), "classes")
     # one row for each distinct set: that of its smallest key
     rows = sets.join(classes.select("set", "doc"), ["set", "doc"], "left_semi").select("set", "keys").where(F.size("keys") > 0)
     roots = connected(links_between(docs, rows, classes, percent))
     labelled = staged(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "labelled")
-    groups = labelled.groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
-    final = staged(join_by_key(labelled.select("set", "root", "copies"), groups, "root", "members", classes.count()), "final")
-    out = join_by_key(sets.select("doc", "n", "set"), final.select("set", "component", "copies"), "set", "copies", scanned.count())
+    groups = labelled.groupBy("root").agg(F.min("doc").alias("component"))
+    out = sets.select("doc", "n", "set").join(labelled.join(groups, "root").select("set", "component"), "set")
     empty = scanned.where(F.col("set").isNull()).select("doc", "n", F.col("doc").alias("component"))
     return out.select("doc", "n", "component").unionByName(empty).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
