@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, jaccard, language_id, packing, pii, quality, secrets, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
+from fieldloom.llm.oracles import ORACLE_SQL
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ candidate's length and make-up, changes of character class, the share that dicti
 neighbouring words. A random forest learned from labelled findings turns them into a probability.
 
 Edge cases: null and empty texts have no candidates; equal candidates are each reported; a candidate of any length is one
-candidate; columns of other names are ignored by find() and kept by redact(). Keys must not be null.
+candidate; columns of other names are ignored by find() and kept by redact(). Keys must not be null, and rows of one key have one text.
 """
 
 from __future__ import annotations
@@ -139,15 +139,17 @@ def find(docs: DataFrame, model: PipelineModel, key: str = "doc_id", text: str =
 
 def redact(docs: DataFrame, model: PipelineModel, key: str = "doc_id", text: str = "text", label: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with each secret in text replaced by label; other rows and columns as they are."""
-    spans = find(docs, model, key, text, threshold).where("is_secret").groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    marked = docs.where(F.coalesce(F.col(text).rlike(_FORM), F.lit(False)))
-    clean = docs.where(~F.coalesce(F.col(text).rlike(_FORM), F.lit(False)))
-    joined = marked.join(spans, F.col(key) == F.col("_key"), "left")
-    t = F.col(text)
+    spans = find(docs, model, key, text, threshold).where("is_secret").groupBy(F.col(key).alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # whatever their names, columns can't clash with those of spans
+    t = F.col("row")[text]
+    has = F.coalesce(t.rlike(_FORM), F.lit(False))
+    joined = rows.where(has).join(spans, F.col("row")[key] == F.col("of"), "left")
     built = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(label)).alias("out"), (s["start"] + s["length"]).alias("at")),
         lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(built)).select(*docs.columns).unionByName(clean)
+    new = F.when(F.col("spans").isNull(), t).otherwise(built)
+    marked = joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    return marked.unionByName(rows.where(~has).select("row.*"))

@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+
+from fieldloom.llm import secrets
+from tests.llm.conftest import TRICKY, clash
+
+KEY = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+TEXTS = [(1, f'set token = "{KEY}" here'), (2, f'token = "{KEY}" and secret: "{KEY[::-1]}" end'), (3, "see src/main/java/org/example/ParserFactory.java for parseConfigTemplateNames"), (4, f"commit {KEY} of today"), (5, None), (6, ""), (7, f'token = "{KEY}"'), (7, f'token = "{KEY}"')]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.fit(secrets.labelled_findings(spark))
+
+
+def test_find(spark, model):
+    docs = clash(spark.createDataFrame(TEXTS, "doc_id long, text string"))
+    found = secrets.find(docs, model).where("is_secret").collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 7, 7]
+    texts = dict(TEXTS)
+    for r in found:
+        part = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert part in (KEY, KEY[::-1]) and r["sha256"] == hashlib.sha256(part.encode()).hexdigest()
+
+
+def test_redact_keeps_rows_and_columns(spark, model):
+    docs = clash(spark.createDataFrame(TEXTS, "doc_id long, text string"))
+    out = secrets.redact(docs, model)
+    assert out.columns == docs.columns and out.count() == len(TEXTS)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[1] == 'set token = "[SECRET]" here' and got[2] == 'token = "[SECRET]" and secret: "[SECRET]" end' and got[3] == TEXTS[2][1] and got[5] is None and got[6] == ""
+
+
+def test_tricky(spark, model, tricky):
+    assert secrets.find(tricky, model).where("is_secret").count() == 0
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(tricky, model).collect()} == dict(TRICKY)
+    assert secrets.find(tricky.where("false"), model).count() == 0
+
+
+def test_plan_stays_in_the_jvm(spark, model, tricky):
+    plan = secrets.find(tricky, model)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_forest_on_other_findings(spark, model):
+    rows = secrets.labelled_findings(spark, 600).withColumnsRenamed({})
+    cols = secrets.features()
+    scored = model.transform(rows.select("label", *[c.cast("double").alias(k) for k, c in cols.items()]))
+    assert scored.where("prediction = label").count() / scored.count() >= 0.95
