@@ -11,7 +11,7 @@ Join. A block's sets go into a prefix tree in the global order. Each set is run
 common prefix is counted once for all sets below, and a branch is left as soon as what remains of the set and of the longest
 set below can't reach the needed overlap, or when all below is linked with the set already.
 
-Blocks of more than BLOCK_SETS sets are not given to one task. A set near the block's centre is compared with all others,
+Blocks of more than BLOCK_SETS sets or BLOCK_MEMBERS members are not given to one task. A set near the block's centre is compared with all others,
 wherever they are; by the triangle inequality of Jaccard distance its neighbours need not be compared with sets that are
 more than twice the threshold's distance away, so only the rest goes on to the next round. A block that doesn't shrink this
 way is cut into ranges of size and joined range by range, each pair of ranges with its own tree.
@@ -39,8 +39,9 @@ from fieldloom.llm.components import connected
 N = 3
 PERCENT = 90
 SEEDS = 8
-#: Sets that one task joins in a tree; larger blocks are split.
+#: Sets, and members of sets in all, that one task joins in a tree; larger blocks are split.
 BLOCK_SETS = 2048
+BLOCK_MEMBERS = 4_000_000
 #: Rounds of comparing with centres before what is left is joined by ranges of size.
 CENTRE_ROUNDS = 4
 #: Buckets of the count sketch that finds ranges shared by very many sets.
@@ -273,6 +274,11 @@ def join_block(sets: list[np.ndarray], percent: int, other: int | None = None) -
 # ---- the join in Spark ----
 
 
+def _load(n: F.Column) -> F.Column:
+    """A set's share of what one task may join."""
+    return F.greatest(F.lit(1.0 / BLOCK_SETS), n / F.lit(float(BLOCK_MEMBERS)))
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -349,10 +355,10 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets of the wanted rows (set, doc, block, size of the block, mark) with their members, made again from the texts."""
+    """Sets of the wanted rows (set, doc, block, size of the block, whether it is large) with their members, made again from the texts."""
     known = wanted.count()
-    small = wanted.select("doc", "set", "block", "block_sets", "mark")
-    texts = docs.join(F.broadcast(small) if known <= 500_000 else small, "doc").select("text", "set", "block", "block_sets", "mark")
+    small = wanted.select("doc", "set", "block", "block_sets", "large")
+    texts = docs.join(F.broadcast(small) if known <= 500_000 else small, "doc").select("text", "set", "block", "block_sets", "large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,10 +367,10 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 members, sizes = sets_of(d, o)
                 same = signed(digests(members, sizes)) == want[a:b]  # rows of one id can hold several texts
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2, 3, 4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(members)))], names=["set", "block", "block_sets", "mark", "members"])
+                out = pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2, 3, 4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(members)))], names=["set", "block", "block_sets", "large", "members"])
                 yield out.filter(pa.array(same))
 
-    return texts.mapInArrow(run, "set long, block long, block_sets long, mark long, members array<long>")
+    return texts.mapInArrow(run, "set long, block long, block_sets long, large boolean, members array<long>").withColumn("mark", F.lit(0).cast("long"))
 
 
 def _unpack(column: pa.ListArray) -> list[np.ndarray]:
@@ -454,15 +460,16 @@ def _centre_links(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links of blocks of any size: ranges of BLOCK_SETS sets by size, joined pair by pair of ranges whose sizes can be linked."""
+    """Links of blocks of any size: ranges of sets by size, each of one task's load, joined pair by pair of ranges whose sizes can
+    be linked."""
     sized = rows.withColumn("n", F.size("members"))
-    salts = 64
     by_size = sized.groupBy("block", "n").agg(F.count("*").alias("sets"))
     before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_size.withColumn("start", F.coalesce(F.sum("sets").over(before), F.lit(0)))
-    # a set's range: by its size's start and, within the size, by hash, so no range holds much more than BLOCK_SETS
-    placed = sized.join(starts.select("block", "n", "start", "sets"), ["block", "n"])
-    placed = placed.withColumn("part", F.floor((F.col("start") + F.pmod(F.xxhash64("set", F.lit(salts)), F.col("sets"))) / F.lit(BLOCK_SETS)).cast("long"))
+    starts = by_size.withColumn("start", F.coalesce(F.sum(F.col("sets") * _load(F.col("n"))).over(before), F.lit(0.0)))
+    # a set's range: by its size's start and, within the size, by hash, so no range holds much more than a task's load
+    placed = sized.join(starts, ["block", "n"])
+    place = F.col("start") + F.pmod(F.xxhash64("set", F.lit(64)), F.col("sets")) * _load(F.col("n"))
+    placed = placed.withColumn("part", F.floor(place).cast("long"))
     spans = staged(placed.groupBy("block", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")), "spans")
     other = spans.select("block", F.col("part").alias("part2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     pairs = spans.join(other, "block").where((F.col("part") <= F.col("part2")) & (100 * F.col("most") >= percent * F.col("least2")))
@@ -473,23 +480,22 @@ def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
 
 
 def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: links enough to join all linked sets. docs: doc, text; rows: set, keys of each distinct set; classes: set, doc."""
+    """a, b: links enough to join all linked sets. docs: doc, text; rows: set, keys of each distinct set; classes: set, doc and n of each."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], "a long, b long")
     left = rows
     for turn in range(CENTRE_ROUNDS + 1):
         nodes = connected(_candidate_edges(left))
-        blocks = nodes.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("block_sets"))
-        wanted = nodes.toDF("set", "block").join(blocks, "block")
-        wanted = wanted.join(classes.select("set", "doc"), "set").withColumn("mark", F.lit(0).cast("long"))
-        members = _members(docs, staged(wanted, "wanted"))
-        large = blocks.where(F.col("block_sets") > BLOCK_SETS).count()
-        if not large:
+        wanted = nodes.toDF("set", "block").join(classes, "set")
+        blocks = wanted.groupBy("block").agg(F.count("*").alias("block_sets"), (F.sum(_load(F.col("n"))) > 1).alias("large"))
+        wanted = staged(wanted.join(blocks, "block"), "wanted")
+        members = _members(docs, wanted)
+        if wanted.where("large").isEmpty():
             return found.unionByName(_tree_links(members, percent, partitions))
         members = staged(members, "members")
-        found = found.unionByName(staged(_tree_links(members.where(F.col("block_sets") <= BLOCK_SETS), percent, partitions), "links"))
-        members = members.where(F.col("block_sets") > BLOCK_SETS)
+        found = found.unionByName(staged(_tree_links(members.where("not large"), percent, partitions), "links"))
+        members = members.where("large")
         if turn == CENTRE_ROUNDS:
             return found.unionByName(_range_links(members, percent, partitions))
         links, rest = _centre_links(members, percent)
@@ -504,7 +510,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     scanned = staged(scan(docs, percent), "sets")
     sets = scanned.where(F.col("set").isNotNull())
-    classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc")), "classes")
+    classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
     # one row for each distinct set: that of its smallest key
     rows = sets.join(classes.select("set", "doc"), ["set", "doc"], "left_semi").select("set", "keys").where(F.size("keys") > 0)
     roots = connected(links_between(docs, rows, classes, percent))
