@@ -13,8 +13,9 @@ set below can't reach the needed overlap, or when all below is linked with the s
 
 Blocks of more than BLOCK_SETS sets or BLOCK_MEMBERS members are not given to one task. A set near the block's centre is compared with all others,
 wherever they are; by the triangle inequality of Jaccard distance its neighbours need not be compared with sets that are
-more than twice the threshold's distance away, so only the rest goes on to the next round. A block that doesn't shrink this
-way is cut into ranges of size and joined range by range, each pair of ranges with its own tree.
+more than twice the threshold's distance away, so only the rest goes on to the next round. A block that stays large (sets that
+are alike, but mostly not linked) is taken apart by range keys: the sets of one key are a block of their own, whose trees are
+small; a key of too many sets is cut into ranges of size and joined range by range, each pair of ranges with its own tree.
 
 Edge cases: a text of fewer than N words is one run of all its words; null and empty texts and such without words have the
 empty set and link with nothing, not even each other; equal and repeated texts are one class, all its rows linked; an empty
@@ -42,8 +43,8 @@ SEEDS = 8
 #: Sets, and members of sets in all, that one task joins in a tree; larger blocks are split.
 BLOCK_SETS = 2048
 BLOCK_MEMBERS = 4_000_000
-#: Rounds of comparing with centres before what is left is joined by ranges of size.
-CENTRE_ROUNDS = 4
+#: Rounds of comparing with centres before what is left is joined key by key.
+CENTRE_ROUNDS = 1
 #: Buckets of the count sketch that finds ranges shared by very many sets.
 SKETCH_BITS = 16
 _WORDS = Words(SPACED)
@@ -479,6 +480,20 @@ def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
     return _tree_links(rows, percent, partitions)
 
 
+def _key_links(members: DataFrame, rows: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Links of large blocks by range keys: linked sets share one. Keys of the same sets count once."""
+    sizes = members.select("set", F.size("members").alias("n"))
+    keyed = staged(rows.join(sizes, "set").select(F.explode("keys").alias("k"), "set", "n"), "keyed")
+    groups = keyed.groupBy("k").agg(F.count("*").alias("sets"), *[F.sum(F.pmod(F.xxhash64("set", F.lit(i)), F.lit(1 << 40))).alias(f"which{i}") for i in (1, 2)], (F.sum(_load(F.col("n"))) > 1).alias("large")).where("sets > 1")
+    blocks = staged(groups.groupBy("sets", "which1", "which2").agg(F.min("k").alias("k"), F.max("large").alias("large")), "keys")
+    placed = keyed.join(blocks.select("k", "large"), "k").select(F.col("k").alias("block"), "set", "large")
+    each = placed.join(members.select("set", "members", F.lit(0).cast("long").alias("mark")), "set")
+    found = _tree_links(each.where("not large"), percent, partitions)
+    if blocks.where("large").isEmpty():
+        return found
+    return found.unionByName(_range_links(each.where("large").select("block", "set", "members"), percent, partitions))
+
+
 def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b: links enough to join all linked sets. docs: doc, text; rows: set, keys of each distinct set; classes: set, doc and n of each."""
     spark = docs.sparkSession
@@ -497,7 +512,7 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
         found = found.unionByName(staged(_tree_links(members.where("not large"), percent, partitions), "links"))
         members = members.where("large")
         if turn == CENTRE_ROUNDS:
-            return found.unionByName(_range_links(members, percent, partitions))
+            return found.unionByName(_key_links(members, left, percent, partitions))
         links, rest = _centre_links(members, percent)
         rest = staged(rest, "rest")
         found = found.unionByName(staged(links, "links"))
