@@ -154,8 +154,8 @@ def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "ma
 
 
 def ordered_folds(rows: DataFrame, order: Sequence[str], splits: int = 5) -> DataFrame:
-    """fold from 0: the first block is only trained on (-1), each later one is tested once. Needs few enough rows a date for a
-    global order, so the blocks are cut at percentiles of the leading column."""
+    """fold from 0: the first block is only trained on (-1), each later one is tested once. Blocks are cut at percentiles of the
+    leading column (a number or a date), so rows of one value stay together."""
     lead = order[0]
     edges = rows.agg(F.percentile_approx(lead, [i / (splits + 1) for i in range(1, splits + 1)], 10000).alias("_edges"))
     at = F.size(F.filter("_edges", lambda e: e < F.col(lead)))

@@ -146,3 +146,12 @@ def test_best_penalty_finds_the_minimum():
     error = lambda x: sum(np.sqrt((r["wrr"] + 2 * x * r["wrq"] + x * x * r["wqq"]) / r["n"] + 1e-9) for r in stats)
     x = expected.best_penalty(stats)
     assert error(x) <= min(error(y) for y in np.linspace(-1, 2, 301)) + 1e-6
+
+
+def test_ordered_and_exploded_folds(spark):
+    rows = spark.range(60).withColumnRenamed("id", "day")
+    got = evaluation.ordered_folds(rows, ["day"], 5).toPandas().sort_values("day")
+    assert got["fold"].is_monotonic_increasing and set(got["fold"]) == {-1, 0, 1, 2, 3, 4}
+    assert got["fold"].value_counts().max() <= 11
+    each = evaluation.explode_folds(evaluation.hashed_folds(rows, "day", 3), 3, "x").toPandas()
+    assert len(each) == 180 and (each["fold"] > 0).sum() == 60
