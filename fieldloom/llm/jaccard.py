@@ -25,6 +25,7 @@ joins are left to adaptive execution, which splits them.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, sqrt
@@ -158,86 +159,87 @@ def linked(overlap: int, a: int, b: int, percent: int) -> bool:
 
 
 class PrefixTree:
-    """Sets in the global order; branches hold runs of members that all sets below share.
+    """Sets in the global order; branches hold runs of members that all sets below share, at most RUN of them each.
 
-    `label` of a branch is the group of all sets below if that was one when the tree was built, else -1.
+    Branches are kept level by level in arrays, so that a set is run down all open branches of a level at once. `label` of a
+    branch is the group of all sets below if that was one when the tree was built, else -1.
     """
 
+    RUN = 16
+
     def __init__(self, sets: list[np.ndarray], groups: list[int]):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        n = len(self.sets)
-        self.shared = [0] * (n + 1)  # with the set before
-        for i in range(1, n):
-            a, b = self.sets[i - 1], self.sets[i]
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            self.shared[i] = int(differ[0]) if len(differ) else m
-        self.groups = [groups[i] for i in self.order]
-        self.nodes: list[tuple] = []  # (run, depth after it, smallest and largest set below, first and last set + 1, children, label)
-        self.root = self._build() if n else -1
-
-    def _build(self) -> int:
-        # iterative: (low, high, depth at which the run starts, children's list to join)
-        top: list[int] = []
-        stack: list[tuple[int, int, int, list[int]]] = [(0, len(self.sets), 0, top)]
-        while stack:
-            low, high, depth, siblings = stack.pop()
-            end = len(self.sets[low]) if high - low == 1 else min(self.shared[low + 1 : high])
-            sizes = [len(self.sets[i]) for i in range(low, high)]
-            groups = set(self.groups[low:high])
-            children: list[int] = []
-            siblings.append(len(self.nodes))
-            self.nodes.append((self.sets[low][depth:end], end, min(sizes), max(sizes), low, high, children, groups.pop() if len(groups) == 1 else -1))
-            if high - low > 1:
-                cuts = [low, *(i for i in range(low + 1, high) if self.shared[i] == end), high]
-                stack += [(a, b, end, children) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return top[0]
-
-    def partners(self, probe: np.ndarray, percent: int, skip) -> Iterator[int]:
-        """Places in the given list of the sets linked with probe. skip(label): whether a branch of one group is of no use."""
-        if self.root < 0:
-            return
+        ordered = [sets[i] for i in self.order]
+        own = [groups[i] for i in self.order]
+        shared = [0] * (len(ordered) + 1)  # members at the start in common with the set before
+        for i in range(1, len(ordered)):
+            m = min(len(ordered[i - 1]), len(ordered[i]))
+            differ = np.flatnonzero(ordered[i - 1][:m] != ordered[i][:m])
+            shared[i] = int(differ[0]) if len(differ) else m
+        sizes = [len(x) for x in ordered]
+        rows, runs = [], []
+        queue = deque([(0, len(ordered), 0)] if ordered else [])
+        made = len(queue)
+        while queue:
+            low, high, depth = queue.popleft()
+            full = sizes[low] if high - low == 1 else min(shared[low + 1 : high])
+            end = min(full, depth + self.RUN)
+            first = made
+            if end < full:
+                queue.append((low, high, end))
+                made += 1
+            elif high - low > 1:
+                cuts = [low, *(i for i in range(low + 1, high) if shared[i] == end), high]
+                queue.extend((x, y, end) for x, y in zip(cuts, cuts[1:], strict=False))
+                made += len(cuts) - 1
+            one = set(own[low:high])
+            runs.append(ordered[low][depth:end])
+            rows.append((end - depth, end, min(sizes[low:high]), max(sizes[low:high]), low, first, made - first, one.pop() if len(one) == 1 else -1))
+        x = np.array(rows, np.int64).reshape(-1, 8)
+        self.length, self.depth, self.least, self.most, self.low, self.child, self.children, self.label = x.T
+        self.flat = np.concatenate(runs) if runs else np.zeros(0, U64)
+        self.start = np.cumsum(self.length) - self.length
+        self.last = np.array([ordered[r[4]][r[1] - 1] if r[1] else 0 for r in rows], U64)
+
+    def partners(self, probe: np.ndarray, percent: int, roots: np.ndarray | None = None, mine: int = -1) -> Iterator[int]:
+        """Places in the given list of the sets linked with probe. Branches whose label's root is `mine` are of no use."""
         n = len(probe)
-        stack = [(self.root, 0)]
-        while stack:
-            at, overlap = stack.pop()
-            run, depth, least, most, low, _, children, label = self.nodes[at]
-            if label >= 0 and skip(label):
-                continue
-            if most * 100 < percent * n or least * percent > 100 * n:
-                continue
-            if len(run):
-                where = np.searchsorted(probe, run)
-                overlap += int((probe[np.minimum(where, n - 1)] == run).sum())
-                rest = n - int(np.searchsorted(probe, run[-1], "right"))
-            else:
-                rest = n if not depth else n - int(np.searchsorted(probe, self.sets[low][depth - 1], "right"))
-            small = max(least, -(-percent * n // 100))
-            if (overlap + min(rest, most - depth)) * (100 + percent) < percent * (n + small):
-                continue
-            if not children:
-                if linked(overlap, n, most, percent):
-                    yield self.order[low]
-                continue
-            stack += [(c, overlap) for c in children]
+        at, overlap = np.zeros(min(1, len(self.length)), np.int64), np.zeros(min(1, len(self.length)), np.int64)
+        while len(at):
+            keep = (self.most[at] * 100 >= percent * n) & (self.least[at] * percent <= 100 * n)
+            if roots is not None:
+                label = self.label[at]
+                keep &= (label < 0) | (roots[label] != mine)
+            at, overlap = at[keep], overlap[keep]
+            length = self.length[at]
+            ends = np.cumsum(length)
+            run = self.flat[np.repeat(self.start[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+            hit = np.concatenate([[0], np.cumsum(probe[np.minimum(np.searchsorted(probe, run), n - 1)] == run)])
+            overlap = overlap + hit[ends] - hit[ends - length]
+            depth = self.depth[at]
+            rest = np.where(depth > 0, n - np.searchsorted(probe, self.last[at], "right"), n)
+            small = np.maximum(self.least[at], -(-percent * n // 100))
+            keep = (overlap + np.minimum(rest, self.most[at] - depth)) * (100 + percent) >= percent * (n + small)
+            at, overlap = at[keep], overlap[keep]
+            count = self.children[at]
+            for i in np.flatnonzero(count == 0).tolist():
+                if linked(int(overlap[i]), n, int(self.most[at[i]]), percent):
+                    yield self.order[self.low[at[i]]]
+            ends = np.cumsum(count)
+            overlap = np.repeat(overlap, count)
+            at = np.repeat(self.child[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Groups:
-    """Union-find over places."""
+    """Groups of places, named by their smallest place."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.root = np.arange(n)
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
+        a, b = self.root[i], self.root[j]
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
 
 
 def overlaps(one: np.ndarray, members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -263,13 +265,11 @@ def join_block(sets: list[np.ndarray], percent: int, other: int | None = None) -
         for i in np.flatnonzero(100 * same >= percent * (sizes + sizes[centre] - same)).tolist():
             groups.join(i, centre)
     at = 0 if other is None else other
-    tree = PrefixTree(sets[at:], [groups.root(i) for i in range(at, n)])
+    tree = PrefixTree(sets[at:], groups.root[at:].tolist())
     for i in range(n if other is None else other):
-        mine = lambda label: groups.root(label) == groups.root(i)  # noqa: B023, E731
-        for j in tree.partners(sets[i], percent, mine):
-            if at + j != i:
-                groups.join(i, at + j)
-    return [groups.root(i) for i in range(n)]
+        for j in tree.partners(sets[i], percent, groups.root, groups.root[i]):
+            groups.join(i, at + j)
+    return groups.root.tolist()
 
 
 # ---- the join in Spark ----

@@ -86,7 +86,7 @@ def test_tree_finds_all_partners():
     tree = jaccard.PrefixTree(sets, list(range(len(sets))))
     for i, s in enumerate(sets):
         want = {j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 90 * len(np.union1d(s, t))}
-        assert set(tree.partners(s, 90, lambda _: False)) == want
+        assert set(tree.partners(s, 90)) == want
         assert i in want
 
 
