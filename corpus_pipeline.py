@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm import decontaminate, jaccard, language_id, packing, secrets
 from fieldloom.llm.common import held_out, staged, table
 
+#: Near-duplicates share this many per cent of their runs of so many words; the query op6_jaccard has its own values.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
@@ -29,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join, the document of the smallest id."""
-    groups = jaccard.join(docs)
+    groups = jaccard.join(docs, percent=NEAR_PERCENT, n=NEAR_WORDS)
     kept = _without(docs, staged(groups.where(F.col("component_id") != F.col("doc_id")), "dropped"))
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
 

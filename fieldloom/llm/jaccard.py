@@ -101,7 +101,7 @@ def ranges(percent: int, low: int, top: int) -> tuple[int, int]:
         k = differ + 1 + spare
         empty = k * (1 - 1 / k) ** low
         need = 0 if empty < 0.05 else ceil(empty + 4 * sqrt(empty))
-        if need <= spare:
+        if need <= spare or spare > low:  # of few members, more ranges than that only stay empty
             return k, spare
         spare = need
 
@@ -284,13 +284,13 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def scan(docs: DataFrame, percent: int) -> DataFrame:
+def scan(docs: DataFrame, percent: int, words: int = N) -> DataFrame:
     """doc, n, set (hash, null if empty) and keys of the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, d, o in text_blocks(batch.column(1)):
-                members, sizes = sets_of(d, o)
+                members, sizes = sets_of(d, o, words)
                 row, key = range_keys(members, sizes, percent)
                 order = np.argsort(row, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
@@ -355,7 +355,7 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
     return cold.unionByName(few.join(groups, "k").select("a", F.col("set").alias("b")).where("a <> b")).distinct()
 
 
-def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted rows (set, doc, block, size of the block, whether it is large) with their members, made again from the texts."""
     known = wanted.count()
     small = wanted.select("doc", "set", "block", "block_sets", "large")
@@ -365,7 +365,7 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             want = batch.column(1).to_numpy()
             for a, b, d, o in text_blocks(batch.column(0)):
-                members, sizes = sets_of(d, o)
+                members, sizes = sets_of(d, o, words)
                 same = signed(digests(members, sizes)) == want[a:b]  # rows of one id can hold several texts
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 out = pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2, 3, 4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(members)))], names=["set", "block", "block_sets", "large", "members"])
@@ -494,7 +494,7 @@ def _key_links(members: DataFrame, rows: DataFrame, percent: int, partitions: in
     return found.unionByName(_range_links(each.where("large").select("block", "set", "members"), percent, partitions))
 
 
-def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, words: int = N) -> DataFrame:
     """a, b: links enough to join all linked sets. docs: doc, text; rows: set, keys of each distinct set; classes: set, doc and n of each."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -505,7 +505,7 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
         wanted = nodes.toDF("set", "block").join(classes, "set")
         blocks = wanted.groupBy("block").agg(F.count("*").alias("block_sets"), (F.sum(_load(F.col("n"))) > 1).alias("large"))
         wanted = staged(wanted.join(blocks, "block"), "wanted")
-        members = _members(docs, wanted)
+        members = _members(docs, wanted, words)
         if wanted.where("large").isEmpty():
             return found.unionByName(_tree_links(members, percent, partitions))
         members = staged(members, "members")
@@ -520,15 +520,15 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
     raise AssertionError
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key that links lead to) for each row."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = N) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key that links lead to) for each row; sets of runs of n words."""
     docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    scanned = staged(scan(docs, percent), "sets")
+    scanned = staged(scan(docs, percent, n), "sets")
     sets = scanned.where(F.col("set").isNotNull())
     classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
     # one row for each distinct set: that of its smallest key
     rows = sets.join(classes.select("set", "doc"), ["set", "doc"], "left_semi").select("set", "keys").where(F.size("keys") > 0)
-    roots = connected(links_between(docs, rows, classes, percent))
+    roots = connected(links_between(docs, rows, classes, percent, n))
     labelled = staged(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "labelled")
     groups = labelled.groupBy("root").agg(F.min("doc").alias("component"))
     out = sets.select("doc", "n", "set").join(labelled.join(groups, "root").select("set", "component"), "set")

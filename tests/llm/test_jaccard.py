@@ -124,3 +124,21 @@ def test_components(spark):
         assert root(got[a]) == root(a)
     assert len({got[a] for a in nodes}) == len({root(a) for a in nodes})
     assert components.connected(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(2048, 1), (4, 2)])
+def test_other_lengths_of_runs(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "CENTRE_ROUNDS", rounds)
+    rng = np.random.default_rng(11)
+    rows = list(enumerate(t for size in (6, 9, 30, 100) for _ in range(3) for t in family(rng, 8, size)))
+    rows += [(i + len(rows), t) for i, (_, t) in enumerate(TRICKY)]
+    assert result(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, n=5)) == brute(rows, 5, 80)
+
+
+def test_all_set_sizes_have_ranges():
+    for percent in (50, 70, 80, 90):
+        bounds = jaccard.size_classes(percent, 2000).tolist()
+        for low, end in zip(bounds, bounds[1:], strict=False):
+            k, spare = jaccard.ranges(percent, low, end - 1)
+            assert k > spare

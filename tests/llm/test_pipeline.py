@@ -41,3 +41,18 @@ def test_rows_that_no_stage_keeps(spark, small):
     one = staged(corpus_pipeline.language_stage(spark, docs, small), "one")
     assert sorted(r["doc_id"] for r in one.collect()) == [3, 4]
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, one, small).collect()] == [3]
+
+
+def test_near_duplicates_by_runs_of_five_words(spark, small):
+    import corpus_pipeline
+
+    rows = []
+    for i, (n, changes) in enumerate(((100, 2), (150, 3), (200, 4))):
+        base = [f"w{i}x{k}" for k in range(n)]
+        copy = [f"c{k}" if k % (n // changes) == 20 else w for k, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, small).collect()) == [0, 2, 4]
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    found = groups([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, documents, small).collect()} == {i for i, (_, c) in found.items() if c == i}
