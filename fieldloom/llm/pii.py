@@ -27,9 +27,16 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 DEFAULT_KEY = b"fieldloom pseudonyms"
 
-#: Names of months in dates, and lengths of IBANs by country.
+#: Names of months in dates, lengths of IBANs by country (the whole registry), and country codes of telephone numbers.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")  # no code begins another
 
 
 @lru_cache(1 << 14)
@@ -99,7 +106,7 @@ def _card(m: re.Match, key: bytes) -> str | None:
 def _iban(m: re.Match, key: bytes) -> str | None:
     flat = m[0].replace(" ", "")
     country, check, rest = flat[:2], flat[2:4], flat[4:]
-    if IBAN_LENGTHS.get(country) != len(flat) or iban_digits(country, rest) != check:
+    if iban_digits(country, rest) != check:
         return None
     rest = permute_text(rest, key, b"iban" + country.encode())
     return _refill(m[0], country + iban_digits(country, rest) + rest)
@@ -123,12 +130,12 @@ def _address(m: re.Match, key: bytes) -> str | None:
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
-    start = m[0].find(" ") if m[0].startswith("+") and " " in m[0] else (len(m["code"]) if m["code"] else 0)
-    country, national = m[0][:start], m[0][start:]
-    digits = re.sub(r"\D", "", national)
-    if not 7 <= len(digits) <= 12:
+    digits = re.sub(r"\D", "", m[0])
+    country = _CALLING.match(digits)[0] if m["code"] else ""  # from the digits alone, wherever separators stand
+    national = digits[len(country) :]
+    if not 7 <= len(national) <= (15 if country else 12):
         return None
-    return country + _refill(national, permute_text(digits, key, b"phone" + country.encode()))
+    return _refill(m[0], country + permute_text(national, key, b"phone" + country.encode()))
 
 
 def _day(y: int, mo: int, d: int, key: bytes) -> date | None:
@@ -177,7 +184,8 @@ _NUMBERS = re.compile(
 _PLAIN_CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
 _DIGITS = re.compile(r"\d+")
 _RUN = re.compile(r"[+(\d][\d ().+/-]{5,}\d")
-_IBAN = re.compile(r"\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN_FORMS = (rf"(?:{'|'.join(c for c, k in IBAN_LENGTHS.items() if k == n)})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in sorted(set(IBAN_LENGTHS.values())))
+_IBAN = re.compile(rf"\b(?=[A-Z]{{2}}\d\d)(?:{'|'.join(_IBAN_FORMS)})\b")
 _WORDED = re.compile(rf"\b(?:(?P<db>\d{{1,2}}) (?P<mb>{'|'.join(MONTHS)}) (?P<yb>\d{{4}})|(?P<ma>{'|'.join(MONTHS)}) (?P<da>\d{{1,2}}), (?P<ya>\d{{4}}))\b")
 _MAIL = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
 _HOW = {"date": _numeric_date, "address": _address, "social": _social, "phone": _phone, "card": _card}
@@ -189,9 +197,12 @@ def _found(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
         for m in _MAIL.finditer(text):
             if new := _mail(m, key):
                 yield m.start(), m.end(), "mail", new
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1  # behind one that isn't valid, another may begin within
         if new := _iban(m, key):
             yield m.start(), m.end(), "iban", new
+            at = m.end()
     dated = False
     for run in _RUN.finditer(text):
         dated = True

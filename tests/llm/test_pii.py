@@ -38,3 +38,25 @@ def test_table(spark, tricky, documents):
     assert pii.replace(tricky.where("false")).count() == 0
     rows = pii.replace(documents).collect()
     assert len(rows) == documents.count() and any(r["findings"] for r in rows)
+
+
+def test_ibans_of_all_countries_whatever_follows():
+    for country, n in pii.IBAN_LENGTHS.items():
+        rest = "".join("ABCD1234567890"[(i * 5 + n) % 14] for i in range(n - 4))
+        flat = country + pii.iban_digits(country, rest) + rest
+        for form in (flat, " ".join(flat[i : i + 4] for i in range(0, n, 4))):
+            for after in ("", " EUR", " BIC", " 7", " ABCD", " ABCD EF", ", 12"):
+                found = [(s, e, p.replace(" ", "")) for s, e, k, p in pii.pseudonymise(f"to {form}{after}")[1] if k == "iban"]
+                assert [f[:2] for f in found] == [(3, 3 + len(form))], (form, after)
+                new = found[0][2]
+                assert new[:2] == country and new != flat and pii.iban_digits(country, new[4:]) == new[2:4]
+    for text in ("ES9121000418450200051332 EUR", "BE68 5390 0754 7034 EUR", "PL61109010140000071219812874 BIC", "GR16 0110 1250 0000 0001 2300 695", "GB12 ABCD ES91 2100 0418 4502 0005 1332"):
+        assert [k for _, _, k, _ in pii.pseudonymise(text)[1]] == ["iban"]
+    assert pii.pseudonymise("ES9221000418450200051332 EUR")[0][:24] == "ES9221000418450200051332"
+
+
+def test_phone_numbers_however_separated():
+    for forms in (("+49 30 1234567", "+49301234567", "+49-30-1234567", "+4930 1234567", "+49.30.1234567"), ("+1 555 123 4567", "+15551234567", "+1 (555) 123-4567"), ("+351 21 123 4567", "+351211234567")):
+        new = [pii.pseudonymise(f"call {f} now")[0][5:-4] for f in forms]
+        assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", f) for f in forms]
+        assert len({re.sub(r"\D", "", x) for x in new}) == 1 and new[0] != forms[0]
