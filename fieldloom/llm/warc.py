@@ -107,20 +107,25 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _inflate(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
     """Members of a gzip file, one after the other, in parts."""
-    z, at = zlib.decompressobj(31), 0
-    while at < len(content) or z.unconsumed_tail:
-        if z.eof:
-            rest = z.unused_data
-            z = zlib.decompressobj(31)
-            part = rest or bytes(content[at : at + step])
-            at += 0 if rest else step
-        elif z.unconsumed_tail:
-            part = z.unconsumed_tail
-        else:
+    z, part, at = None, b"", 0
+    while z or part or at < len(content):
+        if not part:
             part = bytes(content[at : at + step])
             at += step
+        if not z:
+            part = part.lstrip(b"\0")  # members may be padded
+            if not part:
+                continue
+            z = zlib.decompressobj(31)
+        given = bool(part)
         if out := z.decompress(part, step):
             yield out
+        if z.eof:
+            z, part = None, z.unused_data
+        elif given or out:
+            part = z.unconsumed_tail
+        else:
+            raise ValueError("a gzip member is cut short")
 
 
 def _number(urn: str) -> int:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import warc
@@ -51,3 +54,25 @@ def test_loser_tree():
 def test_url_key(spark):
     df = spark.createDataFrame([("https://www.Example.org:80/a?b=1#c",), ("ftp://x.y",)], "u string")
     assert [r[0] for r in df.select(warc.url_key(F.col("u"))).collect()] == ["org,example)/a?b=1", "y,x)/"]
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    def record(i):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + b"page %d " % i * (1 + i % 50)
+        digest = hashlib.sha256(block.partition(b"\r\n\r\n")[2]).hexdigest()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(3000)))
+    out = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert sorted(r["page_id"] for r in out.collect()) == list(range(3000))
+
+
+def test_inflate():
+    parts = [os.urandom(n) for n in (0, 1, 5000, 300)] + [b"x" * 100_000]
+    whole = b"".join(gzip.compress(p) + b"\0" * (i % 2) for i, p in enumerate(parts))
+    for step in (1, 7, 1000, 1 << 18):
+        assert b"".join(warc._inflate(memoryview(whole), step)) == b"".join(parts)
+        assert b"".join(warc._inflate(memoryview(b""), step)) == b""
+        with pytest.raises(ValueError):
+            list(warc._inflate(memoryview(whole[:-20]), step))
