@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept, as a table with the columns of documents, and returns the like; the last one
 returns packed pieces. Between stages the rows are written as Parquet in the shared folder and read again.
 
-Rows without text or without a letter go in the first stage. Rows that repeat an id share that id's decisions.
+Rows without text or without a letter go in the first stage. Decisions are made by row: by id and text, so that null and
+repeated ids are judged like any others. Of rows that repeat id and text one is kept.
 """
 
 from __future__ import annotations
@@ -20,32 +21,41 @@ from fieldloom.llm.common import held_out, staged, table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key without nulls: in the order of the ids, rows without one last."""
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("text")))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.join(rows.select("_row").distinct(), "_row", "left_anti").drop("_row").select(*[c for c in docs.columns if c != "_row"])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned as in the language query."""
     model = language_id.fit(docs.where(~held_out("doc_id", 5, 0)))
-    return _without(docs, language_id.predict(docs, model).where(F.col("lang_pred") == language_id.UND))
+    docs = _keyed(docs)
+    return _without(docs, language_id.predict(docs, model, key="_row").where(F.col("lang_pred") == language_id.UND))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join, the document of the smallest id."""
-    groups = jaccard.join(docs, percent=NEAR_PERCENT, n=NEAR_WORDS)
-    kept = _without(docs, staged(groups.where(F.col("component_id") != F.col("doc_id")), "dropped"))
+    docs = _keyed(docs)
+    groups = jaccard.join(docs, "_row", percent=NEAR_PERCENT, n=NEAR_WORDS)
+    kept = _without(docs, staged(groups.where(F.col("component_id") != F.col("_row")), "dropped"))
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    docs = _keyed(docs)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_row")
     return _without(docs, found.where(F.col("n_hit") > 0))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
-    return secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark))).withColumn("n_chars", F.length("text").cast("long"))
+    return secrets.redact(_keyed(docs), secrets.fit(secrets.labelled_findings(spark)), key="_row").drop("_row").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ block; the others are probed, in bound order, only for rows whose partial score
 The k best of each shard are merged.
 
 A shard has a bounded number of rows and a query block a bounded number of queries; each pair of them is one task's work.
-Edge cases: vectors that are null, empty, hold null or non-finite components, or differ in length from the most common length
-take no part; ties go to the smaller id; a query has fewer than k rows only if there are fewer candidates; repeated vectors
+Edge cases: rows without an id and vectors that are null, empty, hold null or non-finite components, or differ in length from
+the most common length take no part; ties go to the smaller id; a query has fewer than k rows only if there are fewer candidates; repeated vectors
 count each; scores beyond 64 bits are ranked exactly within a shard and returned as the largest long; columns of other names
 are ignored.
 """
@@ -89,7 +89,7 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
 
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, scale: float = 1024.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, key and score of the k best other rows for each row where `queries` holds."""
-    rows = vectors.where(usable(vectors, vector)).select(F.col(key).cast("long").alias("id"), queries.alias("is_query"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("v"))
+    rows = vectors.where(usable(vectors, vector) & F.col(key).cast("long").isNotNull()).select(F.col(key).cast("long").alias("id"), queries.alias("is_query"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("v"))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     facts = rows.where(F.size("v") == (size["d"] if size else 0)).agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     dims = size["d"] if size else 1

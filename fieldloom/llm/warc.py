@@ -9,7 +9,8 @@ Index: every archive yields its captures as a locally sorted run; the runs of a
 and a loser tree merges them, k ways, into capture histories that are in order over all ranges.
 
 Edge cases: a null payload is empty; a null URL counts as empty; repeated pages are all written; an empty table gives an empty
-index; columns of other names are ignored. Ids must be integers and not null.
+index; columns of other names are ignored. Ids are integers. A page without an id is a whole response under a name made from its
+URL and payload, at the time EPOCH, and has a null id in the index, before others of its URL and time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from fieldloom.llm.common import join_by_key, shared_path, staged
 MIN_SHARED = 100
 RECORDS_A_FILE = 4000
 EPOCH = 1_700_000_000
+UNNAMED = "none-"
 END = "\r\n\r\n"
 
 
@@ -50,14 +52,15 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.join(later, "page_id", "left").withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    unnamed = F.concat(F.lit(UNNAMED), F.sha2(F.concat("url", F.lit("\n"), "digest"), 256))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     return rows.select(
         "page_id",
         F.concat(
-            F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.col("page_id"))), line("WARC-Date", date),
+            F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.coalesce(F.col("page_id").cast("string"), unnamed))), line("WARC-Date", date),
             line("WARC-Target-URI", F.col("url")), F.lit("Content-Type: application/http;msgtype=response\r\n"), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
             F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", name(F.col("refers_to"))))).otherwise(""),
             line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
@@ -128,8 +131,9 @@ def _inflate(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
             raise ValueError("a gzip member is cut short")
 
 
-def _number(urn: str) -> int:
-    return int(urn.rpartition(":")[2].rstrip(">"))
+def _number(urn: str) -> int | None:
+    name = urn.rpartition(":")[2].rstrip(">")
+    return None if name.startswith(UNNAMED) else int(name)
 
 
 def read_archives(df: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ def capture_index(captures: DataFrame, partitions: int) -> DataFrame:
         runs: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[at[3]], []).append(tuple(row[i] for i in at) + (row,))
+                runs.setdefault(row[at[3]], []).append(tuple(float("-inf") if row[i] is None else row[i] for i in at) + (row,))
         merged = LoserTree([iter(runs[k]) for k in sorted(runs)])
         held: list[tuple] = []
         for item in merged:

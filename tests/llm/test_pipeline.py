@@ -56,3 +56,21 @@ def test_near_duplicates_by_runs_of_five_words(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     found = groups([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, documents, small).collect()} == {i for i, (_, c) in found.items() if c == i}
+
+
+def test_rows_without_or_with_repeated_ids(spark, small):
+    import corpus_pipeline
+
+    passage = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    secret = 'set token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" here'
+    rows = [(None, text("a")), (5, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("a")), (7, text("e")), (None, passage), (None, secret), (None, "12 34"), (8, passage), (8, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_stage(spark, docs, small)
+    assert not any(r["text"] == "12 34" for r in kept.collect()) and kept.columns == docs.columns
+    cur = docs.where("text <> '12 34'")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        cur = staged(stage(spark, cur, small), name)
+    got = sorted(((r["doc_id"], r["text"]) for r in cur.collect()), key=str)
+    want = [(5, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, 'set token = "[SECRET]" here'), (8, text("f"))]
+    assert got == sorted(want, key=str)

@@ -33,3 +33,9 @@ def test_ties_nulls_and_few_rows(spark):
     assert result(topk.top_k(df, F.col("vec_id") % 2 == 0, k=3)) == brute(rows, [0, 2, 4, 6, 8], 3)
     assert topk.top_k(df.where("vec_id > 100"), F.col("vec_id") % 2 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 2 == 0).count() == 0
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)]
+    df = spark.createDataFrame([*rows, (None, [9.0, 9.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert result(topk.top_k(df, F.col("vec_id").isNull() | (F.col("vec_id") % 2 == 0), k=3)) == brute(rows, [0, 2, 4], 3)

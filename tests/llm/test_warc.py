@@ -76,3 +76,13 @@ def test_inflate():
         assert b"".join(warc._inflate(memoryview(b""), step)) == b""
         with pytest.raises(ValueError):
             list(warc._inflate(memoryview(whole[:-20]), step))
+
+
+def test_pages_without_an_id(spark):
+    page = "<p>" + "z" * 200
+    rows = [(1, "http://a.org/x", page), (None, "http://a.org/x", page), (None, "http://a.org/x", page), (None, None, None), (2, "http://b.org", page), (0, "http://a.org/x", "y"), (None, "http://a.org/x", "w")]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = sorted(((r["page_id"], r["url"] or None, r["payload_digest"], r["record_type"], r["refers_to"]) for r in out), key=str)
+    assert got == sorted(((i, u, hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, u, h in rows), key=str)
+    order = [(r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in out]
+    assert order == sorted(order)
