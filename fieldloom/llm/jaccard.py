@@ -2,51 +2,51 @@
 
 A text's set is its distinct runs of N words as 64-bit hashes, ordered by hash: the global order. Equal sets are one class.
 
-Candidates. If |A & B| / |A | B| >= t, the two sets differ in at most (1 - t) / (1 + t) * (|A| + |B|) members. The order is cut
-into one more range than that bound (for the sizes of two neighbouring size classes), so the two sets agree in a whole range;
-ranges in which a set has nothing are not used as evidence, and a set with too many of those is cut by a second seed as well.
-Sets that agree in a range are candidates; their connected components are blocks, and every link lies inside a block.
+Candidates. If |A & B| / |A | B| >= t, then in any order that all sets share, the first n - ceil(t * n) + 1 members of A and those
+of B (n being the set's own size) have one in common. The order here puts members that few sets hold first: ahead go the
+members of the lowest hashes (twice as many as a prefix needs), by the number of sets that hold them, then the others, and last
+those of buckets of a count sketch that are used far more than most. So a prefix holds members that no other set has, wherever
+the set has enough of them, and only those of it that other sets hold are keys. Sets with one key are candidates; their
+connected components are blocks, and every link lies inside a block.
 
 Join. A block's sets go into a prefix tree in the global order. Each set is run down the tree; what it shares with a branch's
 common prefix is counted once for all sets below, and a branch is left as soon as what remains of the set and of the longest
 set below can't reach the needed overlap, or when all below is linked with the set already.
 
-Blocks of more than BLOCK_SETS sets or BLOCK_MEMBERS members are not given to one task. A set near the block's centre is compared with all others,
-wherever they are; by the triangle inequality of Jaccard distance its neighbours need not be compared with sets that are
-more than twice the threshold's distance away, so only the rest goes on to the next round. A block that stays large (sets that
-are alike, but mostly not linked) is taken apart by range keys: the sets of one key are a block of their own, whose trees are
-small; a key of too many sets is cut into ranges of size and joined range by range, each pair of ranges with its own tree.
+Blocks of more than BLOCK_SETS sets or BLOCK_MEMBERS members are not given to one task. A set near the block's centre is compared
+with all others, wherever they are; by the triangle inequality of Jaccard distance its neighbours need not be compared with sets
+that are more than twice the threshold's distance away, so only the rest goes on to the next round. A block that stays large
+(sets that are alike, but mostly not linked) is taken apart by keys: the sets of one key are a block of their own, whose trees
+are small; a key of too many sets is cut into ranges of size and joined range by range, each pair of ranges with its own tree.
 
 Edge cases: a text of fewer than N words is one run of all its words; null and empty texts and such without words have the
-empty set and link with nothing, not even each other; equal and repeated texts are one class, all its rows linked; an empty
-table gives no rows; columns of other names are ignored. Hashes of 64 bits stand for the runs throughout. Hot keys of
-joins are left to adaptive execution, which splits them.
+empty set and link with nothing, not even each other; equal and repeated texts are one class, all its rows linked; a text may be
+of any length; rows are judged by their texts, so rows of one id with other texts have components of their own, and a component_id is null only where
+none of the rows has an id; an empty table gives no rows; columns of other names are ignored. Hashes of 64 bits stand for
+the runs throughout.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
-from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACED, U64, Words, grams, mix, signed, staged, text_blocks
+from fieldloom.llm.common import SPACED, U64, Words, grams, join_by_key, mix, signed, staged, text_blocks
 from fieldloom.llm.components import connected
 
 N = 3
 PERCENT = 90
-SEEDS = 8
 #: Sets, and members of sets in all, that one task joins in a tree; larger blocks are split.
-BLOCK_SETS = 2048
+BLOCK_SETS = 512
 BLOCK_MEMBERS = 4_000_000
 #: Rounds of comparing with centres before what is left is joined key by key.
 CENTRE_ROUNDS = 1
-#: Buckets of the count sketch that finds ranges shared by very many sets.
+#: Buckets of the count sketch that finds members of very many sets.
 SKETCH_BITS = 16
 _WORDS = Words(SPACED)
 
@@ -81,74 +81,25 @@ def digests(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(total[ends] - total[ends - sizes] + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-@lru_cache
-def size_classes(percent: int, most: int) -> np.ndarray:
-    """Lower ends of size classes, such that sets linked with each other are in the same or in neighbouring ones."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array([*out, out[-1] * 100 // percent + 1], np.int64)
-
-
-@lru_cache(1 << 12)
-def ranges(percent: int, low: int, top: int) -> tuple[int, int]:
-    """(ranges, empty ones that a set may have) for sets of sizes from low, the smaller one of a pair being at most top."""
-    differ = int(top * (1 + 100 / percent) * (100 - percent) / (100 + percent) + 1e-9)
-    if differ == 0:
-        return 1, 0  # such sets are linked only if equal
-    spare = 0
-    while True:
-        k = differ + 1 + spare
-        empty = k * (1 - 1 / k) ** low
-        need = 0 if empty < 0.05 else ceil(empty + 4 * sqrt(empty))
-        if need <= spare or spare > low:  # of few members, more ranges than that only stay empty
-            return k, spare
-        spare = need
-
-
-def range_keys(members: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
-    """(set's place, key) of the ranges by which sets can be candidates."""
-    bounds = size_classes(percent, int(sizes.max(initial=1)))
-    at = np.searchsorted(bounds, sizes, "right") - 1
-    ends = np.cumsum(sizes)
-    out_row, out_key = [], []
-    for below in (0, 1):
-        schemes = at - below
-        plan = {int(c): ranges(percent, int(bounds[c]), int(bounds[c + 1]) - 1) for c in np.unique(schemes[(sizes > 0) & (schemes >= 0)])}
-        use = np.array([s > 0 and c >= 0 and plan[int(c)][0] > 1 for s, c in zip(sizes.tolist(), schemes.tolist(), strict=True)], bool)
-        rows = np.flatnonzero(use)
-        for seed in range(seeds):
-            if not len(rows):
-                break
-            k = np.array([plan[int(c)][0] for c in schemes[rows]], np.int64)
-            spare = np.array([plan[int(c)][1] for c in schemes[rows]], np.int64)
-            n = sizes[rows]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            m = members[np.repeat(ends[rows] - n, n) + inner]
-            with np.errstate(over="ignore"):
-                place = m if seed == 0 else mix(m + U64(seed))
-                base = np.cumsum(k) - k
-                part = (((place >> U64(32)) * np.repeat(k, n).astype(U64)) >> U64(32)).astype(np.int64) + np.repeat(base, n)
-                value = mix(m ^ U64(0xA24BAED4963EE407))
-                if seed:
-                    order = np.argsort(part, kind="stable")
-                    part, value = part[order], value[order]
-                held = np.bincount(part, minlength=int(k.sum()))
-                total = np.concatenate([[U64(0)], np.cumsum(value, dtype=U64)])
-                stop = np.cumsum(held)
-                own = total[stop] - total[stop - held]
-                scheme = np.repeat(schemes[rows], k).astype(U64)
-                j = (np.arange(len(held)) - np.repeat(base, k)).astype(U64)
-                key = mix(own + mix((scheme << U64(40)) + (U64(seed) << U64(32)) + j))
-            row = np.repeat(np.arange(len(rows)), k)
-            bare = np.bincount(row[held == 0], minlength=len(rows)) > spare
-            keep = held > 0
-            if seed == seeds - 1:
-                keep |= bare[row]
-            out_row.append(rows[row[keep]])
-            out_key.append(key[keep])
-            rows = rows[bare]
-    return (np.concatenate(out_row), np.concatenate(out_key)) if out_row else (np.zeros(0, np.int64), np.zeros(0, U64))
+def prefix_size(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return sizes - -(-percent * sizes // 100) + 1
+
+
+def zone_end(percent: int) -> int:
+    """Hashes below it are those of the members that are counted: about twice as many of a set as its prefix has."""
+    return int(min(0.98, 2 * (100 - percent) / 100) * 2.0**64)
+
+
+def ordered(members: np.ndarray, sizes: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the members that can be in a prefix, slack of each set): all counted ones, and of the others, in order, those
+    within the prefix. Slack is how many more counted members a set has than its prefix needs, 0 if too few."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    kind = np.where(hot[(members >> U64(64 - SKETCH_BITS)).astype(np.int64)], 2, np.where(members < U64(zone_end(percent)), 0, 1))
+    order = np.argsort(3 * row + kind, kind="stable")
+    place = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = prefix_size(sizes, percent)
+    counted = np.bincount(row[kind == 0], minlength=len(sizes))
+    return np.sort(order[(kind[order] == 0) | (place < prefix[row])]), np.maximum(counted - prefix, 0)
 
 
 # ---- the tree ----
@@ -284,75 +235,107 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def scan(docs: DataFrame, percent: int, words: int = N) -> DataFrame:
-    """doc, n, set (hash, null if empty) and keys of the ranges."""
+def scan(docs: DataFrame, words: int = N) -> DataFrame:
+    """doc, n and set (hash, null if empty) of each row; and rows of a sketch: bucket and number of members in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        kind = None
         for batch in batches:
+            kind = batch.column(0).type
             for a, b, d, o in text_blocks(batch.column(1)):
                 members, sizes = sets_of(d, o, words)
-                row, key = range_keys(members, sizes, percent)
-                order = np.argsort(row, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(signed(digests(members, sizes)), mask=sizes == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(key[order])))],
-                    names=["doc", "n", "set", "keys"],
-                )
-
-    return docs.mapInArrow(run, f"doc {_kind(docs, 'doc')}, n long, set long, keys array<long>")
-
+                total += np.bincount((members >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(signed(digests(members, sizes)), mask=sizes == 0), none, none], names=names)
+        used = np.flatnonzero(total)
+        if kind is not None and len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), *(pa.nulls(len(used), pa.int64()),) * 2, pa.array(used), pa.array(total[used])], names=names)
 
-def _candidate_edges(rows: DataFrame) -> DataFrame:
-    """a, b: of the sets with one key, each with the first. Keys in heavily used buckets of a count sketch are summed up before
-    they are dealt out; the others are dealt out and read in order."""
-    spark = rows.sparkSession
+    names = ["doc", "n", "set", "bucket", "uses"]
+    return docs.mapInArrow(run, f"doc {_kind(docs, 'doc')}, n long, set long, bucket long, uses long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            keys = batch.column(0).flatten().to_numpy().view(np.uint64)
-            total += np.bincount((keys >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    sketch = staged(rows.select("keys").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sketch")
+def _hot_buckets(scanned: DataFrame) -> np.ndarray:
+    """Which buckets hold far more members than most: at most 2 ** SKETCH_BITS flags, whatever the input."""
+    sketch = staged(scanned.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("uses").alias("n")), "sketch")
     facts = sketch.agg(F.sum("n"), F.percentile_approx("n", 0.5)).first()
-    keys, usual = int(facts[0] or 0), int(facts[1] or 0)
-    limit = 2 * usual + max(100, keys // 100_000)
+    members, usual = int(facts[0] or 0), int(facts[1] or 0)
     hot = np.zeros(1 << SKETCH_BITS, bool)
-    hot[[r[0] for r in sketch.where(F.col("n") > limit).select("bucket").collect()]] = True  # at most 2 ** SKETCH_BITS numbers
-    shared = spark.sparkContext.broadcast(hot)
-
-    def spread(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(1)
-                keys = lists.flatten().to_numpy().view(np.uint64)
-                sets = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
-                keep = shared.value[(keys >> U64(64 - SKETCH_BITS)).astype(np.int64)] == want
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[keep])), pa.array(sets[keep])], names=["k", "set"])
-
-        return rows.select("set", "keys").mapInArrow(run, "k long, set long")
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, None
+    hot[[r[0] for r in sketch.where(F.col("n") > 2 * usual + max(100, members // 100_000)).select("bucket").collect()]] = True
+    return hot
+
+
+#: Layout of a member on its way: 48 bits of its hash, then whether its bucket is hot, then its set's slack (as far as it fits).
+_TOKEN_BITS, _HOT, _SLACK = 48, 1 << 15, (1 << 15) - 1
+
+
+def candidate_keys(docs: DataFrame, hot: np.ndarray, percent: int, words: int) -> DataFrame:
+    """k, set: the members of prefixes that more than one set may hold; each pair of sets that are linked has one in common."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared, end = spark.sparkContext.broadcast(hot), zone_end(percent) >> (64 - _TOKEN_BITS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for _, _, d, o in text_blocks(batch.column(0)):
+                members, sizes = sets_of(d, o, words)
+                which = digests(members, sizes)
+                first = np.zeros(len(sizes), bool)
+                first[np.unique(which, return_index=True)[1]] = True  # equal sets of a block count once
+                members, sizes, which = members[np.repeat(first, sizes)], sizes[first], which[first]
+                at, slack = ordered(members, sizes, shared.value, percent)
+                row, m = np.repeat(np.arange(len(sizes)), sizes)[at], members[at]
+                rest = np.minimum(slack, _SLACK).astype(U64)[row] | np.where(shared.value[(m >> U64(64 - SKETCH_BITS)).astype(np.int64)], U64(_HOT), U64(0))
+                k = (m >> U64(64 - _TOKEN_BITS) << U64(64 - _TOKEN_BITS)) | rest
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(which[row]))], names=["k", "set"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of token and set: tokens of more than one set, with their number of sets; all hot ones."""
+
+        def emit(k: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+            token = k >> U64(64 - _TOKEN_BITS)
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (s[1:] != s[:-1])])
+            k, s, token = k[new], s[new], token[new]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(start, len(token)))
+            df = np.repeat(count, count)
+            burning = (k & U64(_HOT)) > 0
+            keep = (df > 1) | burning
+            sure = burning | (token >= U64(end))
+            out = (signed(token)[keep], s[keep], df[keep], sure[keep], (k & U64(_SLACK)).astype(np.int64)[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k", "set", "df", "sure", "slack"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last token, which may go on
+        for batch in batches:
+            k, s = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             if not len(k):
                 continue
-            new = np.concatenate([[last is None or k[0] != last], k[1:] != k[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            lead = np.where(first < 0, leader if leader is not None else 0, s[np.maximum(first, 0)])
-            last, leader = k[-1], lead[-1]
-            pair = np.unique(np.stack([lead, s], 1)[lead != s], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    cold = spread(False).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "set").mapInArrow(stars, "a long, b long")
-    if not hot.any():
-        return cold.distinct()
-    few = staged(spread(True).distinct(), "hotkeys")
-    groups = few.groupBy("k").agg(F.min("set").alias("a"), F.count("*").alias("sets")).where("sets > 1")
-    return cold.unionByName(few.join(groups, "k").select("a", F.col("set").alias("b")).where("a <> b")).distinct()
+            token = k >> U64(64 - _TOKEN_BITS)
+            last = int(np.searchsorted(token, token[-1]))
+            if held and token[0] != held[-1][0][-1] >> U64(64 - _TOKEN_BITS):
+                yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            if last:
+                yield from emit(*(np.concatenate(x) for x in zip(*held, (k[:last], s[:last]), strict=True)))
+                held = []
+            held.append((k[last:].copy(), s[last:].copy()))
+        if held:
+            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    token = F.shiftrightunsigned("k", 64 - _TOKEN_BITS)
+    dealt = docs.select("text").mapInArrow(spread, "k long, set long").repartition(partitions, F.when(F.col("k").bitwiseAND(F.lit(_HOT)) > 0, F.col("set")).otherwise(token))
+    found = staged(dealt.sortWithinPartitions(token, "set").mapInArrow(repeated, "k long, set long, df long, sure boolean, slack long"), "repeated")
+    counted = found.where("not sure").groupBy("set").agg(F.first("slack").alias("slack"), F.array_sort(F.collect_list(F.struct("df", "k"))).alias("l"))
+    least = F.slice("l", F.lit(1), F.greatest(F.size("l") - F.col("slack"), F.lit(0)).cast("int"))
+    chosen = counted.select("set", F.explode(least).alias("x")).select(F.col("x")["k"].alias("k"), "set")
+    return chosen.unionByName(found.where("sure").select("k", "set").distinct())
+
+
+def _candidate_edges(keyed: DataFrame) -> DataFrame:
+    """a, b: of the sets with one key, each with the first."""
+    groups = staged(keyed.groupBy("k").agg(F.min("set").alias("a"), F.count("*").alias("sets")).where("sets > 1"), "groups")
+    return join_by_key(keyed, groups, "k", "sets", keyed.count()).where(F.col("a") != F.col("set")).select("a", F.col("set").alias("b"))
 
 
 def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -480,10 +463,10 @@ def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
     return _tree_links(rows, percent, partitions)
 
 
-def _key_links(members: DataFrame, rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links of large blocks by range keys: linked sets share one. Keys of the same sets count once."""
+def _key_links(members: DataFrame, keyed: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Links of large blocks by keys: linked sets share one. Keys of the same sets count once."""
     sizes = members.select("set", F.size("members").alias("n"))
-    keyed = staged(rows.join(sizes, "set").select(F.explode("keys").alias("k"), "set", "n"), "keyed")
+    keyed = staged(keyed.join(sizes, "set").select("k", "set", "n"), "keyed")
     groups = keyed.groupBy("k").agg(F.count("*").alias("sets"), *[F.sum(F.pmod(F.xxhash64("set", F.lit(i)), F.lit(1 << 40))).alias(f"which{i}") for i in (1, 2)], (F.sum(_load(F.col("n"))) > 1).alias("large")).where("sets > 1")
     blocks = staged(groups.groupBy("sets", "which1", "which2").agg(F.min("k").alias("k"), F.max("large").alias("large")), "keys")
     placed = keyed.join(blocks.select("k", "large"), "k").select(F.col("k").alias("block"), "set", "large")
@@ -494,12 +477,12 @@ def _key_links(members: DataFrame, rows: DataFrame, percent: int, partitions: in
     return found.unionByName(_range_links(each.where("large").select("block", "set", "members"), percent, partitions))
 
 
-def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, words: int = N) -> DataFrame:
-    """a, b: links enough to join all linked sets. docs: doc, text; rows: set, keys of each distinct set; classes: set, doc and n of each."""
+def links_between(docs: DataFrame, keyed: DataFrame, classes: DataFrame, percent: int, words: int = N) -> DataFrame:
+    """a, b: links enough to join all linked sets. docs: doc, text; keyed: k and set; classes: set, doc and n of each distinct set."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], "a long, b long")
-    left = rows
+    left = keyed
     for turn in range(CENTRE_ROUNDS + 1):
         nodes = connected(_candidate_edges(left))
         wanted = nodes.toDF("set", "block").join(classes, "set")
@@ -522,15 +505,16 @@ def links_between(docs: DataFrame, rows: DataFrame, classes: DataFrame, percent:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = N) -> DataFrame:
     """key, n_shingles and component_id (the smallest key that links lead to) for each row; sets of runs of n words."""
-    docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    scanned = staged(scan(docs, percent, n), "sets")
-    sets = scanned.where(F.col("set").isNotNull())
+    text = F.col(text).cast("string")
+    docs = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("text")).alias("doc"), text.alias("text"))
+    scanned = staged(scan(docs, n), "sets")
+    texts = scanned.where(F.col("bucket").isNull())
+    sets = texts.where(F.col("set").isNotNull())
     classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
-    # one row for each distinct set: that of its smallest key
-    rows = sets.join(classes.select("set", "doc"), ["set", "doc"], "left_semi").select("set", "keys").where(F.size("keys") > 0)
-    roots = connected(links_between(docs, rows, classes, percent, n))
+    keyed = staged(candidate_keys(docs, _hot_buckets(scanned), percent, n), "keys")
+    roots = connected(links_between(docs, keyed, classes, percent, n))
     labelled = staged(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "labelled")
     groups = labelled.groupBy("root").agg(F.min("doc").alias("component"))
     out = sets.select("doc", "n", "set").join(labelled.join(groups, "root").select("set", "component"), "set")
-    empty = scanned.where(F.col("set").isNull()).select("doc", "n", F.col("doc").alias("component"))
-    return out.select("doc", "n", "component").unionByName(empty).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    empty = texts.where(F.col("set").isNull()).select("doc", "n", F.col("doc").alias("component"))
+    return out.select("doc", "n", "component").unionByName(empty).select(F.col("doc")["id"].alias(key), F.col("n").alias("n_shingles"), F.col("component")["id"].alias("component_id"))

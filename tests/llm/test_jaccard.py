@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm import components, jaccard
-from tests.llm.conftest import SPACED, TRICKY, clash, words
+from tests.llm.conftest import LONG, SPACED, TRICKY, clash, words
 
 
 def brute(rows, n=3, percent=90):
@@ -90,18 +90,38 @@ def test_tree_finds_all_partners():
         assert i in want
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize(("n", "percent", "burning"), [(3, 90, 0.0), (5, 80, 0.0), (5, 80, 0.4), (3, 90, 1.0)])
+def test_linked_sets_share_a_key(spark, n, percent, burning):
     rng = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(rng.integers(1, 300))
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        b = np.delete(a, rng.integers(0, len(a), int(rng.integers(0, max(1, len(a) // 15)))))
-        b = np.unique(np.append(b, rng.integers(0, 1 << 63, int(rng.integers(0, max(1, len(a) // 25)))).astype(np.uint64)))
-        o = len(np.intersect1d(a, b))
-        if len(a) == o == len(b) or not jaccard.linked(o, len(a), len(b), 90):
-            continue
-        row, key = jaccard.range_keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
-        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+    texts = [t for size in (5, 12, 40, 150) for _ in range(3) for t in family(rng, 8, size)] + [LONG, LONG + " tail"]
+    hot = rng.random(1 << jaccard.SKETCH_BITS) < burning
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = {}
+    for r in jaccard.candidate_keys(docs, hot, percent, n).collect():
+        keys.setdefault(r["set"], set()).add(r["k"])
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    sets = [jaccard.sets_of(d, np.array([0, len(d)]), n)[0] for d in data]
+    ids = [int(jaccard.digests(x, np.array([len(x)])).view(np.int64)[0]) for x in sets]
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            o = len(np.intersect1d(a, sets[j]))
+            if ids[i] != ids[j] and jaccard.linked(o, len(a), len(sets[j]), percent):
+                pairs += 1
+                assert keys[ids[i]] & keys[ids[j]]
+    assert pairs > 20
+
+
+def test_sets_of_their_own_have_no_keys(spark):
+    rows = [(" ".join(f"w{i}x{k}" for k in range(200)),) for i in range(20)]
+    assert jaccard.candidate_keys(spark.createDataFrame(rows, "text string"), np.zeros(1 << jaccard.SKETCH_BITS, bool), 80, 5).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " z"), (4, a + " y"), (5, b), (5, c), (3, c), (None, b), (None, "q r s t"), (None, "q r s t")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 4), (None, 4), (4, 4), (5, 5), (5, 3), (3, 3), (None, 5), (None, None), (None, None)], key=str)
 
 
 def test_components(spark):
@@ -134,11 +154,3 @@ def test_other_lengths_of_runs(spark, monkeypatch, block, rounds):
     rows = list(enumerate(t for size in (6, 9, 30, 100) for _ in range(3) for t in family(rng, 8, size)))
     rows += [(i + len(rows), t) for i, (_, t) in enumerate(TRICKY)]
     assert result(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, n=5)) == brute(rows, 5, 80)
-
-
-def test_all_set_sizes_have_ranges():
-    for percent in (50, 70, 80, 90):
-        bounds = jaccard.size_classes(percent, 2000).tolist()
-        for low, end in zip(bounds, bounds[1:], strict=False):
-            k, spare = jaccard.ranges(percent, low, end - 1)
-            assert k > spare
