@@ -1,66 +1,86 @@
 """WARC archives of web pages and their capture index.
 
 Writing: each page is a `response` record, or a `revisit` of the page with the smallest id among those with an equal payload of
-at least MIN_SHARED bytes. Records are text in the WARC format (UTF-8 payloads), written by Spark's text writer as gzip files of
-bounded size. Reading: each archive is parsed by its Content-Length headers alone, so payloads may hold any text; payload
-lengths and SHA-256 digests are computed anew from what was read, and a revisit takes them from its own block and header.
-
-Index: every archive yields its captures as a locally sorted run; the runs of a range of (URL key, time, id) meet in one task
-and a loser tree merges them, k ways, into capture histories that are in order over all ranges.
-
-Edge cases: a null payload is empty; a null URL counts as empty; repeated pages are all written; an empty table gives an empty
-index; columns of other names are ignored. Ids are integers. A page without an id is a whole response under a name made from its
-URL and payload, at the time EPOCH, and has a null id in the index, before others of its URL and time.
+at least MIN_SHARED bytes. Records are text in the WARC format (UTF-8 payloads), written by Spark's text writer as gzip files that
+are bounded in records and bytes. Reading: each archive is parsed by its Content-Length headers alone, so payloads may hold any
+text; payload lengths and SHA-256 digests are computed anew from what was read, and a revisit takes them from its own block and
+header.
+
+Index: the task that reads an archive sorts its captures by (URL key, time, id), a run. The key space is cut into ranges of about
+RANGE_ROWS captures, the parts of all runs in a range meet in one task, each in its own order, and a loser tree merges them, k
+ways, into capture histories that are in order over all ranges. A task holds one range's captures, in Arrow's form, or one
+archive's, whatever the size of the corpus.
+
+Edge cases: a null payload is empty; a null URL counts as empty; a page may be of any size that Spark's strings hold; an id may be
+any 64-bit number, its time is EPOCH seconds later (the id itself beyond 64 bits), in any session time zone. Rows are judged by id
+and payload: repeated rows are all written, those of the smallest id of a payload as responses, and rows of one id with other
+payloads have records of their own. A page without an id is a whole response under a name made from its URL and payload, at the
+time EPOCH, and has a null id in the index, before others of its URL and time; it is not revisited. An empty table gives an empty
+index; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldloom.llm.common import join_by_key, shared_path, staged
 
 MIN_SHARED = 100
-RECORDS_A_FILE = 4000
+#: Archives: payloads of up to so many bytes, and how many records of such a file may have; larger ones have a file each.
+SIZES = ((1 << 16, 4000), (1 << 22, 64), (1 << 40, 1))
+#: About so many captures are merged in one task.
+RANGE_ROWS = 100_000
 EPOCH = 1_700_000_000
 UNNAMED = "none-"
+#: Of the years 1000 to 9999; the exact time of any capture stands in a header of its own.
+FIRST_SECOND, LAST_SECOND = -30_610_224_000, 253_402_300_799
+SECONDS = "X-Captured-Seconds"
 END = "\r\n\r\n"
 
 
-def url_key(url: F.Column) -> F.Column:
+_URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)[^/?#]*([^#]*)", re.DOTALL)
+
+
+def url_key(url: str) -> str:
     """SURT-like: host parts reversed and comma-joined, then the path and query; scheme, www., port and case of the host go."""
-    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?#:]*)", 1)), r"^www\d*\.", "")
-    path = F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))
+    host, path = _URL.match(url).groups()
+    return f"{','.join(reversed(re.sub(r'^www[0-9]*[.]', '', host.lower()).split('.')))}){path or '/'}"
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id and record (a whole WARC record, without the two line ends after it) for pages of page_id, url, html."""
+    """page_id, bytes of payload and record (a whole WARC record, without the two line ends after it) for pages of page_id, url, html."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     facts = rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
     facts = staged(facts, "payloads")
     shared = facts.where(F.col("bytes") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = join_by_key(facts.where(F.col("bytes") >= MIN_SHARED), shared, "digest", "copies", facts.count()).where(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
-    rows = rows.join(later, "page_id", "left").withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
+    later = join_by_key(facts.where(F.col("bytes") >= MIN_SHARED), shared, "digest", "copies", facts.count()).where(F.col("page_id") != F.col("first")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")}).join(later, ["page_id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    captured = F.coalesce(F.try_add(F.lit(EPOCH), F.coalesce("page_id", F.lit(0))), F.col("page_id"))
+    shown = F.least(F.greatest(captured, F.lit(FIRST_SECOND)), F.lit(LAST_SECOND))  # a date has four digits of a year
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    of_day = F.pmod(shown, F.lit(86400)).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(shown / 86400).cast("int")).cast("string")
+    date = F.concat(day, F.lit("T"), two(F.floor(of_day / 3600)), F.lit(":"), two(F.floor(of_day / 60) % 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     unnamed = F.concat(F.lit(UNNAMED), F.sha2(F.concat("url", F.lit("\n"), "digest"), 256))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     return rows.select(
         "page_id",
+        F.col("n").alias("bytes"),
         F.concat(
-            F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.coalesce(F.col("page_id").cast("string"), unnamed))), line("WARC-Date", date),
+            F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.coalesce(F.col("page_id").cast("string"), unnamed))), line("WARC-Date", date), line(SECONDS, captured.cast("string")),
             line("WARC-Target-URI", F.col("url")), F.lit("Content-Type: application/http;msgtype=response\r\n"), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
             F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", name(F.col("refers_to"))))).otherwise(""),
             line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
@@ -69,8 +89,13 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes gzip archives below path, at most RECORDS_A_FILE records in each."""
-    (records(pages).select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path))
+    """Writes gzip archives below path, in a folder for each class of SIZES that has pages."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    kinds = F.when(size <= SIZES[0][0], 0).when(size <= SIZES[1][0], 1).otherwise(2)
+    for i in sorted(r[0] for r in pages.select(kinds.alias("i")).distinct().collect()):  # at most one row a class
+        least = SIZES[i - 1][0] if i else -1
+        found = records(pages).where((F.col("bytes") > least) & (F.col("bytes") <= SIZES[i][0])).select("record")
+        found.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", SIZES[i][1]).text(f"{path}/{i}")
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -136,31 +161,43 @@ def _number(urn: str) -> int | None:
     return None if name.startswith(UNNAMED) else int(name)
 
 
+FIELDS = {
+    "page_id": pa.int64(), "url": pa.string(), "url_key": pa.string(), "captured": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "run": pa.string(), "run_at": pa.int64(),
+}
+_SCHEMA = "page_id long, url string, url_key string, captured long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, run_at long"
+
+
+def _capture(head: dict[str, str], block: bytes) -> tuple:
+    """The first eight of FIELDS."""
+    http, _, payload = block.partition(b"\r\n\r\n")
+    digest, n, refers = head["warc-payload-digest"].removeprefix("sha256:"), len(payload), None
+    if head["warc-type"] == "revisit":
+        n = int(http.rpartition(b"Content-Length: ")[2])
+        refers = _number(head["warc-refers-to"])
+    elif hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
+    when = head.get(SECONDS.lower())
+    when = int(when) if when else int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
+    url = head.get("warc-target-uri", "")
+    return _number(head["warc-record-id"]), url, url_key(url), when, n, digest, head["warc-type"], refers
+
+
+def _order(url_key: str, captured: int, page_id: int | None) -> tuple:
+    return url_key, captured, page_id is not None, page_id or 0
+
+
 def read_archives(df: DataFrame) -> DataFrame:
     """Captures of archives (rows of Spark's binaryFile source): a locally sorted run from each, as the index has them."""
-    fields = ["page_id", "url", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "run", "run_at"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = []
-                for head, block in parse(_inflate(memoryview(content.as_buffer()))):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest, n = head["warc-payload-digest"].removeprefix("sha256:"), len(payload)
-                    refers = None
-                    if head["warc-type"] == "revisit":
-                        n = int(http.rpartition(b"Content-Length: ")[2])
-                        refers = _number(head["warc-refers-to"])
-                    elif hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
-                    when = int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
-                    found.append((_number(head["warc-record-id"]), head.get("warc-target-uri", ""), when, n, digest, head["warc-type"], refers, path.as_py().rpartition("/")[2]))
-                rows = [(*r, i) for i, r in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=fields)
-
-    flat = df.select("path", "content").mapInArrow(run, "page_id long, url string, captured long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, run_at long")
-    return flat.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "run", "run_at")
+                found = [_capture(*record) for record in parse(_inflate(memoryview(content.as_buffer())))]
+                found.sort(key=lambda r: _order(r[2], r[3], r[0]))
+                rows = [(*r, path.as_py(), i) for i, r in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(FIELDS.values())], names=list(FIELDS))
+
+    return df.select("path", "content").mapInArrow(run, _SCHEMA)
 
 
 class LoserTree:
@@ -199,33 +236,23 @@ class LoserTree:
 
 
 def capture_index(captures: DataFrame, partitions: int) -> DataFrame:
-    """Captures in the order of (url_key, captured, page_id) over all partitions, merged
-    from their runs. A URL with very many captures is split by time and id like any others."""
-    columns = captures.columns
-    at = [columns.index(c) for c in ("url_key", "captured", "page_id", "run", "run_at")]
-    schema = captures.schema
+    """Captures in the order of (url_key, captured, page_id) over all partitions, merged from the runs that were sorted as they were
+    read. A URL with very many captures is split by time and id like any others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[at[3]], []).append(tuple(float("-inf") if row[i] is None else row[i] for i in at) + (row,))
-        merged = LoserTree([iter(runs[k]) for k in sorted(runs)])
-        held: list[tuple] = []
-        for item in merged:
-            held.append(item[-1])
-            if len(held) >= 5000:
-                yield from emit(held)
-                held = []
-        if held:
-            yield from emit(held)
-
-    def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)], names=columns)
-
-    arrow = [to_arrow_type(f.dataType) for f in schema.fields]
-    dealt = captures.repartitionByRange(partitions, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id")
-    return dealt.mapInArrow(run, schema)
+        held = pa.Table.from_batches(batches, pa.schema(list(FIELDS.items())))  # one range: about RANGE_ROWS captures
+        if not held.num_rows:
+            return
+        keys = list(zip(*(held[c].to_pylist() for c in ("url_key", "captured", "page_id")), strict=True))
+        names = held["run"].combine_chunks().dictionary_encode().indices.to_numpy()
+        ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(keys)]
+        runs = [((*_order(*keys[i]), i) for i in range(a, b)) for a, b in zip([0, *ends], ends, strict=False)]
+        order = np.fromiter((item[-1] for item in LoserTree(runs)), np.int64, len(keys))
+        for at in range(0, len(order), 5000):
+            yield from held.take(pa.array(order[at : at + 5000])).combine_chunks().to_batches()
+
+    dealt = captures.repartitionByRange(partitions, "url_key", "captured", "page_id").sortWithinPartitions("run", "run_at")
+    return dealt.mapInArrow(run, captures.schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -233,5 +260,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    captures = staged(read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)), "captures")
-    return capture_index(captures, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    captures = spark.createDataFrame([], _SCHEMA)
+    if not pages.isEmpty():
+        captures = staged(read_archives(found.load(path)), "captures")
+    return capture_index(captures, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS)))

@@ -51,9 +51,65 @@ def test_loser_tree():
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(x for run in runs for x in run)
 
 
-def test_url_key(spark):
-    df = spark.createDataFrame([("https://www.Example.org:80/a?b=1#c",), ("ftp://x.y",)], "u string")
-    assert [r[0] for r in df.select(warc.url_key(F.col("u"))).collect()] == ["org,example)/a?b=1", "y,x)/"]
+def test_url_key():
+    urls = ["https://www.Example.org:80/a?b=1#c", "ftp://x.y", "", "a.b?q", "www2.a.b#x"]
+    assert [warc.url_key(u) for u in urls] == ["org,example)/a?b=1", "y,x)/", ")/", "b,a)?q", "b,a)/"]
+
+
+def rows_of(df):
+    return sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in df.collect()), key=str)
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = ("x" * 200, "y" * 200, "short")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(1, a), (2, a), (2, b), (2, a), (0, b), (None, a), (None, a), (None, "z" * 150), (3, c), (3, c), (1, a)]
+    got = rows_of(warc.archive_pages(spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in rows], "page_id long, url string, html string")))
+    want = [(1, a, None), (2, a, 1), (2, b, 0), (2, a, 1), (0, b, None), (None, a, None), (None, a, None), (None, "z" * 150, None), (3, c, None), (3, c, None), (1, a, None)]
+    assert got == sorted(((i, sha(t), "revisit" if to is not None else "response", to) for i, t, to in want), key=str)
+
+
+def test_any_id_and_session_zone(spark):
+    ids = [0, 1, -5, 300_000_000_000, 2**63 - 1, -(2**63)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = warc.archive_pages(spark.createDataFrame([(i, "u", "t") for i in ids], "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["page_id"]: r["captured"] for r in out} == {i: warc.EPOCH + i if warc.EPOCH + i < 2**63 else i for i in ids}
+
+
+def test_dates_of_records(spark):
+    df = spark.createDataFrame([(i, "u", "t") for i in (0, -1_700_000_001, 300_000_000_000)], "page_id long, url string, html string")
+    dates = {r["page_id"]: r["record"].split("WARC-Date: ")[1][:20] for r in warc.records(df).collect()}
+    assert dates == {0: "2023-11-14T22:13:20Z", -1_700_000_001: "1969-12-31T23:59:59Z", 300_000_000_000: "9999-12-31T23:59:59Z"}
+
+
+def test_very_long_pages_have_files_of_their_own(spark, tmp_path):
+    long = "0123456789" * 10_000_000
+    rows = [(1, "u", long[:70_000]), (2, "u", long[:70_000]), (3, "v", "short"), (4, "w", long)]
+    df = spark.createDataFrame([(i, u, n) for i, u, n in [(r[0], r[1], len(r[2])) for r in rows]], "page_id long, url string, n int")
+    df = df.select("page_id", "url", F.when(F.col("n") == 5, "short").otherwise(F.expr("repeat('0123456789', n div 10)")).alias("html"))
+    assert result(warc.archive_pages(df)) == brute([(i, t) for i, _, t in rows])
+    warc.write_archives(df, str(tmp_path / "w"))
+    assert {p.parent.name for p in (tmp_path / "w").glob("*/*.gz")} == {"0", "1", "2"}
+
+
+def test_runs_are_sorted_as_they_are_read(spark, small, monkeypatch):
+    from fieldloom.llm.common import shared_path
+
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    path = shared_path(spark, "runs")
+    warc.write_archives(pages, path)
+    rows = warc.read_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)).collect()
+    for run in {r["run"] for r in rows}:
+        mine = sorted((r for r in rows if r["run"] == run), key=lambda r: r["run_at"])
+        keys = [(r["url_key"], r["captured"], r["page_id"]) for r in mine]
+        assert keys == sorted(keys)
+    merged = [(r["url_key"], r["captured"], r["page_id"]) for r in warc.archive_pages(pages).collect()]
+    assert merged == sorted((r["url_key"], r["captured"], r["page_id"]) for r in rows)
 
 
 def test_archives_of_many_members(spark, tmp_path):
