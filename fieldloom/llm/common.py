@@ -62,8 +62,8 @@ def labelled_sample(df: DataFrame, key: str, label: str, per_label: int) -> Data
     return df.join(F.broadcast(share), label).where(unit < F.col("_share")).drop("_share")
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
-    """Inner join of left with right, which has one row a key and in `count` the number of left rows with that key.
+def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int) -> DataFrame:
+    """Inner join of left with right, which has one row a key (of one or more columns) and in `count` the number of left rows with that key.
 
     Keys with over a thousandth of the rows are fewer than a thousand, so that part of right is broadcast whatever the
     input's size; the other keys are shuffled and none of them can fill a task.
@@ -71,7 +71,7 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str, rows: i
     limit = max(100, rows // 1000)
     hot = right.where(F.col(count) > limit)
     cold = right.where(F.col(count) <= limit)
-    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    marked = left.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key), F.lit(True).alias("_hot"))), key, "left")
     part = left.columns
     return (
         marked.where(F.col("_hot")).select(*part).join(F.broadcast(hot), key)

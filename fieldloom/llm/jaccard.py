@@ -6,8 +6,8 @@ Candidates. If |A & B| / |A | B| >= t, then in any order that all sets share, th
 of B (n being the set's own size) have one in common. The order here puts members that few sets hold first: ahead go the
 members of the lowest hashes (twice as many as a prefix needs), by the number of sets that hold them, then the others, and last
 those of buckets of a count sketch that are used far more than most. So a prefix holds members that no other set has, wherever
-the set has enough of them, and only those of it that other sets hold are keys. Sets with one key are candidates; their
-connected components are blocks, and every link lies inside a block.
+the set has enough of them, and only those of it that other sets hold are keys. Sets with one key are candidates if no gap in
+size parts them; their connected components are blocks, and every link lies inside a block.
 
 Join. A block's sets go into a prefix tree in the global order. Each set is run down the tree; what it shares with a branch's
 common prefix is counted once for all sets below, and a branch is left as soon as what remains of the set and of the longest
@@ -332,10 +332,15 @@ def candidate_keys(docs: DataFrame, hot: np.ndarray, percent: int, words: int) -
     return chosen.unionByName(found.where("sure").select("k", "set").distinct())
 
 
-def _candidate_edges(keyed: DataFrame) -> DataFrame:
-    """a, b: of the sets with one key, each with the first."""
-    groups = staged(keyed.groupBy("k").agg(F.min("set").alias("a"), F.count("*").alias("sets")).where("sets > 1"), "groups")
-    return join_by_key(keyed, groups, "k", "sets", keyed.count()).where(F.col("a") != F.col("set")).select("a", F.col("set").alias("b"))
+def _candidate_edges(keyed: DataFrame, percent: int) -> DataFrame:
+    """a, b: chains through the sets of each key in the order of size, broken where the next set is too large to be linked with any
+    before it. keyed: k, set, n. Sets of one size are joined with their first, so hot keys shrink before they are dealt out."""
+    groups = staged(keyed.groupBy("k", "n").agg(F.min("set").alias("a"), F.count("*").alias("sets")), "groups")
+    before = Window.partitionBy("k").orderBy("n")
+    near = 100 * F.lag("n").over(before) >= percent * F.col("n")
+    chain = groups.select("a", F.when(near, F.lag("a").over(before)).alias("b")).where(F.col("b").isNotNull())
+    equal = join_by_key(keyed, groups.where("sets > 1"), ["k", "n"], "sets", keyed.count()).select("a", F.col("set").alias("b"))
+    return chain.unionByName(equal).where("a <> b")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -465,8 +470,7 @@ def _range_links(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
 
 def _key_links(members: DataFrame, keyed: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Links of large blocks by keys: linked sets share one. Keys of the same sets count once."""
-    sizes = members.select("set", F.size("members").alias("n"))
-    keyed = staged(keyed.join(sizes, "set").select("k", "set", "n"), "keyed")
+    keyed = staged(keyed.join(members.select("set"), "set", "left_semi"), "keyed")
     groups = keyed.groupBy("k").agg(F.count("*").alias("sets"), *[F.sum(F.pmod(F.xxhash64("set", F.lit(i)), F.lit(1 << 40))).alias(f"which{i}") for i in (1, 2)], (F.sum(_load(F.col("n"))) > 1).alias("large")).where("sets > 1")
     blocks = staged(groups.groupBy("sets", "which1", "which2").agg(F.min("k").alias("k"), F.max("large").alias("large")), "keys")
     placed = keyed.join(blocks.select("k", "large"), "k").select(F.col("k").alias("block"), "set", "large")
@@ -478,13 +482,13 @@ def _key_links(members: DataFrame, keyed: DataFrame, percent: int, partitions: i
 
 
 def links_between(docs: DataFrame, keyed: DataFrame, classes: DataFrame, percent: int, words: int = N) -> DataFrame:
-    """a, b: links enough to join all linked sets. docs: doc, text; keyed: k and set; classes: set, doc and n of each distinct set."""
+    """a, b: links enough to join all linked sets. docs: doc, text; keyed: k, set and n; classes: set, doc and n of each distinct set."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], "a long, b long")
     left = keyed
     for turn in range(CENTRE_ROUNDS + 1):
-        nodes = connected(_candidate_edges(left))
+        nodes = connected(_candidate_edges(left, percent))
         wanted = nodes.toDF("set", "block").join(classes, "set")
         blocks = wanted.groupBy("block").agg(F.count("*").alias("block_sets"), (F.sum(_load(F.col("n"))) > 1).alias("large"))
         wanted = staged(wanted.join(blocks, "block"), "wanted")
@@ -511,7 +515,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     texts = scanned.where(F.col("bucket").isNull())
     sets = texts.where(F.col("set").isNotNull())
     classes = staged(sets.groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
-    keyed = staged(candidate_keys(docs, _hot_buckets(scanned), percent, n), "keys")
+    keyed = staged(candidate_keys(docs, _hot_buckets(scanned), percent, n).join(classes.select("set", "n"), "set"), "keys")
     roots = connected(links_between(docs, keyed, classes, percent, n))
     labelled = staged(classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "labelled")
     groups = labelled.groupBy("root").agg(F.min("doc").alias("component"))

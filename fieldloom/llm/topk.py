@@ -1,16 +1,19 @@
 """Exact top-k inner products by MaxScore.
 
-Vectors become integers, floor(scale * x). A candidate shard holds, for each dimension, the largest and the smallest value, and
-so the most that a query's dimension can add to any of its rows. For a query, dimensions in the order of those bounds are
-split: the essential ones, without which no row can still reach the query's k-th best score, are traversed for all rows of a
-block; the others are probed, in bound order, only for rows whose partial score plus the bounds still to come is competitive.
-The k best of each shard are merged.
-
-A shard has a bounded number of rows and a query block a bounded number of queries; each pair of them is one task's work.
-Edge cases: rows without an id and vectors that are null, empty, hold null or non-finite components, or differ in length from
-the most common length take no part; ties go to the smaller id; a query has fewer than k rows only if there are fewer candidates; repeated vectors
-count each; scores beyond 64 bits are ranked exactly within a shard and returned as the largest long; columns of other names
-are ignored.
+Vectors become integers, floor(scale * x). A candidate shard keeps a posting list for each dimension: its rows' values, in the
+order of ids (dense vectors have a value for each row, so ids are left out), with the largest and the smallest of them, and so the
+most that a query's dimension can add to any of its rows. For a query, dimensions in the order of those bounds are split: the
+essential ones, without which no row can still reach the query's threshold, are traversed list by list; the others are probed, in
+bound order, only for rows whose partial score plus the bounds still to come is competitive. The k best of each shard are merged.
+
+A shard has a bounded number of rows and a query block a bounded number of queries; each pair of them is one task. Each block is
+first searched in one shard, and the k-th best scores found there are its queries' thresholds from the start in all others.
+
+Edge cases: rows without an id and vectors that are null or hold null or non-finite components take no part; of vectors of
+different lengths the shorter one counts as ending in zeros, so an empty one scores 0; ties go to the smaller id; a query has
+fewer than k rows only if there are fewer candidates; rows of the query's own id are no candidates; repeated rows count each, as
+candidates and as queries; scores beyond 64 bits are ranked exactly within a shard and returned as the largest long; an empty
+table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import staged
+
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 BLOCK_ROWS = 1024
@@ -31,54 +36,61 @@ PROBE = 8
 def usable(df: DataFrame, vector: str) -> F.Column:
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True))
+    return v.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def search_shard(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate id, score) of the k best candidates for each query; x_ids ascend.
+def search_shard(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, least: list[int | None] | None = None, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, candidate id, score) of the k best candidates for each query; x_ids ascend. least: scores below which a
+    query's candidates aren't wanted. To work, if given, the number of values that were read is appended.
 
     Works on float64, whose products and sums of these integers are exact below 2^53; beyond that on Python's integers.
     """
-    most = np.abs(q).max(initial=0).astype(float) * np.abs(x).max(initial=0).astype(float) * max(1, q.shape[1])
+    most = np.abs(q.astype(float)).max(initial=0) * np.abs(x.astype(float)).max(initial=0) * max(1, q.shape[1])
     kind = np.float64 if most < 2.0**53 else object
-    q, x = q.astype(kind), x.astype(kind)
-    n, dims = x.shape
+    q, lists = q.astype(kind), np.ascontiguousarray(x.T.astype(kind))
+    dims, n = lists.shape
     top_score, top_id = [np.zeros(0, kind)] * len(q), [np.zeros(0, np.int64)] * len(q)
-    high, low = x.max(0), x.min(0)
+    high, low = (lists.max(1), lists.min(1)) if n else (np.zeros(dims, kind), np.zeros(dims, kind))
     bound = np.maximum(q * high, q * low)  # queries x dimensions
     spread = bound - np.minimum(q * high, q * low)
     order = np.argsort(-spread.astype(float), axis=1, kind="stable")
     rest = np.zeros((len(q), dims + 1), kind)  # the most that dimensions from place j on can add
     rest[:, :dims] = np.cumsum(np.take_along_axis(bound, order, 1)[:, ::-1], axis=1)[:, ::-1]
+    read = 0
     for a in range(0, n, BLOCK_ROWS):
-        block, ids = x[a : a + BLOCK_ROWS], x_ids[a : a + BLOCK_ROWS]
+        block, ids = lists[:, a : a + BLOCK_ROWS], x_ids[a : a + BLOCK_ROWS]
         for i in range(len(q)):
-            theta = top_score[i][-1] if len(top_score[i]) == k else None
-            place = order[i]
-            if theta is None:
-                rows, score = np.arange(len(block)), block @ q[i]
-            else:
+            theta = None if least is None else least[i]
+            if len(top_score[i]) == k and (theta is None or top_score[i][-1] > theta):
+                theta = top_score[i][-1]
+            place, split = order[i], dims
+            if theta is not None:
                 # essential: the leading dimensions up to the last one from which the bounds alone still reach the threshold
                 reach = np.flatnonzero(rest[i] >= theta)
                 if not len(reach):
                     continue
                 split = min(dims, int(reach[-1]) + 1)
-                lead = place[:split]
-                score = block[:, lead] @ q[i][lead]
+            lead = place[:split]
+            score = q[i][lead] @ block[lead]
+            rows = np.arange(len(ids))
+            read += split * len(ids)
+            if theta is not None:
                 rows = np.flatnonzero(score + rest[i][split] >= theta)
                 score = score[rows]
-                while split < dims and len(rows):
-                    nxt = min(dims, split + PROBE)
-                    lead = place[split:nxt]
-                    score = score + block[np.ix_(rows, lead)] @ q[i][lead]
-                    split = nxt
-                    keep = score + rest[i][split] >= theta
-                    rows, score = rows[keep], score[keep]
+            while split < dims and len(rows):
+                lead = place[split : split + PROBE]
+                score = score + q[i][lead] @ block[np.ix_(lead, rows)]
+                read += len(lead) * len(rows)
+                split += len(lead)
+                keep = score + rest[i][split] >= theta
+                rows, score = rows[keep], score[keep]
             if len(rows):
                 keep = ids[rows] != q_ids[i]
                 s, c = np.concatenate([top_score[i], score[keep]]), np.concatenate([top_id[i], ids[rows][keep]])
                 best = np.lexsort((c, -s))[:k] if kind is np.float64 else np.array(sorted(range(len(s)), key=lambda j: (-s[j], c[j]))[:k], int)
                 top_score[i], top_id[i] = s[best], c[best]
+    if work is not None:
+        work.append(read)
     if not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     scores = np.concatenate(top_score)
@@ -87,27 +99,64 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
     return np.repeat(np.arange(len(q)), [len(t) for t in top_id]), np.concatenate(top_id), scores.astype(np.int64)
 
 
+def _matrix(lists: list[np.ndarray], dims: int) -> np.ndarray:
+    out = np.zeros((len(lists), dims), np.int64)
+    for i, v in enumerate(lists):
+        out[i, : len(v)] = v
+    return out
+
+
+def _search(asked: DataFrame, candidates: DataFrame, shards: F.Column, blocks: F.Column, tasks: int, k: int) -> DataFrame:
+    """q, query_id, found and score of the k best of each pair of a shard and a block. asked: q, id, v, least, block; candidates: id,
+    v, shard; shards (of a block) and blocks (of a shard): the pairs."""
+    none = F.lit(None).cast("long")
+    sides = asked.select(F.explode(shards).alias("shard"), "block", F.lit(0).alias("side"), "id", "q", "least", "v").unionByName(
+        candidates.select("shard", F.explode(blocks).alias("block"), F.lit(1).alias("side"), "id", none.alias("q"), none.alias("least"), "v")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            if not (queries and rows):
+                return
+            dims = max(1, *(len(r[-1]) for r in queries), *(len(r[-1]) for r in rows))
+            q_ids, ids = (np.array([r[0] for r in rs], np.int64) for rs in (queries, rows))
+            i, c, s = search_shard(_matrix([r[-1] for r in queries], dims), q_ids, _matrix([r[-1] for r in rows], dims), ids, k, [r[2] for r in queries])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array([r[1] for r in queries], np.int64)[i], q_ids[i], c, s)], names=["q", "query_id", "found", "score"])
+
+        pair, queries, rows = None, [], []
+        for batch in batches:
+            flat, ends = batch.column(6).flatten().to_numpy(), np.cumsum(batch.column(6).value_lengths().to_numpy())
+            for j, (shard, block, side, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if (shard, block) != pair:
+                    yield from done()
+                    pair, queries, rows = (shard, block), [], []
+                (rows if side else queries).append((*row, flat[ends[j - 1] if j else 0 : ends[j]]))
+        yield from done()
+
+    dealt = sides.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "side", "id")
+    return dealt.mapInArrow(run, "q long, query_id long, found long, score long")
+
+
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, scale: float = 1024.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, key and score of the k best other rows for each row where `queries` holds."""
     rows = vectors.where(usable(vectors, vector) & F.col(key).cast("long").isNotNull()).select(F.col(key).cast("long").alias("id"), queries.alias("is_query"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("v"))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    facts = rows.where(F.size("v") == (size["d"] if size else 0)).agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    dims = size["d"] if size else 1
-    rows = rows.where(F.size("v") == dims)
-    shards, blocks = max(1, -(-facts["n"] // SHARD_ROWS)), max(1, -(-facts["q"] // QUERY_ROWS))
-    pack = lambda df, out, key, n: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(key)).agg(F.collect_list(F.struct("id", "v")).alias(out))
-    packed = pack(rows, "candidates", "shard", shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    asked = pack(rows.where("is_query"), "asked", "block", blocks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for candidates, wanted in zip(pdf["candidates"], pdf["asked"], strict=True):
-                ids, q_ids = (np.array([r["id"] for r in rs], np.int64) for rs in (candidates, wanted))
-                x, q = (np.array([r["v"] for r in rs], np.int64).reshape(len(rs), dims) for rs in (candidates, wanted))
-                at = np.argsort(ids)
-                i, c, s = search_shard(q, q_ids, x[at], ids[at], k)
-                yield pd.DataFrame({"query_id": q_ids[i], key: c, "score": s})
-
-    found = packed.join(asked, "block").select("candidates", "asked").mapInPandas(run, f"query_id long, {key} long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
+    asked = staged(rows.where("is_query").select(F.monotonically_increasing_id().alias("q"), "id", "v"), "queries")  # numbers are fixed once written
+    shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    asked, candidates = asked.withColumn("block", place("q", blocks)), rows.select("id", "v", place("id", shards).alias("shard"))
+    all_shards, all_blocks = (F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>") for n in (shards, blocks))
+    home = lambda b: F.pmod(b, F.lit(shards))
+    first = _search(
+        asked.withColumn("least", F.lit(None).cast("long")), candidates,
+        F.array(home(F.col("block"))), F.filter(all_blocks, lambda b: home(b) == F.col("shard")), blocks, k,
+    )
+    first = staged(first, "first")
+    least = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("q", "least")
+    others = _search(
+        asked.join(least, "q", "left"), candidates,
+        F.filter(all_shards, lambda s: s != home(F.col("block"))), F.filter(all_blocks, lambda b: home(b) != F.col("shard")), max(1, blocks * (shards - 1)), k,
+    )
+    found = first.unionByName(others) if shards > 1 else first
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "found")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("found").alias(key), "score")

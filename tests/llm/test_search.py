@@ -7,12 +7,14 @@ from fieldloom.llm import topk
 
 
 def brute(rows, queries, k, scale=1024.0):
-    vs = {i: np.floor(scale * np.array(v, np.float64)).astype(object) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)}
+    """Each query row against each row of another id; shorter vectors end in zeros."""
+    vs = [(i, [int(x) for x in np.floor(scale * np.array(v, np.float64))]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in sorted(set(queries) & set(vs)):
-        best = sorted((-int(vs[q] @ vs[i]), i) for i in vs if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return out
+    for q, a in vs:
+        if q in set(queries):
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in vs if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 def result(df):
@@ -39,3 +41,39 @@ def test_rows_without_an_id_take_no_part(spark):
     rows = [(i, [float(i), 1.0]) for i in range(6)]
     df = spark.createDataFrame([*rows, (None, [9.0, 9.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert result(topk.top_k(df, F.col("vec_id").isNull() | (F.col("vec_id") % 2 == 0), k=3)) == brute(rows, [0, 2, 4], 3)
+
+
+def test_repeated_rows_and_other_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [round(float(x), 3) for x in rng.normal(0, 1, rng.choice([0, 1, 3, 8]))]) for i in rng.integers(0, 60, 150)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard, block in ((8192, 1024), (30, 7)):
+        monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+        monkeypatch.setattr(topk, "QUERY_ROWS", block)
+        assert result(topk.top_k(df, F.col("vec_id") % 5 == 0, k=4)) == brute(rows, range(0, 60, 5), 4)
+
+
+def test_thresholds_save_work():
+    rng = np.random.default_rng(2)
+    scale = np.array([400.0] * 4 + [20.0] * 60)
+    x, q = (np.floor(rng.normal(0, 1, (n, 64)) * scale).astype(np.int64) for n in (4000, 30))
+    ids, q_ids = np.arange(4000), np.arange(10_000, 10_030)
+    alone, work = [], []
+    i, c, s = topk.search_shard(q, q_ids, x, ids, 10, None, alone)
+    want = [sorted((-int(v @ y), j) for j, y in enumerate(x))[:10] for v in q]
+    assert [(-int(b), int(a)) for a, b in zip(c, s, strict=True)] == [p for w in want for p in w] and len(i) == 300
+    again = topk.search_shard(q, q_ids, x, ids, 10, [-w[-1][0] for w in want], work)
+    assert all((a == b).all() for a, b in zip((i, c, s), again, strict=True))
+    assert work[0] < alone[0] < 0.8 * 64 * 4000 * 30 and work[0] < 0.25 * 64 * 4000 * 30
+
+
+def test_each_pair_is_a_task(spark, monkeypatch):
+    seen = []
+    real = topk._search
+    monkeypatch.setattr(topk, "_search", lambda *a: seen.append((a[4], real(*a))) or seen[-1][1])
+    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    topk.top_k(df, F.col("vec_id") % 40 == 0).count()
+    assert [(tasks, found.rdd.getNumPartitions()) for tasks, found in seen] == [(2, 2), (6, 6)]
