@@ -55,6 +55,19 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode(text: str, path: str) -> list[int]:
+    """The ids of byte_bpe_50k.json. Runs of white space that the fast encoder's pattern can't hold go through the tokenizer itself."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        if "whole" not in _ENCODERS:
+            _ENCODERS["whole"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        return _ENCODERS["whole"].encode(text, add_special_tokens=False).ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole ones but for the first."""
     first = n % capacity if n > capacity and n % capacity else min(n, capacity)
@@ -66,11 +79,10 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int, path: str) -> Da
     fields = ["piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for batch in batches:
             row, out = [], []
             for r, t in enumerate(batch.column(1)):
-                ids = np.array(enc.encode(t.as_py() or "", allowed_special="all") + [END_ID], "<u4")
+                ids = np.array(encode(t.as_py() or "", path) + [END_ID], "<u4")
                 for p, (s, n) in enumerate(cut(len(ids), capacity)):
                     row.append(r)
                     out.append((p, s, n, zlib.crc32(ids[s : s + n].tobytes())))
