@@ -5,8 +5,10 @@ K + W - 1 words that two texts share leaves the same fingerprint in both. Finger
 the benchmark, and each hit is extended word by word to both sides; a run of that length or more is a hit, and each such run
 holds its own fingerprint. Items shorter than that are one window, found by hashes of just their length.
 
-Words are compared by 64-bit hashes. Edge cases: null and empty texts have no words, match nothing and are reported clean;
-repeated items each count; with an empty benchmark all documents are clean; columns of other names are ignored.
+Words are compared by 64-bit hashes. Edge cases: null and empty texts have no words, match nothing and are reported clean; rows
+have numbers of their own, so repeated and null ids are each judged by their own text; texts may be of any length; of repeated
+items each id counts once, and items without an id count for words but not for items; an empty table gives no rows, with an empty
+benchmark all documents are clean; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,25 +66,27 @@ def _context(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -
     return np.where((i >= low[:, None]) & (i < high[:, None]), h[np.clip(i, 0, len(h) - 1)], U64(0))
 
 
-_ROW = "key {k}, n_words long, fp long, short int, pos long, context array<long>"
+_ROW = "row long, key {k}, n_words long, fp long, short int, pos long, context array<long>"
 
 
 def _scan(texts: DataFrame, lengths: list[int], known, own: bool) -> DataFrame:
     """Fingerprints of texts (key, text); `own`: of benchmark items, whose short ones are whole. A document has a row without
-    fingerprint as well, so that it stays when nothing matches."""
+    fingerprint as well, so that it stays when nothing matches. Rows are numbered; the numbers are fixed once the result is written."""
     shape = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    names = ["n_words", "fp", "short", "pos", "context"]
+    names = ["row", "key", "n_words", "fp", "short", "pos", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps = None if known is None else known.value
+        at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, d, o in text_blocks(batch.column(1)):
                 h, row, count = _WORDS.split(d, o)
-                keys = batch.column(0).slice(a, b - a)
+                keys, number = batch.column(0).slice(a, b - a), np.arange(at_row, at_row + b - a)
+                at_row += b - a
                 end = np.cumsum(count)
                 if not own:
                     none = pa.nulls(b - a, pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(count), none, pa.nulls(b - a, pa.int32()), none, pa.nulls(b - a, shape[4])], names=["key", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(number), keys, pa.array(count), none, pa.nulls(b - a, pa.int32()), none, pa.nulls(b - a, shape[4])], names=names)
                 for m, at, fp in _fingerprints(h, row, list(range(1, SPAN)) if own else lengths):
                     if own and m:
                         keep = count[row[at]] == m
@@ -96,8 +101,8 @@ def _scan(texts: DataFrame, lengths: list[int], known, own: bool) -> DataFrame:
                     context = _context(h, at, (end - count)[r], end[r])
                     width = context.shape[1]
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(r)), pa.array(count[r]), pa.array(signed(fp)), pa.array(np.full(len(at), m, np.int32)), pa.array(at - (end - count)[r]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width, dtype=np.int32)), pa.array(signed(context.ravel())))],
-                        names=["key", *names],
+                        [pa.array(number[r]), keys.take(pa.array(r)), pa.array(count[r]), pa.array(signed(fp)), pa.array(np.full(len(at), m, np.int32)), pa.array(at - (end - count)[r]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width, dtype=np.int32)), pa.array(signed(context.ravel())))],
+                        names=names,
                     )
 
     return texts.mapInArrow(run, _ROW.format(k=texts.schema["key"].dataType.simpleString()))
@@ -134,9 +139,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     short_run = _run_length("context", "t_context", list(range(SIDE + 1, SIDE + SPAN)))
     long_span = F.when((F.col("short") == 0) & (core == K) & (left_run + right_run >= W - 1), F.struct((F.col("pos") - left_run).alias("a"), (F.col("pos") + K + right_run).alias("b")))
     short_span = F.when((F.col("short") > 0) & (short_run >= F.col("short")), F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("short")).alias("b")))
-    hits = hits.select("key", F.lit(None).cast("long").alias("n_words"), F.coalesce(long_span, short_span).alias("span"), "item").where(F.col("span").isNotNull()).distinct()
-    base = found.where(F.col("fp").isNull()).select("key", "n_words", F.lit(None).cast(hits.schema["span"].dataType).alias("span"), F.lit(None).cast("string").alias("item"))
-    grouped = base.unionByName(hits).groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hits.select("row", "key", F.lit(None).cast("long").alias("n_words"), F.coalesce(long_span, short_span).alias("span"), "item").where(F.col("span").isNotNull()).distinct()
+    base = found.where(F.col("fp").isNull()).select("row", "key", "n_words", F.lit(None).cast(hits.schema["span"].dataType).alias("span"), F.lit(None).cast("string").alias("item"))
+    grouped = base.unionByName(hits).groupBy("row").agg(F.first("key", ignorenulls=True).alias("key"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     merged = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),

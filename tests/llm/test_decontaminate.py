@@ -41,3 +41,11 @@ def test_empty(spark, tricky):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert decontaminate.decontaminate(tricky.where("false"), items).count() == 0
     assert all(h == 0 for _, h, _ in result(decontaminate.decontaminate(tricky, items.where("false"))).values())
+
+
+def test_rows_of_one_id_or_none(spark):
+    passage = " ".join(f"b{i}" for i in range(14))
+    rows = [(1, passage), (1, "quite other words"), (1, passage + " more"), (None, passage), (None, "nothing here"), (None, None), (1, passage)]
+    out = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, passage), (7, passage), (None, passage)], "item_id long, text string"))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, 14, 14, ["7"]), (1, 3, 0, []), (1, 15, 14, ["7"]), (None, 14, 14, ["7"]), (None, 2, 0, []), (None, 0, 0, []), (1, 14, 14, ["7"])], key=str)
