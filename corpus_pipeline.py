@@ -3,8 +3,10 @@
 Each stage takes what its predecessor kept, as a table with the columns of documents, and returns the like; the last one
 returns packed pieces. Between stages the rows are written as Parquet in the shared folder and read again.
 
-Rows without text or without a letter go in the first stage. Decisions are made by row: by id and text, so that null and
-repeated ids are judged like any others. Of rows that repeat id and text one is kept.
+Edge cases: rows without text or without a letter go in the first stage. Decisions are made by row, by id and text, so that null
+and repeated ids are judged like any others. Of linked documents the one of the smallest id stays, one without an id only where
+none has one; of rows that repeat id and text, one. Texts may be of any length. An empty table gives empty results. Further
+columns of documents, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -21,35 +23,41 @@ from fieldloom.llm.common import held_out, staged, table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def _row_key(docs: DataFrame) -> F.Column:
+    """A row's key, without nulls at the top: in the order of the ids, rows without one last."""
+    return F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key without nulls: in the order of the ids, rows without one last."""
-    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
-    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("text")))
+    """_row and text: what an operator sees, whatever else the rows hold."""
+    return docs.select(_row_key(docs).alias("_row"), "text")
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return docs.join(rows.select("_row").distinct(), "_row", "left_anti").drop("_row").select(*[c for c in docs.columns if c != "_row"])
+    """docs without those of `rows` (_row). As a written table of known size, Spark sends them to the texts where they are few."""
+    held = docs.select(_row_key(docs).alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    return held.join(staged(rows.select("_row").distinct(), "dropped"), "_row", "left_anti").select("_doc.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned as in the language query."""
-    model = language_id.fit(docs.where(~held_out("doc_id", 5, 0)))
-    docs = _keyed(docs)
-    return _without(docs, language_id.predict(docs, model, key="_row").where(F.col("lang_pred") == language_id.UND))
+    return language_id.known(docs, language_id.fit(docs.where(~held_out("doc_id", 5, 0))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join, the document of the smallest id."""
-    docs = _keyed(docs)
-    groups = jaccard.join(docs, "_row", percent=NEAR_PERCENT, n=NEAR_WORDS)
-    kept = _without(docs, staged(groups.where(F.col("component_id") != F.col("_row")), "dropped"))
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    groups = staged(jaccard.join(_keyed(docs), "_row", percent=NEAR_PERCENT, n=NEAR_WORDS), "groups")
+    kept = _without(docs, groups.where(F.col("component_id") != F.col("_row")))
+    # of rows that are equal in id and text, all are first or none: only those need to be told apart
+    again = staged(groups.where(F.col("component_id") == F.col("_row")).groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    held = kept.select(_row_key(kept).alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    one = held.join(again, "_row", "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc"))
+    return held.join(again, "_row", "left_anti").unionByName(one).select("_doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    docs = _keyed(docs)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_row")
+    found = decontaminate.decontaminate(_keyed(docs), table(spark, sf_dir, "benchmark"), key="_row")
     return _without(docs, found.where(F.col("n_hit") > 0))
 
 

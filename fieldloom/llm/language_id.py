@@ -4,8 +4,8 @@ Two texts are as similar as the share of byte n-grams (n = 1, 2, 3) that both ho
 normalised for each n by the numbers of distinct n-grams. Landmark texts span the feature space (Nystroem), one-versus-rest
 kernel ridge regression is solved on it, and texts are scored by products of batches with the solved matrix.
 
-Edge cases: a null text, an empty one or one without a letter is `und` with score 0. Rows with equal texts get equal results.
-An empty table, or one without labelled rows, yields `und` for all rows. Columns of other names are ignored.
+Edge cases: a null text, an empty one or one without a letter is `und` with score 0. Rows with equal texts get equal results, also
+of repeated and null ids. Texts may be of any length: a text's n-grams are marked in a table of fixed size. An empty table, or one without labelled rows, yields `und` for all rows. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -129,29 +129,43 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return LanguageModel(languages, columns, bounds, (z.T.astype(np.float64) @ beta).astype(np.float32))
 
 
+def _judge(column: pa.Array, model: LanguageModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """(language or UND, score) of each text."""
+    names, scores = [np.zeros(0, object)], [np.zeros(0)]
+    for _, _, data, offsets in text_blocks(column):
+        lettered = np.array([has_letter(data[offsets[r] : offsets[r + 1]]) for r in range(len(offsets) - 1)], bool)
+        if model is None:
+            names.append(np.full(len(lettered), UND, object))
+            scores.append(np.zeros(len(lettered)))
+            continue
+        margins = np.concatenate([model.score(data[offsets[a] : offsets[min(a + 256, len(lettered))]], offsets[a : a + 257] - offsets[a]) for a in range(0, len(lettered), 256)])
+        p = np.exp(4 * (margins - margins.max(1, keepdims=True)))
+        names.append(np.where(lettered, np.array(model.languages, object)[margins.argmax(1)], UND))
+        scores.append(np.where(lettered, p.max(1) / p.sum(1), 0.0))
+    return np.concatenate(names), np.concatenate(scores)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred and score (0 to 1) for each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            names, scores = [], []
-            for _, _, data, offsets in text_blocks(batch.column(1)):
-                lettered = np.array([has_letter(data[offsets[r] : offsets[r + 1]]) for r in range(len(offsets) - 1)], bool)
-                if m is None:
-                    lettered[:] = False
-                    margins = np.zeros((len(lettered), 1), np.float32)
-                else:
-                    margins = np.concatenate([m.score(data[offsets[a] : offsets[min(a + 256, len(lettered))]], offsets[a : a + 257] - offsets[a]) for a in range(0, len(lettered), 256)])
-                p = np.exp(4 * (margins - margins.max(1, keepdims=True)))
-                best = margins.argmax(1)
-                p = p.max(1) / p.sum(1)
-                names += [m.languages[b] if ok else UND for b, ok in zip(best, lettered, strict=True)]
-                scores.append(np.where(lettered, p, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["key", "lang_pred", "score"])
+            names, scores = _judge(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def known(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """The rows of docs whose language can be told, with all their columns: one map, whatever ids they have."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(batch.column(at), shared.value)[0] != UND))
+
+    return docs.mapInArrow(run, docs.schema)

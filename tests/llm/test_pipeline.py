@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fieldloom.llm import packing
 from fieldloom.llm.common import staged
 from tests.llm.conftest import ALNUM, words
@@ -17,7 +19,7 @@ def test_stages(spark, small):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
-    found = groups(kept)
+    found = groups(kept, 5, 80)
     kept = [(i, t) for i, t in kept if found[i][1] == i]
     hit = contaminated(kept, items)
     kept = [(i, t) for i, t in kept if not hit[i][1]]
@@ -74,3 +76,20 @@ def test_rows_without_or_with_repeated_ids(spark, small):
     got = sorted(((r["doc_id"], r["text"]) for r in cur.collect()), key=str)
     want = [(5, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, 'set token = "[SECRET]" here'), (8, text("f"))]
     assert got == sorted(want, key=str)
+
+
+def test_tables_of_odd_forms(spark, small, tricky):
+    import corpus_pipeline
+
+    odd = tricky.withColumns({c: F.lit("mine") for c in ("_text", "_row", "_doc", "key", "set", "row", "lang_pred", "count", "spans", "flags")})
+    for docs in (odd, odd.where("false"), tricky.where("text is null")):
+        cur = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            cur = staged(stage(spark, cur, small), name)
+            assert cur.columns == docs.columns
+            if "_text" in cur.columns:
+                assert cur.where("_text <> 'mine' or _row <> 'mine' or _doc <> 'mine'").count() == 0
+        ids = sorted(r["doc_id"] for r in cur.collect())
+        # 7 and 8 (twice) repeat 6, 10 is near 9, 14 near 13; 1, 2, 3 and 12 have no letter
+        assert ids == ([4, 5, 6, 9, 11, 13, 15] if docs is odd else [])
+        assert (corpus_pipeline.STAGES[-1][1](spark, cur, small).count() > 0) == bool(ids)
