@@ -42,7 +42,7 @@ from fieldloom.llm.components import connected
 N = 3
 PERCENT = 90
 #: Sets, and members of sets in all, that one task joins in a tree; larger blocks are split.
-BLOCK_SETS = 512
+BLOCK_SETS = 2048
 BLOCK_MEMBERS = 4_000_000
 #: Rounds of comparing with centres before what is left is joined key by key.
 CENTRE_ROUNDS = 1

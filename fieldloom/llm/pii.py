@@ -1,18 +1,24 @@
 """Format-preserving pseudonyms for personal numbers, dates and mail addresses.
 
 A value is found by its form and only taken if it is valid (Luhn, IBAN check digits, octets, calendar days, issued number
-ranges). It is read as a number of a mixed radix whose places are its digits and letters, sent through a keyed Feistel
-permutation of exactly that many numbers (cycle walking), and written back in its own form with its check digits made anew. So
-a pseudonym has its value's format, equal values have equal pseudonyms in all documents however they are separated, and
-different values have different ones.
-
-Edge cases: a null text stays null, an empty one empty, each with no findings; overlapping forms go to the first in the list of
-forms; repeated values are each replaced; columns of other names are kept or ignored as the caller selects.
+ranges). It is read as a number of a mixed radix whose places are its digits and letters, sent one step along a keyed cycle
+through exactly that many numbers (a Feistel permutation, one step on, and back; invalid results are walked over), and written
+back in its own form with its check digits made anew. So a pseudonym has its value's format and is never the value itself, equal
+values have equal pseudonyms in all documents however they are separated, and different values have different ones. The key is
+the caller's: whoever has it can undo the pseudonyms.
+
+Bounds of the forms: dates from 1900 to 2099, in figures or with the months of four languages; national telephone numbers of 7 to
+12 digits (15 behind a country code); cards of 13 to 19 digits; IBANs of the registry's countries and lengths.
+
+Edge cases: a null text stays null, an empty one empty, each with no findings; a text may be of any length, as all searches are
+linear in it; overlapping forms go to the first kind in the order mail, IBAN, numbers, worded dates; repeated values are each
+replaced; repeated and null ids keep their own texts; an empty table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -25,10 +31,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-DEFAULT_KEY = b"fieldloom pseudonyms"
 
 #: Names of months in dates, lengths of IBANs by country (the whole registry), and country codes of telephone numbers.
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTHS = {
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
     "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
@@ -39,42 +49,66 @@ IBAN_LENGTHS = {
 _CALLING = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")  # no code begins another
 
 
+def _feistel(x: int, a: int, key: bytes, tweak: bytes, order: range) -> int:
+    """Rounds on two halves modulo a, in the given order; in the opposite order, undone."""
+    size, sign = (a.bit_length() + 7) // 8, 1 if order.step > 0 else -1
+    left, right = divmod(x, a)
+    for i in order:
+        if sign < 0:
+            left, right = right, left
+        f = blake2b(tweak + bytes((0, i)) + right.to_bytes(size, "big"), key=key, digest_size=min(64, size + 8)).digest()
+        left = (left + sign * int.from_bytes(f, "big")) % a
+        if sign > 0:
+            left, right = right, left
+    return left * a + right
+
+
 @lru_cache(1 << 14)
 def permute(x: int, n: int, key: bytes, tweak: bytes) -> int:
-    """A permutation of 0 .. n-1: Feistel rounds on two halves modulo the root of n, walked until the result is below n."""
+    """The number after x on a keyed cycle through 0 .. n-1, so never x itself unless n is 1."""
     if n < 2:
         return x
     a = isqrt(n - 1) + 1
-    size = (a.bit_length() + 7) // 8
-    while True:
-        left, right = divmod(x, a)
-        for i in range(ROUNDS):
-            f = blake2b(tweak + bytes((0, i)) + right.to_bytes(size, "big"), key=key, digest_size=min(64, size + 8)).digest()
-            left, right = right, (left + int.from_bytes(f, "big")) % a
-        x = left * a + right
-        if x < n:
-            return x
 
+    def walk(x: int, order: range) -> int:
+        while (x := _feistel(x, a, key, tweak, order)) >= n:
+            pass
+        return x
+
+    return walk((walk(x, range(ROUNDS)) + 1) % n, range(ROUNDS - 1, -1, -1))
 
-_LATIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0xDF, 0xF7))) + "".join(map(chr, range(0xF8, 0x100))), "".join(map(chr, range(0xC0, 0xD7))) + "".join(map(chr, range(0xD8, 0xDF)))]
+
+_LATIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _PLACES = {c: (s, i) for s in _LATIN for i, c in enumerate(s)}
 
 
+@lru_cache(1 << 12)
+def _alphabet(page: int, kind: str) -> str:
+    return "".join(c for c in map(chr, range(page << 8, (page + 1) << 8)) if unicodedata.category(c) == kind)
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    """(the characters that c may become, c's place among them): ASCII by class; others by kind among 256 neighbours."""
+    if c in _PLACES:
+        return _PLACES[c]
+    if c < "\x80" or (kind := unicodedata.category(c)) not in ("Ll", "Lu", "Lo", "Nd"):
+        return None
+    return (s := "".join(x for x in _alphabet(ord(c) >> 8, kind) if x >= "\x80")), s.index(c)
+
+
 def permute_text(value: str, key: bytes, tweak: bytes, valid: Callable[[str], bool] = lambda _: True) -> str:
     """The value with its digits and letters permuted within their classes, all else in place; walks on to a valid result."""
     while True:
         x, n = 0, 1
         for c in value:
-            if c in _PLACES:
-                alphabet, i = _PLACES[c]
-                x, n = x * len(alphabet) + i, n * len(alphabet)
+            if found := _place(c):
+                x, n = x * len(found[0]) + found[1], n * len(found[0])
         x = permute(x, n, key, tweak)
         out = []
         for c in reversed(value):
-            if c in _PLACES:
-                alphabet = _PLACES[c][0]
-                x, i = divmod(x, len(alphabet))
-                c = alphabet[i]
+            if found := _place(c):
+                x, i = divmod(x, len(found[0]))
+                c = found[0][i]
             out.append(c)
         value = "".join(reversed(out))
         if valid(value):
@@ -99,7 +133,7 @@ def _card(m: re.Match, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", m[0])
     if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    body = permute_text(digits[:-1], key, b"card%d" % len(digits), lambda v: len(set(v)) > 1)
+    body = permute_text(digits[:-1], key, b"card%d" % len(digits), lambda v: len(set(v + luhn_digit(v))) > 1)
     return _refill(m[0], body + luhn_digit(body))
 
 
@@ -160,13 +194,26 @@ def _numeric_date(m: re.Match, key: bytes) -> str | None:
     return new and f"{new.month:02d}{s}{new.day:02d}{s}{new.year:04d}"
 
 
+_BY_NAME: dict[str, list[tuple[str, int]]] = {}
+for _language, _names in MONTHS.items():
+    for _i, _name in enumerate(_names):
+        _BY_NAME.setdefault(_name.lower(), []).append((_language, _i))
+
+
 def _worded_date(m: re.Match, key: bytes) -> str | None:
-    month = next(i for i, n in enumerate(MONTHS, 1) if n[:3] == (m["mb"] or m["ma"])[:3])
-    new = _day(int(m["yb"] or m["ya"]), month, int(m["db"] or m["da"]), key)
+    name = m["month"] or m["first"]
+    usual = "es" if m["of1"] else "de" if m["dot"] == "." else "fr" if m["dot"] or name.islower() else "en"
+    known = dict(_BY_NAME[name.lower()])
+    language = usual if usual in known else next(iter(known))
+    new = _day(int(m["year"] or m["year1"]), known[language] + 1, int(m["day"] or m["day1"]), key)
     if not new:
         return None
-    name = MONTHS[new.month - 1]
-    return f"{new.day} {name} {new.year}" if m["mb"] else f"{name} {new.day}, {new.year}"
+    word = MONTHS[language][new.month - 1]
+    word = word.upper() if name.isupper() else word.capitalize() if name[0].isupper() else word.lower()
+    if m["first"]:
+        return f"{word} {new.day}, {new.year}"
+    dot = (m["dot"] or "") if m["dot"] != "er" or new.day == 1 else ""
+    return f"{new.day}{dot} {m['of1'] or ''}{word} {m['of2'] or ''}{new.year}"
 
 
 def _mail(m: re.Match, key: bytes) -> str | None:
@@ -183,29 +230,35 @@ _NUMBERS = re.compile(
 )
 _PLAIN_CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
 _DIGITS = re.compile(r"\d+")
-_RUN = re.compile(r"[+(\d][\d ().+/-]{5,}\d")
+_RUN = re.compile(r"[\d ().+/-]{7,}+")
 _IBAN_FORMS = (rf"(?:{'|'.join(c for c, k in IBAN_LENGTHS.items() if k == n)})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in sorted(set(IBAN_LENGTHS.values())))
 _IBAN = re.compile(rf"\b(?=[A-Z]{{2}}\d\d)(?:{'|'.join(_IBAN_FORMS)})\b")
-_WORDED = re.compile(rf"\b(?:(?P<db>\d{{1,2}}) (?P<mb>{'|'.join(MONTHS)}) (?P<yb>\d{{4}})|(?P<ma>{'|'.join(MONTHS)}) (?P<da>\d{{1,2}}), (?P<ya>\d{{4}}))\b")
-_MAIL = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
+_NAMES = "|".join(sorted({n for names in MONTHS.values() for n in names}, key=lambda n: (-len(n), n)))
+_WORDED = re.compile(rf"\b(?:(?P<day>\d{{1,2}})(?P<dot>\.|er)? (?P<of1>de )?(?P<month>(?i:{_NAMES})) (?P<of2>de )?(?P<year>\d{{4}})|(?P<first>(?i:{_NAMES})) (?P<day1>\d{{1,2}}), (?P<year1>\d{{4}}))\b")
+_MAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")
 _HOW = {"date": _numeric_date, "address": _address, "social": _social, "phone": _phone, "card": _card}
 
 
-def _found(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym), not in order, perhaps overlapping; earlier ones have precedence."""
+Finding = tuple[int, int, str, str]  # start, end, kind, pseudonym
+
+
+def _mails(text: str, key: bytes) -> Iterator[Finding]:
     if "@" in text:
         for m in _MAIL.finditer(text):
-            if new := _mail(m, key):
-                yield m.start(), m.end(), "mail", new
+            yield m.start(), m.end(), "mail", _mail(m, key)
+
+
+def _ibans(text: str, key: bytes) -> Iterator[Finding]:
     at = 0
     while m := _IBAN.search(text, at):
         at = m.start() + 1  # behind one that isn't valid, another may begin within
         if new := _iban(m, key):
             yield m.start(), m.end(), "iban", new
             at = m.end()
-    dated = False
+
+
+def _numbers(text: str, key: bytes) -> Iterator[Finding]:
     for run in _RUN.finditer(text):
-        dated = True
         at, hi = run.span()
         while m := _NUMBERS.search(text, at, min(len(text), hi + 2)):
             kind = m.lastgroup if m.lastgroup in _HOW else next(k for k in _HOW if m[k] is not None)
@@ -216,24 +269,28 @@ def _found(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
                 at = m.end()
                 continue
             first = _DIGITS.search(text, m.start())  # not one number: look at its first group alone, then go on behind it
-            if kind != "card" or len(first[0]) == len(m[0]):
-                pass
-            elif (p := _PLAIN_CARD.match(text, m.start())) and (new := _card(p, key)):
+            if kind == "card" and len(first[0]) < len(m[0]) and (p := _PLAIN_CARD.match(text, m.start())) and (new := _card(p, key)):
                 yield p.start(), p.end(), "card", new
             at = first.end()
-    if dated or any(month in text for month in MONTHS):
-        for m in _WORDED.finditer(text):
-            if new := _worded_date(m, key):
-                yield m.start(), m.end(), "date", new
 
 
-def pseudonymise(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
+def _worded(text: str, key: bytes) -> Iterator[Finding]:
+    for m in _WORDED.finditer(text):
+        if new := _worded_date(m, key):
+            yield m.start(), m.end(), "date", new
+
+
+def pseudonymise(text: str, key: bytes) -> tuple[str, list[Finding]]:
     """(the text with its values replaced, findings in order: start and end in the given text, kind and pseudonym)."""
-    taken: list[tuple[int, int, str, str]] = []
-    for f in _found(text, key):
-        if all(f[1] <= t[0] or f[0] >= t[1] for t in taken):
-            taken.append(f)
-    taken.sort()
+    taken: list[Finding] = []
+    for find in (_mails, _ibans, _numbers, _worded):
+        at, free = 0, []
+        for f in find(text, key):  # both are in order and free of overlaps, so one walk along them is enough
+            while at < len(taken) and taken[at][1] <= f[0]:
+                at += 1
+            if at == len(taken) or f[1] <= taken[at][0]:
+                free.append(f)
+        taken = sorted(taken + free) if free else taken
     out, at = [], 0
     for s, e, _, new in taken:
         out += [text[at:s], new]
@@ -241,8 +298,8 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[i
     return "".join([*out, text[at:]]), taken
 
 
-def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: bytes = DEFAULT_KEY) -> DataFrame:
-    """key, text with pseudonyms and findings (kind, start, end, pseudonym)."""
+def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """With secret, a key of 1 to 64 bytes: key, text with pseudonyms and findings (kind, start, end, pseudonym)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pseudonym", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
+from secrets import token_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@cache
+def _fresh_key() -> bytes:
+    return token_bytes(32)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.replace(table(spark, sf_dir, "documents"))
+    """The key is that of the session's setting spark.fieldloom.pseudonym.key (hexadecimal), or else a fresh one for this driver."""
+    named = spark.conf.get("spark.fieldloom.pseudonym.key", "")
+    found = pii.replace(table(spark, sf_dir, "documents"), bytes.fromhex(named) if named else _fresh_key())
     return found.select("doc_id", "text", F.size("findings").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["kind"]))), ",").alias("kinds"))
 
 
