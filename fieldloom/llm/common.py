@@ -62,6 +62,12 @@ def labelled_sample(df: DataFrame, key: str, label: str, per_label: int) -> Data
     return df.join(F.broadcast(share), label).where(unit < F.col("_share")).drop("_share")
 
 
+def window_of(text: str, key: str, most: int) -> F.Column:
+    """The text, or of a longer one `most` characters from a place that the key's hash picks: what a bounded sample may hold."""
+    t = F.col(text)
+    return F.substring(t, (F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.greatest(F.length(t) - most + 1, F.lit(1))) + 1).cast("int"), F.lit(most))
+
+
 def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int) -> DataFrame:
     """Inner join of left with right, which has one row a key (of one or more columns) and in `count` the number of left rows with that key.
 

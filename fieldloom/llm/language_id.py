@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import U64, labelled_sample, text_blocks
+from fieldloom.llm.common import U64, labelled_sample, text_blocks, window_of
 
 UND = "und"
 TRIGRAM_BITS = 16
@@ -90,9 +90,10 @@ class LanguageModel:
         return kernel_rows(data, offsets, self.columns, self.bounds) @ self.weights
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, landmarks: int = 240, ridge: float = 1e-3) -> LanguageModel | None:
-    """Fits on at most about per_language labelled texts of each language, of which at most `landmarks` in all are landmarks."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, landmarks: int = 240, ridge: float = 1e-3, most: int = 1 << 16) -> LanguageModel | None:
+    """Fits on at most about per_language labelled texts of each language (of longer ones on windows of `most` characters), of which
+    at most `landmarks` in all are landmarks."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), window_of(text, key, most).alias("t"), F.col(lang).alias("l"))
     sample = labelled_sample(rows, "k", "l", per_language).orderBy("k").toArrow()
     if not sample.num_rows:
         return None

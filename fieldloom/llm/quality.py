@@ -4,8 +4,8 @@ A text is cut into overlapping chunks that cover all of it. In each chunk learne
 and are max-pooled; a dense layer turns the chunk's values into hidden units, and the mean and the maximum of these over all
 chunks give one probability.
 
-Edge cases: null and empty texts count as one chunk of padding and get the score learned for it. Equal texts get equal scores.
-A table without labelled rows yields score 0.5 for all rows. Columns of other names are ignored.
+Edge cases: null and empty texts count as one chunk of padding and get the score learned for it. Equal texts get equal scores,
+also of repeated and null ids. Texts may be of any length: a few thousand chunks are held at a time. A table without labelled rows yields score 0.5 for all rows. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import labelled_sample, text_blocks
+from fieldloom.llm.common import labelled_sample, text_blocks, window_of
 
 CHUNK = 256
 WIDTH = 8
@@ -26,6 +26,8 @@ STEP = 2
 OVERLAP = 16
 POSITIONS = (CHUNK - WIDTH) // STEP + 1
 PAD = 256
+#: Chunks that are cut out at a time.
+SLAB = 2048
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -37,18 +39,27 @@ def chunk_starts(n: int) -> np.ndarray:
     return starts
 
 
-def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks x CHUNK bytes as numbers to 256, row of each chunk)."""
-    sizes = np.diff(offsets)
+def chunk_plan(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each chunk in its text, row of each chunk)."""
     starts = [chunk_starts(int(n)) for n in sizes]
-    row = np.repeat(np.arange(len(sizes)), [len(s) for s in starts])
-    first = np.concatenate(starts)
+    return np.concatenate(starts), np.repeat(np.arange(len(sizes)), [len(s) for s in starts])
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """chunks x CHUNK bytes as numbers to 256, for chunks of a plan."""
     inside = first[:, None] + np.arange(CHUNK)
-    good = inside < sizes[row][:, None]
-    padded = np.append(data, np.uint8(0)).astype(np.int16)
-    out = padded[np.where(good, inside + offsets[row][:, None], len(data))]
+    good = inside < np.diff(offsets)[row][:, None]
+    if not len(data):
+        return np.full(inside.shape, PAD, np.int16)
+    out = data[np.where(good, inside + offsets[row][:, None], 0)].astype(np.int16)
     out[~good] = PAD
-    return out, row
+    return out
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all chunks, row of each chunk)."""
+    first, row = chunk_plan(np.diff(offsets))
+    return cut(data, offsets, first, row), row
 
 
 @dataclass
@@ -90,17 +101,18 @@ class ByteNetwork:
 
     def head(self, peak: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
         """(probability by row, and what training needs). row: sorted, every row has a chunk."""
-        hidden = np.maximum(peak @ self.dense + self.dense_bias, 0)
+        hidden = np.maximum(np.einsum("cf,fh->ch", peak, self.dense) + self.dense_bias, 0)  # unlike BLAS, alike for any number of rows
         first = np.searchsorted(row, np.arange(rows))
         count = np.diff(np.append(first, len(row)))[:, None]
         mean, most = np.add.reduceat(hidden, first) / count, np.maximum.reduceat(hidden, first)
         both = np.concatenate([mean, most], 1)
-        return 1 / (1 + np.exp(-np.clip(both @ self.out + self.out_bias, -30, 30))), both, hidden, count, most
+        return 1 / (1 + np.exp(-np.clip((both * self.out).sum(1) + self.out_bias, -30, 30))), both, hidden, count, most
 
     def score(self, data: np.ndarray, offsets: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
         tables = self.tables() if tables is None else tables
-        chunks, row = chunks_of(data, offsets)
-        return self.head(self.largest(chunks, tables), row, len(offsets) - 1)[0]
+        first, row = chunk_plan(np.diff(offsets))
+        peak = [self.largest(cut(data, offsets, first[a : a + SLAB], row[a : a + SLAB]), tables) for a in range(0, len(row), SLAB)]
+        return self.head(np.concatenate(peak), row, len(offsets) - 1)[0]
 
 
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 14, batch: int = 32, per_text: int = 6, rate: float = 0.01, seed: int = 5) -> ByteNetwork:
@@ -151,11 +163,11 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 1000) -> ByteNetwork | None:
-    """Fits on at most about per_label texts of each label. A key that is labelled more than once counts once, with its largest label."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 1000, most: int = 1 << 16) -> ByteNetwork | None:
+    """Fits on at most about per_label texts of each label, of longer ones on windows of `most` characters. A key that is labelled more than once counts once, with its largest label."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     picked = labelled_sample(known, "k", "y", per_label)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "k").orderBy("k").toArrow()
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(window_of(text, key, most), F.lit("")).alias("t")).join(F.broadcast(picked), "k").orderBy("k").toArrow()
     y = np.array(rows["y"].to_pylist(), np.float32)
     if not len(y) or y.min() == y.max():
         return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def test_tricky_scores(spark, tricky, labels, how):
 
 
 def test_maximal_segments_against_brute_force():
-    import numpy as np
-
     rng = np.random.default_rng(2)
     for _ in range(200):
         s = rng.integers(-4, 5, rng.integers(1, 14)).astype(float)
@@ -98,3 +97,80 @@ def test_passages_point_at_the_text(spark):
         for p in r["passages"]:
             part = texts[r["doc_id"]][p["start"] : p["end"]]
             assert part and part == part.strip() and p["score"] > 0
+
+
+def arrow(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+
+
+def plain_grams(text):
+    """Distinct byte n-grams of the text's classes of bytes, for n of 1 to 3."""
+    out = bytes(b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 128 else 32 for b in text.encode())
+    return [{out[i : i + n] for i in range(len(out) - n + 1)} for n in (1, 2, 3)]
+
+
+def test_language_scores_against_plain_kernel_ridge(spark, documents):
+    rows = [r for r in documents.where("text is not null and lang is not null and length(text) < 3000").select("doc_id", "text", "lang").limit(60).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, landmarks=60)
+    texts, labels = [r["text"] for r in rows], np.array([r["lang"] for r in rows])
+    grams = [plain_grams(t) for t in texts]
+
+    def kernel(a, b):
+        return sum(len(x & y) / np.sqrt(len(x) * len(y)) for x, y in zip(a, b, strict=True) if x and y) / 3
+
+    taken, marks = {}, []
+    each = 60 // len(set(labels))
+    for i in np.argsort([r["doc_id"] for r in rows]):  # the first of each language
+        if taken.get(labels[i], 0) < each:
+            taken[labels[i]] = taken.get(labels[i], 0) + 1
+            marks.append(i)
+    k = np.array([[kernel(a, grams[j]) for j in marks] for a in grams])
+    weight = np.array([len(labels) / len(set(labels)) / (labels == x).sum() for x in labels])
+    y = np.where(labels[:, None] == np.array(sorted(set(labels)))[None], 1.0, -1.0)
+    # ridge regression on the landmarks' kernel, solved in the coefficients of the landmarks
+    alpha = np.linalg.lstsq(k.T @ (weight[:, None] * k) + 1e-3 * len(labels) * k[marks], k.T @ (weight[:, None] * y), rcond=1e-10)[0]
+    got = model.score(*arrow(texts))
+    assert model.languages == sorted(set(labels)) and np.abs(got - k @ alpha).max() < 0.02  # trigrams are hashed to 16 bits
+    assert (got.argmax(1) == (k @ alpha).argmax(1)).all()
+
+
+def test_known_rows_are_those_with_a_language(spark, tricky):
+    model = language_id.fit(tricky)
+    odd = clash(tricky)
+    kept = language_id.known(odd, model)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in TRICKY if i not in (1, 2, 3, 12))
+    rows = [(None, "a b c"), (None, "12"), (1, None), (1, "x")]
+    assert sorted(language_id.known(spark.createDataFrame(rows, "doc_id long, text string"), model).collect(), key=str) == sorted([(1, "x"), (None, "a b c")], key=str)
+
+
+def test_quality_scores_against_a_plain_convolution():
+    net = quality.ByteNetwork.fresh(np.random.default_rng(3))
+    texts = ["", "a", "ab" * 127, "x" * 256, "é" * 200, "The quick brown fox. " * 60, "z" * 241, "0123456789" * 97]
+    got = net.score(*arrow(texts))
+    for text, score in zip(texts, got, strict=True):
+        b = list(text.encode())
+        hidden, covered = [], set()
+        for start in quality.chunk_starts(len(b)):
+            chunk = (b[start : start + quality.CHUNK] + [quality.PAD] * quality.CHUNK)[: quality.CHUNK]
+            covered |= set(range(start, min(len(b), start + quality.CHUNK)))
+            peak = []
+            for f in range(len(net.bias)):
+                peak.append(max(net.bias[f] + sum(float(net.embedding[chunk[p + w]] @ net.filters[w, :, f]) for w in range(quality.WIDTH)) for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP)))
+            hidden.append(np.maximum(np.array(peak) @ net.dense + net.dense_bias, 0))
+        both = np.concatenate([np.mean(hidden, 0), np.max(hidden, 0)])
+        assert covered == set(range(len(b)))
+        assert score == pytest.approx(1 / (1 + np.exp(-(both @ net.out + net.out_bias[0]))), abs=1e-5)
+
+
+def test_quality_of_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    net = quality.ByteNetwork.fresh(np.random.default_rng(3))
+    data = np.frombuffer(b"some words of a text " * 1_000_000, np.uint8)
+    tracemalloc.start()
+    whole = net.score(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= whole[0] <= 1 and peak < 100e6
