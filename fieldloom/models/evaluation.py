@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.quantiles import percentiles
 from fieldloom.operators.sequence import with_value_range
 
 # ---- weights ----
@@ -57,13 +59,14 @@ def log_loss(y: Column, p: Column) -> Column:
 
 
 def prediction_summary(rows: DataFrame, p: str) -> DataFrame:
-    q = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"))
+    one = rows.agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
+    q = percentiles(rows, p, (0.25, 0.5, 0.75))
+    return one.crossJoin(F.broadcast(q)).select("mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])  # one row each
 
 
 def calibration_table(rows: DataFrame, p: str, y: str, buckets: int = 10) -> DataFrame:
     """bucket, n, mean prediction and rate, in quantile buckets closed on the right; the edges are exact percentiles."""
-    edges = rows.agg(F.percentile(p, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("_edges"))
+    edges = percentiles(rows, p, [i / buckets for i in range(1, buckets)]).select(F.col("q").alias("_edges"))
     at = F.size(F.filter("_edges", lambda e: e < F.col(p)))
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("bucket", at.cast("int"))  # one row of edges
     return placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(y).alias("rate"))
@@ -126,13 +129,25 @@ def group_strata(rows: DataFrame, value: str = "xag", group: str = "match_id", t
     """group, rows, positives and bin: quantile bins, over rows, of the group's rate of positives."""
     rate = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) >= threshold).alias("n_pos"))
     rate = rate.withColumn("rate", F.col("n_pos") / F.col("n"))
-    edges = rows.select(group).join(rate, group).agg(F.percentile("rate", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges"))
+    edges = percentiles(rate, "rate", [i / bins for i in range(1, bins)], weight="n").select(F.col("q").alias("_edges"))
     bin_ = F.size(F.filter("_edges", lambda e: e <= F.col("rate")))
     return rate.crossJoin(F.broadcast(edges)).select(group, "n", "n_pos", bin_.cast("int").alias("bin"))  # one row of edges
 
 
-def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "match_id", threshold: float = 0.1, splits: int = 5, bins: int = 5) -> DataFrame:
-    """group and fold from 1: groups go, the most uneven first, where the bins' shares over folds stay most alike."""
+def stratified_folds(rows: DataFrame, y: str, key: Sequence[str], splits: int = 5, seed: int = 42) -> DataFrame:
+    """rows with fold from 0: the rows of each value of y are dealt out in turn, in an order drawn by the seed. They are numbered by
+    ranges of that order, so a frequent value is many tasks' work."""
+    h = rows.withColumn("_h", F.xxhash64(*key, F.lit(seed))).withColumn("_part", F.pmod(F.shiftright("_h", 40), F.lit(256)))
+    parts = h.groupBy(F.col(y).alias("_y"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = parts.select("_y", "_part", (F.sum("_n").over(Window.partitionBy("_y").orderBy("_part")) - F.col("_n")).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(y, "_part").orderBy("_h", *key)) - 1
+    placed = h.withColumn("_at", inside).withColumnRenamed("_part", "_of").join(F.broadcast(offsets), F.col(y).eqNullSafe(F.col("_y")) & (F.col("_of") == F.col("_part")))  # 256 rows a value
+    return placed.withColumn("fold", F.pmod(F.col("_at") + F.col("_offset"), F.lit(splits)).cast("int")).select(*rows.columns, "fold")
+
+
+def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "match_id", threshold: float = 0.1, splits: int = 5, bins: int = 5, seed: int | None = None) -> DataFrame:
+    """group and fold from 1: groups go, the largest first, where the bins' shares over folds stay most alike. With a seed, groups
+    of one size go in an order drawn by it."""
     strata = group_strata(rows, value, group, threshold, bins).collect()  # one row a group
     total = [max(1, sum(r["n"] for r in strata if r["bin"] == b)) for b in range(bins)]
     have = [[0.0] * bins for _ in range(splits)]
@@ -146,7 +161,8 @@ def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "ma
             out += math.sqrt(sum((s - mean) ** 2 for s in shares) / splits)
         return out
 
-    for r in sorted(strata, key=lambda r: (-r["n"], str(r[group]))):
+    drawn = lambda r: str(r[group]) if seed is None else hashlib.md5(f"{seed}-{r[group]}".encode()).hexdigest()
+    for r in sorted(strata, key=lambda r: (-r["n"], drawn(r))):
         f = min(range(splits), key=lambda i: (round(spread(i, r), 12), sum(have[i]), i))
         have[f][r["bin"]] += r["n"]
         placed.append((r[group], f + 1))

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.columns import ratio
+from fieldloom.operators.encoding import empirical_position
+from fieldloom.operators.quantiles import percentiles
 from fieldloom.operators.sequence import KEY
 
 #: Kinds of action by group, and the groups that start from a dead ball.
 GROUPS = {"pass": ("pass",), "cross": ("cross",), "carry": ("carry",), "dribble": ("dribble", "take_on"), "free_kick": ("freekick_crossed",), "corner": ("corner_crossed",)}
 DEAD_BALL = ("corner", "free_kick")
+#: Bounds of the penalty by group.
+PENALTY_BOUNDS = {"pass": (-0.3, 0.6), "cross": (-0.6, 2.0), "dribble": (-0.6, 2.0), "carry": (-0.6, 2.0), "corner": (-1.5, 3.0), "free_kick": (-1.5, 3.0)}
 
 
 def action_group(kind: str = "type_name") -> Column:
@@ -30,29 +34,43 @@ def with_components(actions: DataFrame) -> DataFrame:
 
 
 def fold_moments(rows: DataFrame, value: str = "xt_learned_start") -> DataFrame:
-    """group, fold, mean and population standard deviation over the other folds, from count, sum and sum of squares."""
-    parts = rows.groupBy("group", "fold").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    """group, fold, mean and population standard deviation over the other folds, from count, sum and sum of squares. Rows without a
+    fold are new ones: they count for none, and theirs are the values over all folds, under the fold null."""
+    parts = rows.where(F.col("fold").isNotNull()).groupBy("group", "fold").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
     w = Window.partitionBy("group")
     other = lambda c: F.sum(c).over(w) - F.col(c)
-    parts = parts.select("group", "fold", other("n").alias("n"), other("s").alias("s"), other("q").alias("q")).where("n > 0")
+    whole = parts.groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).withColumn("fold", F.lit(None).cast(parts.schema["fold"].dataType))
+    parts = parts.select("group", "fold", other("n").alias("n"), other("s").alias("s"), other("q").alias("q")).where("n > 0").unionByName(whole)
     mean = F.col("s") / F.col("n")
     return parts.select("group", "fold", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def fold_medians(rows: DataFrame, folds: list[int], value: str = "xt_learned_start") -> DataFrame:
-    """group, fold, median and median absolute deviation over the other folds. These can't be taken apart, so each row is sent
-    to each of the few other folds."""
+    """group, fold, median and median absolute deviation over the other folds. These can't be taken apart, so the counts of values
+    (not the rows) are sent to each of the few other folds."""
     others = F.explode(F.array(*[F.lit(f) for f in folds]))
-    copies = rows.select("group", F.col("fold").alias("own"), F.col(value).alias("v")).withColumn("fold", others).where("own <> fold")
-    median = copies.groupBy("group", "fold").agg(F.percentile("v", 0.5).alias("median"))
-    away = copies.join(F.broadcast(median), ["group", "fold"])  # groups times folds rows
-    return away.groupBy("group", "fold").agg(F.first("median").alias("median"), F.percentile(F.abs(F.col("v") - F.col("median")), 0.5).alias("mad"))
-
-
-def with_scaled_failure(rows: DataFrame, moments: DataFrame) -> DataFrame:
-    """fail_scaled: the failure's weight times its value in standard deviations of the other folds."""
-    centred = (F.col("xt_learned_start") - F.col("mean")) / F.when(F.col("std") > 1e-6, F.col("std")).otherwise(1.0)
-    return rows.join(F.broadcast(moments), ["group", "fold"]).withColumn("fail_scaled", F.col("fail_weight") * centred)
+    counts = rows.where(F.col(value).isNotNull()).groupBy("group", F.col("fold").alias("own"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    copies = counts.withColumn("fold", others).where("own <> fold").groupBy("group", "fold", "v").agg(F.sum("n").alias("n"))
+    median = percentiles(copies, "v", (0.5,), ("group", "fold"), "n").select("group", "fold", F.col("q")[0].alias("median"))
+    away = copies.join(F.broadcast(median), ["group", "fold"]).withColumn("off", F.abs(F.col("v") - F.col("median")))  # groups times folds rows
+    mad = percentiles(away, "off", (0.5,), ("group", "fold"), "n").select("group", "fold", F.col("q")[0].alias("mad"))
+    return median.join(F.broadcast(mad), ["group", "fold"])
+
+
+def with_scaled_failure(rows: DataFrame, moments: DataFrame, value: str = "xt_learned_start") -> DataFrame:
+    """fail_scaled: the failure's weight times its centred value. A pass is centred by its empirical position among all passes with
+    a fold; other actions are put in standard deviations of their group over the other folds, or, where the group has no others
+    or no spread, of all actions with a fold."""
+    known = F.col("fold").isNotNull()
+    overall = rows.where(known).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    passes = empirical_position(rows.where(F.col("group") == "pass"), value, known)
+    passes = passes.withColumn("fail_scaled", F.col("fail_weight") * F.col("centred"))
+    own = moments.select(F.col("group").alias("_g"), F.col("fold").alias("_f"), "mean", "std")
+    others = rows.where(F.col("group") != "pass").join(F.broadcast(own), (F.col("group") == F.col("_g")) & F.col("fold").eqNullSafe(F.col("_f")), "left").crossJoin(F.broadcast(overall))  # groups times folds rows, one row
+    spread = F.when(F.col("_std") >= 1e-6, F.col("_std")).otherwise(1.0)
+    centred = (F.col(value) - F.coalesce("mean", "_mean")) / F.when(F.col("std") > 1e-6, F.col("std")).otherwise(spread)
+    others = others.withColumn("fail_scaled", F.col("fail_weight") * centred)
+    return passes.select(*rows.columns, "fail_scaled").unionByName(others.select(*rows.columns, "fail_scaled"))
 
 
 def component_sums(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators.sequence import KEY
+from fieldloom.operators.quantiles import percentiles
+from fieldloom.operators.sequence import KEY, with_value_range
 
 #: Titles by group (all others are rare), and the names of bands.
 TITLES = {"Mr": "Mr", "Mrs": "Mrs", "Miss": "Miss", "Master": "Master", "Mlle": "Miss", "Ms": "Mrs", "Mme": "Mrs"}
@@ -31,7 +32,7 @@ def band(value: Column, edges: tuple[float, ...] = AGE_EDGES, names: tuple[str,
 
 def quartile_band(rows: DataFrame, column: str, out: str) -> DataFrame:
     """Name of the quarter by exact quartiles of the whole table, closed on the right; null stays null."""
-    edges = rows.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_edges"))
+    edges = percentiles(rows, column, (0.25, 0.5, 0.75)).select(F.col("q").alias("_edges"))
     at = F.size(F.filter("_edges", lambda e: e < F.col(column))) + 1
     name = F.when(F.col(column).isNotNull(), F.element_at(F.array(*[F.lit(n) for n in FARE_NAMES]), at))
     return rows.crossJoin(F.broadcast(edges)).withColumn(out, name).drop("_edges")  # one row of edges
@@ -44,9 +45,15 @@ def family(siblings: Column, parents: Column) -> dict[str, Column]:
 
 def impute(rows: DataFrame, how: dict[str, str | float]) -> DataFrame:
     """Missing values filled by `median`, `mean`, `mode` of the whole table (the smallest of equal modes) or by the given constant."""
-    stats = {c: F.percentile(c, 0.5) if m == "median" else F.avg(c) if m == "mean" else F.mode(c, True) for c, m in how.items() if m in ("median", "mean", "mode")}
-    if stats:
-        one = rows.agg(*[s.alias(f"_fill_{c}") for c, s in stats.items()])
+    stats = [c for c, m in how.items() if m in ("median", "mean", "mode")]
+    for c in stats:
+        if how[c] == "median":
+            one = percentiles(rows, c, (0.5,)).select(F.col("q")[0].alias(f"_fill_{c}"))
+        elif how[c] == "mean":
+            one = rows.agg(F.avg(c).alias(f"_fill_{c}"))
+        else:
+            counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            one = counts.agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(f"_fill_{c}"))
         rows = rows.crossJoin(F.broadcast(one))  # one row
     fill = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}") if c in stats else F.lit(how[c])) for c in how}
     return rows.withColumns(fill).drop(*[f"_fill_{c}" for c in stats])
@@ -77,3 +84,27 @@ def overlap(a: DataFrame, b: DataFrame, key: str = "match_id") -> DataFrame:
 
 def distinct_pairs(actions: DataFrame) -> DataFrame:
     return actions.select(*KEY).distinct()
+
+
+def categories(*tables: DataFrame, column: str, most: int = 1000) -> list:
+    """The values of a column in any of the tables, in order: one-hot columns are then the same in all of them. More than `most`
+    are an error, as each would be a column."""
+    all_rows = tables[0].select(column)
+    for t in tables[1:]:
+        all_rows = all_rows.unionByName(t.select(column))
+    found = [r[0] for r in all_rows.where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]  # at most `most` + 1 values
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
+def dictionary(rows: DataFrame, column: str) -> DataFrame:
+    """value and code from 0: the most frequent value first, ties in the order of values. Codes are summed up by ranges of
+    frequency, so that a column of very many values is many tasks' work."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    spread = with_value_range(counts, "_n")
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
+    after = Window.orderBy(F.desc("_part"))  # one row a range
+    offsets = sizes.select("_part", (F.sum("_k").over(after) - F.col("_k")).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_n"), column)) - 1
+    return spread.withColumn("_at", inside).join(F.broadcast(offsets), "_part").select(F.col(column).alias("value"), (F.col("_at") + F.col("_offset")).cast("long").alias("code"))

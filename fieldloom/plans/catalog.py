@@ -12,6 +12,7 @@ from fieldloom.models import blending, evaluation, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
 from fieldloom.plans.fusion import Block, credit, enrich, fuse, run
+from fieldloom.sources.staging import staged
 from fieldloom.sources.tables import actions, fingerprint, profile, targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,7 +255,7 @@ def edxt_components(spark, sf_dir):
 @query
 def edxt_fold_norm(spark, sf_dir):
     a = _components(spark, sf_dir)
-    return expected.fold_moments(a).join(expected.fold_medians(a, list(FOLDS)), ["group", "fold"])
+    return expected.fold_moments(a).where("fold is not null").join(expected.fold_medians(a, list(FOLDS)), ["group", "fold"])
 
 
 @query
@@ -265,7 +266,7 @@ def quantile_center(spark, sf_dir):
 
 def _penalties(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     a = _components(spark, sf_dir)
-    a = expected.with_scaled_failure(a, expected.fold_moments(a))
+    a = staged(expected.with_scaled_failure(a, expected.fold_moments(a)), "components")  # for the statistics and for the features
     return a, expected.penalty_statistics(expected.component_sums(a), goals(spark, sf_dir), evaluation.step_weight(F.col("xag")))
 
 
@@ -280,7 +281,7 @@ def edxt_features(spark, sf_dir):
     found: dict[str, list] = {}
     for r in stats.collect():  # groups times folds rows
         found.setdefault(r["group"], []).append(r)
-    return expected.expected_features(a, {g: expected.best_penalty(found[g]) for g in sorted(found)})
+    return expected.expected_features(a, {g: expected.best_penalty(found[g], *expected.PENALTY_BOUNDS[g]) for g in sorted(found)})
 
 
 # ---- encodings ----

@@ -236,7 +236,10 @@ _q["box_receiver_diversity"] = _REC + f", pr AS (SELECT * FROM rc WHERE {_BOX})"
 # ---- expected value ----
 _EX = _ACTIONS + _VALUED + """, x AS (SELECT *, type_name AS grp, CAST(substr(match_id,9,2) AS INT) % 5 + 1 AS fold, xpass_prob*xt AS success, (1-xpass_prob)*xt_start AS fail_raw, 1-xpass_prob AS fail_weight FROM v WHERE type_name IN ('pass','cross','carry')),
 gf AS (SELECT DISTINCT grp, fold FROM x), mo AS (SELECT gf.grp, gf.fold, avg(x.xt_start) AS mean, stddev_pop(x.xt_start) AS std FROM gf JOIN x ON x.grp=gf.grp AND x.fold<>gf.fold GROUP BY 1,2),
-y AS (SELECT x.*, x.fail_weight*(x.xt_start-mo.mean)/CASE WHEN mo.std>1e-6 THEN mo.std ELSE 1 END AS fail_scaled FROM x JOIN mo ON x.grp=mo.grp AND x.fold=mo.fold),
+al AS (SELECT avg(xt_start) AS mean, CASE WHEN stddev_pop(xt_start)>=1e-6 THEN stddev_pop(xt_start) ELSE 1 END AS std FROM x),
+pq AS (SELECT val, below, total FROM (SELECT xt_start AS val, sum(count(*)) OVER (ORDER BY xt_start) - count(*) AS below, sum(count(*)) OVER () AS total FROM x WHERE grp='pass' GROUP BY xt_start)),
+y AS (SELECT x.*, x.fail_weight*CASE WHEN x.grp='pass' THEN least(greatest((pq.below+0.5::DOUBLE)/pq.total,1e-6::DOUBLE),1-1e-6::DOUBLE)-0.5::DOUBLE ELSE (x.xt_start-coalesce(mo.mean,al.mean))/CASE WHEN mo.std>1e-6 THEN mo.std ELSE al.std END END AS fail_scaled
+  FROM x LEFT JOIN mo ON x.grp=mo.grp AND x.fold=mo.fold LEFT JOIN pq ON x.grp='pass' AND x.xt_start=pq.val, al),
 cs AS (SELECT match_id, player_id, grp, sum(success) AS success_sum, sum(fail_scaled) AS fail_scaled_sum, sum(fail_raw) AS fail_raw_sum, sum(fail_weight) AS fail_weight_sum, count(success) AS action_count FROM y GROUP BY 1,2,3)"""
 _q["edxt_components"] = _EX + ' SELECT match_id, player_id, grp AS "group", action_count, ' + ", ".join(f"round({c},6)+0.0 AS {c}" for c in ("success_sum", "fail_scaled_sum", "fail_raw_sum", "fail_weight_sum")) + " FROM cs"
 _q["edxt_fold_norm"] = _EX + """, md AS (SELECT gf.grp, gf.fold, quantile_cont(x.xt_start,0.5) AS median FROM gf JOIN x ON x.grp=gf.grp AND x.fold<>gf.fold GROUP BY 1,2), ma AS (SELECT md.grp, md.fold, max(median) AS median, quantile_cont(abs(x.xt_start-median),0.5) AS mad FROM md JOIN x ON x.grp=md.grp AND x.fold<>md.fold GROUP BY 1,2)

@@ -93,7 +93,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda m, n: F.pmod(F.col("event_id") * m, F.lit(n)).cast("double") / 10.0
     kind = F.when(F.col("event_type").isin("view", "click"), "pass").when(F.col("event_type") == "signup", "carry").when(F.col("event_type") == "error", "cross").otherwise("shot")
     return e.withColumn("sod", second).select(
-        F.col("event_id").alias("action_id"), F.date_format("ts", "yyyy-MM-dd").alias("match_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 2).alias("team_id"),
+        F.col("event_id").alias("action_id"), F.col("ts").cast("date").cast("string").alias("match_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 2).alias("team_id"),
         F.when(F.col("sod") < 43200, 1).otherwise(2).alias("period_id"), ((F.col("sod") % 43200).cast("double") / 16.0).alias("time_seconds"), kind.alias("type_name"),
         F.when(F.col("k") % 3 != 0, "success").otherwise("fail").alias("result_name"),
         place(37, 1051).alias("start_x"), place(53, 681).alias("start_y"), place(71, 1051).alias("end_x"), place(89, 681).alias("end_y"),
