@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -132,12 +133,38 @@ def apply_isotonic(rows: DataFrame, model, p: str, out: str, threshold: float =
     return done.withColumn(out, F.when(F.col(p) >= threshold, F.col("_calibrated")).otherwise(F.col(p))).drop("_calibrated")
 
 
+def calibrated_by_fold(rows: DataFrame, p: str, y: str, folds: Sequence[int], fold: str = "fold") -> DataFrame:
+    """p put through the rising step function of y over p of the other folds' rows."""
+    parts = [apply_isotonic(rows.where(F.col(fold) == f), fit_isotonic(rows.where(F.col(fold) != f), p, y, 0.0), p, "_new", 0.0).withColumn(p, F.col("_new")).drop("_new") for f in folds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_isotonic_threshold(rows: DataFrame, p: str, y: str, w: Column, candidates: Sequence[float] = tuple(i / 100 for i in range(5, 20)), weight: str | None = None) -> tuple[float, float, object]:
+    """(threshold, error, model): of a step function fitted over each threshold that any prediction reaches, the one of least error;
+    the lower threshold of equals."""
+    best = None
+    for t in candidates:
+        try:
+            model = fit_isotonic(rows, p, y, t, weight)
+        except ValueError:
+            continue
+        error = apply_isotonic(rows, model, p, "_new", t).agg(weighted_rmse(F.col(y), F.col("_new"), w).alias("e")).first()["e"]
+        if best is None or error < best[1]:
+            best = (t, error, model)
+    if best is None:
+        raise ValueError("no prediction reaches any threshold")
+    return best
+
+
+def fit_platt(rows: DataFrame, p: str, y: str):
+    return LogisticRegression(featuresCol="_v", labelCol=y, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(VectorAssembler(inputCols=[p], outputCol="_v").transform(rows))
+
+
+def apply_platt(rows: DataFrame, model, p: str, out: str) -> DataFrame:
+    done = model.transform(VectorAssembler(inputCols=[p], outputCol="_v").transform(rows))
+    return done.withColumn(out, vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c")
+
+
 def platt_by_fold(rows: DataFrame, p: str, y: str, folds: Sequence[int], fold: str = "fold", out: str = "calibrated") -> DataFrame:
     """Logistic calibration of each fold by the other folds' rows."""
-    vectors = VectorAssembler(inputCols=[p], outputCol="_v").transform(rows)
-    done = None
-    for f in folds:
-        model = LogisticRegression(featuresCol="_v", labelCol=y, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(vectors.where(F.col(fold) != f))
-        part = model.transform(vectors.where(F.col(fold) == f)).withColumn(out, vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c")
-        done = part if done is None else done.unionByName(part)
-    return done
+    return reduce(DataFrame.unionByName, [apply_platt(rows.where(F.col(fold) == f), fit_platt(rows.where(F.col(fold) != f), p, y), p, out) for f in folds])

@@ -17,8 +17,10 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.models.blending import hard_mixture, soft_mixture
+from fieldloom.models.blending import apply_platt, calibrated_by_fold, fit_platt, hard_mixture, platt_by_fold, soft_mixture
 from fieldloom.models.evaluation import weighted_rmse
+from fieldloom.operators.quantiles import percentiles
+from fieldloom.sources.staging import staged
 
 
 def with_vector(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -26,14 +28,15 @@ def with_vector(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], folds: Sequence[int], fold: str = "fold") -> DataFrame:
-    """Every row predicted by the model that didn't see its fold."""
+    """Every row predicted by the model that didn't see its fold. rows are written first: all fits and predictions read them."""
+    rows = staged(rows, "rows")
     parts = [fit(rows.where(F.col(fold) != f))(rows.where(F.col(fold) == f)) for f in folds]
     return reduce(DataFrame.unionByName, parts)
 
 
-def regressor(y: str, out: str, weight: str | None = None, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
+def regressor(y: str, out: str, weight: str | None = None, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, features: str = "features"):
     def fit(rows: DataFrame):
-        model = GBTRegressor(labelCol=y, featuresCol="features", predictionCol=out, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **({"weightCol": weight} if weight else {})).fit(rows)
+        model = GBTRegressor(labelCol=y, featuresCol=features, predictionCol=out, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **({"weightCol": weight} if weight else {})).fit(rows)
         return model.transform
 
     return fit
@@ -52,20 +55,25 @@ def classifier(y: str, out: str, weight: str | None = None, rounds: int = 20, de
     return fit
 
 
-def mixture_oof(rows: DataFrame, y: str, folds: Sequence[int], threshold: float = 0.1, weight: str | None = None, rounds: int = 10, least_rows: int = 100) -> DataFrame:
-    """gate, low and high: both experts predict every row, whatever its label, so no label reaches its own prediction."""
+def mixture_oof(rows: DataFrame, y: str, folds: Sequence[int], threshold: float = 0.1, weight: str | None = None, rounds: int = 10, least_rows: int = 100, calibrate: bool = True, high_features: Sequence[str] | None = None) -> DataFrame:
+    """gate, low and high: both experts predict every row, whatever its label, so no label reaches its own prediction. calibrate:
+    the gate goes through rising step functions of the other folds. high_features: what the high expert sees, instead of all."""
     rows = rows.withColumn("_high", (F.col(y) >= threshold).cast("double"))
 
-    def expert(part: Column, out: str):
+    def expert(part: Column, out: str, features: str = "features"):
         def fit(train: DataFrame):
             own = train.where(part)
-            return regressor(y, out, weight, rounds)(own if own.count() >= least_rows else train)
+            return regressor(y, out, weight, rounds, features=features)(own if own.count() >= least_rows else train)
 
         return fit
 
     rows = out_of_fold(rows, classifier("_high", "gate", weight, rounds), folds)
+    if calibrate:
+        rows = calibrated_by_fold(staged(rows, "gate"), "gate", "_high", folds)
     rows = out_of_fold(rows, expert(F.col("_high") == 0, "low"), folds)
-    rows = out_of_fold(rows, expert(F.col("_high") == 1, "high"), folds)
+    if high_features is not None:
+        rows = VectorAssembler(inputCols=list(high_features), outputCol="_few", handleInvalid="keep").transform(rows)
+    rows = out_of_fold(rows, expert(F.col("_high") == 1, "high", "features" if high_features is None else "_few"), folds).drop("_few")
     return rows.withColumns({"soft": soft_mixture(F.col("gate"), F.col("low"), F.col("high")), "hard": hard_mixture(F.col("gate"), F.col("low"), F.col("high"), 0.5)}).drop("_high")
 
 
@@ -95,17 +103,27 @@ def tweedie_oof(rows: DataFrame, y: str, folds: Sequence[int], power: float = 1.
 
 
 def success_probability(actions: DataFrame, features: Sequence[str], groups: Sequence[str], folds: Sequence[int], rounds: int = 8, least_groups: int = 2) -> DataFrame:
-    """xpass_prob by group of action, out of fold; a group within fewer than least_groups folds gets its own rate, or a half."""
+    """xpass_prob by group of action. Rows with a fold are predicted out of fold and calibrated by the other folds; new rows (fold
+    null) get the mean of all folds' models, calibrated by all predictions of rows with a fold after these were calibrated. A
+    group within fewer than least_groups folds gets its own rate, or a half."""
     done = []
-    rows = with_vector(actions.withColumn("_y", F.coalesce((F.col("result_name") == "success").cast("double"), F.lit(0.0))), features)
+    rows = staged(with_vector(actions.withColumn("_y", F.coalesce((F.col("result_name") == "success").cast("double"), F.lit(0.0))), features), "actions")
+    kept = F.least(F.greatest(F.col("xpass_prob"), F.lit(1e-4)), F.lit(1 - 1e-4))
     for g in groups:
-        part = rows.where(F.col("group") == g)
-        facts = part.agg(F.count_distinct("fold"), F.avg("_y")).first()
-        if facts[0] < least_groups:
-            done.append(part.withColumn("xpass_prob", F.lit(0.5 if facts[1] is None else float(facts[1]))))
-        else:
-            done.append(out_of_fold(part, classifier("_y", "xpass_prob", rounds=rounds, depth=3), folds))
-    return reduce(DataFrame.unionByName, done).drop("features", "_y")
+        known, new = (rows.where((F.col("group") == g) & c) for c in (F.col("fold").isNotNull(), F.col("fold").isNull()))
+        facts = known.agg(F.count_distinct("fold"), F.avg("_y")).first()
+        if facts[0] < least_groups or facts[1] in (0.0, 1.0):
+            done.append(known.unionByName(new).withColumn("xpass_prob", F.lit(0.5 if facts[1] is None else float(facts[1]))))
+            continue
+        here = [f for f in folds if not known.where(F.col("fold") == f).isEmpty()]
+        models = {f: classifier("_y", f"_p{f}", rounds=rounds, depth=3)(known.where(F.col("fold") != f)) for f in here}
+        raw = reduce(DataFrame.unionByName, [models[f](known.where(F.col("fold") == f)).withColumnRenamed(f"_p{f}", "_raw") for f in here])
+        raw = staged(platt_by_fold(staged(raw, "raw"), "_raw", "_y", here, out="xpass_prob"), "calibrated")
+        done.append(raw.drop("_raw"))
+        mean = reduce(lambda df, apply: apply(df), models.values(), new).withColumn("_raw", sum((F.col(f"_p{f}") for f in here), F.lit(0.0)) / len(here))
+        last = fit_platt(raw.select("_y", F.col("xpass_prob").alias("_raw")), "_raw", "_y")
+        done.append(apply_platt(mean, last, "_raw", "xpass_prob").drop("_raw", *[f"_p{f}" for f in here]))
+    return reduce(DataFrame.unionByName, done).withColumn("xpass_prob", kept).drop("features", "_y")
 
 
 def random_search(rows: DataFrame, y: str, folds: Sequence[int], trials: int = 5, seed: int = 42) -> list[dict]:
@@ -123,7 +141,7 @@ def monotone_violations(scored: DataFrame, feature: str, prediction: str, bucket
     """bucket of the feature, its mean prediction, and whether it is below the bucket before: at most `buckets` rows matter."""
     from pyspark.sql import Window
 
-    edges = scored.agg(F.percentile(feature, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("_e"))
+    edges = percentiles(scored, feature, [i / buckets for i in range(1, buckets)]).select(F.col("q").alias("_e"))
     placed = scored.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("_e", lambda e: e < F.col(feature))))  # one row of edges
     means = placed.groupBy("bucket").agg(F.avg(prediction).alias("mean_pred"))
     return means.withColumn("falls", F.coalesce(F.col("mean_pred") < F.lag("mean_pred").over(Window.orderBy("bucket")), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.columns import rounded, snap
+from fieldloom.functions.columns import rounded, select_columns, snap
 from fieldloom.models import blending, evaluation, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
@@ -104,9 +104,11 @@ def flip_coords(spark, sf_dir):
 @query
 def feature_table(spark, sf_dir):
     """Twenty blocks in one pass, beside their targets."""
-    make = [blocks.nstep_chain(), blocks.second_assist(), blocks.pass_geometry(), blocks.time_blocks(), blocks.zone_density(), blocks.zone_thirds(), blocks.basic_stats(), blocks.goal_count(), blocks.type_pivot(KINDS), blocks.success_rates(), blocks.attack_defence(), blocks.pass_to_shot(), blocks.progressive_pass(), blocks.progressive_carry(), blocks.gca_spatial(), blocks.linebreak_packing(), blocks.chain_quality(), blocks.box_entry(), blocks.attack_tempo(), blocks.vision()]
-    a = valued(spark, sf_dir)
-    return enrich(goals(spark, sf_dir), fuse(a, make))
+    return enrich(goals(spark, sf_dir), fuse(valued(spark, sf_dir), fused_blocks()))
+
+
+def fused_blocks(value: bool = True) -> list[Block]:
+    return [blocks.nstep_chain(value=value), blocks.second_assist(), blocks.pass_geometry(), blocks.time_blocks(), blocks.zone_density(), blocks.zone_thirds(), blocks.basic_stats(), blocks.goal_count(), blocks.type_pivot(KINDS), blocks.success_rates(), blocks.attack_defence(), blocks.pass_to_shot(), blocks.progressive_pass(), blocks.progressive_carry(), blocks.gca_spatial(), blocks.linebreak_packing(), blocks.chain_quality(), blocks.box_entry(), blocks.attack_tempo(), blocks.vision()]
 
 
 @query
@@ -210,7 +212,7 @@ def pass_entropy(spark, sf_dir):
 @query
 def pass_betweenness(spark, sf_dir):
     edges = network.weighted_edges(network.passer_chain(prepared(spark, sf_dir)))
-    return network.centrality(edges).select("match_id", "team_id", "player_id", "pass_net_betweenness", "pass_net_closeness")
+    return network.hop_centrality(edges)
 
 
 @query
@@ -220,7 +222,7 @@ def passnet_edges(spark, sf_dir):
 
 @query
 def passnet_centrality(spark, sf_dir):
-    return network.centrality(network.weighted_edges(network.received_passes(with_neighbours(prepared(spark, sf_dir), 1))), weighted=True)
+    return network.centrality(network.weighted_edges(network.received_passes(with_neighbours(prepared(spark, sf_dir), 1))))
 
 
 @query
@@ -440,16 +442,83 @@ def importance_topk(spark, sf_dir):
 # ---- models ----
 
 
+#: What sums up or contains the target itself (shots) is no feature of it.
+_OF_SHOTS = ("shot", "goal", "gca", "sca")
+
+
 def _model_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    wide = enrich(goals(spark, sf_dir), fuse(prepared(spark, sf_dir), [blocks.zone_density(), blocks.pass_geometry(), blocks.progressive_pass()]))
-    features = ["defensive_zone_actions", "attacking_zone_actions", "box_entries", "pass_dist_mean", "to_goal_dist_mean", "progressive_pass_count", "deep_completion_count"]
+    """Targets with all features of the fused table, as a vector."""
+    g = goals(spark, sf_dir)
+    wide = enrich(g, fuse(prepared(spark, sf_dir), fused_blocks(value=False)))
+    features = [c for c, t in wide.dtypes if c not in g.columns and t in ("double", "bigint", "int") and not any(x in c for x in _OF_SHOTS)]
     return trees.with_vector(wide.withColumn("w", evaluation.step_weight(F.col("xag"))), features), features
 
 
 @query
 def gbt_oof(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
-    return trees.out_of_fold(rows, trees.regressor("xag", "oof_pred", "w", rounds=5), FOLDS).select(*KEY, "fold", "xag", "oof_pred")
+    return trees.out_of_fold(rows, trees.regressor("xag", "oof_pred", "w"), FOLDS).select(*KEY, "fold", "xag", "oof_pred")
+
+
+@query
+def hurdle_oof(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    return trees.hurdle_oof(rows, "xag", FOLDS, rounds=5).select(*KEY, "fold", "xag", "chance", "hurdle")
+
+
+@query
+def mixture_oof(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    few = ["box_entries", "pass_dist_mean", "to_goal_dist_mean", "progressive_pass_count", "deep_completion_count"]
+    return trees.mixture_oof(rows, "xag", FOLDS, weight="w", rounds=5, high_features=few).select(*KEY, "fold", "xag", "gate", "low", "high", "soft", "hard")
+
+
+@query
+def log_oof(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    return trees.out_of_fold(rows, trees.log_regressor("xag", "oof_pred", "w", rounds=5), FOLDS).select(*KEY, "fold", "xag", "oof_pred")
+
+
+@query
+def tree_search(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    found = trees.random_search(staged(rows.where("fold <= 3"), "rows"), "xag", FOLDS[:3], trials=2)
+    return spark.createDataFrame([(i + 1, r["depth"], r["rounds"], r["rate"], r["wrmse"]) for i, r in enumerate(found)], "place int, depth int, rounds int, rate double, wrmse double")
+
+
+@query
+def blend_simplex(spark, sf_dir):
+    rows = _predictions(spark, sf_dir)
+    weights, error = blending.best_simplex_blend(blending.gram(rows, ["a", "b", "gate"], "xag", evaluation.step_weight(F.col("xag"))).first(), 3)
+    return spark.createDataFrame([(*weights, error)], "a double, b double, gate double, wrmse double")
+
+
+@query
+def isotonic_threshold(spark, sf_dir):
+    rows = _predictions(spark, sf_dir).withColumn("w", evaluation.step_weight(F.col("xag")))
+    threshold, error, _ = blending.best_isotonic_threshold(staged(rows, "rows"), "a", "xag", F.col("w"), weight="w")
+    return spark.createDataFrame([(threshold, error)], "threshold double, wrmse double")
+
+
+@query
+def edxt_pipeline(spark, sf_dir):
+    """Learned values, success probabilities out of fold, expected value by group and its team context, one after the other. Folds 1
+    to 4 are learned from; the fifth is new."""
+    a = prepared(spark, sf_dir)
+    fold = F.substring("match_id", 9, 2).cast("int") % 5 + 1
+    a = a.withColumn("fold", F.when(fold <= 4, fold))
+    a = value.with_learned_value(a, value.solve_values(value.transition_counts(a.where("fold is not null"))))
+    a = a.withColumn("group", expected.action_group()).where(F.col("group").isNotNull())
+    groups = [g for g in expected.GROUPS if g in ("pass", "cross", "carry")]  # the kinds that these events have
+    a = expected.with_components(trees.success_probability(a, ["start_x", "start_y", "end_x", "end_y", "time_seconds", "xt_learned_start"], groups, FOLDS[:4]))
+    a = staged(expected.with_scaled_failure(a, expected.fold_moments(a)), "components")
+    known = goals(spark, sf_dir).where("fold <= 4")
+    found: dict[str, list] = {}
+    for r in expected.penalty_statistics(expected.component_sums(a.where("fold is not null")), known, evaluation.step_weight(F.col("xag"))).collect():  # groups times folds rows
+        found.setdefault(r["group"], []).append(r)
+    wide = expected.expected_features(a, {g: expected.best_penalty(found[g], *expected.PENALTY_BOUNDS[g]) for g in sorted(found)})
+    sums = [c for c in wide.columns if c.endswith("_edxt_sum")]
+    return windows.team_context(goals(spark, sf_dir).select(*KEY, "squad").join(wide, list(KEY)), sums).drop("squad")
 
 
 @query
@@ -461,7 +530,7 @@ def tweedie_oof(spark, sf_dir):
 @query
 def xpass_model(spark, sf_dir):
     a = _components(spark, sf_dir).drop("xpass_prob")
-    return trees.success_probability(a, ["start_x", "start_y", "end_x", "end_y", "time_seconds"], ["pass", "cross"], FOLDS, rounds=3).select("action_id", "group", "xpass_prob")
+    return trees.success_probability(a, ["start_x", "start_y", "end_x", "end_y", "time_seconds"], ["pass", "cross", "carry"], FOLDS).select("action_id", "group", "xpass_prob")
 
 
 # ---- plain tables ----
@@ -489,6 +558,25 @@ def table_profile(spark, sf_dir):
     return profile(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
+@query
+def one_hot_union(spark, sf_dir):
+    """The columns of a category are those of both tables together."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    values = tabular.categories(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), column="o_orderpriority")
+    wide = encoding.one_hot(o, "o_orderpriority", values)
+    return wide.select("o_orderkey", *[F.col(f"o_orderpriority_{v}").alias(f"is_{v[0]}") for v in values])
+
+
+@query
+def dictionary_codes(spark, sf_dir):
+    return tabular.dictionary(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("part", F.col("l_partkey").cast("string")), "part")
+
+
+@query
+def selected_columns(spark, sf_dir):
+    return select_columns(actions(spark, sf_dir), prefixes=["start_"], keep=["action_id"])
+
+
 @query
 def table_fingerprint(spark, sf_dir):
     return fingerprint(spark.read.parquet(f"{sf_dir}/orders.parquet"))

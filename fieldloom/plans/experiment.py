@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from fieldloom.operators.sequence import KEY, one_direction, relevant
 from fieldloom.operators.tabular import age_years, union_tables
 from fieldloom.plans.fusion import enrich, fuse
 from fieldloom.sources import tables
-from fieldloom.sources.experiments import LEDGER, Settings, experiment_log, manifest
+from fieldloom.sources.experiments import LEDGER, Settings, experiment_log, git_revision, manifest
 
 TARGET = "xAG"
 
@@ -67,6 +68,9 @@ def run_experiment(spark: SparkSession, settings: Settings, out: str, exp_id: st
     metrics = {"cv_mean": m, "cv_std": (sum((e - m) ** 2 for e in by_fold.values()) / len(by_fold)) ** 0.5, "oof": oof.agg(error).first()[0], "features": len(names), "folds": by_fold}
     tables.write_json(manifest(exp_id, settings, metrics), f"{out}/metrics.json")
     tables.write_names(names, f"{out}/features.txt")
-    tables.append_ledger({"exp_id": exp_id, "method": "gbt", "metric": "wrmse", "seed": settings.seed, "notes": settings.notes} | metrics | {"folds": settings.folds}, f"{out}/ledger.csv", LEDGER)
+    line = {"exp_id": exp_id, "date": datetime.now(UTC).date().isoformat(), "git_sha": git_revision(), "cv_metric": "wrmse", "cv_mean": m, "cv_std": metrics["cv_std"], "seed": settings.seed, "n_splits": settings.folds, "cv_method": "group_kfold", "notes": settings.notes}
+    line |= {"split_id": tables.split_id("group_kfold", settings.folds, settings.seed), "data_rev": tables.fingerprint(tables.read_parquet(spark, f"{out}/features")).first()["fingerprint"]}
+    tables.append_ledger(line, f"{out}/ledger.csv", LEDGER)
+    tables.write_json(tables.feature_info(tables.read_parquet(spark, f"{out}/features").select(*names)), f"{out}/feature_info.json")
     log.info("out of fold %.4f", metrics["oof"])
     return metrics

@@ -251,6 +251,11 @@ cu AS (SELECT dv.val, coalesce(sum(rf.c) OVER (ORDER BY dv.val ROWS BETWEEN UNBO
 SELECT action_id, round(least(greatest((below+0.5::DOUBLE)/total,1e-6::DOUBLE),1-1e-6::DOUBLE)-0.5::DOUBLE,6)+0.0 AS centred FROM x JOIN cu ON x.start_x=cu.val, tt WHERE grp='pass'"""
 
 
+_q["one_hot_union"] = "SELECT o_orderkey, " + ", ".join(f"CASE WHEN o_orderpriority LIKE '{i}%' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_{i}" for i in range(1, 6)) + " FROM orders"
+_q["dictionary_codes"] = "SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS code FROM (SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1)"
+_q["selected_columns"] = _ACTIONS + " SELECT action_id, start_x, start_y FROM actions"
+
+
 # ---- encodings ----
 def _enc(key: str, alpha: float, source: str = "targets", name: str = "te") -> str:
     return f", {name} AS (SELECT k.{key}, k.fold, (coalesce(sum(o.xag),0)+{alpha!r}::DOUBLE*(SELECT avg(xag) FROM targets))/(count(o.xag)+{alpha!r}::DOUBLE) AS enc FROM (SELECT DISTINCT {key}, fold FROM {source}) k LEFT JOIN {source} o ON o.{key}=k.{key} AND o.fold<>k.fold GROUP BY 1,2)"

@@ -10,7 +10,8 @@ from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
 from pathlib import Path
 
-LEDGER = ("exp_id", "created", "method", "folds", "seed", "metric", "cv_mean", "cv_std", "oof", "features", "notes")
+#: The columns of the ledger of experiments.
+LEDGER = ("exp_id", "date", "git_sha", "wandb_url", "cv_metric", "cv_mean", "cv_std", "lb_public", "lb_private", "data_rev", "seed", "n_splits", "cv_method", "split_id", "notes", "submission_id", "submitted_at")
 
 
 @dataclass(frozen=True)

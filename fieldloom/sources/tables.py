@@ -83,6 +83,12 @@ def profile(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*entry)))
 
 
+def feature_info(df: DataFrame) -> dict:
+    """Number, names, types and missing values of the columns, and the table's shape, as written beside a set of features."""
+    found = profile(df).collect()  # one row a column
+    return {"n_features": len(df.columns), "features": df.columns, "dtypes": dict(df.dtypes), "missing_counts": {r["column"]: r["nulls"] for r in found}, "shape": [found[0]["nulls"] + found[0]["values"] if found else 0, len(df.columns)]}
+
+
 # ---- play-by-play views over `events` ----
 
 

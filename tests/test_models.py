@@ -155,3 +155,89 @@ def test_ordered_and_exploded_folds(spark):
     assert got["fold"].value_counts().max() <= 11
     each = evaluation.explode_folds(evaluation.hashed_folds(rows, "day", 3), 3, "x").toPandas()
     assert len(each) == 180 and (each["fold"] > 0).sum() == 60
+
+
+def test_hop_centrality_equals_path_measures(spark, monkeypatch):
+    monkeypatch.setattr(network, "PATH_SOURCES", 4)
+    rng = np.random.default_rng(6)
+    rows = {(f"m{g}", g % 2, int(a), int(b)) for g in range(6) for a, b in rng.integers(0, 6 + 3 * g, (5 + 8 * g, 2))}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "match_id string, team_id long, src long, dst long, weight long")
+    got = {(r["match_id"], r["player_id"]): (r["pass_net_betweenness"], r["pass_net_closeness"]) for r in network.hop_centrality(df).collect()}
+    want = {}
+    for g in range(6):
+        links = {}
+        for m, _, a, b in rows:
+            if m == f"m{g}":
+                links.setdefault(a, {})[b] = 1.0
+        nodes = sorted(set(links) | {b for out in links.values() for b in out})
+        want |= {(f"m{g}", v): x for v, x in network.path_measures(nodes, links).items()}
+    assert set(got) == set(want)
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x)
+
+
+def test_percentiles_are_exact(spark):
+    from fieldloom.operators.quantiles import percentiles
+
+    rng = np.random.default_rng(8)
+    rows = [(int(g), None if x > 2.3 else float(np.round(x, 1)), int(n)) for g, x, n in zip(rng.integers(0, 3, 500), rng.normal(0, 1, 500), rng.integers(1, 4, 500), strict=True)]
+    df = spark.createDataFrame(rows, "g int, x double, n int")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.77, 1.0)
+    for r in percentiles(df, "x", shares, ("g",), "n").collect():
+        values = np.repeat([x for g, x, n in rows if g == r["g"] and x is not None], [n for g, x, n in rows if g == r["g"] and x is not None])
+        assert r["q"] == pytest.approx(np.quantile(values, shares))
+    assert percentiles(df, "x", shares).first()["q"] == pytest.approx(np.quantile([x for _, x, _ in rows if x is not None], shares))
+
+
+def test_stratified_folds(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(id % 10 = 0 as int) AS y")
+    out = evaluation.stratified_folds(rows, "y", ["id"], 5, 1)
+    counts = {(r["y"], r["fold"]): r["count"] for r in out.groupBy("y", "fold").count().collect()}
+    assert counts == {(y, f): (180, 20)[y] for y in (0, 1) for f in range(5)}
+    a, b, c = ({r["id"]: r["fold"] for r in evaluation.stratified_folds(rows, "y", ["id"], 5, s).collect()} for s in (1, 1, 2))
+    assert a == b != c
+
+
+def test_success_probabilities_of_known_and_new_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "pass" if i % 4 else "cross", None if i % 5 == 4 else int(i % 5) + 1, float(x), "success" if rng.random() < 1 / (1 + np.exp(-3 * x)) else "fail") for i, x in enumerate(rng.normal(0, 1, 600))]
+    rows += [(1000 + i, "carry", 1, 0.0, "success" if i < 3 else "fail") for i in range(4)]
+    df = spark.createDataFrame(rows, "action_id long, `group` string, fold int, x double, result_name string")
+    out = trees.success_probability(df, ["x"], ["pass", "cross", "carry"], (1, 2, 3, 4), rounds=3).toPandas().set_index("action_id")
+    assert len(out) == len(rows) and (out.xpass_prob[out.group == "carry"] == 0.75).all()
+    rest = out[out.group != "carry"]
+    for part in (rest[rest.fold.notna()], rest[rest.fold.isna()]):
+        y = part.result_name == "success"
+        assert part.xpass_prob.between(1e-4, 1 - 1e-4).all() and part.xpass_prob[y].mean() > part.xpass_prob[~y].mean() + 0.2
+    assert abs(rest.xpass_prob[rest.fold.notna()].mean() - (rest.result_name[rest.fold.notna()] == "success").mean()) < 0.05  # calibrated
+
+
+def test_best_isotonic_threshold(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i / 100, i / 100 if i < 12 else 0.5 * i / 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "p double, y double")
+    t, error, model = blending.best_isotonic_threshold(df, "p", "y", F.lit(1.0))
+    errors = {c: blending.apply_isotonic(df, blending.fit_isotonic(df, "p", "y", c), "p", "q", c).toPandas() for c in (0.05, 0.08, t, 0.19)}
+    assert all((((e.q - e.y) ** 2).mean() + 1e-9) ** 0.5 >= error - 1e-6 for e in errors.values())
+    with pytest.raises(ValueError):
+        blending.best_isotonic_threshold(df.where("p < 0.05"), "p", "y", F.lit(1.0))
+
+
+def test_passes_are_centred_by_position_and_others_by_spread(spark):
+    from fieldloom.operators import expected
+
+    rng = np.random.default_rng(5)
+    rows = [(i, ("pass", "cross", "carry")[i % 3], None if i % 7 == 6 else i % 7 % 3 + 1, float(np.round(x, 1)), 0.5) for i, x in enumerate(rng.normal(1, 1, 90))] + [(99, "corner", 1, 2.0, 0.5)]
+    df = spark.createDataFrame(rows, "action_id long, `group` string, fold int, xt_learned_start double, fail_weight double")
+    got = {r["action_id"]: r["fail_scaled"] for r in expected.with_scaled_failure(df, expected.fold_moments(df)).collect()}
+    known = np.array([x for _, _, f, x, _ in rows if f])
+    passes = np.sort([x for _, g, f, x, _ in rows if f and g == "pass"])
+    for i, g, f, x, w in rows:
+        if g == "pass":
+            want = np.clip((np.searchsorted(passes, x) + 0.5) / len(passes), 1e-6, 1 - 1e-6) - 0.5
+        else:
+            other = np.array([y for _, h, e, y, _ in rows if h == g and e and e != f])
+            mean, std = (other.mean(), other.std()) if len(other) else (known.mean(), known.std())
+            want = (x - mean) / (std if std > 1e-6 else known.std())
+        assert got[i] == pytest.approx(w * want), (i, g, f)
