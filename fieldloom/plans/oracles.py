@@ -310,5 +310,50 @@ _q["family_size"] = _PASS + """ SELECT "PassengerId", "SibSp"+"Parch"+1 AS "Fami
 _q["impute_median_mode"] = _PASS + """, st AS (SELECT quantile_cont("Age",0.5) AS md, avg("Fare") AS mn FROM pg), mo AS (SELECT "Embarked" AS e FROM pg WHERE "Embarked" IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 SELECT "PassengerId", round(coalesce("Age",md),6)+0.0 AS "Age", round(coalesce("Fare",mn),6)+0.0 AS "Fare", coalesce("Embarked",e) AS "Embarked" FROM pg, st, mo"""
 
+# ---- whole chains ----
+def _learned(source: str, where: str = "true") -> str:
+    """The learned values by value iteration over lists, until no zone changes by 1e-6 or more."""
+    move, done = _mv, "result_name='success'"
+    return f""",
+tm AS (SELECT {_cell('start_x', 'start_y')} AS s, {_cell('end_x', 'end_y')} AS e, {move} AND {done} AS m, type_name IN {_SHOT} AS sh, type_name IN {_SHOT} AND {done} AS g, {move} AND NOT {done} AS l FROM {source} WHERE ({move} OR type_name IN {_SHOT}) AND {where}),
+zs AS (SELECT i AS z FROM range(192) t(i)),
+ct AS (SELECT z, CAST(count(*) FILTER (WHERE m OR sh OR l) AS DOUBLE) AS total, CAST(count(*) FILTER (WHERE sh) AS DOUBLE) AS shots, CAST(count(*) FILTER (WHERE g) AS DOUBLE) AS goals FROM zs LEFT JOIN tm ON tm.s=z GROUP BY z),
+mv AS (SELECT s, e, CAST(count(*) AS DOUBLE) AS n FROM tm WHERE m GROUP BY 1, 2),
+rw AS (SELECT a.z, list(coalesce(mv.n, 0.0::DOUBLE) ORDER BY b.z) AS r FROM zs a CROSS JOIN zs b LEFT JOIN mv ON mv.s=a.z AND mv.e=b.z GROUP BY a.z),
+mx AS (SELECT list(list_transform(r, lambda x : 0.95::DOUBLE*x/greatest(total,1)) ORDER BY ct.z) AS m, list(CASE WHEN shots>0 THEN shots/greatest(total,1)*goals/shots ELSE 0.0::DOUBLE END ORDER BY ct.z) AS r FROM ct JOIN rw ON rw.z=ct.z),
+it AS (SELECT 0 AS i, list_transform(range(192), lambda x : 0.0::DOUBLE) AS v, 1.0::DOUBLE AS off UNION ALL
+  SELECT i+1, w, list_max(list_transform(list_zip(w, v), lambda p : abs(p[1]-p[2]))) FROM (SELECT i, v, list_transform(list_zip(m, r), lambda p : p[2]+list_dot_product(p[1], v)) AS w FROM it, mx WHERE i<500 AND off>=1e-6)),
+lv AS (SELECT v FROM it ORDER BY i DESC LIMIT 1)"""
+
+
+_RECURSIVE = _ACTIONS.replace("WITH", "WITH RECURSIVE", 1)
+_q["xt_values"] = _RECURSIVE + _learned("a") + " SELECT CAST(i AS INT) AS zone, round(v[i+1],6)+0.0 AS value FROM lv, range(192) t(i)"
+_ok_end = "CASE WHEN result_name='success' THEN ve END"
+_q["xt_player"] = _RECURSIVE + _learned("a", "CAST(substr(match_id,9,2) AS INT) % 5 + 1 <= 4") + f""",
+w AS (SELECT *, CASE WHEN result_name='success' THEN ve ELSE 0.0::DOUBLE END - vs AS d FROM (SELECT a.*, v[1+{_cell('start_x', 'start_y')}] AS vs, v[1+{_cell('end_x', 'end_y')}] AS ve FROM a, lv))
+SELECT match_id, player_id, count(*) AS xt_learned_action_count, """ + ", ".join(
+    _agg(x, f"xt_learned_{n}") for n, x in (("start_mean", "avg(vs)"), ("start_max", "max(vs)"), ("delta_sum", "sum(d)"), ("delta_mean", "avg(d)"), ("positive_delta_sum", "sum(greatest(d,0))"), ("positive_delta_mean", "avg(greatest(d,0))"), ("success_rate", "avg(CASE WHEN result_name='success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"), ("end_success_mean", f"avg({_ok_end})"), ("delta_success_mean", "avg(d) FILTER (WHERE result_name='success')"))
+) + " FROM w" + _BY
+
+_FUSED = ("nstep_chain", "second_assist", "pass_geometry", "time_blocks", "zone_density", "zone_thirds", "basic_stats", "goal_count", "type_pivot", "success_rates", "attack_defence", "pass_to_shot", "progressive_pass", "progressive_carry", "gca_spatial", "linebreak_packing", "chain_quality", "box_entry", "attack_tempo", "vision")
+#: The blocks' own limits, where their queries have wider ones.
+_OWN = {"chain_quality": (("time_2-time_seconds<=60", "time_2-time_seconds<=3"), ("time_2-time_seconds,999)<=60", "time_2-time_seconds,999)<=5")), "box_entry": (("<60", "<1"),)}
+
+
+def _fused() -> str:
+    parts = []
+    for name in _FUSED:
+        sql = _q[name]
+        for wide, own in _OWN.get(name, ()):
+            assert wide in sql
+            sql = sql.replace(wide, own)
+        parts.append(sql)
+    names = [f"b{i}" for i in range(len(parts))]
+    joined = " ".join(f"LEFT JOIN ({sql}) {n} ON {n}.match_id=t.match_id AND {n}.player_id=t.player_id" for n, sql in zip(names, parts, strict=True))
+    return _ACTIONS + " SELECT t.*, " + ", ".join(f"coalesce(COLUMNS({n}.* EXCLUDE (match_id, player_id)), 0)" for n in names) + f" FROM targets t {joined}"
+
+
+_q["feature_table"] = _fused()
+
 for _n in NINE_DIGITS:
     _q[_n] = _q[_n].replace(",6)+0.0", ",9)+0.0").replace(", 6) + 0.0", ", 9) + 0.0")

@@ -34,13 +34,13 @@ def test_matches_sql(spark, small, con, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["feature_table", "xt_player", "pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "table_fingerprint", "xpass_model", "platt_by_fold", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline", "gbt_oof", "tweedie_oof"])
+@pytest.mark.parametrize("name", ["pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "table_fingerprint", "xpass_model", "platt_by_fold", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline", "gbt_oof", "tweedie_oof"])
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
 def test_every_query_has_sql_or_a_test():
-    rest = {"feature_table", "xt_values", "xt_player", "pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "platt_by_fold", "gbt_oof", "tweedie_oof", "xpass_model", "table_fingerprint", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline"}
+    rest = {"pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "platt_by_fold", "gbt_oof", "tweedie_oof", "xpass_model", "table_fingerprint", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline"}
     assert set(QUERIES) - set(ORACLE_SQL) == rest
 
 
