@@ -20,7 +20,7 @@ FOLDS = (1, 2, 3, 4, 5)
 KINDS = ("pass", "cross", "carry", "shot")
 LEAGUES = (0, 1, 2)
 #: Results whose exact values end in a five at the seventh place are rounded further down.
-NINE_DIGITS = {"nstep_chain", "extended_chain", "xpass_risk", "possession_table", "possession_player", "heuristic_xt", "fold_balance", "calibration_deciles", "prediction_summary", "blend_gram"}
+NINE_DIGITS = {"feature_table", "nstep_chain", "extended_chain", "xpass_risk", "possession_table", "possession_player", "heuristic_xt", "fold_balance", "calibration_deciles", "prediction_summary", "blend_gram"}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
