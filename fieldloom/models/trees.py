@@ -34,6 +34,17 @@ def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame]
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_fold_and_new(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], folds: Sequence[int], out: str, fold: str = "fold") -> DataFrame:
+    """Rows with a fold predicted by the model that didn't see it, rows without one by the mean of all. rows: a written table."""
+    models = {f: fit(rows.where(F.col(fold).isNotNull() & (F.col(fold) != f))) for f in folds}
+    parts = [apply(rows.where(F.col(fold) == f)) for f, apply in models.items()]
+    new = rows.where(F.col(fold).isNull())
+    for f, apply in models.items():
+        new = apply(new).withColumnRenamed(out, f"_p{f}")
+    new = new.withColumn(out, sum((F.col(f"_p{f}") for f in folds), F.lit(0.0)) / len(folds)).drop(*[f"_p{f}" for f in folds])
+    return reduce(DataFrame.unionByName, [*parts, new])
+
+
 def regressor(y: str, out: str, weight: str | None = None, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, features: str = "features"):
     def fit(rows: DataFrame):
         model = GBTRegressor(labelCol=y, featuresCol=features, predictionCol=out, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **({"weightCol": weight} if weight else {})).fit(rows)

@@ -11,6 +11,7 @@ from fieldloom.functions.columns import rounded, select_columns, snap
 from fieldloom.models import blending, evaluation, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
+from fieldloom.plans import full
 from fieldloom.plans.fusion import Block, credit, enrich, fuse, run
 from fieldloom.sources.staging import staged
 from fieldloom.sources.tables import actions, fingerprint, profile, targets
@@ -104,11 +105,7 @@ def flip_coords(spark, sf_dir):
 @query
 def feature_table(spark, sf_dir):
     """Twenty blocks in one pass, beside their targets."""
-    return enrich(goals(spark, sf_dir), fuse(valued(spark, sf_dir), fused_blocks()))
-
-
-def fused_blocks(value: bool = True) -> list[Block]:
-    return [blocks.nstep_chain(value=value), blocks.second_assist(), blocks.pass_geometry(), blocks.time_blocks(), blocks.zone_density(), blocks.zone_thirds(), blocks.basic_stats(), blocks.goal_count(), blocks.type_pivot(KINDS), blocks.success_rates(), blocks.attack_defence(), blocks.pass_to_shot(), blocks.progressive_pass(), blocks.progressive_carry(), blocks.gca_spatial(), blocks.linebreak_packing(), blocks.chain_quality(), blocks.box_entry(), blocks.attack_tempo(), blocks.vision()]
+    return enrich(goals(spark, sf_dir), fuse(valued(spark, sf_dir), full.fused_blocks(KINDS)))
 
 
 @query
@@ -449,7 +446,7 @@ _OF_SHOTS = ("shot", "goal", "gca", "sca")
 def _model_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     """Targets with all features of the fused table, as a vector."""
     g = goals(spark, sf_dir)
-    wide = enrich(g, fuse(prepared(spark, sf_dir), fused_blocks(value=False)))
+    wide = enrich(g, fuse(prepared(spark, sf_dir), full.fused_blocks(KINDS, value=False)))
     features = [c for c, t in wide.dtypes if c not in g.columns and t in ("double", "bigint", "int") and not any(x in c for x in _OF_SHOTS)]
     return trees.with_vector(wide.withColumn("w", evaluation.step_weight(F.col("xag"))), features), features
 
@@ -500,25 +497,31 @@ def isotonic_threshold(spark, sf_dir):
     return spark.createDataFrame([(threshold, error)], "threshold double, wrmse double")
 
 
+#: The kinds of action that these events have.
+PRESENT = ("pass", "cross", "carry")
+
+
+def _with_new_rows(spark, sf_dir) -> DataFrame:
+    """Targets of which the fifth fold is new: without a fold and without a value."""
+    known = F.col("fold") <= 4
+    return goals(spark, sf_dir).withColumns({"xag": F.when(known, F.col("xag")), "fold": F.when(known, F.col("fold"))})
+
+
 @query
 def edxt_pipeline(spark, sf_dir):
-    """Learned values, success probabilities out of fold, expected value by group and its team context, one after the other. Folds 1
-    to 4 are learned from; the fifth is new."""
-    a = prepared(spark, sf_dir)
-    fold = F.substring("match_id", 9, 2).cast("int") % 5 + 1
-    a = a.withColumn("fold", F.when(fold <= 4, fold))
+    """Learned values, success probabilities out of fold, expected value by group and its team context, one after the other."""
+    rows = _with_new_rows(spark, sf_dir)
+    a = prepared(spark, sf_dir).join(F.broadcast(rows.select("match_id", "fold").distinct()), "match_id")  # one row a match
     a = value.with_learned_value(a, value.solve_values(value.transition_counts(a.where("fold is not null"))))
-    a = a.withColumn("group", expected.action_group()).where(F.col("group").isNotNull())
-    groups = [g for g in expected.GROUPS if g in ("pass", "cross", "carry")]  # the kinds that these events have
-    a = expected.with_components(trees.success_probability(a, ["start_x", "start_y", "end_x", "end_y", "time_seconds", "xt_learned_start"], groups, FOLDS[:4]))
-    a = staged(expected.with_scaled_failure(a, expected.fold_moments(a)), "components")
-    known = goals(spark, sf_dir).where("fold <= 4")
-    found: dict[str, list] = {}
-    for r in expected.penalty_statistics(expected.component_sums(a.where("fold is not null")), known, evaluation.step_weight(F.col("xag"))).collect():  # groups times folds rows
-        found.setdefault(r["group"], []).append(r)
-    wide = expected.expected_features(a, {g: expected.best_penalty(found[g], *expected.PENALTY_BOUNDS[g]) for g in sorted(found)})
-    sums = [c for c in wide.columns if c.endswith("_edxt_sum")]
-    return windows.team_context(goals(spark, sf_dir).select(*KEY, "squad").join(wide, list(KEY)), sums).drop("squad")
+    wide = rows.select(*KEY, "squad").join(full.expected_value(a, rows, PRESENT, FOLDS[:4]), list(KEY))
+    return windows.team_context(wide, [c for c in wide.columns if c.endswith("_edxt_sum")]).drop("squad")
+
+
+@query
+def full_run(spark, sf_dir):
+    """From actions to calibrated predictions: all features, models by fold, their stack."""
+    wide, names = full.all_features(actions(spark, sf_dir), _with_new_rows(spark, sf_dir), KINDS, PRESENT, FOLDS[:4])
+    return full.predict(wide, names, FOLDS[:4], rounds=5)
 
 
 @query

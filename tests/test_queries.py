@@ -40,7 +40,7 @@ def test_runs(spark, small, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    rest = {"pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "platt_by_fold", "gbt_oof", "tweedie_oof", "xpass_model", "table_fingerprint", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline"}
+    rest = {"pass_betweenness", "passnet_centrality", "edxt_features", "group_fold_sizes", "strat_group_folds", "blend_two", "nnls_stack", "isotonic_pos", "platt_by_fold", "gbt_oof", "tweedie_oof", "xpass_model", "table_fingerprint", "hurdle_oof", "mixture_oof", "log_oof", "tree_search", "blend_simplex", "isotonic_threshold", "edxt_pipeline", "full_run"}
     assert set(QUERIES) - set(ORACLE_SQL) == rest
 
 
@@ -74,3 +74,12 @@ def test_block_plan_has_few_exchanges(spark, small):
 
     plan = fuse(actions(spark, small), [blocks.gca_spatial(), blocks.vision(), blocks.box_receiver_volume()])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_full_run_learns_from_known_rows_alone(spark, small):
+    pdf = QUERIES["full_run"](spark, small).toPandas()
+    assert len(pdf) == QUERIES["distinct_pairs"](spark, small).where("player_id % 5 <> 4").count()
+    known = pdf[pdf["fold"].notna()]
+    assert pdf["prediction"].notna().all() and (pdf["prediction"] >= 0).all() and pdf["xag"][pdf["fold"].isna()].isna().all()
+    error = lambda p: ((known["xag"] - p) ** 2).mean()
+    assert error(known["prediction"]) < error(known["xag"].mean())
