@@ -75,3 +75,35 @@ def test_runs_are_best_fit():
                 assert offset == end
                 end += n
             assert end <= 100
+
+
+def plain_best_fit(lengths, capacity):
+    """Sequences that best fit opens, the longest piece first, each in the fullest sequence that holds it."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [i for i, r in enumerate(room) if r >= n]
+        if fitting:
+            i = min(fitting, key=lambda i: room[i])
+            room[i] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+def test_as_many_sequences_as_plain_best_fit():
+    rng = np.random.default_rng(3)
+    for trial in range(300):
+        capacity = int(rng.choice([8, 30, 64]))
+        lengths = rng.integers(1, capacity + 1, rng.integers(0, 80)) if trial % 2 else np.minimum(rng.geometric(0.15, rng.integers(0, 120)), capacity)
+        runs = packing.match_runs(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), capacity)
+        used = {first + i for _, _, n, first, each, _ in runs for i in range(-(-n // each))}
+        assert len(used) == plain_best_fit(lengths.tolist(), capacity)
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("", " ", " " * 1_000_000, "a" * 300_000, " \n\t" * 100_000 + "x", "Ünïcode 李雷 😀 12,5 <|endoftext|> can't", "1" * 50_000, "\r\n" * 2000 + "end"):
+        assert packing.encode(text, packing.vocabulary_path()) == whole.encode(text, add_special_tokens=False).ids
