@@ -36,6 +36,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_direction(relevant(a, targets(a)))
 
 
+def dense(a: DataFrame) -> DataFrame:
+    """Actions that follow each other within seconds, as in a match, so that limits in seconds tell them apart."""
+    return a.withColumn("time_seconds", F.col("time_seconds") / F.lit(20.0))
+
+
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prepared() with values from the fixed grid under the names of learned ones, and a made-up success probability."""
     a = value.with_heuristic_value(prepared(spark, sf_dir))
@@ -73,8 +78,8 @@ for _name, _make, _source in (
     ("progressive_carry", blocks.progressive_carry, prepared),
     ("gca_spatial", blocks.gca_spatial, prepared),
     ("linebreak_packing", blocks.linebreak_packing, prepared),
-    ("chain_quality", lambda: blocks.chain_quality(60.0, 60.0), prepared),
-    ("box_entry", lambda: blocks.box_entry(60.0), prepared),
+    ("chain_quality", blocks.chain_quality, lambda spark, sf_dir: dense(prepared(spark, sf_dir))),
+    ("box_entry", blocks.box_entry, lambda spark, sf_dir: dense(prepared(spark, sf_dir))),
     ("setplay_share", blocks.setplay_share, prepared),
     ("bodypart_pivot", blocks.bodypart_pivot, prepared),
     ("attack_tempo", blocks.attack_tempo, prepared),
@@ -149,12 +154,12 @@ def pass_tempo(spark, sf_dir):
 
 @query
 def possession_table(spark, sf_dir):
-    return windows.possession_table(windows.with_possessions(valued(spark, sf_dir), 120.0)).withColumn("final_third_step", F.coalesce(F.col("final_third_step").cast("long"), F.lit(-1).cast("long")))
+    return windows.possession_table(windows.with_possessions(dense(valued(spark, sf_dir)))).withColumn("final_third_step", F.coalesce(F.col("final_third_step").cast("long"), F.lit(-1).cast("long")))
 
 
 @query
 def possession_player(spark, sf_dir):
-    return windows.possession_player(windows.with_possessions(valued(spark, sf_dir), 120.0))
+    return windows.possession_player(windows.with_possessions(dense(valued(spark, sf_dir))))
 
 
 @query

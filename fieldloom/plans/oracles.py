@@ -17,6 +17,8 @@ targets AS (SELECT match_id, player_id, CAST(SUM(CASE WHEN type_name='shot' THEN
 a AS (SELECT * REPLACE (CASE WHEN NOT is_home THEN 105.0::DOUBLE-start_x ELSE start_x END AS start_x, CASE WHEN NOT is_home THEN 68.0::DOUBLE-start_y ELSE start_y END AS start_y, CASE WHEN NOT is_home THEN 105.0::DOUBLE-end_x ELSE end_x END AS end_x,
   CASE WHEN NOT is_home THEN 68.0::DOUBLE-end_y ELSE end_y END AS end_y) FROM actions SEMI JOIN targets USING (match_id, player_id))"""
 
+_DENSE = _ACTIONS + ", d AS (SELECT * REPLACE (time_seconds/20.0::DOUBLE AS time_seconds) FROM a)"
+
 _GRID = ", ".join(f"{v!r}::DOUBLE" for v in heuristic_grid())
 _VALUED = f""",
 g AS (SELECT [{_GRID}] AS grid),
@@ -142,14 +144,14 @@ _t = lambda c: f"CASE WHEN {c}>=0 AND {c}<=35 THEN 0 WHEN {c}>35 AND {c}<=70 THE
 _cross = f"(({_t('start_x')}) IS NULL OR ({_t('end_x')}) IS NULL OR ({_t('start_x')})<>({_t('end_x')})) AND end_x-start_x>=10.5 AND {_ok}"
 _chan = f"start_y BETWEEN 22.67 AND 45.33 AND end_x-start_x>=10.5 AND {_ok}"
 _q["linebreak_packing"] = _ACTIONS + _per_player([_cnt(_cross, "linebreak_third_transition_count"), _share("true", _cross, "linebreak_third_transition_rate"), _cnt(_chan, "through_channel_pass_count"), _share("true", _chan, "through_channel_pass_rate"), _mean("true", f"CASE ({_t('end_x')})-({_t('start_x')}) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END", "packing_approx_score_mean")], "a", "type_name='pass'")
-_one_two = "type_name='pass' AND type_1='pass' AND team_1=team_id AND player_2=player_id AND time_2-time_seconds<=60"
+_one_two = "type_name='pass' AND type_1='pass' AND team_1=team_id AND player_2=player_id AND time_2-time_seconds<=3"
 _third = f"type_name='pass' AND type_1='pass' AND type_2='pass' AND type_3 IN {_SHOT} AND team_1=team_id AND team_2=team_id AND team_3=team_id"
-_q["chain_quality"] = _ACTIONS + _neighbours("a", 3) + _per_player([_cnt(_one_two, "one_two_chain_count"), _cnt(_third, "third_man_release_count"), _share("true", f"coalesce(time_2-time_seconds,999)<=60 AND type_2 IN {_SHOT} AND team_2=team_id", "burst_window_sca_rate")], "n")
+_q["chain_quality"] = _DENSE + _neighbours("d", 3) + _per_player([_cnt(_one_two, "one_two_chain_count"), _cnt(_third, "third_man_release_count"), _share("true", f"coalesce(time_2-time_seconds,999)<=5 AND type_2 IN {_SHOT} AND team_2=team_id", "burst_window_sca_rate")], "n")
 _pb = f"type_name='pass' AND {_BOX}"
-_q["box_entry"] = _ACTIONS + _neighbours("a", 1) + _having(
+_q["box_entry"] = _DENSE + _neighbours("d", 1) + _having(
     [
         _cnt(f"{_pb} AND {_Z14}", "box_entry_from_zone14_count"), _cnt(f"{_pb} AND start_y<22.67", "box_entry_from_halfspace_l_count"), _cnt(f"{_pb} AND start_y>45.33", "box_entry_from_halfspace_r_count"),
-        _share(_BOX, f"{_angle}<0.785", "facing_forward_share_in_box"), _share(_BOX, f"type_1 IN {_SHOT} AND coalesce(time_1-time_seconds,999)<60", "first_touch_shot_rate_in_box"),
+        _share(_BOX, f"{_angle}<0.785", "facing_forward_share_in_box"), _share(_BOX, f"type_1 IN {_SHOT} AND coalesce(time_1-time_seconds,999)<1", "first_touch_shot_rate_in_box"),
     ], "n", _BOX)
 _dead = "type_name IN ('corner','freekick_short','freekick_crossed','throw_in')"
 _q["setplay_share"] = _ACTIONS + _neighbours("a", 2) + _per_player([_share(_dead, _LOOSE, "setplay_gca_share"), _share(f"NOT {_dead}", _LOOSE, "openplay_gca_share")], "n")
@@ -191,8 +193,8 @@ _q["final_third_receive"] = _ACTIONS + _neighbours("a", 1) + _having([_cnt(_ft,
 
 # ---- possessions, form, context ----
 _wm = "OVER (PARTITION BY match_id ORDER BY period_id, time_seconds, action_id)"
-_POSS = _ACTIONS + _VALUED + f""",
-f AS (SELECT *, CASE WHEN lag(team_id) {_wm} = team_id AND lag(result_name) {_wm} = 'success' AND time_seconds - lag(time_seconds) {_wm} <= 120 THEN 0 ELSE 1 END AS fresh FROM v),
+_POSS = _DENSE + _VALUED.replace("a.*", "d.*").replace("FROM a, g", "FROM d, g") + f""",
+f AS (SELECT *, CASE WHEN lag(team_id) {_wm} = team_id AND lag(result_name) {_wm} = 'success' AND time_seconds - lag(time_seconds) {_wm} <= 15 THEN 0 ELSE 1 END AS fresh FROM v),
 s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY match_id ORDER BY period_id, time_seconds, action_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS possession_no FROM f),
 st AS (SELECT *, row_number() OVER (PARTITION BY match_id, possession_no ORDER BY period_id, time_seconds, action_id) AS step FROM s),
 ends AS (SELECT match_id, possession_no, max(step) AS last_step FROM st GROUP BY 1, 2),
@@ -336,18 +338,11 @@ SELECT match_id, player_id, count(*) AS xt_learned_action_count, """ + ", ".join
 ) + " FROM w" + _BY
 
 _FUSED = ("nstep_chain", "second_assist", "pass_geometry", "time_blocks", "zone_density", "zone_thirds", "basic_stats", "goal_count", "type_pivot", "success_rates", "attack_defence", "pass_to_shot", "progressive_pass", "progressive_carry", "gca_spatial", "linebreak_packing", "chain_quality", "box_entry", "attack_tempo", "vision")
-#: The blocks' own limits, where their queries have wider ones.
-_OWN = {"chain_quality": (("time_2-time_seconds<=60", "time_2-time_seconds<=3"), ("time_2-time_seconds,999)<=60", "time_2-time_seconds,999)<=5")), "box_entry": (("<60", "<1"),)}
-
 
 def _fused() -> str:
     parts = []
     for name in _FUSED:
-        sql = _q[name]
-        for wide, own in _OWN.get(name, ()):
-            assert wide in sql
-            sql = sql.replace(wide, own)
-        parts.append(sql)
+        parts.append(_q[name].replace("FROM d)", "FROM a)"))  # here at the actions' own times
     names = [f"b{i}" for i in range(len(parts))]
     joined = " ".join(f"LEFT JOIN ({sql}) {n} ON {n}.match_id=t.match_id AND {n}.player_id=t.player_id" for n, sql in zip(names, parts, strict=True))
     return _ACTIONS + " SELECT t.*, " + ", ".join(f"coalesce(COLUMNS({n}.* EXCLUDE (match_id, player_id)), 0)" for n in names) + f" FROM targets t {joined}"
