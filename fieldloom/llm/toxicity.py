@@ -7,8 +7,9 @@ drifts downwards. One linear scan finds every maximal scoring segment of a text.
 (Karlin-Altschul) bit score with the text's length taken off, and a text's score combines the best passage and the number of
 significant ones through a logistic link fitted on the same labelled rows.
 
-Edge cases: null and empty texts have no passage and get the link's score for none. Equal texts get equal scores. A table
-without labelled rows of both kinds yields score 0 for all rows. Columns of other names are ignored.
+Edge cases: null and empty texts have no passage and get the link's score for none. Equal texts get equal scores, also of repeated and
+null ids. Texts may be of any length: the scan is linear in the text. A table without labelled rows of both kinds yields score 0 for
+all rows, an empty one no rows. Columns of other names are ignored.
 """
 
 from __future__ import annotations

@@ -136,15 +136,6 @@ def test_language_scores_against_plain_kernel_ridge(spark, documents):
     assert (got.argmax(1) == (k @ alpha).argmax(1)).all()
 
 
-def test_known_rows_are_those_with_a_language(spark, tricky):
-    model = language_id.fit(tricky)
-    odd = clash(tricky)
-    kept = language_id.known(odd, model)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in TRICKY if i not in (1, 2, 3, 12))
-    rows = [(None, "a b c"), (None, "12"), (1, None), (1, "x")]
-    assert sorted(language_id.known(spark.createDataFrame(rows, "doc_id long, text string"), model).collect(), key=str) == sorted([(1, "x"), (None, "a b c")], key=str)
-
-
 def test_quality_scores_against_a_plain_convolution():
     net = quality.ByteNetwork.fresh(np.random.default_rng(3))
     texts = ["", "a", "ab" * 127, "x" * 256, "é" * 200, "The quick brown fox. " * 60, "z" * 241, "0123456789" * 97]
@@ -174,3 +165,41 @@ def test_quality_of_a_very_long_text_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 0 <= whole[0] <= 1 and peak < 100e6
+
+
+def test_toxicity_scores_against_a_plain_search(spark):
+    """Scores by words as strings, their longest known beginnings, and segments found by trying all sums."""
+    from tests.llm.conftest import ALNUM, words
+
+    known = {"badword": 3.0, "awful": 2.5, "grimmig": 4.0, "zzz": 1.0, "schlim": 2.0}
+    hashes = {}
+    for w in known:
+        data = np.frombuffer(w.encode() + b"e" * 20, np.uint8)  # longer, so that w is a beginning of it
+        whole = toxicity._WORDS.parts(data[: len(w)], np.array([0, len(w)]), ())[0][0]
+        hashes[int(whole)] = known[w]
+        if len(w) in toxicity.PREFIXES:
+            hashes[int(toxicity._WORDS.parts(data, np.array([0, len(data)]), (len(w),))[5][0][0])] = known[w]
+    tokens = np.array(sorted(hashes), np.uint64)
+    model = toxicity.ToxicModel(tokens, np.array([hashes[int(t)] for t in tokens]), -0.5, 0.7, 0.2, np.array([-2.0, 1.5, 0.8, 0.6]))
+    rng = np.random.default_rng(9)
+    pool = ["badword", "Badwords", "AWFULLY", "awful", "grimmige", "grimmig", "zzz", "zzzz", "schlimm", "fine", "ok", "ünd", "12", "peace"]
+    rows = [(i, " ".join(rng.choice(pool, rng.integers(0, 16)))) for i in range(120)] + [(500, None), (501, ""), (502, "!!")]
+
+    def segments(s):
+        best = max(((sum(s[a:b]), a - b, a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, a, b = best
+        return segments(s[:a]) + [best[0]] + segments(s[b:])
+
+    for r in toxicity.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        scores = []
+        for w in words(dict(rows)[r["doc_id"]], ALNUM):
+            b = w.encode()
+            parts = [w, *(b[:n].decode("utf-8", "ignore") for n in toxicity.PREFIXES if len(b) > n)]
+            scores.append(next((known[x] for i, x in enumerate(parts) if x in known and (i == 0 or len(x) in toxicity.PREFIXES)), -0.5))
+        found = [0.7 * v - np.log(0.2 * max(len(scores), 1)) for v in segments(scores)]
+        f = (1.0, 0.0, 0.0, 0.0)
+        if found:
+            f = (1.0, 1 + max(0.0, 4 + max(found)) / 4, (max(found) + np.log(len(scores))) / 4, np.log1p(sum(x > 0 for x in found)))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.dot(f, model.link))), abs=1e-9), r["doc_id"]
