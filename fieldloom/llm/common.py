@@ -15,7 +15,18 @@ BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+#: Rows in an Arrow batch where the session has not set another number than Spark's own, which is too many for long texts.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and returns the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,6 +74,16 @@ def labelled_sample(df: DataFrame, key: str, label: str, per_label: int) -> Data
     return df.join(F.broadcast(share), label).where(unit < F.col("_share")).drop("_share")
 
 
+#: Rows of a written table (some tens of bytes each) that are sent to all executors; longer tables go through a shuffle.
+FEW_ROWS = 500_000
+
+
+def sent_if_few(written: DataFrame, load: F.Column | None = None) -> DataFrame:
+    """The written table, marked for broadcast where it has at most FEW_ROWS rows, or where the sum of load over its rows is so low."""
+    n = written.agg(F.count(F.lit(1)) if load is None else F.coalesce(F.sum(load), F.lit(0))).first()[0]
+    return F.broadcast(written) if n <= FEW_ROWS else written
+
+
 def window_of(text: str, key: str, most: int) -> F.Column:
     """The text, or of a longer one `most` characters from a place that the key's hash picks: what a bounded sample may hold."""
     t = F.col(text)

@@ -139,7 +139,7 @@ def _judge(column: pa.Array, model: LanguageModel | None) -> tuple[np.ndarray, n
             names.append(np.full(len(lettered), UND, object))
             scores.append(np.zeros(len(lettered)))
             continue
-        margins = np.concatenate([model.score(data[offsets[a] : offsets[min(a + 256, len(lettered))]], offsets[a : a + 257] - offsets[a]) for a in range(0, len(lettered), 256)])
+        margins = np.concatenate([model.score(data[offsets[a] : offsets[min(a + 64, len(lettered))]], offsets[a : a + 65] - offsets[a]) for a in range(0, len(lettered), 64)])
         p = np.exp(4 * (margins - margins.max(1, keepdims=True)))
         names.append(np.where(lettered, np.array(model.languages, object)[margins.argmax(1)], UND))
         scores.append(np.where(lettered, p.max(1) / p.sum(1), 0.0))
@@ -158,15 +158,3 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
-
-
-def known(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """The rows of docs whose language can be told, with all their columns: one map, whatever ids they have."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_judge(batch.column(at), shared.value)[0] != UND))
-
-    return docs.mapInArrow(run, docs.schema)

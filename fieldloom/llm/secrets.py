@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import staged
+from fieldloom.llm.common import sent_if_few, staged
 
 MIN_LENGTH = 16
 MIN_VALUE = 6
@@ -215,7 +215,7 @@ def redact(docs: DataFrame, model: SecretModel, text: str = "text", label: str =
     spans = staged(found.groupBy("of").agg(F.transform(flags, lambda x: x["is_secret"]).alias("flags"), F.max("is_secret").alias("any")).where("any").select("of", "flags"), "secrets")
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # whatever their names, columns can't clash with those of spans
     t = F.col("row")[text]
-    joined = rows.join(spans, F.sha2(t, 256) == F.col("of"), "left")  # broadcast by Spark where the written table is small
+    joined = rows.join(sent_if_few(spans, 2 + F.size("flags") / 16), F.sha2(t, 256) == F.col("of"), "left")
     parts = F.transform(split_parts(t), lambda x, i: F.when((i % 2 == 1) & F.get("flags", F.floor(i / 2).cast("int")), label).otherwise(x))
     new = F.when(F.col("flags").isNull(), t).otherwise(F.array_join(parts, ""))
     return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
