@@ -47,4 +47,49 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
 FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": TOP_K, "op4_decontaminate": DECONTAMINATE, "op6_jaccard": JACCARD, "op7_warc": WARC}
+AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+s AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM s a, s b, s c, s d, s e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+p AS (SELECT filter_order, i AS step, bits[i] AS b, CASE WHEN i = 1 THEN 0 ELSE CAST(list_sum(bits[1:i - 1]) AS BIGINT) END AS before FROM o, (SELECT unnest(range(1, 6)) AS i) r),
+r AS (SELECT part, filter_order, step, b,
+  sum(CASE WHEN mask & (before | b) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & before <> 0 AND mask & b <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, p GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x : CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.c),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+COLLOCATIONS = f"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) s WHERE len(ws) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT lang, k, g, a, j, array_to_string(ws[1:j], ' ') AS lg, array_to_string(ws[j + 1:k], ' ') AS rg FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+y AS (SELECT x.lang, x.k, x.g, x.a, j, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.k = j AND l.g = lg JOIN f r ON r.lang = x.lang AND r.k = x.k - j AND r.g = rg),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS o FROM y) q WHERE o = 1),
+u AS (SELECT lang, part AS g, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE k = 3) q GROUP BY 1, 2),
+e AS (SELECT z.lang, z.g AS phrase, z.a, l, r, n, score FROM z JOIN t ON t.lang = z.lang LEFT JOIN u ON u.lang = z.lang AND u.g = z.g AND z.k = 2 WHERE NOT coalesce(100 * most >= 50 * z.a, false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM k WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": TOP_K, "op4_decontaminate": DECONTAMINATE, "op6_jaccard": JACCARD, "op7_warc": WARC, "op11_collocations": COLLOCATIONS, "op12_near_vectors": NEAR_VECTORS, "op13_filter_audit": AUDIT}

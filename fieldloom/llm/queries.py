@@ -9,7 +9,7 @@ from secrets import token_bytes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, jaccard, language_id, packing, pii, quality, secrets, topk, toxicity, warc
+from fieldloom.llm import audit, collocation, decontaminate, jaccard, language_id, neardup, packing, pii, quality, secrets, topk, toxicity, warc
 from fieldloom.llm.common import held_out, table
 from fieldloom.llm.oracles import ORACLE_SQL
 
@@ -77,6 +77,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -88,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_collocations": op11_collocations,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

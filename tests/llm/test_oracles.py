@@ -9,7 +9,7 @@ from fieldloom.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     columns = sorted(want.columns)
@@ -19,5 +19,5 @@ def test_matches_sql(spark, small, name):
     assert sorted(got) == sorted(repr(r) for r in want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
