@@ -234,8 +234,7 @@ def linebreak_packing() -> Block:
     a, b = third_code(sx()), third_code(ex())
     crossed = ~yes(a == b) & yes(dx() >= 10.5) & succeeded()
     channel = in_centre(sy()) & yes(dx() >= 10.5) & succeeded()
-    step = F.coalesce(F.greatest(b - a, F.lit(0)), F.lit(0))
-    step = F.when(a.isNull() | b.isNull(), 0).otherwise(step)
+    step = F.greatest(F.coalesce(b, F.lit(0)) - F.coalesce(a, F.lit(0)), F.lit(0))  # each end outside the pitch counts as the first third
     score = F.when(step == 2, 3).otherwise(step).cast("double")
     return Block(
         "linebreak_packing",
@@ -337,7 +336,8 @@ def received() -> Column:
 
 
 def _wait() -> Column:
-    return F.col("time_1") - F.col("time_seconds")
+    """Seconds to the next action; a missing time is as good as never."""
+    return F.coalesce(F.col("time_1") - F.col("time_seconds"), F.lit(999.0))
 
 
 def box_receiver_volume() -> Block:

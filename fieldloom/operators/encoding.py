@@ -32,14 +32,39 @@ def target_encoding_all(rows: DataFrame, key: str, value: str = "xag", alpha: fl
     return parts.select(key, ((F.col("s") + F.col("_mean") * alpha) / (F.col("n") + alpha)).alias(f"{key}_target_enc"))
 
 
-def league_residuals(rows: DataFrame, value: str = "xag", alpha: float = 5.0) -> DataFrame:
-    """Squad and opponent encodings against the league's and the overall mean, fold by fold."""
+def with_target_encoding(rows: DataFrame, key: str, value: str = "xag", fold: str = "fold", alpha: float = 10.0) -> DataFrame:
+    """rows, all of them, with `<key>_target_enc`: of the other folds for a row with a fold, of all rows with one for a new row (fold
+    null). A missing key, and one that those rows haven't got, gets the mean of all rows with a fold."""
+    name = f"{key}_target_enc"
+    known = rows.where(F.col(fold).isNotNull())
+    keyed = known.where(F.col(key).isNotNull())
+    overall = known.agg(F.avg(value).alias("_mean"))
+    parts = keyed.groupBy(key, fold).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    w = Window.partitionBy(key)
+    own = parts.select(key, fold, (F.sum("s").over(w) - F.coalesce("s", F.lit(0.0))).alias("s"), (F.sum("n").over(w) - F.col("n")).alias("n"))
+    every = parts.groupBy(key).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn(fold, F.lit(None).cast(rows.schema[fold].dataType)).select(*own.columns)
+    table = own.unionByName(every).withColumnsRenamed({key: "_key", fold: "_fold", "s": "_s", "n": "_n"})
+    wide = rows.join(table, (F.col(key) == F.col("_key")) & F.col(fold).eqNullSafe(F.col("_fold")), "left").crossJoin(F.broadcast(overall))  # one row
+    encoded = F.when(F.col("_n") > 0, (F.coalesce("_s", F.lit(0.0)) + F.col("_mean") * alpha) / (F.col("_n") + alpha)).otherwise(F.col("_mean"))
+    return wide.withColumn(name, encoded).drop("_key", "_fold", "_s", "_n", "_mean")
+
+
+#: Columns that with_residuals adds, besides the encodings.
+RESIDUALS = ("squad_comp_residual", "squad_global_residual", "squad_vs_opponent_gap")
+
+
+def with_residuals(rows: DataFrame, value: str = "xag", fold: str = "fold", alpha: float = 5.0) -> DataFrame:
+    """rows, all of them, with the encodings of comp, squad and opponent and how the squad's stands to the league's, to the mean of all and to the opponent's."""
     out = rows
     for key, a in (("comp", alpha), ("squad", 10.0), ("opponent", 10.0)):
-        out = out.join(target_encoding(rows, key, value, alpha=a), [key, "fold"])
-    overall = rows.agg(F.avg(value).alias("_mean"))
-    out = out.crossJoin(F.broadcast(overall))  # one row
-    return out.select("match_id", "player_id", "comp_target_enc", (F.col("squad_target_enc") - F.col("comp_target_enc")).alias("squad_comp_residual"), (F.col("squad_target_enc") - F.col("_mean")).alias("squad_global_residual"), (F.col("squad_target_enc") - F.col("opponent_target_enc")).alias("squad_vs_opponent_gap"))
+        out = with_target_encoding(out, key, value, fold, a)
+    out = out.crossJoin(F.broadcast(rows.where(F.col(fold).isNotNull()).agg(F.avg(value).alias("_mean"))))  # one row
+    gaps = zip(RESIDUALS, ("comp_target_enc", "_mean", "opponent_target_enc"), strict=True)
+    return out.withColumns({name: F.col("squad_target_enc") - F.col(other) for name, other in gaps}).drop("_mean")
+
+
+def league_residuals(rows: DataFrame, value: str = "xag", alpha: float = 5.0) -> DataFrame:
+    return with_residuals(rows, value, alpha=alpha).select("match_id", "player_id", "comp_target_enc", *RESIDUALS)
 
 
 def category_crosses(rows: DataFrame, columns: list[str], category: str, values: list) -> DataFrame:
@@ -52,9 +77,10 @@ def one_hot(rows: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def empirical_position(rows: DataFrame, value: str, reference: Column) -> DataFrame:
-    """Adds `centred`: the share of reference values below, put at its half step, less a half. Values are counted first, so the
-    running sum goes over distinct values, in ranges of them that are summed apart."""
-    counts = rows.groupBy(value).agg(F.count_if(reference).alias("_ref"))
+    """Adds `centred`: the share of reference values below, put at its half step, less a half; null for a missing value, which counts
+    as no reference either. Values are counted first, so the running sum goes over distinct values, in ranges of them that are
+    summed apart."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(reference).alias("_ref"))
     spread = with_value_range(counts, value)
     inside = F.sum("_ref").over(Window.partitionBy("_part").orderBy(value)) - F.col("_ref")
     ranked = spread.withColumn("_below", inside)
@@ -63,4 +89,4 @@ def empirical_position(rows: DataFrame, value: str, reference: Column) -> DataFr
     offsets = parts.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     position = F.least(F.greatest((F.col("_below") + F.col("_offset") + 0.5) / F.col("_total"), F.lit(1e-6)), F.lit(1 - 1e-6)) - 0.5
     table = ranked.join(F.broadcast(offsets), "_part").select(value, F.when(F.col("_total") > 0, position).otherwise(0.0).alias("centred"))
-    return rows.join(table, value)
+    return rows.join(table, value, "left")

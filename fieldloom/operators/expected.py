@@ -60,16 +60,16 @@ def fold_medians(rows: DataFrame, folds: list[int], value: str = "xt_learned_sta
 def with_scaled_failure(rows: DataFrame, moments: DataFrame, value: str = "xt_learned_start") -> DataFrame:
     """fail_scaled: the failure's weight times its centred value. A pass is centred by its empirical position among all passes with
     a fold; other actions are put in standard deviations of their group over the other folds, or, where the group has no others
-    or no spread, of all actions with a fold."""
+    or no spread, of all actions with a fold. An action without a value is in the middle: 0."""
     known = F.col("fold").isNotNull()
     overall = rows.where(known).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     passes = empirical_position(rows.where(F.col("group") == "pass"), value, known)
-    passes = passes.withColumn("fail_scaled", F.col("fail_weight") * F.col("centred"))
+    passes = passes.withColumn("fail_scaled", F.col("fail_weight") * F.coalesce("centred", F.lit(0.0)))
     own = moments.select(F.col("group").alias("_g"), F.col("fold").alias("_f"), "mean", "std")
     others = rows.where(F.col("group") != "pass").join(F.broadcast(own), (F.col("group") == F.col("_g")) & F.col("fold").eqNullSafe(F.col("_f")), "left").crossJoin(F.broadcast(overall))  # groups times folds rows, one row
     spread = F.when(F.col("_std") >= 1e-6, F.col("_std")).otherwise(1.0)
     centred = (F.col(value) - F.coalesce("mean", "_mean")) / F.when(F.col("std") > 1e-6, F.col("std")).otherwise(spread)
-    others = others.withColumn("fail_scaled", F.col("fail_weight") * centred)
+    others = others.withColumn("fail_scaled", F.col("fail_weight") * F.coalesce(centred, F.lit(0.0)))
     return passes.select(*rows.columns, "fail_scaled").unionByName(others.select(*rows.columns, "fail_scaled"))
 
 

@@ -21,7 +21,7 @@ FOLDS = (1, 2, 3, 4, 5)
 KINDS = ("pass", "cross", "carry", "shot")
 LEAGUES = (0, 1, 2)
 #: Results whose exact values end in a five at the seventh place are rounded further down.
-NINE_DIGITS = {"feature_table", "nstep_chain", "extended_chain", "xpass_risk", "possession_table", "possession_player", "heuristic_xt", "fold_balance", "calibration_deciles", "prediction_summary", "blend_gram"}
+NINE_DIGITS = {"feature_table", "nstep_chain", "extended_chain", "xpass_risk", "possession_table", "possession_player", "heuristic_xt", "fold_balance", "calibration_deciles", "prediction_summary", "blend_gram", "player_features", "league_gate_values"}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,6 +50,12 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("xpass_prob", (F.pmod(F.col("action_id") * 13, F.lit(97)) + 1).cast("double") / 99.0)
 
 
+def misplaced(a: DataFrame) -> DataFrame:
+    """Actions some of which have no place, or one off the pitch."""
+    i = F.col("action_id")
+    return a.withColumns({"start_x": F.when(i % 7 == 0, None).when(i % 13 == 0, F.col("start_x") - 40.0).otherwise(F.col("start_x")), "end_x": F.when(i % 17 == 0, None).when(i % 11 == 0, F.col("end_x") + 60.0).otherwise(F.col("end_x"))})
+
+
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(actions(spark, sf_dir))
 
@@ -78,6 +84,7 @@ for _name, _make, _source in (
     ("progressive_carry", blocks.progressive_carry, prepared),
     ("gca_spatial", blocks.gca_spatial, prepared),
     ("linebreak_packing", blocks.linebreak_packing, prepared),
+    ("linebreak_missing_zones", blocks.linebreak_packing, lambda spark, sf_dir: misplaced(prepared(spark, sf_dir))),
     ("chain_quality", blocks.chain_quality, lambda spark, sf_dir: dense(prepared(spark, sf_dir))),
     ("box_entry", blocks.box_entry, lambda spark, sf_dir: dense(prepared(spark, sf_dir))),
     ("setplay_share", blocks.setplay_share, prepared),
@@ -113,6 +120,15 @@ def feature_table(spark, sf_dir):
     return enrich(goals(spark, sf_dir), fuse(valued(spark, sf_dir), full.fused_blocks(KINDS)))
 
 
+@query
+def player_features(spark, sf_dir):
+    """All features that come from the actions alone but the path measures of networks, beside their targets."""
+    wide = goals(spark, sf_dir)
+    for part in full.own_features(staged(valued(spark, sf_dir), "actions"), KINDS):
+        wide = enrich(wide, part)
+    return wide.withColumn("pass_tempo_variance", F.round("pass_tempo_variance", 6))  # its exact values end in a five at the tenth place
+
+
 @query
 def age_days(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -307,6 +323,27 @@ def comp_residuals(spark, sf_dir):
     return encoding.league_residuals(goals(spark, sf_dir))
 
 
+@query
+def comp_residuals_missing(spark, sf_dir):
+    """Rows without a squad, opponent or league, and new rows without a fold: all stay."""
+    gone = lambda c, m: F.when(F.col("player_id") % m == 0, None).otherwise(F.col(c))
+    return encoding.league_residuals(_with_new_rows(spark, sf_dir).withColumns({"squad": gone("squad", 7), "opponent": gone("opponent", 11), "comp": gone("comp", 13)}))
+
+
+@query
+def quantile_center_missing(spark, sf_dir):
+    """Values that are missing stay, without a position."""
+    a = misplaced(_components(spark, sf_dir).where(F.col("group") == "pass"))
+    return encoding.empirical_position(a, "start_x", F.col("fold") <= 4).select("action_id", "centred")
+
+
+@query
+def league_gate_values(spark, sf_dir):
+    """Learned values and possessions crossed with the league."""
+    wide = enrich(enrich(goals(spark, sf_dir), xt_player(spark, sf_dir)), possession_player(spark, sf_dir))
+    return encoding.category_crosses(wide, list(full.OF_LEAGUE), "comp", list(LEAGUES)).select(*KEY, *[f"{c}__comp_gate_{v}" for c in full.OF_LEAGUE for v in LEAGUES])
+
+
 @query
 def league_gate(spark, sf_dir):
     rows = encoding.one_hot(goals(spark, sf_dir), "comp", list(LEAGUES))
@@ -518,7 +555,7 @@ def edxt_pipeline(spark, sf_dir):
     rows = _with_new_rows(spark, sf_dir)
     a = prepared(spark, sf_dir).join(F.broadcast(rows.select("match_id", "fold").distinct()), "match_id")  # one row a match
     a = value.with_learned_value(a, value.solve_values(value.transition_counts(a.where("fold is not null"))))
-    wide = rows.select(*KEY, "squad").join(full.expected_value(a, rows, PRESENT, FOLDS[:4]), list(KEY))
+    wide = rows.select(*KEY, "squad").join(full.expected_value(full.chances(a, PRESENT, FOLDS[:4]), rows, PRESENT), list(KEY))
     return windows.team_context(wide, [c for c in wide.columns if c.endswith("_edxt_sum")]).drop("squad")
 
 

@@ -12,13 +12,17 @@ from fieldloom.functions.columns import snap
 from fieldloom.models import blending, evaluation, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
-from fieldloom.plans.fusion import Block, enrich, fuse
+from fieldloom.plans.fusion import Block, credit, enrich, fuse
 from fieldloom.sources.staging import staged
 
 PLACE = ("start_x", "start_y", "end_x", "end_y", "time_seconds", "xt_learned_start")
 #: Sums that are compared with the team's, by their beginnings and ends.
 OF_TEAM = ("xt_learned_", "possession_xt_"), ("_edxt_sum",)
-ENCODED = ("player_id", "squad", "opponent", "comp")
+ENCODED = ("player_id", "matchup")
+#: The columns that are crossed with the league.
+OF_LEAGUE = ("xt_learned_delta_sum", "xt_learned_positive_delta_sum", "possession_xt_positive_sum", "possession_xt_delta_sum", "possession_speed_ground_mean")
+#: Counts that also enter by minute of play.
+BY_MINUTE = ("action_count", "goal_count", "pass_leads_to_shot", "type_offensive_actions", "type_defensive_actions", "progressive_pass_count", "progressive_carry_count")
 
 
 def fused_blocks(kinds: Sequence[str], value: bool = True) -> list[Block]:
@@ -29,11 +33,29 @@ def fused_blocks(kinds: Sequence[str], value: bool = True) -> list[Block]:
     ]
 
 
-def expected_value(actions: DataFrame, rows: DataFrame, groups: Sequence[str], folds: Sequence[int], y: str = "xag") -> DataFrame:
-    """Features of expected value by player. actions: with fold and learned values."""
+def more_blocks() -> list[Block]:
+    """The blocks that the twenty leave out: longer chains, waits, set plays, body parts, receiving in the box, heuristic values."""
+    return [
+        blocks.nstep_chain(7, 0.6, "longchain"), blocks.pass_latency(), blocks.setplay_share(), blocks.bodypart_pivot(), blocks.box_receiver_volume(), blocks.box_receiver_timing(), blocks.box_receiver_angles(),
+        blocks.box_receiver_origin(), blocks.final_third_receive(), blocks.dynamic_position(), blocks.heuristic_value(),
+    ]
+
+
+def credits(actions: DataFrame) -> list[DataFrame]:
+    """Shots and goals credited to the players one and two actions before."""
+    a = with_neighbours(actions, before=2)
+    return [credit(a, blocks.shot_creation(k, goals), f"player_p{k}", f"{name}{k}") for k in (1, 2) for goals, name in ((False, "sca"), (True, "gca"))]
+
+
+def chances(actions: DataFrame, groups: Sequence[str], folds: Sequence[int]) -> DataFrame:
+    """Actions of the groups with success probabilities and components, written. actions: with fold and learned values."""
     a = actions.withColumn("group", expected.action_group()).where(F.col("group").isin(*groups))
-    a = expected.with_components(trees.success_probability(a, PLACE, groups, folds))
-    a = staged(expected.with_scaled_failure(a, expected.fold_moments(a)), "components")
+    return staged(expected.with_components(trees.success_probability(a, PLACE, groups, folds)), "chances")
+
+
+def expected_value(chanced: DataFrame, rows: DataFrame, groups: Sequence[str], y: str = "xag") -> DataFrame:
+    """Features of expected value by player. chanced: as chances() gives them."""
+    a = staged(expected.with_scaled_failure(chanced, expected.fold_moments(chanced)), "components")
     found: dict[str, list] = {}
     known = rows.where(F.col("fold").isNotNull())
     for r in expected.penalty_statistics(expected.component_sums(a.where(F.col("fold").isNotNull())), known, evaluation.step_weight(F.col(y)), y).collect():  # groups times folds rows
@@ -41,32 +63,46 @@ def expected_value(actions: DataFrame, rows: DataFrame, groups: Sequence[str], f
     return expected.expected_features(a, {g: expected.best_penalty(found[g], *expected.PENALTY_BOUNDS[g]) if g in found else 0.0 for g in groups})
 
 
+def _players(of_teams: DataFrame) -> DataFrame:
+    return of_teams.drop("team_id").groupBy(*KEY).agg(*[F.max(c).alias(c) for c in of_teams.columns if c not in (*KEY, "team_id")])
+
+
+def own_features(a: DataFrame, kinds: Sequence[str]) -> list[DataFrame]:
+    """Tables of features that come from a player's actions and their neighbours. a: with learned values, written."""
+    received, partners = network.received_passes(with_neighbours(a, 1)), network.passer_chain(a)
+    return [
+        fuse(windows.with_own_previous(value.with_heuristic_value(a)), [*fused_blocks(kinds), *more_blocks()]), fuse(windows.with_pass_gaps(a), [blocks.pass_tempo()]), *credits(a), value.value_player(a), windows.possession_player(windows.with_possessions(a)),
+        _players(network.degrees(network.weighted_edges(partners))), network.diversity(partners), network.pass_lengths(a), network.receive_counts(received),
+        network.diversity(network.box_receivers(with_neighbours(a, 1)), names=("box_receiver_diversity", "unique_box_receivers")),
+    ]
+
+
+def path_features(a: DataFrame) -> list[DataFrame]:
+    """Path measures of both pass networks: by number of passes in the chain of passers, by weight among passers and receivers."""
+    hops = network.hop_centrality(network.weighted_edges(network.passer_chain(a)))
+    hops = hops.withColumnsRenamed({c: f"chain_{c}" for c in hops.columns if c.startswith("pass_net_")})
+    return [_players(hops), _players(network.centrality(network.weighted_edges(network.received_passes(with_neighbours(a, 1)))))]
+
+
 def all_features(actions: DataFrame, rows: DataFrame, kinds: Sequence[str], groups: Sequence[str], folds: Sequence[int], y: str = "xag") -> tuple[DataFrame, list[str]]:
-    """rows (match_id, player_id, y, fold, squad, opponent, comp) with all features, and the features' names."""
-    a = one_direction(relevant(actions, rows)).join(F.broadcast(rows.select("match_id", "fold").distinct()), "match_id")  # one row a match
+    """rows (match_id, player_id, y, fold, squad, opponent, comp) with all features, and the features' names. No row is lost."""
+    a = one_direction(relevant(actions, rows)).join(rows.select("match_id", "fold").distinct(), "match_id")
     a = staged(value.with_learned_value(a, value.solve_values(value.transition_counts(a.where(F.col("fold").isNotNull())))), "actions")
-    links = network.weighted_edges(network.received_passes(with_neighbours(a, 1)))
-    players = lambda df: df.drop("team_id").groupBy(*KEY).agg(*[F.max(c).alias(c) for c in df.columns if c not in (*KEY, "team_id")])
     known = F.col("fold").isNotNull()
-    parts = [
-        fuse(a, fused_blocks(kinds)), value.value_player(a), windows.possession_player(windows.with_possessions(a)), players(network.degrees(links)), players(network.hop_centrality(links)), network.pass_lengths(a),
-        network.receive_counts(network.received_passes(with_neighbours(a, 1))), expected_value(a, rows, groups, folds, y), windows.player_trend(rows.select(*KEY, y, "fold"), known, y).drop(y, "fold"),
-    ]
+    chanced = chances(a, groups, folds)
+    parts = [*own_features(a, kinds), *path_features(a), fuse(chanced, [blocks.pass_risk()]), expected_value(chanced, rows, groups, y), windows.player_trend(rows.select(*KEY, y, "fold"), known, y).drop(y, "fold")]
     wide = rows
     for part in parts:
         wide = enrich(wide, part)
+    wide = staged(wide, "players")
     (begin, end) = OF_TEAM
     wide = windows.team_context(wide, [c for c in wide.columns if (c.startswith(begin) and c.endswith("_sum")) or c.endswith(end)])
+    wide = wide.withColumns(blocks.per_minute(tuple(c for c in BY_MINUTE if c in wide.columns)))
+    wide = encoding.with_residuals(wide.withColumn("matchup", encoding.crossed_key("squad", "opponent")), y)
     for key in ENCODED:
-        name = f"{key}_target_enc"
-        own = encoding.target_encoding(rows.where(known), key, y)
-        new = encoding.target_encoding_all(rows.where(known), key, y).withColumn("fold", F.lit(None).cast(own.schema["fold"].dataType))
-        table = own.unionByName(new.select(*own.columns)).withColumnsRenamed({key: "_key", "fold": "_fold"})
-        wide = wide.join(table, (F.col(key) == F.col("_key")) & F.col("fold").eqNullSafe(F.col("_fold")), "left").drop("_key", "_fold")
-        overall = rows.where(known).agg(F.avg(y).alias("_mean"))
-        wide = wide.crossJoin(F.broadcast(overall)).withColumn(name, F.coalesce(name, "_mean")).drop("_mean")  # one row
+        wide = encoding.with_target_encoding(wide, key, y)
     gates = tabular.categories(rows, column="comp")
-    wide = encoding.category_crosses(encoding.one_hot(wide, "comp", gates), [f"{y}_rolling3_mean", "squad_target_enc", "player_id_target_enc"], "comp", gates)
+    wide = encoding.category_crosses(encoding.one_hot(wide, "comp", gates), list(OF_LEAGUE), "comp", gates).drop("matchup")
     names = [c for c, t in wide.dtypes if c not in rows.columns and t in ("double", "bigint", "int")]
     return wide, names
 

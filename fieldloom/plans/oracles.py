@@ -144,6 +144,12 @@ _t = lambda c: f"CASE WHEN {c}>=0 AND {c}<=35 THEN 0 WHEN {c}>35 AND {c}<=70 THE
 _cross = f"(({_t('start_x')}) IS NULL OR ({_t('end_x')}) IS NULL OR ({_t('start_x')})<>({_t('end_x')})) AND end_x-start_x>=10.5 AND {_ok}"
 _chan = f"start_y BETWEEN 22.67 AND 45.33 AND end_x-start_x>=10.5 AND {_ok}"
 _q["linebreak_packing"] = _ACTIONS + _per_player([_cnt(_cross, "linebreak_third_transition_count"), _share("true", _cross, "linebreak_third_transition_rate"), _cnt(_chan, "through_channel_pass_count"), _share("true", _chan, "through_channel_pass_rate"), _mean("true", f"CASE ({_t('end_x')})-({_t('start_x')}) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END", "packing_approx_score_mean")], "a", "type_name='pass'")
+# both zones are looked up one by one, and a missing one is the first; zones of which one is missing differ
+_q["linebreak_missing_zones"] = _ACTIONS + ", m AS (SELECT * REPLACE (CASE WHEN action_id % 7 = 0 THEN NULL WHEN action_id % 13 = 0 THEN start_x - 40 ELSE start_x END AS start_x, CASE WHEN action_id % 17 = 0 THEN NULL WHEN action_id % 11 = 0 THEN end_x + 60 ELSE end_x END AS end_x) FROM a)" + _per_player(
+    [
+        _cnt(_cross, "linebreak_third_transition_count"), _share("true", _cross, "linebreak_third_transition_rate"), _cnt(_chan, "through_channel_pass_count"), _share("true", _chan, "through_channel_pass_rate"),
+        _mean("true", f"CASE greatest(coalesce({_t('end_x')}, 0) - coalesce({_t('start_x')}, 0), 0) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END", "packing_approx_score_mean"),
+    ], "m", "type_name='pass'")
 _one_two = "type_name='pass' AND type_1='pass' AND team_1=team_id AND player_2=player_id AND time_2-time_seconds<=3"
 _third = f"type_name='pass' AND type_1='pass' AND type_2='pass' AND type_3 IN {_SHOT} AND team_1=team_id AND team_2=team_id AND team_3=team_id"
 _q["chain_quality"] = _DENSE + _neighbours("d", 3) + _per_player([_cnt(_one_two, "one_two_chain_count"), _cnt(_third, "third_man_release_count"), _share("true", f"coalesce(time_2-time_seconds,999)<=5 AND type_2 IN {_SHOT} AND team_2=team_id", "burst_window_sca_rate")], "n")
@@ -251,6 +257,10 @@ SELECT grp AS "group", fold, count(*) AS n, round(sum(w*r*r),6)+0.0 AS wrr, roun
 _q["quantile_center"] = _EX + """, rf AS (SELECT start_x AS val, count(*) AS c FROM x WHERE grp='pass' AND fold<=4 GROUP BY 1), dv AS (SELECT DISTINCT start_x AS val FROM x WHERE grp='pass'),
 cu AS (SELECT dv.val, coalesce(sum(rf.c) OVER (ORDER BY dv.val ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM dv LEFT JOIN rf USING (val)), tt AS (SELECT sum(c) AS total FROM rf)
 SELECT action_id, round(least(greatest((below+0.5::DOUBLE)/total,1e-6::DOUBLE),1-1e-6::DOUBLE)-0.5::DOUBLE,6)+0.0 AS centred FROM x JOIN cu ON x.start_x=cu.val, tt WHERE grp='pass'"""
+_q["quantile_center_missing"] = _EX + """, z AS (SELECT action_id, fold, CASE WHEN action_id % 7 = 0 THEN NULL WHEN action_id % 13 = 0 THEN start_x - 40 ELSE start_x END AS val FROM x WHERE grp='pass'),
+rf AS (SELECT val FROM z WHERE fold<=4 AND val IS NOT NULL), dv AS (SELECT DISTINCT val FROM z WHERE val IS NOT NULL), cc AS (SELECT val, count(*) AS c FROM rf GROUP BY val),
+cu AS (SELECT dv.val, coalesce(sum(cc.c) OVER (ORDER BY dv.val ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM dv LEFT JOIN cc USING (val))
+SELECT action_id, CASE WHEN below IS NOT NULL THEN round(least(greatest((below+0.5::DOUBLE)/(SELECT count(*) FROM rf),1e-6::DOUBLE),1-1e-6::DOUBLE)-0.5::DOUBLE,6)+0.0 END AS centred FROM z LEFT JOIN cu ON z.val=cu.val"""
 
 
 _q["one_hot_union"] = "SELECT o_orderkey, " + ", ".join(f"CASE WHEN o_orderpriority LIKE '{i}%' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_{i}" for i in range(1, 6)) + " FROM orders"
@@ -266,6 +276,13 @@ def _enc(key: str, alpha: float, source: str = "targets", name: str = "te") -> s
 _q["target_encoding_oof"] = _ACTIONS + _enc("player_id", 10.0) + " SELECT player_id, fold, round(enc,6)+0.0 AS player_id_target_enc FROM te"
 _q["target_encoding_cross"] = _ACTIONS + ", tx AS (SELECT *, CAST(squad AS VARCHAR)||'_vs_'||CAST(opponent AS VARCHAR) AS matchup FROM targets)" + _enc("matchup", 10.0, "tx") + " SELECT matchup, fold, round(enc,6)+0.0 AS matchup_target_enc FROM te"
 _q["comp_residuals"] = _ACTIONS + _enc("comp", 5.0, name="c") + _enc("squad", 10.0, name="s") + _enc("opponent", 10.0, name="o") + " SELECT match_id, player_id, round(c.enc,6)+0.0 AS comp_target_enc, round(s.enc-c.enc,6)+0.0 AS squad_comp_residual, round(s.enc-(SELECT avg(xag) FROM targets),6)+0.0 AS squad_global_residual, round(s.enc-o.enc,6)+0.0 AS squad_vs_opponent_gap FROM targets t JOIN c ON c.comp=t.comp AND c.fold=t.fold JOIN s ON s.squad=t.squad AND s.fold=t.fold JOIN o ON o.opponent=t.opponent AND o.fold=t.fold"
+_q["comp_residuals_missing"] = _ACTIONS + f""", g AS (SELECT match_id, player_id, CASE WHEN fold <= 4 THEN xag END AS xag, CASE WHEN fold <= 4 THEN fold END AS fold, CASE WHEN player_id % 7 <> 0 THEN squad END AS squad, CASE WHEN player_id % 11 <> 0 THEN opponent END AS opponent, CASE WHEN player_id % 13 <> 0 THEN comp END AS comp FROM targets),
+kn AS (SELECT * FROM g WHERE fold IS NOT NULL), am AS (SELECT avg(xag) AS am FROM kn),
+en AS (SELECT match_id, player_id, am, c, s, o FROM (SELECT g.match_id, g.player_id, am.am, {', '.join(f"coalesce(e{k}.enc, am.am) AS {k}" for k in "cso")} FROM g CROSS JOIN am {' '.join(f"LEFT JOIN e{k} ON e{k}.{c} = g.{c} AND e{k}.fold IS NOT DISTINCT FROM g.fold" for k, c in (("c", "comp"), ("s", "squad"), ("o", "opponent")))}) q)
+SELECT match_id, player_id, round(c,6)+0.0 AS comp_target_enc, round(s-c,6)+0.0 AS squad_comp_residual, round(s-am,6)+0.0 AS squad_global_residual, round(s-o,6)+0.0 AS squad_vs_opponent_gap FROM en"""
+_q["comp_residuals_missing"] = _q["comp_residuals_missing"].replace("en AS (SELECT match_id", ", ".join(
+    f"e{k} AS (SELECT t.{c}, t.fold, CASE WHEN count(o.xag) > 0 THEN (sum(o.xag) + {a!r}::DOUBLE * max(am.am)) / (count(o.xag) + {a!r}::DOUBLE) ELSE max(am.am) END AS enc FROM (SELECT DISTINCT {c}, fold FROM g WHERE {c} IS NOT NULL) t CROSS JOIN am LEFT JOIN kn o ON o.{c} = t.{c} AND (t.fold IS NULL OR o.fold <> t.fold) GROUP BY t.{c}, t.fold)"
+    for k, c, a in (("c", "comp", 5.0), ("s", "squad", 10.0), ("o", "opponent", 10.0))) + ",\nen AS (SELECT match_id")
 _q["league_gate"] = _ACTIONS + " SELECT match_id, player_id, " + ", ".join(f"CASE WHEN comp={v} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS comp_{v}, CASE WHEN comp={v} THEN xag ELSE 0.0::DOUBLE END AS xag__comp_gate_{v}" for v in (0, 1, 2)) + " FROM targets"
 
 # ---- folds, weights, metrics ----
@@ -349,6 +366,20 @@ def _fused() -> str:
 
 
 _q["feature_table"] = _fused()
+_VALUES = (("start_mean", "avg(vs)"), ("start_max", "max(vs)"), ("delta_sum", "sum(d)"), ("delta_mean", "avg(d)"), ("positive_delta_sum", "sum(greatest(d,0))"), ("positive_delta_mean", "avg(greatest(d,0))"), ("success_rate", "avg(CASE WHEN result_name='success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"), ("end_success_mean", "avg(ve) FILTER (WHERE result_name='success')"), ("delta_success_mean", "avg(d) FILTER (WHERE result_name='success')"))
+_grid_player = _ACTIONS + _VALUED + ", w AS (SELECT *, xt_start AS vs, xt_end AS ve, xt AS d FROM v) SELECT match_id, player_id, count(*) AS xt_learned_action_count, " + ", ".join(_agg(x, f"xt_learned_{n}") for n, x in _VALUES) + " FROM w" + _BY
+_MORE = ("extended_chain", "pass_latency", "setplay_share", "bodypart_pivot", "box_receiver_volume", "box_receiver_timing", "box_receiver_angles", "box_receiver_origin", "final_third_receive", "dynamic_position", "heuristic_xt", "pass_tempo", "sca1", "gca1", "sca2", "gca2", "possession_player", "pass_entropy", "passnet_attempts", "passnet_receive", "box_receiver_diversity")
+
+
+def _wide() -> str:
+    parts = [_q[n].replace("time_seconds/20.0::DOUBLE", "time_seconds") for n in (*_FUSED, *_MORE) if n != "pass_tempo"] + [f"SELECT * REPLACE (round(pass_tempo_variance, 6) AS pass_tempo_variance) FROM ({_q['pass_tempo']})", _grid_player, f"SELECT * EXCLUDE (team_id) FROM ({_q['pass_degree']})"]
+    joined = " ".join(f"LEFT JOIN ({sql}) b{i} ON b{i}.match_id=t.match_id AND b{i}.player_id=t.player_id" for i, sql in enumerate(parts))
+    return _ACTIONS + " SELECT t.*, " + ", ".join(f"coalesce(COLUMNS(b{i}.* EXCLUDE (match_id, player_id)), 0)" for i in range(len(parts))) + f" FROM targets t {joined}"
+
+
+_q["player_features"] = _wide()
+_gated = [(c, t) for t, cs in (("x", ("xt_learned_delta_sum", "xt_learned_positive_delta_sum")), ("p", ("possession_xt_positive_sum", "possession_xt_delta_sum", "possession_speed_ground_mean"))) for c in cs]
+_q["league_gate_values"] = _ACTIONS + " SELECT t.match_id, t.player_id, " + ", ".join(f"CASE WHEN comp={v} THEN coalesce({t}.{c}, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS {c}__comp_gate_{v}" for c, t in _gated for v in (0, 1, 2)) + f" FROM targets t LEFT JOIN ({_q['xt_player']}) x ON x.match_id=t.match_id AND x.player_id=t.player_id LEFT JOIN ({_q['possession_player']}) p ON p.match_id=t.match_id AND p.player_id=t.player_id"
 
 for _n in NINE_DIGITS:
     _q[_n] = _q[_n].replace(",6)+0.0", ",9)+0.0").replace(", 6) + 0.0", ", 9) + 0.0")
