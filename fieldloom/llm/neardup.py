@@ -252,7 +252,7 @@ def _join(dealt: DataFrame, dims: int, cosine: float) -> DataFrame:
                 if side == 0:
                     state["raw"].append(raw)
                     state["rid"].append(rid)
-                elif state["raw"]:
+                elif len(state["raw"]):
                     yield from compare(rid, weight, raw)
         yield from end()
 
