@@ -6,8 +6,10 @@ most that a query's dimension can add to any of its rows. For a query, dimension
 essential ones, without which no row can still reach the query's threshold, are traversed list by list; the others are probed, in
 bound order, only for rows whose partial score plus the bounds still to come is competitive. The k best of each shard are merged.
 
-A shard has a bounded number of rows and a query block a bounded number of queries; each pair of them is one task. Each block is
-first searched in one shard, and the k-th best scores found there are its queries' thresholds from the start in all others.
+Candidates are dealt to shards once, whatever the number of queries; a task holds one shard and reads all queries block by block. A
+shard has SHARD_ROWS rows, more where there would be more than SHARDS of them, up to SHARD_BYTES; so queries, of which there are
+few against the candidates, are what is copied. Each query comes with a threshold to start from: its k-th best score in a bounded
+sample of candidates that all tasks know.
 
 Edge cases: rows without an id and vectors that are null or hold null or non-finite components take no part; of vectors of
 different lengths the shorter one counts as ending in zeros, so an empty one scores 0; ties go to the smaller id; a query has
@@ -28,6 +30,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import staged
 
 SHARD_ROWS = 8192
+#: Shards grow rather than be more than this, as long as their values stay within so many bytes.
+SHARDS = 512
+SHARD_BYTES = 64 << 20
+#: Candidates that give the first thresholds (4 MB at most).
+SAMPLE_ROWS = 4096
+SAMPLE_BYTES = 4 << 20
 QUERY_ROWS = 1024
 BLOCK_ROWS = 1024
 PROBE = 8
@@ -106,57 +114,86 @@ def _matrix(lists: list[np.ndarray], dims: int) -> np.ndarray:
     return out
 
 
-def _search(asked: DataFrame, candidates: DataFrame, shards: F.Column, blocks: F.Column, tasks: int, k: int) -> DataFrame:
-    """q, query_id, found and score of the k best of each pair of a shard and a block. asked: q, id, v, least, block; candidates: id,
-    v, shard; shards (of a block) and blocks (of a shard): the pairs."""
-    none = F.lit(None).cast("long")
-    sides = asked.select(F.explode(shards).alias("shard"), "block", F.lit(0).alias("side"), "id", "q", "least", "v").unionByName(
-        candidates.select("shard", F.explode(blocks).alias("block"), F.lit(1).alias("side"), "id", none.alias("q"), none.alias("least"), "v")
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return [flat[ends[j - 1] if j else 0 : ends[j]] for j in range(len(ends))]
+
+
+def _thresholds(asked: DataFrame, sample: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """asked (q, id, v) with least: the k-th best score among the sample's rows, null if there are fewer."""
+    ids = np.array([i for i, _ in sample], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(a, QUERY_ROWS)
+                v = _lists(part.column(2))
+                dims = max(1, *(len(x) for x in v), *(len(x) for _, x in sample))
+                at, _, score = search_shard(_matrix(v, dims), part.column(1).to_numpy(), _matrix([x for _, x in sample], dims), ids, k)
+                n = np.bincount(at, minlength=len(v))
+                last = np.cumsum(n) - 1
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(n == k, score[last], 0), mask=n < k)], names=["q", "id", "v", "least"])
+
+    return asked.select("q", "id", "v").mapInArrow(run, "q long, id long, v array<long>, least long")
+
+
+def _search(asked: DataFrame, candidates: DataFrame, shards: int, k: int) -> DataFrame:
+    """q, query_id, found and score of the k best of each shard. asked: q, id, v, least; candidates: id, v, shard."""
+    none, every = F.lit(None).cast("long"), F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")
+    sides = candidates.select("shard", F.lit(0).alias("side"), "id", none.alias("q"), none.alias("least"), "v").unionByName(
+        asked.select(F.explode(every).alias("shard"), F.lit(1).alias("side"), "id", "q", "least", "v")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> Iterator[pa.RecordBatch]:
-            if not (queries and rows):
-                return
-            dims = max(1, *(len(r[-1]) for r in queries), *(len(r[-1]) for r in rows))
-            q_ids, ids = (np.array([r[0] for r in rs], np.int64) for rs in (queries, rows))
-            i, c, s = search_shard(_matrix([r[-1] for r in queries], dims), q_ids, _matrix([r[-1] for r in rows], dims), ids, k, [r[2] for r in queries])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array([r[1] for r in queries], np.int64)[i], q_ids[i], c, s)], names=["q", "query_id", "found", "score"])
-
-        pair, queries, rows = None, [], []
+        shard, rows, ids = None, [], []
+        matrix: np.ndarray | None = None
+
+        def search(q: list, q_ids: list, least: list, v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal matrix
+            if matrix is None or matrix.shape[1] < max(len(x) for x in v):
+                matrix = _matrix(rows, max(1, *(len(x) for x in v), *(len(x) for x in rows)))
+            own = np.array(q_ids, np.int64)
+            i, c, s = search_shard(_matrix(v, matrix.shape[1]), own, matrix, np.array(ids, np.int64), k, least)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(q, np.int64)[i], own[i], c, s)], names=["q", "query_id", "found", "score"])
+
         for batch in batches:
-            flat, ends = batch.column(6).flatten().to_numpy(), np.cumsum(batch.column(6).value_lengths().to_numpy())
-            for j, (shard, block, side, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
-                if (shard, block) != pair:
-                    yield from done()
-                    pair, queries, rows = (shard, block), [], []
-                (rows if side else queries).append((*row, flat[ends[j - 1] if j else 0 : ends[j]]))
-        yield from done()
-
-    dealt = sides.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", "side", "id")
+            at, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part, v = batch.slice(a, b - a), _lists(batch.column(5).slice(a, b - a))
+                if at[a] != shard:
+                    shard, rows, ids, matrix = at[a], [], [], None
+                if side[a] == 0:
+                    rows += v
+                    ids += part.column(2).to_pylist()
+                elif rows:
+                    q_ids, q, least = (part.column(c).to_pylist() for c in (2, 3, 4))
+                    for i in range(0, len(v), QUERY_ROWS):
+                        end = i + QUERY_ROWS
+                        yield from search(q[i:end], q_ids[i:end], least[i:end], v[i:end])
+
+    dealt = sides.repartition(2 * shards, "shard").sortWithinPartitions("shard", "side", "id")
     return dealt.mapInArrow(run, "q long, query_id long, found long, score long")
 
 
 def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, scale: float = 1024.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, key and score of the k best other rows for each row where `queries` holds."""
     rows = vectors.where(usable(vectors, vector) & F.col(key).cast("long").isNotNull()).select(F.col(key).cast("long").alias("id"), queries.alias("is_query"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("v"))
-    asked = staged(rows.where("is_query").select(F.monotonically_increasing_id().alias("q"), "id", "v"), "queries")  # numbers are fixed once written
-    shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    asked, candidates = asked.withColumn("block", place("q", blocks)), rows.select("id", "v", place("id", shards).alias("shard"))
-    all_shards, all_blocks = (F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>") for n in (shards, blocks))
-    home = lambda b: F.pmod(b, F.lit(shards))
-    first = _search(
-        asked.withColumn("least", F.lit(None).cast("long")), candidates,
-        F.array(home(F.col("block"))), F.filter(all_blocks, lambda b: home(b) == F.col("shard")), blocks, k,
-    )
-    first = staged(first, "first")
-    least = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("q", "least")
-    others = _search(
-        asked.join(least, "q", "left"), candidates,
-        F.filter(all_shards, lambda s: s != home(F.col("block"))), F.filter(all_blocks, lambda b: home(b) != F.col("shard")), max(1, blocks * (shards - 1)), k,
-    )
-    found = first.unionByName(others) if shards > 1 else first
+    rows = staged(rows.withColumn("q", F.monotonically_increasing_id()), "vectors")  # numbers are fixed once written
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
+    n, dims = facts["n"], max(1, facts["dims"] or 1)
+    held = max(SHARD_ROWS, min(-(-n // SHARDS), SHARD_BYTES // (8 * dims)))
+    shards = max(1, -(-n // held))
+    asked = rows.where("is_query").select("q", "id", "v")
+    most = min(SAMPLE_ROWS, max(k, SAMPLE_BYTES // (8 * dims)))
+    drawn = F.xxhash64("q", F.lit(3))
+    sample = rows.where(F.pmod(drawn, F.lit(1 << 30)) < F.lit(min(1.0, 2 * most / max(1, n)) * (1 << 30))).select("id", "v").limit(most).toArrow()
+    first = sorted(zip(sample["id"].to_pylist(), _lists(sample["v"].combine_chunks()) if sample.num_rows else [], strict=True), key=lambda r: r[0])
+    least = _thresholds(asked, first, k) if first and shards > 1 else asked.withColumn("least", F.lit(None).cast("long"))
+    # by row, not by id, so that rows that repeat an id are spread
+    found = _search(least, rows.select("id", "v", F.pmod(F.xxhash64("q"), F.lit(shards)).alias("shard")), shards, k)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "found")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("found").alias(key), "score")

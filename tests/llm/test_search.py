@@ -68,12 +68,30 @@ def test_thresholds_save_work():
     assert work[0] < alone[0] < 0.8 * 64 * 4000 * 30 and work[0] < 0.25 * 64 * 4000 * 30
 
 
-def test_each_pair_is_a_task(spark, monkeypatch):
+def test_candidates_are_dealt_once(spark, monkeypatch):
+    """However many blocks of queries there are, a candidate is in one shard; only queries are copied."""
     seen = []
     real = topk._search
-    monkeypatch.setattr(topk, "_search", lambda *a: seen.append((a[4], real(*a))) or seen[-1][1])
+    monkeypatch.setattr(topk, "_search", lambda *a: seen.append(a) or real(*a))
     monkeypatch.setattr(topk, "SHARD_ROWS", 100)
     monkeypatch.setattr(topk, "QUERY_ROWS", 5)
-    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<double>")
-    topk.top_k(df, F.col("vec_id") % 40 == 0).count()
-    assert [(tasks, found.rdd.getNumPartitions()) for tasks, found in seen] == [(2, 2), (6, 6)]
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(topk.top_k(df, F.col("vec_id") % 10 == 0, k=3))
+    assert got == brute(rows, range(0, 1000, 10), 3)
+    asked, candidates, shards, _ = seen[0]
+    assert shards == 10 and candidates.count() == 1000 and asked.where("least is not null").count() == 100
+    assert [r for r in result(topk.top_k(df.where("vec_id < 400"), F.col("vec_id") % 10 == 0, k=3))] == brute(rows[:400], range(0, 400, 10), 3)
+    monkeypatch.setattr(topk, "SHARDS", 2)
+    assert result(topk.top_k(df, F.col("vec_id") % 10 == 0, k=3)) == got and seen[-1][2] == 2
+
+
+def test_one_id_on_a_third_of_the_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    seen = []
+    real = topk._search
+    monkeypatch.setattr(topk, "_search", lambda *a: seen.append(a[1]) or real(*a))
+    rows = [(5 if i % 3 == 0 else i, [float(i % 11), 1.0]) for i in range(600)]
+    topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count()
+    assert max(r["count"] for r in seen[0].groupBy("shard").count().collect()) < 150
