@@ -56,14 +56,29 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(re.sub(r'^www[0-9]*[.]', '', host.lower()).split('.')))}){path or '/'}"
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, bytes of payload and record (a whole WARC record, without the two line ends after it) for pages of page_id, url, html."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    facts = rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
-    facts = staged(facts, "payloads")
-    shared = facts.where(F.col("bytes") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = join_by_key(facts.where(F.col("bytes") >= MIN_SHARED), shared, "digest", "copies", facts.count()).where(F.col("page_id") != F.col("first")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")}).join(later, ["page_id", "digest"], "left")
+def _texts(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, bytes and digest of each payload, written."""
+    return staged(_texts(pages).select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest")), "payloads")
+
+
+def repeats(facts: DataFrame) -> DataFrame:
+    """page_id, digest and refers_to (the smallest id of the payload) of rows whose payload an earlier page has, written."""
+    large = facts.where(F.col("bytes") >= MIN_SHARED)
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = join_by_key(large, shared, "digest", "copies", facts.count()).where(F.col("page_id") != F.col("first"))
+    return staged(later.select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "repeats")
+
+
+def records(pages: DataFrame, later: DataFrame | None = None, least: int = -1, most: int | None = None) -> DataFrame:
+    """page_id, bytes of payload and record (a whole WARC record, without the two line ends after it) for pages of page_id, url, html
+    with payloads of over `least` and up to `most` bytes. later: as repeats() gives it."""
+    later = repeats(payloads(pages)) if later is None else later
+    rows = _texts(pages).withColumn("n", F.octet_length("html")).where(F.col("n") > least)
+    rows = (rows if most is None else rows.where(F.col("n") <= most)).withColumn("digest", F.sha2("html", 256)).join(later, ["page_id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     captured = F.coalesce(F.try_add(F.lit(EPOCH), F.coalesce("page_id", F.lit(0))), F.col("page_id"))
@@ -88,14 +103,17 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes gzip archives below path, in a folder for each class of SIZES that has pages."""
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    kinds = F.when(size <= SIZES[0][0], 0).when(size <= SIZES[1][0], 1).otherwise(2)
-    for i in sorted(r[0] for r in pages.select(kinds.alias("i")).distinct().collect()):  # at most one row a class
-        least = SIZES[i - 1][0] if i else -1
-        found = records(pages).where((F.col("bytes") > least) & (F.col("bytes") <= SIZES[i][0])).select("record")
+def write_archives(pages: DataFrame, path: str) -> int:
+    """Writes gzip archives below path, in a folder for each class of SIZES that has pages; returns the number of records. The pages
+    are read once for all payloads' facts, and once for each class."""
+    facts = payloads(pages)
+    classes = F.when(F.col("bytes") <= SIZES[0][0], 0).when(F.col("bytes") <= SIZES[1][0], 1).otherwise(2)
+    sizes = {r["i"]: r["count"] for r in facts.groupBy(classes.alias("i")).count().collect()}  # at most one row a class
+    later = repeats(facts)
+    for i in sorted(sizes):
+        found = records(pages, later, SIZES[i - 1][0] if i else -1, SIZES[i][0]).select("record")
         found.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", SIZES[i][1]).text(f"{path}/{i}")
+    return sum(sizes.values())
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -237,7 +255,7 @@ class LoserTree:
 
 def capture_index(captures: DataFrame, partitions: int) -> DataFrame:
     """Captures in the order of (url_key, captured, page_id) over all partitions, merged from the runs that were sorted as they were
-    read. A URL with very many captures is split by time and id like any others."""
+    read. A URL with very many captures is split by time and id like any others, and equal captures by run and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(batches, pa.schema(list(FIELDS.items())))  # one range: about RANGE_ROWS captures
@@ -251,7 +269,7 @@ def capture_index(captures: DataFrame, partitions: int) -> DataFrame:
         for at in range(0, len(order), 5000):
             yield from held.take(pa.array(order[at : at + 5000])).combine_chunks().to_batches()
 
-    dealt = captures.repartitionByRange(partitions, "url_key", "captured", "page_id").sortWithinPartitions("run", "run_at")
+    dealt = captures.repartitionByRange(partitions, "url_key", "captured", "page_id", "run", "run_at").sortWithinPartitions("run", "run_at")
     return dealt.mapInArrow(run, captures.schema)
 
 
@@ -259,9 +277,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes the pages as archives in the shared folder, reads these back and returns their merged capture index."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    write_archives(pages, path)
+    written = write_archives(pages, path)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
     captures = spark.createDataFrame([], _SCHEMA)
-    if not pages.isEmpty():
+    if written:
         captures = staged(read_archives(found.load(path)), "captures")
-    return capture_index(captures, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS)))
+    return capture_index(captures, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written // RANGE_ROWS)))

@@ -142,3 +142,30 @@ def test_pages_without_an_id(spark):
     assert got == sorted(((i, u, hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, u, h in rows), key=str)
     order = [(r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in out]
     assert order == sorted(order)
+
+
+def test_equal_captures_are_split(spark, monkeypatch):
+    """Pages without id and URL, and copies of one page, are as many ranges as any others."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 500)
+    monkeypatch.setattr(warc, "SIZES", ((1 << 16, 100), (1 << 22, 64), (1 << 40, 1)))
+    for rows in ([(None, None, "")] * 3000, [(7, "http://a.org/x", "same " * 30)] * 3000):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        parts = warc.archive_pages(df).rdd.glom().map(len).collect()
+        assert sum(parts) == 3000 and max(parts) <= 1000
+
+
+def test_pages_are_read_at_most_once_a_class_and_once_for_all(spark, monkeypatch, tmp_path):
+    calls = {"payloads": 0, "texts": 0}
+
+    def counted(name, f):
+        def g(*a):
+            calls[name] += 1
+            return f(*a)
+
+        return g
+
+    monkeypatch.setattr(warc, "payloads", counted("payloads", warc.payloads))
+    monkeypatch.setattr(warc, "_texts", counted("texts", warc._texts))
+    df = spark.createDataFrame([(i, "u", "x" * (70_000 if i % 5 == 0 else 200)) for i in range(20)], "page_id long, url string, html string")
+    assert warc.write_archives(df, f"file://{tmp_path}/a") == 20
+    assert calls == {"payloads": 1, "texts": 3}
