@@ -137,3 +137,40 @@ def test_finds_what_a_plain_search_finds(spark):
             assert want <= found and all(k in ("phone", "date", "card", "address") for _, k in found - want), (want ^ found)
             seen += len(want)
     assert seen > 20
+
+
+#: Values of each language, in the forms that people write.
+FORMS = {
+    "en": ["+1 555 123 4567", "1 555 123 4567", "1-555-123-4567", "5551234567", "555-123-4567", "(555) 123-4567", "555 123 4567", "555.123.4567", "+44 20 7946 0958", "+44 (0)20 7946 0958", "3/4/1985", "04/03/85", "12/31/1999", "2020-1-2", "2020-01-02", "5 Jan 2020", "jan 5, 2020", "March 5th, 1999", "5th March 1999", "5th of March 1999", "Mar 5 1999", "05-Jan-2020", "Sept. 5, 2019", "J.O'Neil@x.org"],
+    "de": ["+49 (0)30 123456", "+49 30 1234567", "030 1234567", "(030) 1234567", "030/1234567", "030-123456", "030 / 12 34 56", "0170 1234567", "01701234567", "089 12345678", "+43 1 58858", "+41 44 668 18 00", "1.2.2020", "01.02.2020", "01.02.85", "5. Januar 2020", "5. Jan. 2020", "5. März 2020", "5. Mrz 2020", "5. Okt. 2020", "31. Dez 1999", "x@münchen.de", "jürgen.groß@straße.de"],
+    "fr": ["+33 6 12 34 56 78", "+33612345678", "+33 (0)6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "06-12-34-56-78", "0612345678", "01 23 45 67 89", "01/02/2020", "1/2/2020", "01/02/85", "1er mai 2021", "1er janv. 2021", "5 janv. 2020", "5 févr. 2020", "5 août 2020", "14 juillet 1989", "14 juil. 1989", "25 déc. 2001", "5 Avr 2003", "rené.d'arc@exemple.fr"],
+    "es": ["+34 612 34 56 78", "+34 912 345 678", "612 34 56 78", "612345678", "612 345 678", "91 123 45 67", "912 345 678", "912-345-678", "612.34.56.78", "5/1/2020", "05/01/2020", "05-01-2020", "5.1.2020", "05/01/85", "5 de enero de 2020", "5 de enero del 2020", "5 ene 2020", "5 de ene. de 2020", "12 sept 1999", "12 oct. 1999", "3 dic. 1988", "peña@correo.es"],
+}
+
+
+def test_forms_of_four_languages():
+    for language, values in FORMS.items():
+        assert len(values) >= 20
+        for v in values:
+            for text in (f"call {v} now", v, f"({v})", f"a: {v}, b", f"{v}."):
+                new, found = pii.pseudonymise(text, KEY)
+                assert len(found) == 1, (language, text, found)
+                s, e, _, p = found[0]
+                assert text[s:e] == v and p != v and v not in new, (language, text)
+
+
+def test_numbers_are_linked_through_their_forms():
+    for forms in (("+1 555 223 4567", "1 555 223 4567", "555-223-4567", "(555) 223-4567", "5552234567"), ("+34 612 34 56 78", "612 345 678", "612345678"), ("+49 (0)30 123456", "+49 30 123456", "+4930123456"), ("06 12 34 56 78", "0612345678", "06.12.34.56.78")):
+        new = [re.sub(r"\D", "", pii.pseudonymise(f, KEY)[0].replace("(0)", "")) for f in forms]
+        assert len({x[-9:] if forms[0].startswith("+34") else x[-10:] for x in new}) == 1, (forms, new)
+    assert pii.pseudonymise("3/4/1985", KEY)[0].split("/") == [str(int(x)) for x in pii.pseudonymise("03/04/1985", KEY)[0].split("/")]
+
+
+def test_what_is_no_value_stays():
+    for text in ("version 1.2.3.4", "v1.2.3.4 of it", "in 1999 or 2001", "1 2 3 4 5 6 7 8", "12.5.3", "3.14159265", "1,000,000,000", "31/31/1999", "20000000", "May 2020", "pages 100-200", "section 1.2.3"):
+        assert pii.pseudonymise(text, KEY) == (text, []), text
+
+
+def test_worded_dates_stay_apart():
+    text = "On 5 May 2020, 6 May 2021 and May 7, 2022; 12. März 2020/13. März 2020"
+    assert [text[s:e] for s, e, _, _ in pii.pseudonymise(text, KEY)[1]] == ["5 May 2020", "6 May 2021", "May 7, 2022", "12. März 2020", "13. März 2020"]
