@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sources import staging
+
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
@@ -30,37 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see; a local one only where the session names none (tests)."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        context.setCheckpointDir(path)
-    return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below shared_dir that goes when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and returns the written table: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """staging.staged with bounded Arrow batches."""
+    bound_batches(df.sparkSession)
+    return staging.staged(df, name)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> F.Column:
-    """crc32 of the id as text, by remainder."""
-    return (F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)) == F.lit(remainder)
+    """crc32 of the id as text, by remainder; false for a row without an id."""
+    return F.coalesce((F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)) == F.lit(remainder), F.lit(False))
+
+
+def learnable(key: str, modulus: int, remainder: int) -> F.Column:
+    """Rows that a model may learn from: with an id, and not held out."""
+    return F.col(key).isNotNull() & ~held_out(key, modulus, remainder)
 
 
 def labelled_sample(df: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
@@ -84,12 +67,6 @@ def sent_if_few(written: DataFrame, load: F.Column | None = None) -> DataFrame:
     return F.broadcast(written) if n <= FEW_ROWS else written
 
 
-def window_of(text: str, key: str, most: int) -> F.Column:
-    """The text, or of a longer one `most` characters from a place that the key's hash picks: what a bounded sample may hold."""
-    t = F.col(text)
-    return F.substring(t, (F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.greatest(F.length(t) - most + 1, F.lit(1))) + 1).cast("int"), F.lit(most))
-
-
 def join_by_key(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int) -> DataFrame:
     """Inner join of left with right, which has one row a key (of one or more columns) and in `count` the number of left rows with that key.
 

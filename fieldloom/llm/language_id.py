@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import U64, labelled_sample, text_blocks, window_of
+from fieldloom.llm.common import U64, labelled_sample, staged, text_blocks
 
 UND = "und"
 TRIGRAM_BITS = 16
@@ -90,34 +90,61 @@ class LanguageModel:
         return kernel_rows(data, offsets, self.columns, self.bounds) @ self.weights
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, landmarks: int = 240, ridge: float = 1e-3, most: int = 1 << 16) -> LanguageModel | None:
-    """Fits on at most about per_language labelled texts of each language (of longer ones on windows of `most` characters), of which
-    at most `landmarks` in all are landmarks."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), window_of(text, key, most).alias("t"), F.col(lang).alias("l"))
-    sample = labelled_sample(rows, "k", "l", per_language).orderBy("k").toArrow()
-    if not sample.num_rows:
+def _spectra(texts: DataFrame) -> DataFrame:
+    """row, lang and the places of a text's n-grams, and their numbers by n. texts: row, lang, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(_SPACE, bool)
+        for batch in batches:
+            found, sizes = [], []
+            for _, _, d, o in text_blocks(batch.column(2)):
+                for r in range(len(o) - 1):
+                    sizes.append(list(spectrum(d[o[r] : o[r + 1]], seen)))
+                    found.append(np.flatnonzero(seen).astype(np.int32).tobytes())
+                    seen[:] = False
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=["row", "lang", "places", "sizes"])
+
+    return texts.mapInArrow(run, "row long, lang string, places binary, sizes array<int>")
+
+
+def _compared(texts: DataFrame, columns: np.ndarray, bounds: np.ndarray, z: np.ndarray) -> DataFrame:
+    """row, lang and the kernel of each whole text with each landmark."""
+    shared = texts.sparkSession.sparkContext.broadcast((columns, bounds, z))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, bounds, z = shared.value
+        for batch in batches:
+            rows = [kernel_rows(d[o[a] : o[min(a + 32, len(o) - 1)]], o[a : a + 33] - o[a], columns, bounds) @ z.T for _, _, d, o in text_blocks(batch.column(2)) for a in range(0, len(o) - 1, 32)]
+            k = np.concatenate(rows) if rows else np.zeros((0, len(z)), np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype(np.float64).tobytes() for r in k], pa.binary())], names=["row", "lang", "kernel"])
+
+    return texts.mapInArrow(run, "row long, lang string, kernel binary")
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, landmarks: int = 240, ridge: float = 1e-3) -> LanguageModel | None:
+    """Fits on at most about per_language labelled whole texts of each language, of which at most `landmarks` in all, drawn by a hash,
+    are landmarks. Texts are read in tasks; the driver gets the landmarks' n-grams and each text's kernel with the landmarks."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    sample = staged(labelled_sample(rows, "k", "lang", per_language).select(F.monotonically_increasing_id().alias("row"), "lang", "text", F.xxhash64("k", F.lit(31)).alias("draw")), "sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # one row a language
+    if not languages:
         return None
-    labels = np.array(sample["l"].to_pylist(), dtype=object)
-    languages = sorted(set(labels.tolist()))
-    blocks = [(d, o) for _, _, d, o in text_blocks(sample["t"])]
-    seen, found = np.zeros(_SPACE, bool), np.zeros(_SPACE, bool)
-    marks, at = [], 0
     each = max(1, landmarks // len(languages))
-    taken = dict.fromkeys(languages, 0)
-    for d, o in blocks:
-        for r in range(len(o) - 1):
-            if taken[labels[at]] < each:
-                taken[labels[at]] += 1
-                marks.append(at)
-                spectrum(d[o[r] : o[r + 1]], seen)
-                found |= seen
-                seen[:] = False
-            at += 1
-    columns = np.flatnonzero(found)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "row"))  # about per_language rows
+    chosen = _spectra(sample.withColumn("_n", first).where(F.col("_n") <= each).select("row", "lang", "text")).collect()
+    chosen = sorted(chosen, key=lambda r: (r["lang"], r["row"]))
+    places = [np.frombuffer(r["places"], np.int32) for r in chosen]
+    columns = np.unique(np.concatenate(places))
     bounds = np.searchsorted(columns, [0, *_STARTS[1:], _SPACE])
-    x = np.concatenate([kernel_rows(d, o, columns, bounds) for d, o in blocks])
-    z = x[marks]
-    k_mm, k_nm = (z @ z.T).astype(np.float64), (x @ z.T).astype(np.float64)
+    z = np.zeros((len(chosen), len(columns)), np.float32)
+    for row, at, r in zip(z, places, chosen, strict=True):
+        row[np.searchsorted(columns, at)] = 1
+        for k, size in enumerate(r["sizes"]):
+            if size:
+                row[bounds[k] : bounds[k + 1]] *= 1 / np.sqrt(3.0 * size)
+    compared = sorted(_compared(sample.select("row", "lang", "text"), columns, bounds, z).collect(), key=lambda r: r["row"])
+    labels = np.array([r["lang"] for r in compared], dtype=object)
+    k_mm, k_nm = (z @ z.T).astype(np.float64), np.stack([np.frombuffer(r["kernel"]) for r in compared])
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])

@@ -3,14 +3,15 @@
 Tokenizing: ids of the byte-level BPE vocabulary and one end id. Longer documents are cut into pieces of the capacity, of which
 the first may be shorter.
 
-Packing is bulk-synchronous best fit over ranges. Pieces are sorted by length into ranges with ranks that are found in parallel
-(counts by length and salt, then offsets), so that pieces and gaps of one size are runs of ranks. Rounds go over the lengths,
-the longest first: a sweep finds the successor of the round's run, the smallest gap that holds it, and walks on from gap run to
-gap run; pieces that want the same gaps are told apart by rank; each run of gaps shrinks by what it got; pieces without a gap
-open sequences, whose rest are new gaps. A round handles runs, not pieces, so its state depends on the capacity and not on the
-corpus. Then each piece looks its rank up in the runs to learn its sequence and place.
-
-Edge cases: null and empty texts are one end id; equal texts are packed each; an empty table gives no rows; columns of other
+Packing is best fit, the longest pieces first, over runs of equal pieces and gaps. Pieces get ranks by length in parallel (counts by
+length and salt, then offsets), so pieces and gaps of one size are runs of ranks. **The sweep over these runs is not distributed**: it is a
+loop on the driver over the lengths, the longest first, that finds the successor of the round's run (the smallest gap that holds it) and
+walks on from gap run to gap run. Its state depends on the capacity (at most some capacity x capacity runs) and not on the corpus,
+and its result is plain best fit's, sequence for sequence, which rounds over ranges of lengths would only approach. Then each
+piece looks its rank up in the runs to learn its sequence and place, in tasks.
+
+Edge cases: null and empty texts are one end id; equal texts, repeated and null ids are packed each, ties of length in any order; a text may
+be of any length; an empty table gives no rows; columns of other
 names are ignored.
 """
 

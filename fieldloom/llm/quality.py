@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import labelled_sample, text_blocks, window_of
+from fieldloom.llm.common import labelled_sample, mix, text_blocks
 
 CHUNK = 256
 WIDTH = 8
@@ -115,13 +115,10 @@ class ByteNetwork:
         return self.head(np.concatenate(peak), row, len(offsets) - 1)[0]
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 14, batch: int = 32, per_text: int = 6, rate: float = 0.01, seed: int = 5) -> ByteNetwork:
-    """Adam on log loss, classes weighted alike. Each pass takes per_text random chunks of each text anew."""
+def train(chunks: np.ndarray, row: np.ndarray, labels: np.ndarray, epochs: int = 14, batch: int = 32, per_text: int = 6, rate: float = 0.01, seed: int = 5) -> ByteNetwork:
+    """Adam on log loss, classes weighted alike. chunks: some of each text (row, in order). Each pass takes per_text of these anew."""
     rng = np.random.default_rng(seed)
     net = ByteNetwork.fresh(rng)
-    parts = [chunks_of(d, o) for d, o in texts]
-    chunks = np.concatenate([c for c, _ in parts])
-    row = np.concatenate([r + b for (_, r), b in zip(parts, np.cumsum([0, *(len(o) - 1 for _, o in texts[:-1])]), strict=True)])
     first = np.searchsorted(row, np.arange(len(labels) + 1))
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
@@ -163,15 +160,38 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 1000, most: int = 1 << 16) -> ByteNetwork | None:
-    """Fits on at most about per_label texts of each label, of longer ones on windows of `most` characters. A key that is labelled more than once counts once, with its largest label."""
+def drawn_chunks(docs: DataFrame, key: str, text: str, drawn: int) -> DataFrame:
+    """k and chunks: at most so many chunks of each whole text, drawn by a hash of the key and the chunk's place, all of a shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, out = batch.column(1).to_numpy(zero_copy_only=False), []
+            for a, b, d, o in text_blocks(batch.column(2)):
+                for r in range(b - a):
+                    data = d[o[r] : o[r + 1]]
+                    first = chunk_starts(len(data))
+                    if len(first) > drawn:
+                        order = mix(first.astype(np.uint64) ^ seeds[a + r : a + r + 1].view(np.uint64))
+                        first = np.sort(first[np.argpartition(order, drawn)[:drawn]])
+                    out.append(cut(data, np.array([0, len(data)]), first, np.zeros(len(first), np.int64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["k", "chunks"])
+
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.lit(29)).alias("seed"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, chunks binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 1000, drawn: int = 48) -> ByteNetwork | None:
+    """Fits on at most about per_label texts of each label, by `drawn` chunks of each that are drawn over the whole of it (24 KB a text, whatever its
+    script). A key that is labelled more than once counts once, with its largest label."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
-    picked = labelled_sample(known, "k", "y", per_label)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(window_of(text, key, most), F.lit("")).alias("t")).join(F.broadcast(picked), "k").orderBy("k").toArrow()
+    picked = F.broadcast(labelled_sample(known, "k", "y", per_label))
+    chosen = docs.withColumn("_k", F.col(key)).join(picked.withColumnRenamed("k", "_k").select("_k"), "_k", "left_semi")
+    rows = drawn_chunks(chosen, key, text, drawn).join(picked, "k").orderBy("k").toArrow()
     y = np.array(rows["y"].to_pylist(), np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    return train([(d.copy(), o) for _, _, d, o in text_blocks(rows["t"])], y)
+    parts = [np.frombuffer(c, np.int16).reshape(-1, CHUNK) for c in rows["chunks"].to_pylist()]
+    return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(c) for c in parts]), y)
 
 
 def predict(docs: DataFrame, model: ByteNetwork | None, key: str = "doc_id", text: str = "text") -> DataFrame:

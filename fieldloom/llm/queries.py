@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import audit, collocation, decontaminate, jaccard, language_id, neardup, packing, pii, quality, secrets, topk, toxicity, warc
-from fieldloom.llm.common import held_out, table
+from fieldloom.llm.common import held_out, learnable, table
 from fieldloom.llm.oracles import ORACLE_SQL
 
 
@@ -58,22 +58,22 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = held_out("doc_id", 3, 1)
-    model = quality.fit(docs.where(~out), labels.where(~out))
+    out, known = held_out("doc_id", 3, 1), learnable("doc_id", 3, 1)
+    model = quality.fit(docs.where(known), labels.where(known))
     return quality.predict(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = held_out("doc_id", 4, 2)
-    model = toxicity.fit(docs.where(~out), labels.where(~out))
+    out, known = held_out("doc_id", 4, 2), learnable("doc_id", 4, 2)
+    model = toxicity.fit(docs.where(known), labels.where(known))
     return toxicity.predict(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = held_out("doc_id", 5, 0)
-    model = language_id.fit(docs.where(~out))
+    out, known = held_out("doc_id", 5, 0), learnable("doc_id", 5, 0)
+    model = language_id.fit(docs.where(known))
     return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 

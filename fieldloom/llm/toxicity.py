@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ALNUM, Words, grams, labelled_sample, signed, text_blocks
+from fieldloom.llm.common import ALNUM, Words, grams, labelled_sample, signed, staged, text_blocks
 
 _WORDS = Words(ALNUM)
 #: Lengths in bytes of the beginnings that count as tokens, the longest first.
@@ -153,36 +153,32 @@ def _without_copies(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 4000, prior: float = 2000.0, least_z: float = 4.0, least_texts: int = 4, least_odds: float = 1.5) -> ToxicModel | None:
-    """Fits on at most about per_label texts of each label; only tokens in at least least_texts toxic ones, and with log-odds of
+    """Fits on at most about per_label texts of each label, of which copies (by label and smallest hash of five words) count once; only tokens in at least least_texts toxic ones, and with log-odds of
     least_odds, can score above 0."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     picked = labelled_sample(known, "k", "y", per_label)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "k").cache()
-    counts = _token_counts(_without_copies(rows)).cache()
-    try:
-        total = counts.agg(F.sum("w1"), F.sum("w0")).first()
-        t1, t0 = float(total[0] or 0), float(total[1] or 0)
-        if not t1 or not t0:
-            return None
-        rate = (F.col("n1") + F.col("n0")) / F.lit(t1 + t0)
-        a = F.lit(prior) * rate
-        odds = lambda n, t: F.log((F.col(n) + a) / (F.lit(t + prior) - F.col(n) - a))
-        z = (odds("n1", t1) - odds("n0", t0)) / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-        kept = counts.withColumn("odds", odds("n1", t1) - odds("n0", t0)).where((z >= least_z) & (F.col("d1") >= least_texts) & (F.col("odds") >= least_odds)).select("token", "odds", "n0").toPandas()
-        h = kept["token"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        h, values, n0 = h[order], kept["odds"].to_numpy(float)[order], kept["n0"].to_numpy(float)[order]
-        cost = -0.5
-        # the rates of words by score: those of tokens, scaled down where words and their beginnings are both known
-        share = n0.sum() / t0
-        rates = np.append(n0 / t0 * min(1.0, 0.5 / max(share, 1e-9)), 1 - min(share, 0.5))
-        scale, k = karlin_altschul(np.append(values, cost), rates)
-        model = ToxicModel(h, values, cost, scale, k, np.zeros(4))
-        model.link = _fit_link(rows, model)
-        return model
-    finally:
-        rows.unpersist()
-        counts.unpersist()
+    rows = staged(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "k"), "labelled")
+    counts = staged(_token_counts(_without_copies(rows)), "tokens")
+    total = counts.agg(F.sum("w1"), F.sum("w0")).first()
+    t1, t0 = float(total[0] or 0), float(total[1] or 0)
+    if not t1 or not t0:
+        return None
+    rate = (F.col("n1") + F.col("n0")) / F.lit(t1 + t0)
+    a = F.lit(prior) * rate
+    odds = lambda n, t: F.log((F.col(n) + a) / (F.lit(t + prior) - F.col(n) - a))
+    z = (odds("n1", t1) - odds("n0", t0)) / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
+    kept = counts.withColumn("odds", odds("n1", t1) - odds("n0", t0)).where((z >= least_z) & (F.col("d1") >= least_texts) & (F.col("odds") >= least_odds)).select("token", "odds", "n0").toPandas()
+    h = kept["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    h, values, n0 = h[order], kept["odds"].to_numpy(float)[order], kept["n0"].to_numpy(float)[order]
+    cost = -0.5
+    # the rates of words by score: those of tokens, scaled down where words and their beginnings are both known
+    share = n0.sum() / t0
+    rates = np.append(n0 / t0 * min(1.0, 0.5 / max(share, 1e-9)), 1 - min(share, 0.5))
+    scale, k = karlin_altschul(np.append(values, cost), rates)
+    model = ToxicModel(h, values, cost, scale, k, np.zeros(4))
+    model.link = _fit_link(rows, model)
+    return model
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], m: ToxicModel) -> Iterator[pa.RecordBatch]:

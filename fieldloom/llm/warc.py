@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import join_by_key, shared_path, staged
+from fieldloom.llm.common import join_by_key, staged
+from fieldloom.sources.staging import shared_path
 
 MIN_SHARED = 100
 #: Archives: payloads of up to so many bytes, and how many records of such a file may have; larger ones have a file each.

@@ -55,6 +55,27 @@ def test_tricky_language(spark, tricky):
     assert language_id.predict(tricky.where("false"), model).count() == 0
 
 
+def test_rows_without_an_id_are_not_held_out_and_not_learned_from(spark):
+    from fieldloom.llm.common import held_out, learnable
+
+    rows = spark.createDataFrame([(i,) for i in [None, *range(40)]], "doc_id long").select("doc_id", held_out("doc_id", 5, 0).alias("out"), learnable("doc_id", 5, 0).alias("known")).collect()
+    assert all(r["out"] is not None and r["known"] == (r["doc_id"] is not None and not r["out"]) for r in rows)
+    assert not next(r["out"] for r in rows if r["doc_id"] is None) and any(r["out"] for r in rows)
+
+
+def test_chunks_are_drawn_over_whole_texts(spark):
+    """What a network learns from is anywhere in a long text, and of few bytes."""
+    import zlib
+
+    long = "".join(f"{zlib.crc32(str(i).encode()):08x}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "é" * 5000)], "doc_id long, text string")
+    found = {r["k"]: np.frombuffer(r["chunks"], np.int16).reshape(-1, quality.CHUNK) for r in quality.drawn_chunks(docs, "doc_id", "text", 48).collect()}
+    assert [len(found[i]) for i in (1, 2, 3, 4)] == [48, 1, 1, len(quality.chunk_starts(10_000))]
+    places = sorted(long.find(bytes(c.astype(np.uint8)).decode()) for c in found[1])
+    assert len(set(places)) == 48 and places[0] < len(long) / 4 and places[-1] > 3 * len(long) / 4
+    assert (found[3] == quality.PAD).all()
+
+
 @pytest.mark.parametrize("how", [quality, toxicity])
 def test_tricky_scores(spark, tricky, labels, how):
     model = how.fit(tricky, labels)
@@ -122,7 +143,8 @@ def test_language_scores_against_plain_kernel_ridge(spark, documents):
 
     taken, marks = {}, []
     each = 60 // len(set(labels))
-    for i in np.argsort([r["doc_id"] for r in rows]):  # the first of each language
+    drawn = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(31))).collect()}
+    for i in np.argsort([drawn[r["doc_id"]] for r in rows], kind="stable"):  # the first drawn of each language
         if taken.get(labels[i], 0) < each:
             taken[labels[i]] = taken.get(labels[i], 0) + 1
             marks.append(i)

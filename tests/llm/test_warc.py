@@ -97,7 +97,7 @@ def test_very_long_pages_have_files_of_their_own(spark, tmp_path):
 
 
 def test_runs_are_sorted_as_they_are_read(spark, small, monkeypatch):
-    from fieldloom.llm.common import shared_path
+    from fieldloom.sources.staging import shared_path
 
     monkeypatch.setattr(warc, "RANGE_ROWS", 20)
     pages = spark.read.parquet(f"{small}/pages.parquet")
