@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, jaccard, language_id, packing, secrets
-from fieldloom.llm.common import held_out, sent_if_few, staged, table
+from fieldloom.llm.common import learnable, sent_if_few, staged, table
 
 #: Near-duplicates share this many per cent of their runs of so many words; the query op6_jaccard has its own values.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -41,7 +41,7 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned as in the language query."""
-    told = language_id.predict(_keyed(docs), language_id.fit(docs.where(~held_out("doc_id", 5, 0))), key="_row")
+    told = language_id.predict(_keyed(docs), language_id.fit(docs.where(learnable("doc_id", 5, 0))), key="_row")
     return _without(docs, told.where(F.col("lang_pred") == language_id.UND))
 
 
@@ -50,7 +50,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = staged(jaccard.join(_keyed(docs), "_row", percent=NEAR_PERCENT, n=NEAR_WORDS), "groups")
     kept = _without(docs, groups.where(F.col("component_id") != F.col("_row")))
     # of rows that are equal in id and text, all are first or none: only those need to be told apart
-    again = sent_if_few(staged(groups.where(F.col("component_id") == F.col("_row")).groupBy("_row").count().where("count > 1").select("_row"), "repeated"))
+    again = staged(groups.where(F.col("component_id") == F.col("_row")).groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    if again.isEmpty():  # the usual case, in which all texts are read once
+        return kept
+    again = sent_if_few(again)
     held = kept.select(_row_key(kept).alias("_row"), F.struct(*docs.columns).alias("_doc"))
     one = held.join(again, "_row", "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc"))
     return held.join(again, "_row", "left_anti").unionByName(one).select("_doc.*")
