@@ -532,3 +532,64 @@ def fit(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int],
         judge(work.splits(_State(pending, [None] * k, [{} for _ in folds], [{} for _ in folds], errors=True)).collect())
     best_rounds = [int(np.argmin(e)) if ask and e else len(t) for e, t in zip(errors, trees, strict=True)]
     return Boosted(list(features), edges, list(folds), starts, trees, best_rounds, errors, loss)
+
+
+# ---- whole tasks ----
+
+
+def falls(model: Boosted, rows: DataFrame, monotone: dict[str, int]) -> DataFrame:
+    """fold, feature, rows and falls: in how many rows a model's margin moves against the constraint as the feature alone goes through its
+    bins from one end to the other."""
+    at = {f: i for i, f in enumerate(model.features)}
+    features, folds, edges, signs = model.features, model.folds, model.edges, [(f, at[f], s) for f, s in monotone.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad, n = np.zeros((len(folds), len(signs)), np.int64), 0
+        for batch in batches:
+            bins = _binned(_doubles(batch.column(0), len(features)), edges)
+            n += len(bins)
+            for j, (_, i, sign) in enumerate(signs):
+                before, against = None, np.zeros((len(bins), len(folds)), bool)
+                for v in range(len(edges[i]) + 2):
+                    bins_v = bins.copy()
+                    bins_v[:, i] = v
+                    m = model.margins(bins_v)
+                    if before is not None:
+                        against |= sign * (m - before) < -1e-9
+                    before = m
+                bad[:, j] += against.sum(0)
+        f, j = np.indices(bad.shape)
+        names = [signs[x][0] for x in j.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(folds)[f.ravel()].astype(np.int32)), pa.array(names), pa.array(np.full(bad.size, n)), pa.array(bad.ravel())], names=["fold", "feature", "rows", "falls"])
+
+    wide = rows.select(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("x"))
+    return wide.mapInArrow(run, "fold int, feature string, rows long, falls long").groupBy("fold", "feature").agg(F.sum("rows").alias("rows"), F.sum("falls").alias("falls"))
+
+
+def best_power(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], powers: Sequence[float], how: How = How(), weight: str | None = None) -> list[tuple[float, float, Boosted]]:  # noqa: B008
+    """(error out of fold, power, model) of each variance power, the best first. The error is the weighted squared one, which all powers share."""
+    out = []
+    w = F.col(weight) if weight else F.lit(1.0)
+    for p in powers:
+        model = fit(rows, features, y, folds, key, Loss("tweedie", p), how, weight)
+        e = model.predict(rows.where(F.col("fold").isNotNull()), "_p").agg(F.sqrt(F.avg(w * (F.col(y) - F.col("_p")) ** 2) + 1e-9)).first()[0]
+        out.append((float(e), p, model))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def with_quantiles(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], shares: Sequence[float] = (0.6, 0.75, 0.9), how: How = How()) -> DataFrame:  # noqa: B008
+    """rows with q60 and the like: quantiles out of fold."""
+    for s in shares:
+        rows = fit(rows, features, y, folds, key, Loss("quantile", s), how).predict(rows, f"q{round(100 * s)}")
+    return rows
+
+
+def search_error(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], weight: str | None = None, loss: Loss = Loss()):  # noqa: B008
+    """A function from settings (of How) to the weighted error out of fold, for models.search. rows: a written table."""
+    w = F.col(weight) if weight else F.lit(1.0)
+
+    def error(settings: dict) -> float:
+        p = fit(rows, features, y, folds, key, loss, How(**settings), weight).predict(rows, "_p")
+        return float(p.agg(F.sqrt(F.avg(w * (F.col(y) - F.col("_p")) ** 2) + 1e-9)).first()[0])
+
+    return error

@@ -1,8 +1,7 @@
-"""Folds, sample weights and metrics. Rows stay in Spark; the driver sees one row a group, a fold or a candidate."""
+"""Folds, sample weights and metrics. Rows and groups stay in Spark; the driver sees one row a size of groups, a fold or a candidate."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Sequence
 
@@ -64,6 +63,13 @@ def prediction_summary(rows: DataFrame, p: str) -> DataFrame:
     return one.crossJoin(F.broadcast(q)).select("mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])  # one row each
 
 
+def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b and Pearson's correlation of each pair of columns, over rows where both are there: one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
+
+
 def calibration_table(rows: DataFrame, p: str, y: str, buckets: int = 10) -> DataFrame:
     """bucket, n, mean prediction and rate, in quantile buckets closed on the right; the edges are exact percentiles."""
     edges = percentiles(rows, p, [i / buckets for i in range(1, buckets)]).select(F.col("q").alias("_edges"))
@@ -107,17 +113,66 @@ def group_sizes(rows: DataFrame, group: str = "match_id") -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_folds(rows: DataFrame, group: str = "match_id", splits: int = 5) -> DataFrame:
-    """group and fold from 1: the largest group first, each to the fold with the fewest rows. The driver sees one number a
-    group, so groups must be as few as matches; many small groups are better dealt by hash (hashed_folds)."""
-    sizes = sorted(group_sizes(rows, group).collect(), key=lambda r: (-r["n"], str(r[group])))
-    load = [0] * splits
-    placed = []
-    for r in sizes:
-        f = min(range(splits), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        placed.append((r[group], f + 1))
-    return rows.sparkSession.createDataFrame(placed, f"{group} {rows.schema[group].dataType.simpleString()}, fold int")
+#: Classes of groups (by size) that are sent to all executors; a table of more is joined.
+SENT_CLASSES = 100_000
+
+
+def deal(loads: list[int], order: list[tuple], size: int, count: int) -> tuple[list[int], list[list[int]], list[int]]:
+    """Deals `count` groups of one size, each to the lightest fold: (ranks at which a segment starts, the folds that take turns in it,
+    loads afterwards). order: what tells folds of equal loads apart.
+
+    The j-th of them that a fold would take finds it at load + j * size, so groups go in the order of these numbers: level by level of
+    `size`, and within a level in the order of the remainders, among the folds that have been reached.
+    """
+    level = [x // size for x in loads]
+    turn = sorted(range(len(loads)), key=lambda f: (loads[f] % size, order[f]))
+    starts, turns, after, at = [], [], list(loads), 0
+    levels = sorted(set(level))
+    for i, low in enumerate(levels):
+        active = [f for f in turn if level[f] <= low]
+        room = (levels[i + 1] - low) * len(active) if i + 1 < len(levels) else count - at
+        here = min(room, count - at)
+        if here <= 0:
+            break
+        starts.append(at)
+        turns.append(active)
+        for k, f in enumerate(active):
+            after[f] += size * (here // len(active) + (k < here % len(active)))
+        at += here
+    return starts, turns, after
+
+
+def _ranked(groups: DataFrame, by: Sequence[str], group: str, seed: int) -> DataFrame:
+    """_rank from 0 of each group among those of its class, in an order drawn by the seed: numbered by ranges of that order, so that a
+    class of very many groups is many tasks' work."""
+    h = groups.withColumn("_h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("_part", F.pmod(F.shiftright("_h", 40), F.lit(256)))
+    parts = h.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = parts.withColumn("_offset", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).drop("_n")  # 256 rows a class
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_h", group)) - 1
+    return h.withColumn("_at", inside).join(offsets, [*by, "_part"]).withColumn("_rank", F.col("_at") + F.col("_offset")).drop("_h", "_part", "_at", "_offset")
+
+
+def _placed(groups: DataFrame, by: Sequence[str], table: list[tuple], group: str, seed: int) -> DataFrame:
+    """group and fold. table: the class, and starts and turns as deal() gives them."""
+    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in by)
+    classes = groups.sparkSession.createDataFrame(table, f"{kinds}, _starts array<long>, _turns array<array<int>>")
+    ranked = _ranked(groups, by, group, seed).join(F.broadcast(classes) if len(table) <= SENT_CLASSES else classes, list(by))
+    segment = F.size(F.filter("_starts", lambda s: s <= F.col("_rank"))) - 1
+    turn = F.col("_turns")[F.col("_segment")]
+    fold = turn[F.pmod(F.col("_rank") - F.col("_starts")[F.col("_segment")], F.size(turn)).cast("int")] + 1
+    return ranked.withColumn("_segment", segment).select(group, fold.alias("fold"))
+
+
+def group_folds(rows: DataFrame, group: str = "match_id", splits: int = 5, seed: int = 42) -> DataFrame:
+    """group and fold from 1: the largest group first, each to the fold with the fewest rows, those of a size in an order drawn by the
+    seed. The driver sees one row a size of groups, of which there are fewer than the root of twice the number of rows."""
+    sizes = group_sizes(rows, group)
+    classes = sorted(((r["n"], r["count"]) for r in sizes.groupBy("n").count().collect()), reverse=True)  # one row a size
+    load, table = [0] * splits, []
+    for size, count in classes:
+        starts, turns, load = deal(load, list(range(splits)), size, count)
+        table.append((size, starts, turns))
+    return _placed(sizes, ["n"], table, group, seed)
 
 
 def hashed_folds(rows: DataFrame, group: str = "match_id", splits: int = 5, seed: int = 42) -> DataFrame:
@@ -145,28 +200,18 @@ def stratified_folds(rows: DataFrame, y: str, key: Sequence[str], splits: int =
     return placed.withColumn("fold", F.pmod(F.col("_at") + F.col("_offset"), F.lit(splits)).cast("int")).select(*rows.columns, "fold")
 
 
-def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "match_id", threshold: float = 0.1, splits: int = 5, bins: int = 5, seed: int | None = None) -> DataFrame:
-    """group and fold from 1: groups go, the largest first, where the bins' shares over folds stay most alike. With a seed, groups
-    of one size go in an order drawn by it."""
-    strata = group_strata(rows, value, group, threshold, bins).collect()  # one row a group
-    total = [max(1, sum(r["n"] for r in strata if r["bin"] == b)) for b in range(bins)]
-    have = [[0.0] * bins for _ in range(splits)]
-    placed = []
-
-    def spread(f: int, r) -> float:
-        out = 0.0
-        for b in range(bins):
-            shares = [(have[i][b] + (r["n"] if i == f and b == r["bin"] else 0)) / total[b] for i in range(splits)]
-            mean = sum(shares) / splits
-            out += math.sqrt(sum((s - mean) ** 2 for s in shares) / splits)
-        return out
-
-    drawn = lambda r: str(r[group]) if seed is None else hashlib.md5(f"{seed}-{r[group]}".encode()).hexdigest()
-    for r in sorted(strata, key=lambda r: (-r["n"], drawn(r))):
-        f = min(range(splits), key=lambda i: (round(spread(i, r), 12), sum(have[i]), i))
-        have[f][r["bin"]] += r["n"]
-        placed.append((r[group], f + 1))
-    return rows.sparkSession.createDataFrame(placed, f"{group} {rows.schema[group].dataType.simpleString()}, fold int")
+def stratified_group_folds(rows: DataFrame, value: str = "xag", group: str = "match_id", threshold: float = 0.1, splits: int = 5, bins: int = 5, seed: int = 42) -> DataFrame:
+    """group and fold from 1: groups go, the largest first, where the bins' shares over folds stay most alike: as a group changes one
+    bin's shares alone, that is the fold with the fewest rows of its bin, and of such ones that with the fewest rows so far. Groups of
+    one size and bin go in an order drawn by the seed; the driver sees one row a size and bin."""
+    strata = group_strata(rows, value, group, threshold, bins)
+    classes = sorted(((r["n"], r["bin"], r["count"]) for r in strata.groupBy("n", "bin").count().collect()), key=lambda r: (-r[0], r[1]))  # one row a size and bin
+    loads, table = [[0] * splits for _ in range(bins)], []
+    for size, bin_, count in classes:
+        total = [sum(x) for x in zip(*loads, strict=True)]
+        starts, turns, loads[bin_] = deal(loads[bin_], [(t, f) for f, t in enumerate(total)], size, count)
+        table.append((size, bin_, starts, turns))
+    return _placed(strata.select(group, "n", "bin"), ["n", "bin"], table, group, seed)
 
 
 def ordered_folds(rows: DataFrame, order: Sequence[str], splits: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,46 @@ def with_target_encoding(rows: DataFrame, key: str, value: str = "xag", fold: st
     return wide.withColumn(name, encoded).drop("_key", "_fold", "_s", "_n", "_mean")
 
 
+def permuted(rows: DataFrame, ids: Sequence[str], seed: int, name: str = "_order") -> DataFrame:
+    """A place in an order drawn by the seed."""
+    return rows.withColumn(name, F.xxhash64(*ids, F.lit(seed)))
+
+
+def ordered_target_encoding(rows: DataFrame, key: str, order: Sequence[str], value: str = "xag", prior: float = 1.0, name: str | None = None) -> DataFrame:
+    """rows, all of them, with `<key>_ordered_enc`: the mean of the key's values in the rows before in the order, drawn towards the mean of
+    all by `prior` rows; no row sees its own value. Rows without a value see all that have one. A missing key is a key of its own.
+
+    Sums run over ranges of the order's first column (a number), and over those of a range, so a frequent key is many tasks' work.
+    """
+    known = F.col(value).isNotNull()
+    lead = order[0]
+    spread = with_value_range(rows.withColumnRenamed("_part", "_given") if "_part" in rows.columns else rows, lead)
+    parts = spread.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before, every = Window.partitionBy("_key").orderBy("_of"), Window.partitionBy("_key")  # one row a range
+    sums = parts.select(
+        "_key", "_of", (F.coalesce(F.sum("_s").over(before), F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))).alias("_s0"), (F.sum("_n").over(before) - F.col("_n")).alias("_n0"),
+        F.coalesce(F.sum("_s").over(every), F.lit(0.0)).alias("_all_s"), F.sum("_n").over(every).alias("_all_n"),
+    )
+    w = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = spread.withColumns({"_s1": F.coalesce(F.sum(value).over(w), F.lit(0.0)), "_n1": F.coalesce(F.count(value).over(w), F.lit(0))})
+    overall = rows.agg(F.avg(value).alias("_mean"))
+    both = inside.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of"))).crossJoin(F.broadcast(overall))  # one row
+    s, n = F.when(known, F.col("_s0") + F.col("_s1")).otherwise(F.col("_all_s")), F.when(known, F.col("_n0") + F.col("_n1")).otherwise(F.col("_all_n"))
+    return both.withColumn(name or f"{key}_ordered_enc", (s + F.col("_mean") * prior) / (n + prior)).select(*rows.columns, name or f"{key}_ordered_enc")
+
+
+def ordered_encodings(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], value: str = "xag", seeds: Sequence[int] = (1, 2, 3, 4), prior: float = 1.0) -> tuple[DataFrame, list[str]]:
+    """rows with each key's ordered encoding in several permutations, and the names of these columns."""
+    names = []
+    for seed in seeds:
+        rows = permuted(rows, ids, seed)
+        for key in keys:
+            names.append(f"{key}_ordered_enc_{seed}")
+            rows = ordered_target_encoding(rows, key, ["_order", *ids], value, prior, names[-1])
+        rows = rows.drop("_order")
+    return rows, names
+
+
 #: Columns that with_residuals adds, besides the encodings.
 RESIDUALS = ("squad_comp_residual", "squad_global_residual", "squad_vs_opponent_gap")
 

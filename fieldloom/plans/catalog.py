@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.columns import rounded, select_columns, snap
-from fieldloom.models import blending, evaluation, trees
+from fieldloom.models import blending, boosting, evaluation, search, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
 from fieldloom.plans import full
@@ -132,7 +132,8 @@ def player_features(spark, sf_dir):
 @query
 def age_days(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select("o_orderkey", F.datediff(F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("days"), (F.datediff(F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date")) / F.lit(365.25)).alias("years"))
+    day, born = F.lit("2000-01-01").cast("date"), F.col("o_orderdate").cast("date")
+    return o.select("o_orderkey", F.datediff(day, born).cast("long").alias("days"), tabular.age_years(day, born).alias("years"))
 
 
 @query
@@ -502,27 +503,140 @@ def gbt_oof(spark, sf_dir):
 @query
 def hurdle_oof(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
-    return trees.hurdle_oof(rows, "xag", FOLDS, rounds=5).select(*KEY, "fold", "xag", "chance", "hurdle")
+    return trees.hurdle_oof(rows, "xag", FOLDS).select(*KEY, "fold", "xag", "chance", "hurdle")
+
+
+#: Twenty features for the expert on high values.
+FOR_HIGH = (
+    "box_entries", "pass_dist_mean", "pass_dist_max", "to_goal_dist_mean", "to_goal_angle_abs_mean", "progressive_pass_count", "progressive_pass_success", "progressive_pass_distance_total", "progressive_carry_count", "progressive_carry_distance_total",
+    "deep_completion_count", "final_third_entry_count", "penalty_area_entry_count", "attacking_zone_actions", "zone_attacking_ratio", "type_offensive_actions", "linebreak_third_transition_count", "through_channel_pass_count", "packing_approx_score_mean", "time_weighted_intensity",
+)
 
 
 @query
 def mixture_oof(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
-    few = ["box_entries", "pass_dist_mean", "to_goal_dist_mean", "progressive_pass_count", "deep_completion_count"]
-    return trees.mixture_oof(rows, "xag", FOLDS, weight="w", rounds=5, high_features=few).select(*KEY, "fold", "xag", "gate", "low", "high", "soft", "hard")
+    return trees.mixture_oof(rows, "xag", FOLDS, threshold=0.3, weight="w", high_features=FOR_HIGH).select(*KEY, "fold", "xag", "gate", "low", "high", "soft", "hard")
 
 
 @query
 def log_oof(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
-    return trees.out_of_fold(rows, trees.log_regressor("xag", "oof_pred", "w", rounds=5), FOLDS).select(*KEY, "fold", "xag", "oof_pred")
+    return trees.out_of_fold(rows, trees.log_regressor("xag", "oof_pred", "w"), FOLDS).select(*KEY, "fold", "xag", "oof_pred")
+
+
+def _boosted_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Targets with weights and all features of the fused table, written."""
+    g = goals(spark, sf_dir)
+    wide = enrich(g, fuse(prepared(spark, sf_dir), full.fused_blocks(KINDS, value=False)))
+    features = [c for c, t in wide.dtypes if c not in g.columns and t in ("double", "bigint", "int") and (c in full.RISING or not any(x in c for x in _OF_SHOTS))]
+    return staged(wide.withColumn("w", evaluation.step_weight(F.col("xag"))), "rows"), features
+
+
+BOOSTED = {"rounds": 20, "depth": 3, "rate": 0.2, "bins": 32}
+
+
+@query
+def boosted_monotone(spark, sf_dir):
+    """How often a fold's model falls with one of the features that it must rise with: never."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    rising = {f: 1 for f in full.RISING}
+    model = boosting.fit(rows, features, "xag", FOLDS, KEY, how=boosting.How(**BOOSTED, monotone=rising), weight="w")
+    return boosting.falls(model, rows, rising)
+
+
+#: Features that may meet on a path of a tree.
+TOGETHER = (
+    ("pass_dist_mean", "pass_dist_max", "to_goal_dist_mean", "to_goal_angle_abs_mean", "pass_success_rate", "through_channel_pass_count"),
+    ("progressive_pass_count", "progressive_pass_success", "progressive_pass_distance_total", "deep_completion_count", "final_third_entry_count", "penalty_area_entry_count"),
+    ("progressive_carry_count", "progressive_carry_success", "progressive_carry_distance_total", "action_count", "minutes_played"),
+    ("defensive_zone_actions", "middle_zone_actions", "attacking_zone_actions", "box_entries", "central_corridor_actions", "halfspace_left_actions", "halfspace_right_actions"),
+    ("first_half_actions", "second_half_actions", "final_15min_actions", "early_10min_actions", "time_weighted_intensity"),
+)
+
+
+@query
+def boosted_groups(spark, sf_dir):
+    """Out of fold, with trees whose paths stay within one group of features."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    model = boosting.fit(rows, features, "xag", FOLDS, KEY, how=boosting.How(**BOOSTED, groups=TOGETHER), weight="w")
+    return model.predict(rows).select(*KEY, "fold", "xag", "prediction")
+
+
+@query
+def boosted_tweedie(spark, sf_dir):
+    """Variance powers by their error out of fold."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    found = boosting.best_power(rows, features, "xag", FOLDS, KEY, (1.2, 1.4, 1.6), boosting.How(**BOOSTED), "w")
+    return spark.createDataFrame([(i + 1, p, e) for i, (e, p, _) in enumerate(found)], "place int, power double, wrmse double")
+
+
+@query
+def boosted_quantiles(spark, sf_dir):
+    """Three quantiles out of fold, their blend on a simplex, put through a rising step function."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    rows = staged(boosting.with_quantiles(rows, features, "xag", FOLDS, KEY, how=boosting.How(rounds=12, depth=3, rate=0.2, bins=32)).select(*KEY, "fold", "xag", "w", "q60", "q75", "q90"), "quantiles")
+    names = ["q60", "q75", "q90"]
+    weights, _ = blending.best_simplex_blend(blending.gram(rows, names, "xag", F.col("w")).first(), 3)
+    rows = rows.withColumn("blend", F.greatest(sum((F.lit(float(w)) * F.col(n) for w, n in zip(weights, names, strict=True)), F.lit(0.0)), F.lit(0.0)))
+    return blending.apply_isotonic(rows, blending.fit_isotonic(rows, "blend", "xag"), "blend", "calibrated").select(*KEY, "fold", "xag", *names, "blend", "calibrated")
+
+
+@query
+def boosted_history(spark, sf_dir):
+    """Held-out error by fold and round, and the round that counts."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    model = boosting.fit(rows, features, "xag", FOLDS, KEY, how=boosting.How(rounds=40, depth=3, rate=0.4, patience=4, row_share=0.8, feature_share=0.8), weight="w")
+    return spark.createDataFrame(model.history(), "fold int, round int, error double, counts boolean")
+
+
+@query
+def boosted_importance(spark, sf_dir):
+    """The twenty features of the largest mean gain over folds."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    model = boosting.fit(rows, features, "xag", FOLDS, KEY, how=boosting.How(**BOOSTED), weight="w")
+    return trees.importance_summary(trees.importance_table(model.importance(), spark), 20)
 
 
 @query
 def tree_search(spark, sf_dir):
-    rows, _ = _model_rows(spark, sf_dir)
-    found = trees.random_search(staged(rows.where("fold <= 3"), "rows"), "xag", FOLDS[:3], trials=2)
-    return spark.createDataFrame([(i + 1, r["depth"], r["rounds"], r["rate"], r["wrmse"]) for i, r in enumerate(found)], "place int, depth int, rounds int, rate double, wrmse double")
+    """Thirty trials over the first three folds."""
+    rows, features = _boosted_rows(spark, sf_dir)
+    rows = staged(rows.where("fold <= 3"), "rows")
+    space = {"depth": search.Setting(2, 4, whole=True), "rounds": search.Setting(4, 12, whole=True), "rate": search.Setting(0.05, 0.5, log=True), "ridge": search.Setting(0.1, 10.0, log=True), "least_rows": search.Setting(5, 60, log=True, whole=True)}
+    done = search.search(boosting.search_error(rows, features, "xag", FOLDS[:3], KEY, "w"), space, trials=30, at_once=6)
+    found = sorted(((e, i, t) for i, (t, e) in enumerate(done)), key=lambda r: r[:2])
+    return spark.createDataFrame([(p + 1, i + 1, t["depth"], t["rounds"], t["rate"], t["ridge"], t["least_rows"], e) for p, (e, i, t) in enumerate(found)], "place int, trial int, depth int, rounds int, rate double, ridge double, least_rows int, wrmse double")
+
+
+@query
+def ordered_target(spark, sf_dir):
+    """A league's and a squad's mean over the rows before, in one order of the rows."""
+    rows = goals(spark, sf_dir).withColumn("o", F.pmod(F.col("player_id") * 37 + F.col("fold") * 11, F.lit(101)))
+    for key in ("comp", "squad"):
+        rows = encoding.ordered_target_encoding(rows, key, ["o", *KEY])
+    return rows.select(*KEY, "comp_ordered_enc", "squad_ordered_enc")
+
+
+@query
+def feature_correlations(spark, sf_dir):
+    """Of the target and some features with one another."""
+    names = ["xag", "action_count", "pass_dist_mean", "progressive_pass_count", "box_entries"]
+    return evaluation.correlations(enrich(goals(spark, sf_dir), fuse(prepared(spark, sf_dir), full.fused_blocks(KINDS, value=False))), names)
+
+
+@query
+def stratified_splits(spark, sf_dir):
+    """Rows by fold and class, classes dealt out evenly."""
+    rows = goals(spark, sf_dir).drop("fold").withColumn("high", (F.col("xag") >= 0.1).cast("int"))
+    return evaluation.stratified_folds(rows, "high", KEY).groupBy("fold", "high").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ordered_splits(spark, sf_dir):
+    """Blocks of days, each tested after those before."""
+    rows = goals(spark, sf_dir).drop("fold").withColumn("day", F.substring("match_id", 9, 2).cast("int"))
+    return evaluation.ordered_folds(rows, ["day"]).groupBy("fold").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -563,7 +677,7 @@ def edxt_pipeline(spark, sf_dir):
 def full_run(spark, sf_dir):
     """From actions to calibrated predictions: all features, models by fold, their stack."""
     wide, names = full.all_features(actions(spark, sf_dir), _with_new_rows(spark, sf_dir), KINDS, PRESENT, FOLDS[:4])
-    return full.predict(wide, names, FOLDS[:4], rounds=5)
+    return full.predict(wide, names, FOLDS[:4])
 
 
 @query

@@ -4,12 +4,13 @@ fused blocks; models by fold, a stack of them, and its calibration. Rows without
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.columns import snap
-from fieldloom.models import blending, evaluation, trees
+from fieldloom.models import blending, boosting, evaluation, trees
 from fieldloom.operators import blocks, encoding, expected, network, tabular, value, windows
 from fieldloom.operators.sequence import KEY, one_direction, relevant, with_neighbours
 from fieldloom.plans.fusion import Block, credit, enrich, fuse
@@ -107,16 +108,33 @@ def all_features(actions: DataFrame, rows: DataFrame, kinds: Sequence[str], grou
     return wide, names
 
 
-def predict(wide: DataFrame, names: Sequence[str], folds: Sequence[int], y: str = "xag", rounds: int = 20) -> DataFrame:
-    """match_id, player_id, fold, y and prediction of all rows: boosted trees and their logarithmic kin by fold, weighted by a stack
-    without negative weights, put through a rising step function, snapped. New rows get the means of the folds' models."""
-    rows = staged(trees.with_vector(wide.select(*KEY, "fold", y, *names), names).drop(*names).withColumn("w", evaluation.step_weight(F.col(y))), "wide")
-    fits = {"trees": trees.regressor(y, "p", "w", rounds), "logs": trees.log_regressor(y, "p", "w", rounds)}
-    for name, fit in fits.items():
-        rows = staged(trees.by_fold_and_new(rows, fit, folds, "p").withColumnRenamed("p", name), name)
+#: Features that the prediction must rise with.
+RISING = (
+    "progressive_pass_count", "progressive_pass_success", "progressive_pass_distance_total", "progressive_pass_distance_mean", "progressive_carry_count", "progressive_carry_success", "progressive_carry_distance_total",
+    "progressive_carry_distance_mean", "deep_completion_count", "final_third_entry_count", "penalty_area_entry_count", "goal_count", "pass_leads_to_shot", "zone_attacking_count", "zone_attacking_ratio", "type_offensive_actions", "type_offensive_action_ratio",
+)
+CATEGORIES = ("comp", "squad", "opponent")
+
+
+def predict(wide: DataFrame, names: Sequence[str], folds: Sequence[int], y: str = "xag", how: boosting.How = boosting.How(rounds=20, depth=3, rate=0.2, patience=6)) -> DataFrame:  # noqa: B008
+    """match_id, player_id, fold, y and prediction of all rows. Three learners out of fold: boosted trees that rise with RISING; others on the
+    logarithm of y; and a third with its own seed, that draws rows and features and sees categories by ordered statistics. A stack
+    without negative weights, a rising step function, snapped. New rows get the means of the folds' models."""
+    given = [c for c in CATEGORIES if c in wide.columns]
+    rows = staged(wide.select(*KEY, "fold", y, *given, *names).withColumns({"w": evaluation.step_weight(F.col(y)), "_log": F.log1p(y)}), "wide")
+    coded, codes = encoding.ordered_encodings(rows, given, KEY, y)
+    rows = staged(coded, "coded")
+    rising = replace(how, monotone={f: 1 for f in RISING if f in names})
+    rows = boosting.fit(rows, names, y, folds, KEY, how=rising, weight="w").predict(rows, "trees")
+    logs = boosting.fit(rows, names, "_log", folds, KEY, how=how, weight="w").predict(rows, "logs").withColumn("logs", F.expm1("logs"))
+    rows = staged(logs, "logs")
+    other = replace(how, seed=how.seed + 100, row_share=0.8, feature_share=0.5)
+    rows = boosting.fit(rows, [*names, *codes], y, folds, KEY, how=other, weight="w").predict(rows, "other")
+    fits = ["trees", "logs", "other"]
+    rows = staged(rows.select(*KEY, "fold", y, "w", *fits), "learners")
     known = rows.where(F.col("fold").isNotNull())
-    weights = blending.fit_stack(known, list(fits), y, F.col("w"))
-    rows = staged(rows.withColumn("stack", F.greatest(blending.apply_stack(weights, list(fits)), F.lit(0.0))), "stack")
+    weights = blending.fit_stack(known, fits, y, F.col("w"))
+    rows = staged(rows.withColumn("stack", F.greatest(blending.apply_stack(weights, fits), F.lit(0.0))), "stack")
     known = rows.where(F.col("fold").isNotNull())
     try:
         threshold, _, model = blending.best_isotonic_threshold(known, "stack", y, F.col("w"), weight="w")

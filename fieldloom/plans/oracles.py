@@ -283,6 +283,8 @@ SELECT match_id, player_id, round(c,6)+0.0 AS comp_target_enc, round(s-c,6)+0.0
 _q["comp_residuals_missing"] = _q["comp_residuals_missing"].replace("en AS (SELECT match_id", ", ".join(
     f"e{k} AS (SELECT t.{c}, t.fold, CASE WHEN count(o.xag) > 0 THEN (sum(o.xag) + {a!r}::DOUBLE * max(am.am)) / (count(o.xag) + {a!r}::DOUBLE) ELSE max(am.am) END AS enc FROM (SELECT DISTINCT {c}, fold FROM g WHERE {c} IS NOT NULL) t CROSS JOIN am LEFT JOIN kn o ON o.{c} = t.{c} AND (t.fold IS NULL OR o.fold <> t.fold) GROUP BY t.{c}, t.fold)"
     for k, c, a in (("c", "comp", 5.0), ("s", "squad", 10.0), ("o", "opponent", 10.0))) + ",\nen AS (SELECT match_id")
+_before = lambda c: f"(coalesce(sum(xag) OVER (PARTITION BY {c} ORDER BY o, match_id, player_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)+(SELECT avg(xag) FROM targets))/(count(xag) OVER (PARTITION BY {c} ORDER BY o, match_id, player_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+1.0::DOUBLE)"
+_q["ordered_target"] = _ACTIONS + ", t AS (SELECT *, (player_id*37+fold*11) % 101 AS o FROM targets) SELECT match_id, player_id, " + ", ".join(f"round({_before(c)},6)+0.0 AS {c}_ordered_enc" for c in ("comp", "squad")) + " FROM t"
 _q["league_gate"] = _ACTIONS + " SELECT match_id, player_id, " + ", ".join(f"CASE WHEN comp={v} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS comp_{v}, CASE WHEN comp={v} THEN xag ELSE 0.0::DOUBLE END AS xag__comp_gate_{v}" for v in (0, 1, 2)) + " FROM targets"
 
 # ---- folds, weights, metrics ----
@@ -366,6 +368,9 @@ def _fused() -> str:
 
 
 _q["feature_table"] = _fused()
+_pairs = ("xag", "action_count", "pass_dist_mean", "progressive_pass_count", "box_entries")
+_q["feature_correlations"] = f"WITH w AS ({_q['feature_table']}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}),6)+0.0 AS corr FROM w" for i, a in enumerate(_pairs) for b in _pairs[i + 1 :])
+_q["stratified_splits"] = _ACTIONS + ", k AS (SELECT CAST(xag >= 0.1 AS INT) AS high, count(*) AS c FROM targets GROUP BY 1) SELECT CAST(f AS INT) AS fold, high, CAST(c // 5 + CASE WHEN f < c % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM k, (SELECT unnest(range(0, 5)) AS f) r"
 _VALUES = (("start_mean", "avg(vs)"), ("start_max", "max(vs)"), ("delta_sum", "sum(d)"), ("delta_mean", "avg(d)"), ("positive_delta_sum", "sum(greatest(d,0))"), ("positive_delta_mean", "avg(greatest(d,0))"), ("success_rate", "avg(CASE WHEN result_name='success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"), ("end_success_mean", "avg(ve) FILTER (WHERE result_name='success')"), ("delta_success_mean", "avg(d) FILTER (WHERE result_name='success')"))
 _grid_player = _ACTIONS + _VALUED + ", w AS (SELECT *, xt_start AS vs, xt_end AS ve, xt AS d FROM v) SELECT match_id, player_id, count(*) AS xt_learned_action_count, " + ", ".join(_agg(x, f"xt_learned_{n}") for n, x in _VALUES) + " FROM w" + _BY
 _MORE = ("extended_chain", "pass_latency", "setplay_share", "bodypart_pivot", "box_receiver_volume", "box_receiver_timing", "box_receiver_angles", "box_receiver_origin", "final_third_receive", "dynamic_position", "heuristic_xt", "pass_tempo", "sca1", "gca1", "sca2", "gca2", "possession_player", "pass_entropy", "passnet_attempts", "passnet_receive", "box_receiver_diversity")

@@ -241,3 +241,59 @@ def test_passes_are_centred_by_position_and_others_by_spread(spark):
             mean, std = (other.mean(), other.std()) if len(other) else (known.mean(), known.std())
             want = (x - mean) / (std if std > 1e-6 else known.std())
         assert got[i] == pytest.approx(w * want), (i, g, f)
+
+
+def greedy(sizes, splits):
+    load = [0] * splits
+    for n in sorted(sizes, reverse=True):
+        f = min(range(splits), key=lambda i: (load[i], i))
+        load[f] += n
+    return load
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dealing_by_classes_is_greedy(seed):
+    rng = np.random.default_rng(seed)
+    splits = int(rng.integers(2, 7))
+    sizes = [int(n) for n in rng.choice([1, 2, 3, 7, 50, 400], 60)] if seed else [5]
+    load = [0] * splits
+    for n in sorted(set(sizes), reverse=True):
+        count = sizes.count(n)
+        starts, turns, after = evaluation.deal(load, list(range(splits)), n, count)
+        for rank in range(count):
+            i = max(k for k, s in enumerate(starts) if s <= rank)
+            f = turns[i][(rank - starts[i]) % len(turns[i])]
+            assert load[f] == min(load)
+            load[f] += n
+        assert load == after
+    assert sorted(load) == sorted(greedy(sizes, splits))
+
+
+def test_a_million_groups_are_dealt(spark):
+    groups = spark.range(1_000_000).select(F.col("id").alias("match_id"), (F.when(F.col("id") % 1000 == 0, 50).when(F.col("id") % 3 == 0, 2).otherwise(1)).alias("n"))
+    rows = groups.select("match_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("xag", (F.col("match_id") % 2 == 0).cast("double"))
+    folds = evaluation.group_folds(rows)
+    loads = [r["s"] for r in folds.join(groups, "match_id").groupBy("fold").agg(F.sum("n").alias("s"), F.count("*").alias("c")).collect()]
+    assert len(loads) == 5 and max(loads) - min(loads) <= 1 and sum(loads) == groups.agg(F.sum("n")).first()[0]
+    strata = evaluation.stratified_group_folds(rows)
+    found = strata.join(groups, "match_id").groupBy("fold", (F.col("match_id") % 2 == 0).alias("pos")).agg(F.sum("n").alias("s")).collect()
+    for pos in (True, False):
+        s = [r["s"] for r in found if r["pos"] == pos]
+        assert len(s) == 5 and max(s) - min(s) <= 50
+
+
+def test_ordered_encoding_sees_only_rows_before(spark):
+    from fieldloom.operators import encoding
+
+    rng = np.random.default_rng(7)
+    rows = [(i, None if rng.random() < 0.1 else int(rng.integers(0, 4)) if rng.random() < 0.6 else 9, None if rng.random() < 0.1 else round(float(rng.random()), 3)) for i in range(400)]
+    df = encoding.permuted(spark.createDataFrame(rows, "id long, k long, xag double"), ["id"], 3)
+    order = {r["id"]: r["_order"] for r in df.collect()}
+    got = {r["id"]: r["k_ordered_enc"] for r in encoding.ordered_target_encoding(df, "k", ["_order", "id"], prior=2.0).collect()}
+    mean = np.mean([v for _, _, v in rows if v is not None])
+    assert len(got) == 400
+    for i, k, v in rows:
+        past = [b for j, c, b in rows if c == k and b is not None and (v is None or (order[j], j) < (order[i], i))]
+        assert got[i] == pytest.approx((sum(past) + 2 * mean) / (len(past) + 2))
+    wide, names = encoding.ordered_encodings(df.drop("_order"), ["k"], ["id"], seeds=(1, 2))
+    assert names == ["k_ordered_enc_1", "k_ordered_enc_2"] and wide.count() == 400
