@@ -443,12 +443,12 @@ def _starts(known: DataFrame, y: str, weight: str, folds: Sequence[int], loss: L
     return out
 
 
-def fit(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], loss: Loss = Loss(), how: How = How(), weight: str | None = None) -> Boosted:  # noqa: B008
-    """A model for each fold from the rows of the others. rows: with key, y, fold, features and the weight; without a fold or a y they teach nothing."""
+def fit(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], loss: Loss = Loss(), how: How = How(), weight: str | None = None, edges: list[np.ndarray] | None = None) -> Boosted:  # noqa: B008
+    """A model for each fold from the rows of the others. edges: those of another fit to the same rows. rows: with key, y, fold, features and the weight; without a fold or a y they teach nothing."""
     if not 2 <= how.bins <= 254:
         raise ValueError("between 2 and 254 bins")
     known = staged(rows.where(F.col("fold").isNotNull() & F.col(y).isNotNull()).select(*key, F.col("fold").cast("int").alias("fold"), F.col(y).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *features), "known")
-    edges = bin_edges(known, features, how.bins)
+    edges = bin_edges(known, features, how.bins) if edges is None else edges
     starts = _starts(known, "_y", "_w", folds, loss)
     ids = known.select(F.xxhash64(*key).alias("id"), F.col("_y").alias("y"), F.col("_w").alias("w"), "fold", *features)
     table = with_bins(ids, features, edges, ("id", "y", "w", "fold")).withColumn("margin", F.array(*[F.lit(float(s)) for s in starts]))
@@ -568,10 +568,11 @@ def falls(model: Boosted, rows: DataFrame, monotone: dict[str, int]) -> DataFram
 
 def best_power(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], powers: Sequence[float], how: How = How(), weight: str | None = None) -> list[tuple[float, float, Boosted]]:  # noqa: B008
     """(error out of fold, power, model) of each variance power, the best first. The error is the weighted squared one, which all powers share."""
-    out = []
+    out, edges = [], None
     w = F.col(weight) if weight else F.lit(1.0)
     for p in powers:
-        model = fit(rows, features, y, folds, key, Loss("tweedie", p), how, weight)
+        model = fit(rows, features, y, folds, key, Loss("tweedie", p), how, weight, edges)
+        edges = model.edges
         e = model.predict(rows.where(F.col("fold").isNotNull()), "_p").agg(F.sqrt(F.avg(w * (F.col(y) - F.col("_p")) ** 2) + 1e-9)).first()[0]
         out.append((float(e), p, model))
     return sorted(out, key=lambda r: r[:2])
@@ -579,17 +580,20 @@ def best_power(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence
 
 def with_quantiles(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], shares: Sequence[float] = (0.6, 0.75, 0.9), how: How = How()) -> DataFrame:  # noqa: B008
     """rows with q60 and the like: quantiles out of fold."""
+    edges, out = None, rows
     for s in shares:
-        rows = fit(rows, features, y, folds, key, Loss("quantile", s), how).predict(rows, f"q{round(100 * s)}")
-    return rows
+        model = fit(rows, features, y, folds, key, Loss("quantile", s), how, None, edges)
+        edges, out = model.edges, model.predict(out, f"q{round(100 * s)}")
+    return out
 
 
 def search_error(rows: DataFrame, features: Sequence[str], y: str, folds: Sequence[int], key: Sequence[str], weight: str | None = None, loss: Loss = Loss()):  # noqa: B008
     """A function from settings (of How) to the weighted error out of fold, for models.search. rows: a written table."""
     w = F.col(weight) if weight else F.lit(1.0)
+    edges = bin_edges(rows.where(F.col("fold").isNotNull() & F.col(y).isNotNull()), features, How.bins)
 
     def error(settings: dict) -> float:
-        p = fit(rows, features, y, folds, key, loss, How(**settings), weight).predict(rows, "_p")
+        p = fit(rows, features, y, folds, key, loss, How(**settings), weight, edges).predict(rows, "_p")
         return float(p.agg(F.sqrt(F.avg(w * (F.col(y) - F.col("_p")) ** 2) + 1e-9)).first()[0])
 
     return error

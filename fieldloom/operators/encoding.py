@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.sequence import with_value_range
+from fieldloom.sources.staging import staged
 
 
 def crossed_key(a: str, b: str, by: str = "_vs_") -> Column:
@@ -80,15 +81,15 @@ def ordered_target_encoding(rows: DataFrame, key: str, order: Sequence[str], val
 
 
 def ordered_encodings(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], value: str = "xag", seeds: Sequence[int] = (1, 2, 3, 4), prior: float = 1.0) -> tuple[DataFrame, list[str]]:
-    """rows with each key's ordered encoding in several permutations, and the names of these columns."""
-    names = []
+    """rows with each key's ordered encoding in several permutations, and the names of these columns. ids: without nulls, one row each."""
+    names, narrow = [], staged(rows.select(*ids, *keys, value), "ids")
     for seed in seeds:
-        rows = permuted(rows, ids, seed)
+        narrow = permuted(narrow, ids, seed)
         for key in keys:
             names.append(f"{key}_ordered_enc_{seed}")
-            rows = ordered_target_encoding(rows, key, ["_order", *ids], value, prior, names[-1])
-        rows = rows.drop("_order")
-    return rows, names
+            narrow = ordered_target_encoding(narrow, key, ["_order", *ids], value, prior, names[-1])
+        narrow = staged(narrow.drop("_order"), "encoded")
+    return rows.join(narrow.select(*ids, *names), list(ids)), names
 
 
 #: Columns that with_residuals adds, besides the encodings.

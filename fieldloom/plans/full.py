@@ -125,8 +125,8 @@ def predict(wide: DataFrame, names: Sequence[str], folds: Sequence[int], y: str
     coded, codes = encoding.ordered_encodings(rows, given, KEY, y)
     rows = staged(coded, "coded")
     rising = replace(how, monotone={f: 1 for f in RISING if f in names})
-    rows = boosting.fit(rows, names, y, folds, KEY, how=rising, weight="w").predict(rows, "trees")
-    logs = boosting.fit(rows, names, "_log", folds, KEY, how=how, weight="w").predict(rows, "logs").withColumn("logs", F.expm1("logs"))
+    first = boosting.fit(rows, names, y, folds, KEY, how=rising, weight="w")
+    logs = boosting.fit(rows, names, "_log", folds, KEY, how=how, weight="w", edges=first.edges).predict(first.predict(rows, "trees"), "logs").withColumn("logs", F.expm1("logs"))
     rows = staged(logs, "logs")
     other = replace(how, seed=how.seed + 100, row_share=0.8, feature_share=0.5)
     rows = boosting.fit(rows, [*names, *codes], y, folds, KEY, how=other, weight="w").predict(rows, "other")
