@@ -110,13 +110,28 @@ def league_residuals(rows: DataFrame, value: str = "xag", alpha: float = 5.0) ->
     return with_residuals(rows, value, alpha=alpha).select("match_id", "player_id", "comp_target_enc", *RESIDUALS)
 
 
+def _labels(values: list) -> dict[str, object]:
+    """What each value is called in column names: without dots and backticks, and with a number where another has its name."""
+    out: dict[str, object] = {}
+    taken: set[str] = set()
+    for v in values:
+        plain = str(v).replace(".", "_").replace("`", "_")
+        name, i = plain, 1
+        while name.lower() in taken:  # names of columns don't tell cases apart
+            i += 1
+            name = f"{plain}_{i}"
+        taken.add(name.lower())
+        out[name] = v
+    return out
+
+
 def category_crosses(rows: DataFrame, columns: list[str], category: str, values: list) -> DataFrame:
     """Each column times the one-hot of the category; the list of values is the caller's, so train and test have the same columns."""
-    return rows.withColumns({f"{c}__comp_gate_{v}": F.when(F.col(category) == F.lit(v), F.col(c).cast("double")).otherwise(0.0) for c in columns for v in values})
+    return rows.withColumns({f"{c}__comp_gate_{name}": F.when(F.col(category) == F.lit(v), F.col(c).cast("double")).otherwise(0.0) for c in columns for name, v in _labels(values).items()})
 
 
 def one_hot(rows: DataFrame, column: str, values: list) -> DataFrame:
-    return rows.withColumns({f"{column}_{v}": F.when(F.col(column) == F.lit(v), 1.0).otherwise(0.0) for v in values})
+    return rows.withColumns({f"{column}_{name}": F.when(F.col(column) == F.lit(v), 1.0).otherwise(0.0) for name, v in _labels(values).items()})
 
 
 def empirical_position(rows: DataFrame, value: str, reference: Column) -> DataFrame:

@@ -85,13 +85,14 @@ def path_features(a: DataFrame) -> list[DataFrame]:
     return [_players(hops), _players(network.centrality(network.weighted_edges(network.received_passes(with_neighbours(a, 1)))))]
 
 
-def all_features(actions: DataFrame, rows: DataFrame, kinds: Sequence[str], groups: Sequence[str], folds: Sequence[int], y: str = "xag") -> tuple[DataFrame, list[str]]:
-    """rows (match_id, player_id, y, fold, squad, opponent, comp) with all features, and the features' names. No row is lost."""
+def all_features(actions: DataFrame, rows: DataFrame, kinds: Sequence[str], groups: Sequence[str], folds: Sequence[int], y: str = "xag", date: str = "match_id") -> tuple[DataFrame, list[str]]:
+    """rows (match_id, player_id, y, fold, squad, opponent, comp) with all features, and the features' names. No row is lost. date: the
+    column that says which of a player's rows come before."""
     a = one_direction(relevant(actions, rows)).join(rows.select("match_id", "fold").distinct(), "match_id")
     a = staged(value.with_learned_value(a, value.solve_values(value.transition_counts(a.where(F.col("fold").isNotNull())))), "actions")
     known = F.col("fold").isNotNull()
     chanced = chances(a, groups, folds)
-    parts = [*own_features(a, kinds), *path_features(a), fuse(chanced, [blocks.pass_risk()]), expected_value(chanced, rows, groups, y), windows.player_trend(rows.select(*KEY, y, "fold"), known, y).drop(y, "fold")]
+    parts = [*own_features(a, kinds), *path_features(a), fuse(chanced, [blocks.pass_risk()]), expected_value(chanced, rows, groups, y), windows.player_trend(rows.select(*dict.fromkeys((*KEY, y, "fold", date))), known, y, date).drop(y, "fold", *({date} - {*KEY}))]
     wide = rows
     for part in parts:
         wide = enrich(wide, part)
@@ -104,8 +105,12 @@ def all_features(actions: DataFrame, rows: DataFrame, kinds: Sequence[str], grou
         wide = encoding.with_target_encoding(wide, key, y)
     gates = tabular.categories(rows, column="comp")
     wide = encoding.category_crosses(encoding.one_hot(wide, "comp", gates), list(OF_LEAGUE), "comp", gates).drop("matchup")
-    names = [c for c, t in wide.dtypes if c not in rows.columns and t in ("double", "bigint", "int")]
-    return wide, names
+    return wide, feature_names(wide, rows.columns)
+
+
+def feature_names(wide: DataFrame, given: Sequence[str]) -> list[str]:
+    """The numeric columns that were not given."""
+    return [c for c, t in wide.dtypes if c not in given and t in ("double", "bigint", "int")]
 
 
 #: Features that the prediction must rise with.
@@ -116,12 +121,13 @@ RISING = (
 CATEGORIES = ("comp", "squad", "opponent")
 
 
-def predict(wide: DataFrame, names: Sequence[str], folds: Sequence[int], y: str = "xag", how: boosting.How = boosting.How(rounds=20, depth=3, rate=0.2, patience=6)) -> DataFrame:  # noqa: B008
+def predict(wide: DataFrame, names: Sequence[str], folds: Sequence[int], y: str = "xag", how: boosting.How = boosting.How(rounds=20, depth=3, rate=0.2, patience=6), threshold: float = 0.1, heavy: float = 5.0) -> DataFrame:  # noqa: B008
     """match_id, player_id, fold, y and prediction of all rows. Three learners out of fold: boosted trees that rise with RISING; others on the
     logarithm of y; and a third with its own seed, that draws rows and features and sees categories by ordered statistics. A stack
-    without negative weights, a rising step function, snapped. New rows get the means of the folds' models."""
+    without negative weights, a rising step function, snapped. New rows get the means of the folds' models. Rows of at least
+    `threshold` weigh `heavy`."""
     given = [c for c in CATEGORIES if c in wide.columns]
-    rows = staged(wide.select(*KEY, "fold", y, *given, *names).withColumns({"w": evaluation.step_weight(F.col(y)), "_log": F.log1p(y)}), "wide")
+    rows = staged(wide.select(*KEY, "fold", y, *given, *names).withColumns({"w": evaluation.step_weight(F.col(y), threshold, heavy), "_log": F.log1p(y)}), "wide")
     coded, codes = encoding.ordered_encodings(rows, given, KEY, y)
     rows = staged(coded, "coded")
     rising = replace(how, monotone={f: 1 for f in RISING if f in names})

@@ -297,3 +297,14 @@ def test_ordered_encoding_sees_only_rows_before(spark):
         assert got[i] == pytest.approx((sum(past) + 2 * mean) / (len(past) + 2))
     wide, names = encoding.ordered_encodings(df.drop("_order"), ["k"], ["id"], seeds=(1, 2))
     assert names == ["k_ordered_enc_1", "k_ordered_enc_2"] and wide.count() == 400
+
+
+def test_columns_of_categories_of_any_name(spark):
+    from fieldloom.operators.encoding import category_crosses, one_hot
+
+    values = ["Cup", "a.b", "a_b", "cup", "of `x`"]
+    rows = spark.createDataFrame([(v, 2.0) for v in [*values, None]], "league string, v double")
+    wide = category_crosses(one_hot(rows, "league", values), ["v"], "league", values).drop("league", "v")
+    assert wide.columns == [f"{a}{n}" for a in ("league_", "v__comp_gate_") for n in ("Cup", "a_b", "a_b_2", "cup_2", "of _x_")]
+    got = sorted(map(tuple, wide.select(*wide.columns).collect()), reverse=True)
+    assert got == [*[tuple([float(i == j) for j in range(5)] + [2.0 * (i == j) for j in range(5)]) for i in range(5)], (0.0,) * 10]
