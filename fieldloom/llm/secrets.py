@@ -1,8 +1,8 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
 Everything is DataFrame functions and pyspark.ml, so the scan stays in the JVM. Candidates are values assigned to a secret word
-(of any alphabet, at least MIN_VALUE characters), passwords in URLs, and runs of at least MIN_LENGTH token characters wherever
-they stand; one regular expression marks them and a split yields them with the text before and after. Features are the
+in English, German, Spanish or French, by a sign or by "is" (of any alphabet, at least MIN_VALUE characters), passwords in URLs, runs of
+at least MIN_LENGTH token characters wherever they stand, and what a private key's marks enclose, as one; one regular expression marks them and a split yields them with the text before and after. Features are the
 candidate's length and make-up, log-odds of its character transitions (learned with the forest), changes of character class, the
 share that dictionary words cover, signs of a path, and the neighbouring words. A random forest learned from labelled findings
 turns them into a probability.
@@ -44,19 +44,24 @@ DICTIONARY = (
     "server", "service", "session", "source", "spring", "state", "static", "status", "stream", "string", "style", "system", "table", "target", "task",
     "template", "test", "text", "thread", "time", "type", "update", "user", "util", "value", "version", "view", "window", "with", "work", "write",
 )
-SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "client_secret", "key")
+SECRET_WORDS = (
+    "token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "client_secret", "key",
+    "passwort", "kennwort", "geheimnis", "zugangscode", "contraseña", "contrasena", "clave", "mot de passe", "jeton")
 HARMLESS_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "revision", "etag", "integrity", "build", "example", "sample", "image", "version")
 
 
-_ASSIGNED = rf"((?i:{'|'.join(SECRET_WORDS)})[A-Za-z0-9_]{{0,16}}[\"']?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}[\"'`]?)([^\s\"'`]{{{MIN_VALUE - 1},}}[^\s\"'`.,;:)\]}}])"
+_BY_SIGN = r"[A-Za-z0-9_]{0,16}[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}"
+_BY_WORD = r"\s{1,3}(?i:is|ist|lautet|es|est)\s{0,3}:?\s{1,3}"
+_ASSIGNED = rf"((?i:{'|'.join(SECRET_WORDS)}|contraseÑa)(?:{_BY_SIGN}|{_BY_WORD})[\"'`]?)([^\s\"'`]{{{MIN_VALUE - 1},}}[^\s\"'`.,;:)\]}}])"
 _IN_URL = r"(://[^\s/:@]{1,64}:)([^\s/@]{3,}+)(?=@)"
 _TOKEN = rf"(?<![A-Za-z0-9_+/-])([A-Za-z0-9_+/-]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![\w+/\"'=-])|(?![\"']\s{{0,3}}:|[\"']?\s{{0,3}}=)))"
-FORM = f"{_ASSIGNED}|{_IN_URL}|{_TOKEN}"
+_BLOCK = rf"(-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----)([^-]{{{MIN_LENGTH},}}+)(?=-----END)"
+FORM = f"{_ASSIGNED}|{_IN_URL}|{_TOKEN}|{_BLOCK}"
 
 
 def split_parts(text: Column) -> Column:
     """Text between candidates at even places from 0, candidates at odd ones."""
-    return F.split(F.regexp_replace(F.translate(text, MARK, " "), FORM, f"$1$3{MARK}$2$4$5{MARK}"), MARK, -1)
+    return F.split(F.regexp_replace(F.translate(text, MARK, " "), FORM, f"$1$3$6{MARK}$2$4$5$7{MARK}"), MARK, -1)
 
 
 def _starts(parts: Column) -> Column:
@@ -129,7 +134,8 @@ def features(odds: list[float]) -> dict[str, Column]:
         "separators": _share("[_-]", c),
         "secret_word": _flag(near.rlike(f"({'|'.join(SECRET_WORDS)})")),
         "harmless_word": _flag(near.rlike(f"({'|'.join(HARMLESS_WORDS)})")),
-        "assigned": _flag(before.rlike(r"[=:]\s*[\"'`]?$")),
+        "assigned": _flag(before.rlike(r"([=:]|\s(is|ist|lautet|es|est))\s*[\"'`]?$")),
+        "key_block": _flag(before.rlike("private key-----$")),
         "quoted": _flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "placeholder": _flag(F.lower(c).rlike(r"example|placeholder|changeme|your[_-]|xxxx|dummy|(.)\1{7}|01234567|abcdefgh")),
     }
@@ -144,6 +150,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, first: int = 0) -> Dat
     b64 = F.base64(F.unhex(F.concat(h("b"), h("c"))))
     word = lambda salt: pick(DICTIONARY, salt)
     keyed = F.concat(pick(("the ", "", "with set ", "x. ", "env "), 1), F.when(F.col("id") % 7 == 0, F.upper(pick(SECRET_WORDS, 2))).otherwise(pick(SECRET_WORDS, 2)), pick((" = ", "=", ": ", " = \"", "=\"", ": '", "\": \""), 3))
+    said = F.concat(pick(("the ", "", "das ", "la ", "le "), 32), pick(SECRET_WORDS, 33), pick((" is ", " ist ", " lautet: ", " es ", " est ", " : "), 34))
+    block = F.concat(F.lit("-----BEGIN "), pick(("RSA ", "", "EC ", "OPENSSH "), 35), F.lit("PRIVATE KEY-----"))
     prose = F.concat(pick(("in the ", "see ", "of ", "and ", "with these "), 4), word(5), pick((" ", ", ", " (", "\n"), 6))
     harmless = F.concat(pick(("at ", "", "from "), 7), pick(HARMLESS_WORDS, 8), pick((" ", ": ", " = ", "=\"", "-"), 9))
     camel = F.concat(word(10), F.initcap(word(11)), F.initcap(word(12)), F.initcap(word(13)), F.initcap(word(20)))
@@ -159,7 +167,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000, first: int = 0) -> Dat
     short_hex = F.substring(h("s"), 1, (F.pmod(F.xxhash64("id", F.lit(24)), F.lit(9)) + 8).cast("int"))
     plain = F.concat(word(25), pick(("", "s", "ing", "_id", "-name", ".txt", "()"), 26), pick(("", "able", "ment", "ation"), 27))
     url = F.concat(pick(("see ", "", "url=", "at "), 28), pick(("https://", "postgres://", "redis://", "amqp://", "ftp://"), 29), word(10), F.lit(":"))
+    adverb = pick(("importante", "obligatoire", "erforderlich", "falsch", "nécessaire", "incorrecta", "abgelaufen", "invalide", "required", "missing", "secreto", "geheim", "trop court", "demasiado corta", "wichtig", "invalid"), 36)
     kinds = [
+        (1, said, password, " "), (1, said, spoken, "\n"), (1, said, hex_key, " "), (0, said, adverb, " "), (0, said, plain, " "), (0, said, F.translate(syllables, "ó", "o"), " "),
+        (1, block, F.concat(F.lit("\n"), b64, F.lit("\n"), F.base64(F.unhex(h("k"))), F.lit("\n")), "-----END"), (0, block, pick(("\n<your private key here>\n", "\n...your key goes here...\n", "\nxxxxxxxxxxxxxxxxxxxxxxxx\n"), 37), "-----END"),
         (1, keyed, password, '"'), (1, keyed, password, " "), (1, keyed, spoken, " "), (1, keyed, short_hex, "\n"), (1, url, password, "@"), (1, url, hex_key, "@"), (1, url, spoken, "@"),
         (0, keyed, plain, " "), (0, keyed, plain, '"'), (0, keyed, F.concat(word(10), F.lit("."), word(11), F.lit("()")), "\n"), (0, url, F.lpad((F.col("id") % 60000 + 1024).cast("string"), 4, "0"), "@"),
         (0, keyed, pick(("required", "optional", "string", "<password>", "********", "${SECRET}", "{{token}}", "None", "process.env.TOKEN", "os.environ"), 31), "\n"),
