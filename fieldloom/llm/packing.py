@@ -3,12 +3,19 @@
 Tokenizing: ids of the byte-level BPE vocabulary and one end id. Longer documents are cut into pieces of the capacity, of which
 the first may be shorter.
 
-Packing is best fit, the longest pieces first, over runs of equal pieces and gaps. Pieces get ranks by length in parallel (counts by
-length and salt, then offsets), so pieces and gaps of one size are runs of ranks. **The sweep over these runs is not distributed**: it is a
-loop on the driver over the lengths, the longest first, that finds the successor of the round's run (the smallest gap that holds it) and
-walks on from gap run to gap run. Its state depends on the capacity (at most some capacity x capacity runs) and not on the corpus,
-and its result is plain best fit's, sequence for sequence, which rounds over ranges of lengths would only approach. Then each
-piece looks its rank up in the runs to learn its sequence and place, in tasks.
+Packing is bulk-synchronous best fit. Pieces are written once in order of length, and rounds take ranges of lengths, the longest first.
+A round is one Spark job:
+
+1. Gaps offer slots: as many as the range's longest piece surely fits into, or one. Slots and pieces get their ranks by size (counts by
+   size and salt, then offsets), the largest first, slots before pieces of their size.
+2. Read in that order, a slot opens a bracket and a piece closes one: the piece gets the last slot still open, its successor, which is the
+   smallest free slot that holds it. Depths of brackets follow from the counts by size alone; of pieces that want the same slot the
+   rank decides, as each has a depth of its own. A depth has at most one slot and one piece a size, so the sweeps along each
+   depth are small windows, spread over all tasks, whatever length is frequent.
+3. Pieces of a gap are laid end to end, and the gap shrinks. The next round reads what this one wrote.
+
+Each range has two rounds. Pieces that find no slot wait in the first; in the second they open sequences, each for as many as surely fit.
+The driver sees one row a range of lengths.
 
 Edge cases: null and empty texts are one end id; equal texts, repeated and null ids are packed each, ties of length in any order; a text may
 be of any length; an empty table gives no rows; columns of other
@@ -19,12 +26,9 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,73 +98,97 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int, path: str) -> Da
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def match_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit over runs. counts: pieces by length. Returns runs (length, first rank, pieces, first sequence, pieces in each
-    sequence, offset in it) in order of length and rank; rank r of a run goes to sequence first + (r - rank) // each, at offset
-    + (r - rank) % each * length.
+#: Rows of offsets by size and salt that are sent to all executors; more go through a shuffle.
+FEW_OFFSETS = 200_000
+
+
+def ranges(capacity: int) -> list[int]:
+    """Ranges of lengths, each by how many of its longest pieces a sequence holds at least: 1, 2, 3, 4, 6, 8, 12 and so on."""
+    out = [1, 2, 3]
+    while out[-1] < capacity:
+        out.append(out[-2] * 2)
+    return [m for m in out if m <= capacity]
+
+
+def swept(slots: DataFrame, pieces: DataFrame, salts: int, sizes: int, opens: F.Column, each: int) -> DataFrame:
+    """Pieces beside the sequence, slot and room they get: that of their successor slot, or where there is none a new sequence
+    opens + i for `each` of them in turn (opens null: none).
+
+    slots: size, seq, slot, room; pieces: size, id and more. sizes: how many sizes there can be.
+    """
+    both = slots.withColumn("kind", F.lit(0)).unionByName(pieces.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("salt", F.pmod(F.xxhash64("kind", "seq", "slot", "id"), F.lit(salts)))
+    counts = both.groupBy("size", "kind", "salt").count()
+    order = [F.desc("size"), "kind"]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(F.lit(0)).orderBy(*order)  # one row a size and kind
+    runs = counts.groupBy("size", "kind").agg(F.sum(F.when(F.col("kind") == 0, F.col("count")).otherwise(-F.col("count"))).alias("step"))
+    runs = runs.withColumn("opened", F.coalesce(F.sum("step").over(before(line)), F.lit(0))).withColumn("after", F.col("opened") + F.col("step"))
+    runs = runs.withColumn("lost", -F.least(F.coalesce(F.min("after").over(before(line)), F.lit(0)), F.lit(0)))  # pieces without a slot so far
+    own = before(Window.partitionBy("size", "kind").orderBy("salt"))
+    offsets = counts.withColumn("base", F.coalesce(F.sum("count").over(own), F.lit(0))).join(F.broadcast(runs), ["size", "kind"])
+    offsets = offsets.select("size", "kind", "salt", "base", (F.col("opened") + F.col("lost")).alias("depth"), "lost")
+    within = Window.partitionBy("size", "kind", "salt").orderBy("seq", "slot", "id")
+    ranked = both.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets) if 2 * sizes * salts <= FEW_OFFSETS else offsets, ["size", "kind", "salt"])
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("rank") - 1)
+    level = F.when(F.col("kind") == 0, F.col("depth") + F.col("rank") + 1).otherwise(F.col("depth") - F.col("rank"))
+    ranked = ranked.withColumn("level", level).withColumn("late", F.col("lost") - F.col("level"))  # level below 1: no slot
+    sweep = Window.partitionBy(F.when(F.col("level") > 0, F.col("level")).otherwise(-1 - F.col("id"))).orderBy(*order)
+    met = ranked.withColumn("slot_met", F.lag(F.struct("seq", "slot", "room")).over(sweep)).where(F.col("kind") == 1)
+    late = F.col("level") < 1
+    return met.withColumns({
+        "seq": F.when(late, opens + F.floor(F.col("late") / each)).otherwise(F.col("slot_met.seq")),
+        "slot": F.when(late, (F.col("late") % each + 1).cast("int")).otherwise(F.col("slot_met.slot")),
+        "room": F.col("slot_met.room"),
+    })
+
+
+def one_round(gaps: DataFrame, waiting: DataFrame, number: int, longest: int, shortest: int, capacity: int, salts: int, opening: bool) -> DataFrame:
+    """waiting with seq and offset (null: still waiting), and gaps after the round: one row of each sequence has its room.
+
+    gaps: seq, room; waiting: id, length and more, all lengths between shortest and longest.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by size: runs of (first sequence, sequences)
-    sizes: list[int] = []  # those with runs, ascending
-    runs: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
-
-    def add(size: int, first: int, n: int) -> None:
-        if size > 0 and n > 0:
-            if not gaps[size]:
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(sizes, length)  # the successor: the smallest gap that holds the length
-            if at == len(sizes):
-                first, n, gap = opened, -(-left // (capacity // length)), capacity
-                opened += n
-            else:
-                gap = sizes[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    sizes.pop(at)
-            each = gap // length
-            full = min(n, left // each)
-            if full:
-                runs.append((length, rank, full * each, first, each, capacity - gap))
-                add(gap - each * length, first, full)
-                rank, left = rank + full * each, left - full * each
-            if full < n and 0 < left:  # fewer than `each` are left: the next sequence takes them all
-                runs.append((length, rank, left, first + full, left, capacity - gap))
-                add(gap - left * length, first + full, 1)
-                full, left = full + 1, 0
-            add(gap, first + full, n - full)
-    return sorted(runs)
+    fit = F.greatest(F.floor(F.col("room") / longest), F.lit(1)).cast("int")
+    slots = gaps.where(F.col("room") >= shortest).select("seq", "room", F.explode(F.sequence(F.lit(1), fit)).alias("slot"))
+    slots = slots.withColumn("size", F.when(F.col("slot") == 1, F.col("room") - longest * (fit - 1)).otherwise(F.lit(longest)))
+    opens = F.lit(number << 40) if opening else F.lit(None).cast("long")
+    met = swept(slots, waiting.withColumn("size", F.col("length")), salts, capacity, opens, capacity // longest)
+    met = met.select(*waiting.columns, "seq", "slot", F.coalesce("room", F.lit(capacity)).alias("room"))
+    rows = met.unionByName(gaps.select("seq", "room", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("length")), allowMissingColumns=True)
+    group = Window.partitionBy(F.coalesce("seq", -1 - F.col("id"))).orderBy("slot")
+    total = F.sum("length").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    earlier = F.coalesce(F.sum("length").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"offset": capacity - F.col("room") + earlier, "left": F.col("room") - total, "first": F.row_number().over(group) == 1})
+    rows = rows.withColumn("room", F.when(F.col("first") & F.col("seq").isNotNull(), F.col("left")))
+    return rows.select(*waiting.columns, "seq", F.when(F.col("seq").isNotNull(), F.col("offset")).alias("offset"), "room")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """pieces() with sequence_id and offset."""
     spark = docs.sparkSession
     cuts = staged(pieces(docs, key, text, capacity, path or vocabulary_path()), "pieces")
+    bounds = ranges(capacity)
+    holds = F.floor(F.lit(capacity) / F.col("length"))
+    which = F.lit(0)
+    for i, m in enumerate(bounds):
+        which = F.when(holds >= m, i).otherwise(which)
+    sized = cuts.withColumn("range", which)
+    found = {r["range"]: r for r in sized.groupBy("range").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).collect()}  # a row a range
+    order = sized.withColumn("id", F.monotonically_increasing_id())
+    order = staged(order.repartitionByRange(F.desc("length"), F.xxhash64("id")).sortWithinPartitions(F.desc("length")), "by_length")
     salts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.lit(salts)))
-    by_salt = staged(salted.groupBy("length", "salt").count(), "lengths")
-    counts = {int(r[0]): int(r[1]) for r in by_salt.groupBy("length").agg(F.sum("count")).collect()}  # at most `capacity` rows
-    runs = np.array(match_runs(counts, capacity), np.int64).reshape(-1, 6)
-    shared = spark.sparkContext.broadcast(runs)
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_salt.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("key", "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(within)).join(F.broadcast(starts) if len(counts) * salts <= 200_000 else starts, ["length", "salt"])
-    ranked = ranked.select("key", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - 1).alias("rank"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = shared.value
-        code = (r[:, 0].astype(np.uint64) << np.uint64(44)) | r[:, 1].astype(np.uint64)
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(), pdf.pop("rank").to_numpy()
-            own = r[np.searchsorted(code, (length.astype(np.uint64) << np.uint64(44)) | rank.astype(np.uint64), "right") - 1] if len(r) else np.zeros((len(pdf), 6), np.int64)
-            j = rank - own[:, 1]
-            yield pdf.assign(sequence_id=own[:, 3] + j // own[:, 4], offset=own[:, 5] + j % own[:, 4] * length)
-
-    kind = cuts.schema["key"].dataType.simpleString()
-    placed = ranked.mapInPandas(place, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.withColumnRenamed("key", key)
+    least = min((r["shortest"] for r in found.values()), default=1)
+    gaps = spark.createDataFrame([], "seq long, room long")
+    columns = ["key", "piece", "start", "length", "ids_crc32"]
+    placed = order.where("false").select(*columns, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("offset"))
+    number = 0
+    for i in sorted(found):
+        shortest, longest = found[i]["shortest"], found[i]["longest"]
+        waiting = order.where(F.col("length").between(shortest, longest)).drop("range")
+        for opening in (False, True) if number else (True,):
+            number += 1
+            done = staged(one_round(gaps, waiting, number, longest, shortest, capacity, salts, opening), "round")
+            placed = placed.unionByName(done.where("seq is not null and length > 0").select(*columns, "seq", "offset"))
+            waiting = done.where("seq is null").select(*waiting.columns)
+            gaps = done.where(F.col("room") >= least).select("seq", "room")
+    return placed.withColumnsRenamed({"key": key, "seq": "sequence_id"})

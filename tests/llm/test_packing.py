@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldloom.llm import packing
@@ -59,24 +60,6 @@ def test_special_string_is_one_id(spark):
     check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 2048)
 
 
-def test_runs_are_best_fit():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        counts = {int(n): int(c) for n, c in zip(rng.integers(1, 100, 12), rng.integers(1, 30, 12), strict=True)}
-        runs = packing.match_runs(counts, 100)
-        used = defaultdict(list)
-        for length, rank, n, first, each, offset in runs:
-            for j in range(n):
-                used[first + j // each].append((offset + j % each * length, length))
-        assert sum(len(v) for v in used.values()) == sum(counts.values())
-        for spots in used.values():
-            end = 0
-            for offset, n in sorted(spots):
-                assert offset == end
-                end += n
-            assert end <= 100
-
-
 def plain_best_fit(lengths, capacity):
     """Sequences that best fit opens, the longest piece first, each in the fullest sequence that holds it."""
     room = []
@@ -90,14 +73,44 @@ def plain_best_fit(lengths, capacity):
     return len(room)
 
 
-def test_as_many_sequences_as_plain_best_fit():
+def successors(slots, pieces):
+    """The sizes of the smallest free slots that hold the pieces, the longest piece first; None where there is none."""
+    free, out = sorted(slots), []
+    for n in sorted(pieces, reverse=True):
+        fitting = [s for s in free if s >= n]
+        if fitting:
+            free.remove(fitting[0])
+        out.append((n, fitting[0] if fitting else None))
+    return sorted(out, key=str)
+
+
+def test_a_sweep_finds_each_piece_its_successor(spark):
     rng = np.random.default_rng(3)
-    for trial in range(300):
-        capacity = int(rng.choice([8, 30, 64]))
-        lengths = rng.integers(1, capacity + 1, rng.integers(0, 80)) if trial % 2 else np.minimum(rng.geometric(0.15, rng.integers(0, 120)), capacity)
-        runs = packing.match_runs(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), capacity)
-        used = {first + i for _, _, n, first, each, _ in runs for i in range(-(-n // each))}
-        assert len(used) == plain_best_fit(lengths.tolist(), capacity)
+    for trial in range(6):
+        slots, pieces = rng.integers(1, 30, rng.integers(0, 60)).tolist(), rng.integers(1, 30, rng.integers(1, 60)).tolist()
+        if trial == 5:  # one length holds most rows
+            pieces += [17] * 100
+        left = spark.createDataFrame([(s, i, 1, s) for i, s in enumerate(slots)], "size long, seq long, slot int, room long")
+        right = spark.createDataFrame([(n, i) for i, n in enumerate(pieces)], "size long, id long")
+        out = packing.swept(left, right, 4, 30, F.lit(1000), 3).collect()
+        assert successors(slots, pieces) == sorted(((r["size"], r["room"]) for r in out), key=str)
+        taken = [(r["seq"], r["slot"]) for r in out]
+        assert len(set(taken)) == len(taken) == len(pieces)
+        late = sorted(s for s, _ in taken if s >= 1000)
+        assert late == [1000 + i // 3 for i in range(len(late))]
+
+
+def test_nearly_as_many_sequences_as_plain_best_fit(spark, documents):
+    out = packing.pack(documents.unionByName(documents.where("doc_id % 2 = 0")), capacity=512).collect()
+    best = plain_best_fit([r["length"] for r in out], 512)
+    assert len({r["sequence_id"] for r in out}) <= 1.01 * best + 1
+
+
+def test_one_length_may_be_frequent_and_offsets_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FEW_OFFSETS", 0)
+    rows = [(i, "a b c d e") for i in range(300)] + [(i, "a " * 40) for i in range(300, 340)]
+    used, ids = check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).collect(), 64)
+    assert used <= ids / 64 * 1.1 + 1
 
 
 def test_ids_are_those_of_the_tokenizer():
