@@ -14,8 +14,9 @@ A round is one Spark job:
    depth are small windows, spread over all tasks, whatever length is frequent.
 3. Pieces of a gap are laid end to end, and the gap shrinks. The next round reads what this one wrote.
 
-Each range has two rounds. Pieces that find no slot wait in the first; in the second they open sequences, each for as many as surely fit.
-The driver sees one row a range of lengths.
+Pieces that find no slot in a range's last round open sequences: each takes a fixed number that surely fits or, of short pieces, those
+that begin within a window that leaves room for the longest. Ranges of which a gap can hold several pieces have a round before, in
+which such pieces wait. The driver sees one row a range of lengths, and there are at most 13 rounds whatever the corpus.
 
 Edge cases: null and empty texts are one end id; equal texts, repeated and null ids are packed each, ties of length in any order; a text may
 be of any length; an empty table gives no rows; columns of other
@@ -102,17 +103,17 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int, path: str) -> Da
 FEW_OFFSETS = 200_000
 
 
-def ranges(capacity: int) -> list[int]:
-    """Ranges of lengths, each by how many of its longest pieces a sequence holds at least: 1, 2, 3, 4, 6, 8, 12 and so on."""
-    out = [1, 2, 3]
-    while out[-1] < capacity:
-        out.append(out[-2] * 2)
-    return [m for m in out if m <= capacity]
+#: Ranges of lengths, each by how many of its longest pieces a sequence holds at least.
+RANGES = (1, 2, 3, 4, 6, 8, 16, 64)
+#: In ranges before this one a gap holds one piece at most, as all gaps come from longer pieces.
+SEVERAL = 4
+#: From this range on, new sequences are filled by length and not by number.
+BY_LENGTH = 8
 
 
-def swept(slots: DataFrame, pieces: DataFrame, salts: int, sizes: int, opens: F.Column, each: int) -> DataFrame:
+def swept(slots: DataFrame, pieces: DataFrame, salts: int, sizes: int, opens: F.Column, each: int, window: int | None = None) -> DataFrame:
     """Pieces beside the sequence, slot and room they get: that of their successor slot, or where there is none a new sequence
-    opens + i for `each` of them in turn (opens null: none).
+    opens + i for `each` of them in turn, or for those that begin in a window of that many ids (opens null: none).
 
     slots: size, seq, slot, room; pieces: size, id and more. sizes: how many sizes there can be.
     """
@@ -125,9 +126,11 @@ def swept(slots: DataFrame, pieces: DataFrame, salts: int, sizes: int, opens: F.
     runs = counts.groupBy("size", "kind").agg(F.sum(F.when(F.col("kind") == 0, F.col("count")).otherwise(-F.col("count"))).alias("step"))
     runs = runs.withColumn("opened", F.coalesce(F.sum("step").over(before(line)), F.lit(0))).withColumn("after", F.col("opened") + F.col("step"))
     runs = runs.withColumn("lost", -F.least(F.coalesce(F.min("after").over(before(line)), F.lit(0)), F.lit(0)))  # pieces without a slot so far
+    runs = runs.withColumn("late", F.when(F.col("kind") == 1, F.greatest(-F.col("step") - F.col("opened") - F.col("lost"), F.lit(0))).otherwise(0))
+    runs = runs.withColumn("late_ids", F.coalesce(F.sum(F.col("late") * F.col("size")).over(before(line)), F.lit(0)))
     own = before(Window.partitionBy("size", "kind").orderBy("salt"))
     offsets = counts.withColumn("base", F.coalesce(F.sum("count").over(own), F.lit(0))).join(F.broadcast(runs), ["size", "kind"])
-    offsets = offsets.select("size", "kind", "salt", "base", (F.col("opened") + F.col("lost")).alias("depth"), "lost")
+    offsets = offsets.select("size", "kind", "salt", "base", (F.col("opened") + F.col("lost")).alias("depth"), "lost", "late_ids")
     within = Window.partitionBy("size", "kind", "salt").orderBy("seq", "slot", "id")
     ranked = both.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets) if 2 * sizes * salts <= FEW_OFFSETS else offsets, ["size", "kind", "salt"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("rank") - 1)
@@ -136,14 +139,15 @@ def swept(slots: DataFrame, pieces: DataFrame, salts: int, sizes: int, opens: F.
     sweep = Window.partitionBy(F.when(F.col("level") > 0, F.col("level")).otherwise(-1 - F.col("id"))).orderBy(*order)
     met = ranked.withColumn("slot_met", F.lag(F.struct("seq", "slot", "room")).over(sweep)).where(F.col("kind") == 1)
     late = F.col("level") < 1
+    new = F.floor(F.col("late") / each) if window is None else F.floor((F.col("late_ids") + (F.col("late") - F.col("lost")) * F.col("size")) / window)
     return met.withColumns({
-        "seq": F.when(late, opens + F.floor(F.col("late") / each)).otherwise(F.col("slot_met.seq")),
-        "slot": F.when(late, (F.col("late") % each + 1).cast("int")).otherwise(F.col("slot_met.slot")),
+        "seq": F.when(late, opens + new).otherwise(F.col("slot_met.seq")),
+        "slot": F.when(late, F.col("late")).otherwise(F.col("slot_met.slot").cast("long")),
         "room": F.col("slot_met.room"),
     })
 
 
-def one_round(gaps: DataFrame, waiting: DataFrame, number: int, longest: int, shortest: int, capacity: int, salts: int, opening: bool) -> DataFrame:
+def one_round(gaps: DataFrame, waiting: DataFrame, number: int, longest: int, shortest: int, capacity: int, salts: int, opening: bool, by_length: bool) -> DataFrame:
     """waiting with seq and offset (null: still waiting), and gaps after the round: one row of each sequence has its room.
 
     gaps: seq, room; waiting: id, length and more, all lengths between shortest and longest.
@@ -152,9 +156,9 @@ def one_round(gaps: DataFrame, waiting: DataFrame, number: int, longest: int, sh
     slots = gaps.where(F.col("room") >= shortest).select("seq", "room", F.explode(F.sequence(F.lit(1), fit)).alias("slot"))
     slots = slots.withColumn("size", F.when(F.col("slot") == 1, F.col("room") - longest * (fit - 1)).otherwise(F.lit(longest)))
     opens = F.lit(number << 40) if opening else F.lit(None).cast("long")
-    met = swept(slots, waiting.withColumn("size", F.col("length")), salts, capacity, opens, capacity // longest)
+    met = swept(slots, waiting.withColumn("size", F.col("length")), salts, capacity, opens, capacity // longest, capacity - longest + 1 if by_length else None)
     met = met.select(*waiting.columns, "seq", "slot", F.coalesce("room", F.lit(capacity)).alias("room"))
-    rows = met.unionByName(gaps.select("seq", "room", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("length")), allowMissingColumns=True)
+    rows = met.unionByName(gaps.select("seq", "room", F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("length")), allowMissingColumns=True)
     group = Window.partitionBy(F.coalesce("seq", -1 - F.col("id"))).orderBy("slot")
     total = F.sum("length").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     earlier = F.coalesce(F.sum("length").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -167,11 +171,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     """pieces() with sequence_id and offset."""
     spark = docs.sparkSession
     cuts = staged(pieces(docs, key, text, capacity, path or vocabulary_path()), "pieces")
-    bounds = ranges(capacity)
     holds = F.floor(F.lit(capacity) / F.col("length"))
     which = F.lit(0)
-    for i, m in enumerate(bounds):
-        which = F.when(holds >= m, i).otherwise(which)
+    for m in RANGES:
+        which = F.when(holds >= m, m).otherwise(which)
     sized = cuts.withColumn("range", which)
     found = {r["range"]: r for r in sized.groupBy("range").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).collect()}  # a row a range
     order = sized.withColumn("id", F.monotonically_increasing_id())
@@ -182,12 +185,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     columns = ["key", "piece", "start", "length", "ids_crc32"]
     placed = order.where("false").select(*columns, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("offset"))
     number = 0
-    for i in sorted(found):
-        shortest, longest = found[i]["shortest"], found[i]["longest"]
+    for m in sorted(found):
+        shortest, longest = found[m]["shortest"], found[m]["longest"]
         waiting = order.where(F.col("length").between(shortest, longest)).drop("range")
-        for opening in (False, True) if number else (True,):
+        for opening in (False, True) if number and m >= SEVERAL else (True,):
             number += 1
-            done = staged(one_round(gaps, waiting, number, longest, shortest, capacity, salts, opening), "round")
+            done = staged(one_round(gaps, waiting, number, longest, shortest, capacity, salts, opening, m >= BY_LENGTH), "round")
             placed = placed.unionByName(done.where("seq is not null and length > 0").select(*columns, "seq", "offset"))
             waiting = done.where("seq is null").select(*waiting.columns)
             gaps = done.where(F.col("room") >= least).select("seq", "room")

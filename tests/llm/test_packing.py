@@ -98,6 +98,9 @@ def test_a_sweep_finds_each_piece_its_successor(spark):
         assert len(set(taken)) == len(taken) == len(pieces)
         late = sorted(s for s, _ in taken if s >= 1000)
         assert late == [1000 + i // 3 for i in range(len(late))]
+        out = packing.swept(left, right, 4, 30, F.lit(1000), 3, 100 - 29 + 1).collect()
+        begin = np.cumsum([0] + sorted((r["size"] for r in out if r["seq"] >= 1000), reverse=True))[:-1]
+        assert sorted(r["seq"] for r in out if r["seq"] >= 1000) == (1000 + begin // 72).tolist()
 
 
 def test_nearly_as_many_sequences_as_plain_best_fit(spark, documents):
