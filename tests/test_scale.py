@@ -5,8 +5,12 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pytest
 
-from fieldloom.operators import network
+from fieldloom.models import boosting
+from fieldloom.models.boosting import How, Loss, Wanted
+from fieldloom.operators import network, selection
+from tests.test_boosting import NAMES, made, table
 
 
 def test_paths_of_many_levels_cost_their_own_edges_alone():
@@ -18,3 +22,38 @@ def test_paths_of_many_levels_cost_their_own_edges_alone():
     before = np.minimum(at, len(own))
     assert (reach == before).all() and (lean == before * (n - 1 - at)).all()
     assert (far == [sum(max(i - s, 0) for s in own) for i in range(n)]).all()
+
+
+def test_percentiles_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(selection, "POINTS", 7)
+    monkeypatch.setattr(selection, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.normal(0, 1, 900), rng.integers(0, 3, 900), np.full(900, 0.1), rng.exponential(1, 900).round(1)], 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double").repartition(5)
+    shares = [0.0, *[i / 16 for i in range(1, 16)], 0.999, 1.0]
+
+    def values(batch):
+        for i in range(4):
+            yield i, batch.column(i).to_numpy()
+
+    found = selection.exact_percentiles(df, values, shares)
+    for i in range(4):
+        assert found[i] == pytest.approx(np.quantile(x[:, i], shares), abs=1e-12)
+    assert selection.exact_percentiles(df.where("a > 99"), values, shares) == {}
+
+
+def test_fits_side_by_side_share_their_passes(spark, monkeypatch):
+    df = table(spark, *made()).cache()
+    wanted = [Wanted("y", Loss("squared"), How(rounds=3, depth=3, bins=16, least_rows=5, patience=1, rate=0.5), "w"), Wanted("y", Loss("tweedie", 1.5), How(rounds=5, depth=2, bins=16, least_rows=5, row_share=0.8, feature_share=0.5), "w"), Wanted("y", Loss("quantile", 0.7), How(rounds=2, depth=3, bins=16, least_rows=5, monotone={"c": 1}), None, NAMES[1:])]
+    passes = []
+    real = boosting._Fit.splits
+    monkeypatch.setattr(boosting._Fit, "splits", lambda self, state: passes.append(1) or real(self, state))
+    together = boosting.fit_all(df, NAMES, (1, 2, 3), ("id",), wanted)
+    assert len(passes) <= 3 * 3 + 2 * 2
+    x = made()[0]
+    for want, one in zip(wanted, together, strict=True):
+        of = list(want.features or NAMES)
+        alone = boosting.fit(df, of, "y", (1, 2, 3), ("id",), want.loss, want.how, want.weight)
+        assert one.features == of and one.best == alone.best and one.starts == pytest.approx(alone.starts)
+        at = [NAMES.index(f) for f in of]
+        assert one.scores(x[:, at]) == pytest.approx(alone.scores(x[:, at]))
