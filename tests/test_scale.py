@@ -57,3 +57,9 @@ def test_fits_side_by_side_share_their_passes(spark, monkeypatch):
         assert one.features == of and one.best == alone.best and one.starts == pytest.approx(alone.starts)
         at = [NAMES.index(f) for f in of]
         assert one.scores(x[:, at]) == pytest.approx(alone.scores(x[:, at]))
+
+
+def test_ordered_target_reads_its_rows_from_a_written_table(spark, small):
+    from fieldloom.plans.catalog import QUERIES
+
+    assert not [f for f in QUERIES["ordered_target"](spark, small).inputFiles() if "events.parquet" in f]
