@@ -63,3 +63,12 @@ def test_ordered_target_reads_its_rows_from_a_written_table(spark, small):
     from fieldloom.plans.catalog import QUERIES
 
     assert not [f for f in QUERIES["ordered_target"](spark, small).inputFiles() if "events.parquet" in f]
+
+
+def test_fused_blocks_are_summed_by_hash(spark, small):
+    from fieldloom.plans.catalog import KINDS, prepared
+    from fieldloom.plans.full import fused_blocks
+    from fieldloom.plans.fusion import fuse
+
+    plan = fuse(prepared(spark, small), fused_blocks(KINDS, value=False))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Window [") == 1
