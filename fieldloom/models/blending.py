@@ -165,6 +165,11 @@ def apply_platt(rows: DataFrame, model, p: str, out: str) -> DataFrame:
     return done.withColumn(out, vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c")
 
 
+def platt(model, p: Column) -> Column:
+    """The calibrated probability of apply_platt as an expression."""
+    return 1 / (1 + F.exp(-(p * float(model.coefficients[0]) + F.lit(float(model.intercept)))))
+
+
 def platt_by_fold(rows: DataFrame, p: str, y: str, folds: Sequence[int], fold: str = "fold", out: str = "calibrated") -> DataFrame:
     """Logistic calibration of each fold by the other folds' rows."""
     return reduce(DataFrame.unionByName, [apply_platt(rows.where(F.col(fold) == f), fit_platt(rows.where(F.col(fold) != f), p, y), p, out) for f in folds])

@@ -72,3 +72,20 @@ def test_fused_blocks_are_summed_by_hash(spark, small):
 
     plan = fuse(prepared(spark, small), fused_blocks(KINDS, value=False))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("Window [") == 1
+
+
+def counted_passes(monkeypatch) -> list:
+    passes, real = [], boosting._Fit.splits
+    monkeypatch.setattr(boosting._Fit, "splits", lambda self, state: passes.append(len(self.models)) or real(self, state))
+    return passes
+
+
+def test_a_pass_over_a_groups_actions_serves_all_folds(spark, monkeypatch):
+    from fieldloom.models import trees
+
+    rng, passes = np.random.default_rng(5), counted_passes(monkeypatch)
+    rows = [(i, "pass" if i % 3 else "cross", i % 4 + 1, float(x), "success" if rng.random() < 1 / (1 + np.exp(-3 * x)) else "fail") for i, x in enumerate(rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, "action_id long, `group` string, fold int, x double, result_name string")
+    out = trees.success_probability(df, ["x"], ["pass", "cross"], (1, 2, 3, 4), rounds=2).toPandas()
+    assert sorted(out["action_id"]) == list(range(400))
+    assert 0 < len(passes) <= 2 * 2 * 3 and set(passes) == {4}  # rounds, groups and levels, whatever the folds
