@@ -89,3 +89,22 @@ def test_a_pass_over_a_groups_actions_serves_all_folds(spark, monkeypatch):
     out = trees.success_probability(df, ["x"], ["pass", "cross"], (1, 2, 3, 4), rounds=2).toPandas()
     assert sorted(out["action_id"]) == list(range(400))
     assert 0 < len(passes) <= 2 * 2 * 3 and set(passes) == {4}  # rounds, groups and levels, whatever the folds
+
+
+def test_three_learners_share_their_passes(spark, monkeypatch):
+    from fieldloom.plans import full
+
+    rng, passes = np.random.default_rng(6), counted_passes(monkeypatch)
+    rows = [(f"m{i % 9}", i, i % 3 + 1 if i % 10 else None, float(max(x, 0)) if i % 10 else None, i % 2, (i + 1) % 2, i % 3, float(x + rng.normal())) for i, x in enumerate(rng.normal(0, 1, 300))]
+    df = spark.createDataFrame(rows, "match_id string, player_id long, fold int, xag double, squad long, opponent long, comp long, a double")
+    got = full.predict(df, ["a"], (1, 2, 3), how=How(rounds=3, depth=2, least_rows=5, patience=3)).toPandas()
+    assert len(got) == 300 and got["prediction"].notna().all()
+    assert len(passes) <= 3 * 2 + 1 and set(passes) == {9}
+
+
+def test_chained_encodings_read_their_rows_once_each(spark, tmp_path):
+    from fieldloom.operators import encoding
+
+    spark.createDataFrame([(i, i % 3, i % 2, 1 - i % 2, i % 4 + 1, float(i)) for i in range(40)], "id long, comp long, squad long, opponent long, fold int, xag double").write.parquet(str(tmp_path / "t"))
+    plan = encoding.with_residuals(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") <= 2 + 3 * 3  # the rows, their means, and three a key, not four times those of the key before
