@@ -108,3 +108,71 @@ def test_chained_encodings_read_their_rows_once_each(spark, tmp_path):
     spark.createDataFrame([(i, i % 3, i % 2, 1 - i % 2, i % 4 + 1, float(i)) for i in range(40)], "id long, comp long, squad long, opponent long, fold int, xag double").write.parquet(str(tmp_path / "t"))
     plan = encoding.with_residuals(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("Relation [") <= 2 + 3 * 3  # the rows, their means, and three a key, not four times those of the key before
+
+
+def test_boosting_keeps_its_rows_in_blocks(spark, monkeypatch):
+    x, y, fold, w = made()
+    df = table(spark, x, y, fold, w)
+    edges = boosting.bin_edges(df, NAMES, 16)
+    blocks = boosting._table(df, NAMES, edges, ["y"], ["w"], ("id",), [0.0, 1.0])
+    assert blocks.count() <= 3  # one a task, not one a row
+    monkeypatch.setattr(boosting, "BLOCK", 1000)
+    small = boosting._table(df, NAMES, edges, ["y"], ["w"], ("id",), [0.0, 1.0]).toArrow().to_batches()
+    parts = [p for batch in small for p in boosting._blocks(batch)]
+    assert len(parts) > 3 and all(sum(a.nbytes for a in p) <= 1000 for p in parts)
+    numbers = np.hstack([p[3] for p in parts])
+    assert sorted(numbers[0]) == sorted(y) and (numbers[2:] == [[0.0], [1.0]]).all()
+    assert np.hstack([p[2] for p in parts]).shape == (4, 400) and sorted(np.concatenate([p[1] for p in parts])) == sorted(fold)
+
+
+def test_one_pass_predicts_all_groups(spark, monkeypatch):
+    from fieldloom.models import trees
+
+    rng, calls, real = np.random.default_rng(5), [], boosting.predict_all
+    monkeypatch.setattr(boosting, "predict_all", lambda fits, *a, **k: calls.append(len(fits)) or real(fits, *a, **k))
+    rows = [(i, ("pass", "cross", "carry")[i % 3], i % 4 + 1, float(x), "success" if rng.random() < 1 / (1 + np.exp(-3 * x)) or i % 3 == 2 else "fail") for i, x in enumerate(rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, "action_id long, `group` string, fold int, x double, result_name string")
+    out = trees.success_probability(df, ["x"], ["pass", "cross", "carry"], (1, 2, 3, 4), rounds=2, keep=["action_id", "group"])
+    assert out.columns == ["action_id", "group", "xpass_prob"] and calls == [2]  # carries always succeed: their own rate
+    got = out.toPandas()
+    assert sorted(got["action_id"]) == list(range(400)) and got.loc[got["group"] == "carry", "xpass_prob"].tolist() == pytest.approx([1 - 1e-4] * 133)
+
+
+def test_expected_value_reads_its_tables_from_written_ones(spark, small):
+    from fieldloom.plans.catalog import QUERIES
+
+    assert not [f for f in QUERIES["edxt_pipeline"](spark, small).inputFiles() if "events.parquet" in f]
+
+
+def test_few_positions_are_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import encoding
+
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    plan = encoding.empirical_position(df, "v", F.lit(True))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_team_sums_are_joined(spark):
+    from fieldloom.operators import windows
+
+    rows = [("a", 1, 0, 1.0), ("a", 2, 0, 3.0), ("a", 3, None, 2.0), ("a", 4, None, None), ("b", 5, 0, -1.0), ("b", 6, 0, 1.0), (None, 7, 1, None)]
+    df = windows.team_context(spark.createDataFrame(rows, "match_id string, player_id long, squad long, v double"), ["v"])
+    assert "Window" not in df._jdf.queryExecution().sparkPlan().toString() and df.columns == ["match_id", "player_id", "squad", "v", "v_team_sum", "v_team_share", "v_team_lopo"]
+    got = {r["player_id"]: (r["v_team_sum"], r["v_team_share"], r["v_team_lopo"]) for r in df.collect()}
+    assert got == {1: (4.0, 0.25, 3.0), 2: (4.0, 0.75, 1.0), 3: (2.0, 1.0, 0.0), 4: (2.0, None, None), 5: (0.0, 0.0, 1.0), 6: (0.0, 0.0, -1.0), 7: (None, None, None)}
+
+
+def test_a_players_groups_are_summed_one_below_the_other(spark):
+    from fieldloom.operators import expected
+
+    rows = [("a", 1, "pass", 0.5, 0.2, 0.1, 0.3), ("a", 1, "pass", -1.0, 0.4, 0.3, 0.5), ("a", 1, "carry", 2.0, 1.0, 0.5, 0.1), ("a", 2, "cross", 1.0, 1.0, 1.0, 1.0), ("b", 1, "carry", None, 1.0, None, 0.2)]
+    df = expected.expected_features(spark.createDataFrame(rows, "match_id string, player_id long, `group` string, success double, fail_raw double, fail_scaled double, fail_weight double"), {"pass": 0.5, "carry": 1.0})
+    assert df._jdf.queryExecution().sparkPlan().toString().count("Exchange hashpartitioning") <= 1
+    got = {(r["match_id"], r["player_id"]): r for r in df.collect()}
+    one, other, none = got["a", 1], got["a", 2], got["b", 1]
+    assert len(got) == 3 and [one[f"pass_edxt_{n}"] for n in ("sum", "mean", "max", "positive_sum", "positive_mean", "count")] == pytest.approx([-0.8, -0.4, 0.4, 0.4, 0.2, 2])
+    assert one["carry_edxt_scaled_sum"] == pytest.approx(1.5) and one["pass_fail_weight_sum"] == pytest.approx(0.8)
+    assert all(v == 0 for k, v in other.asDict().items() if k not in ("match_id", "player_id"))
+    assert none["carry_edxt_count"] == 0 and none["carry_edxt_sum"] == 0.0 and none["carry_edxt_fail_sum"] == 1.0
