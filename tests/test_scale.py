@@ -24,6 +24,38 @@ def test_paths_of_many_levels_cost_their_own_edges_alone():
     assert (far == [sum(max(i - s, 0) for s in own) for i in range(n)]).all()
 
 
+def test_one_walk_serves_all_sources_bound_to_its_root(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in [*range(2, 25), 6]:
+        e = np.unique(rng.integers(0, n, 2 * n) * n + rng.integers(0, n, 2 * n)) if n % 3 else np.append(np.arange(n) * n + (np.arange(n) + 1) % n, 2)  # a ring with a way across
+        e = e if n != 6 else np.arange(6) * 6 + np.array([1, 2, 0, 0, 3, 1])  # a ring alone, and what leads there
+        src, dst = e // n, e % n
+        src, dst = src[src != dst], dst[src != dst]
+        tails = network.Tails.of(src, dst, n)
+        roots = np.flatnonzero(tails.root == np.arange(n))
+        got = [sum(x) for x in zip(*(network.tail_measures(src, dst, n, tails, p) for p in (roots[::2], roots[1::2]) if len(p)), strict=True)]
+        for a, b in zip(network.hop_measures(src, dst, n, np.arange(n)), got, strict=True):
+            assert a == pytest.approx(b)
+    walks, real = [], network._walked
+    monkeypatch.setattr(network, "_walked", lambda *a: walks.append(len(a[3])) or real(*a))
+    n = 300
+    line = network.Tails.of(np.arange(n - 1), np.arange(1, n), n)
+    network.tail_measures(np.arange(n - 1), np.arange(1, n), n, line, np.flatnonzero(line.root == np.arange(n)))
+    assert walks == [1]  # not one a node
+
+
+def test_a_graph_moves_in_few_rows(spark, monkeypatch):
+    e = {(int(a), int(b)) for a, b in np.random.default_rng(4).integers(0, 400, (1600, 2))}
+    df = spark.createDataFrame([("m", 0, a, b, 1) for a, b in e], "match_id string, team_id long, src long, dst long, weight long")
+    rows, real = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda df, *a: rows.append(df) or real(df, *a))
+    monkeypatch.setattr(network, "PATH_SOURCES", 1)
+    out = network.hop_centrality(df)
+    assert out.count() == len({x for p in e for x in p})
+    sizes = [len(r["src"]) + len(r["dst"]) for r in rows[0].collect()]
+    assert len(sizes) <= 16 and max(sizes) <= 8 * len(e)  # a row a block of sources, sixteen bytes an edge, grew with the square of the graph
+
+
 def test_percentiles_of_many_columns(spark, monkeypatch):
     monkeypatch.setattr(selection, "POINTS", 7)
     monkeypatch.setattr(selection, "CHUNK", 50)
