@@ -208,3 +208,37 @@ def test_a_players_groups_are_summed_one_below_the_other(spark):
     assert one["carry_edxt_scaled_sum"] == pytest.approx(1.5) and one["pass_fail_weight_sum"] == pytest.approx(0.8)
     assert all(v == 0 for k, v in other.asDict().items() if k not in ("match_id", "player_id"))
     assert none["carry_edxt_count"] == 0 and none["carry_edxt_sum"] == 0.0 and none["carry_edxt_fail_sum"] == 1.0
+
+
+def test_features_of_few_bins_are_counted_together(monkeypatch):
+    rng, calls, real = np.random.default_rng(8), [], np.bincount
+    n, sizes = 500, [3, 4, 33, 2, 5, 33, 33, 3, 40, 3, 2, 3]
+    columns = np.stack([rng.integers(0, k, n) for k in sizes]).astype(np.uint8)
+    fold, y, w = rng.integers(1, 4, n).astype(np.int32), rng.random(n), rng.integers(1, 6, n).astype(float)
+    losses = [Loss(), Loss("tweedie", 1.4)]
+    models = [boosting._Model(loss, How(depth=2), f, k, 0, 0) for loss in losses for k, f in enumerate((1, 2, 3))]
+
+    class Table:
+        def mapInArrow(self, f, schema):
+            return f
+
+    work = boosting._Fit(Table(), len(sizes), [np.arange(k - 2.0) for k in sizes], models, [[0] * len(sizes)] * 6, 1, 1)
+    tree = boosting.Tree.empty(2)
+    tree.feature[0], tree.bin[0] = 2, 15
+    few = frozenset({0, 2, 5, 11})
+    state = boosting._State([[] for _ in models], [tree] * 6, [{1: None, 2: None}] * 6, [{1: frozenset(range(12)), 2: few}] * 5 + [{1: few, 2: few}], [True] * 6, 0)
+    numbers = np.vstack([y, w, *[np.full(n, m / 10) for m in range(6)]])
+    batches = [boosting._block(np.arange(i, i + 250), fold[i : i + 250], columns[:, i : i + 250], numbers[:, i : i + 250]) for i in (0, 250)]
+    monkeypatch.setattr(boosting.np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
+    found = {(r["model"], r["node"]): np.frombuffer(r["hist"]) for batch in work.histograms(state)(iter(batches)) for r in batch.to_pylist()}
+    monkeypatch.undo()
+    assert len(calls) < 6 * len(sizes) * 2 and len(found) == 18  # three a feature and model before
+    begin = np.cumsum([0, *sizes])
+    for m, model in enumerate(models):
+        g, h = model.loss.gradient(y, np.full(n, m / 10), w)
+        assert found[m, -1][:2] == pytest.approx([model.loss.value(y, np.full(n, m / 10), w)[fold == model.fold].sum(), (fold == model.fold).sum()])
+        for node in (1, 2):
+            use = (fold != model.fold) & ((columns[2] > 15) == (node == 2))
+            for f in range(12) if m < 5 else sorted(few):
+                want = [real(columns[f][use], v[use], sizes[f]) for v in (g, h, np.ones(n))]
+                assert found[m, node].reshape(-1, 3)[begin[f] : begin[f + 1]] == pytest.approx(np.stack(want, 1), abs=1e-9)
