@@ -242,3 +242,20 @@ def test_features_of_few_bins_are_counted_together(monkeypatch):
             for f in range(12) if m < 5 else sorted(few):
                 want = [real(columns[f][use], v[use], sizes[f]) for v in (g, h, np.ones(n))]
                 assert found[m, node].reshape(-1, 3)[begin[f] : begin[f + 1]] == pytest.approx(np.stack(want, 1), abs=1e-9)
+
+
+def test_percentiles_stay_out_of_the_sums_of_all_blocks(spark, small):
+    from fieldloom.operators import value, windows
+    from fieldloom.plans import catalog, full
+    from fieldloom.plans.fusion import fuse
+    from fieldloom.sources.staging import staged
+
+    a = staged(catalog.valued(spark, small), "actions")
+    one = full.own_features(a, catalog.KINDS)[0]
+    steps = [line.split("(")[0].split()[-1] for line in one._jdf.queryExecution().sparkPlan().toString().splitlines() if "(" in line]
+    assert "HashAggregate" in steps  # with percentiles among the sums, ObjectHashAggregate was the only one
+    want = fuse(windows.with_own_previous(value.with_heuristic_value(a)), [*full.fused_blocks(catalog.KINDS), *full.more_blocks()])
+    assert one.dtypes == want.dtypes
+    got, want = (df.toPandas().sort_values(["match_id", "player_id"]).reset_index(drop=True) for df in (one, want))
+    assert (got["box_receive_time_to_shot_p50"] > 0).any() and np.allclose(got.iloc[:, 2:].to_numpy(float), want.iloc[:, 2:].to_numpy(float), atol=1e-9, rtol=0, equal_nan=True)
+    assert (got["player_id"] == want["player_id"]).all()
